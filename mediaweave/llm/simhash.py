@@ -21,7 +21,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from mediaweave.llm.common import publish, shared_dir, small_batches, table, with_results
 from mediaweave.operators.components import connected_components
@@ -45,22 +44,19 @@ def fingerprint(text: bytes, words: int, seed: int) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def _fingerprints(batches, words: int, seed: int, names: list[str]):
+def _fingerprints(batches, words: int, seed: int):
     for batch in batches:
         texts = batch.column("text").cast(pa.binary()).to_pylist()
         prints = pa.array([fingerprint(x or b"", words, seed) for x in texts], pa.int64())
-        yield pa.RecordBatch.from_arrays([*map(batch.column, names), prints], names=[*names, "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_row"), prints], names=["doc_id", "_row", "fp"])
 
 
-def with_fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, carry: bool = False) -> DataFrame:
-    """fp (the fingerprint's bits as a signed long), with doc_id and _row, or with all columns."""
+def with_fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFrame:
+    """doc_id, _row (a number of its own) and fp (the fingerprint's bits as a signed long)."""
     small_batches(docs.sparkSession)
-    docs = docs.withColumn("_row", F.monotonically_increasing_id())
-    names, schema = with_results(docs.schema, "fp long")
-    if not carry:
-        names, schema = ["doc_id", "_row"], StructType([docs.schema["doc_id"], docs.schema["_row"], schema["fp"]])
-        docs = docs.select("doc_id", "text", "_row")
-    return docs.mapInArrow(partial(_fingerprints, words=words, seed=seed, names=names), schema)
+    docs = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_row"))
+    _, schema = with_results(docs.drop("text").schema, "fp long")
+    return docs.mapInArrow(partial(_fingerprints, words=words, seed=seed), schema)
 
 
 def planes_of(prints: np.ndarray) -> np.ndarray:
@@ -71,18 +67,22 @@ def planes_of(prints: np.ndarray) -> np.ndarray:
 
 
 def near_bits(tile: np.ndarray, planes: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """(tile, words): bit i of a word tells whether fingerprint i of the planes is within the radius (up to 2)."""
+    """(tile, words): bit i of a word tells whether fingerprint i of the planes is within the radius."""
     wanted = (tile[:, None] >> np.arange(BITS, dtype=np.uint64)) & np.uint64(1)
     flip = np.uint64(0) - wanted  # all ones where the bit is set
-    ones = np.zeros((len(tile), planes.shape[1]), np.uint64)
-    twos, over = ones.copy(), ones.copy()
+    over = np.zeros((len(tile), planes.shape[1]), np.uint64)
+    counter = [over.copy() for _ in range(radius.bit_length())]  # bit by bit, of 64 distances a word
     for b in range(BITS):
         carry = planes[b] ^ flip[:, b, None]
-        ones, carry = ones ^ carry, ones & carry
-        twos, carry = twos ^ carry, twos & carry
+        for k, digit in enumerate(counter):
+            counter[k], carry = digit ^ carry, digit & carry
         over |= carry
         if b % 8 == 7:
-            far = over | (twos & ones) if radius == 2 else over | twos if radius == 1 else over | twos | ones
+            far, equal = over.copy(), ~over
+            for k in range(len(counter) - 1, -1, -1):
+                if not radius >> k & 1:
+                    far |= equal & counter[k]
+                equal &= counter[k] if radius >> k & 1 else ~counter[k]
             if (far == ~np.uint64(0)).all():
                 break
     return ~far
@@ -181,19 +181,126 @@ def fingerprint_links(prints: DataFrame, crowd: int = CROWD) -> DataFrame:
     return links
 
 
-def near_components(docs: DataFrame, words: int = 3, seed: int = 42, crowd: int = CROWD, carry: bool = False) -> DataFrame:
+def near_components(docs: DataFrame, words: int = 3, seed: int = 42, crowd: int = CROWD) -> DataFrame:
     """docs: doc_id, text. One row a document: doc_id, fp, component_id, stays (true for one row of a component, with
-    the smallest doc_id). With carry also the document's other columns."""
+    the smallest doc_id)."""
     shared_dir(docs.sparkSession)
-    found = publish(with_fingerprints(docs, words, seed, carry))
+    found = publish(with_fingerprints(docs, words, seed))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
     prints = publish(found.groupBy("fp").agg(first.alias("least")))
     parts = connected_components(fingerprint_links(prints.select("fp"), crowd))
     named = prints.join(parts, prints.fp == parts.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     least = named.groupBy("component").agg(F.min("least").alias("least"))
     ids = publish(named.select("fp", "component").join(least, "component").select("fp", F.col("least.doc_id").alias("component_id"), F.col("least._row").alias("_first")))
-    names = [c for c in found.columns if c not in ("_row", "fp", "component_id", "stays")]
-    return found.drop("component_id", "stays", "_first").join(ids, "fp").select(*names, "fp", "component_id", (F.col("_row") == F.col("_first")).alias("stays"))
+    return found.join(ids, "fp").select("doc_id", "fp", "component_id", (F.col("_row") == F.col("_first")).alias("stays"))
+
+
+#: For near_duplicates(): the smallest shingle hashes that a document is dealt by, and the SimHash filter's radius.
+#: Two documents with a similarity of 0.8 share none of eight, or differ in more bits, once in 10 ** 5 pairs.
+MINIMA, WIDE = 8, 24
+
+
+def shingle_set(text: bytes, words: int, seed: int) -> np.ndarray:
+    parts = text.lower().split()
+    shingles = [b" ".join(parts)] if len(parts) < words else map(b" ".join, zip(*(parts[i:] for i in range(words)), strict=False))
+    return np.unique(np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=seed), shingles), np.uint64)) if parts else np.zeros(0, np.uint64)
+
+
+def _sketches(batches, words: int, seed: int):
+    for batch in batches:
+        out: list[tuple] = []
+        for row, text in zip(batch.column("_row").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
+            found = shingle_set(text or b"", words, seed)
+            if len(found):
+                out.append((row, fingerprint(text, words, seed), found[:MINIMA].view(np.int64).tolist(), np.sort(found.astype(np.uint32)).tobytes()))
+        cols = list(zip(*out, strict=True)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.int64())), pa.array(cols[3], pa.binary())], names=["_row", "fp", "minima", "shingles"])
+
+
+def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    if min(len(a), len(b)) < least * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=False))
+    return both >= least * (len(a) + len(b) - both)
+
+
+def _similar_links(batches, least: float):
+    """A bucket's documents, breadth first: each is compared once, with those not yet reached. Returns stars."""
+    held: list = []
+    for batch in _with_end(batches):
+        rows = list(zip(*(batch.column(c).to_pylist() for c in ("key", "_row", "fp", "shingles")), strict=True)) if batch else [(None, 0, 0, b"")]
+        out = []
+        for row in rows:
+            if held and row[0] != held[0][0]:
+                out += _stars(held, least)
+                held = []
+            held.append(row)
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["src", "dst"])
+
+
+def _with_end(batches):
+    yield from batches
+    yield None
+
+
+def _stars(bucket: list[tuple], least: float) -> list[tuple[int, int]]:
+    rows, prints = [x[1] for x in bucket], np.array([x[2] for x in bucket], np.int64).view(np.uint64)
+    sets = [np.frombuffer(x[3], np.uint32) for x in bucket]
+    out, apart = [], np.arange(len(bucket))
+    while len(apart) > 1:
+        first, reached, apart = apart[0], [apart[0]], apart[1:]
+        while reached and len(apart):
+            one = reached.pop()
+            near = np.flatnonzero(np.unpackbits(near_bits(prints[[one]], planes_of(prints[apart]), WIDE).view(np.uint8), bitorder="little")[: len(apart)])
+            linked = [k for k in near if similar(sets[one], sets[apart[k]], least)]
+            out += [(rows[apart[k]], rows[first]) for k in linked]
+            reached += [apart[k] for k in linked]
+            apart = np.delete(apart, linked)
+    return out
+
+
+def similar_links(sketches: DataFrame, least: float, crowd: int) -> DataFrame:
+    """sketches: _row, fp, minima, shingles. Links whose closure joins the documents of that Jaccard similarity.
+
+    Documents are dealt by each of their smallest shingle hashes; keys that only one has go. A key with over crowd
+    documents, as of a common line, is dealt again by their other hashes. What is crowded still is a group of near
+    copies; it is cut into blocks, and each pair of blocks is a bucket."""
+    dealt = sketches.select("_row", F.explode("minima").alias("key"), "minima").withColumn("minima", F.array_remove("minima", F.col("key")))
+    ready = []
+    for depth in range(3):
+        counts = publish(dealt.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
+        dealt = dealt.join(counts, "key")
+        ready.append(dealt.filter(F.col("n") <= crowd).select("_row", "key"))
+        dealt = dealt.filter(F.col("n") > crowd)
+        if depth == 2 or counts.filter(F.col("n") > crowd).isEmpty():
+            break
+        dealt = dealt.select("_row", F.explode("minima").alias("more"), "minima", "key")
+        dealt = publish(dealt.select("_row", F.xxhash64("key", "more").alias("key"), F.array_remove("minima", F.col("more")).alias("minima")).dropDuplicates(["_row", "key"]))
+    if depth == 2:
+        blocks, own = F.ceil(F.col("n") / crowd).cast("long"), F.pmod(F.xxhash64("_row"), F.ceil(F.col("n") / crowd).cast("long"))
+        paired = dealt.select("_row", "key", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
+        ready.append(paired.select("_row", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key")))
+    buckets = ready[0]
+    for more in ready[1:]:
+        buckets = buckets.unionAll(more)
+    filled = buckets.join(sketches.select("_row", "fp", "shingles"), "_row").repartition("key").sortWithinPartitions("key", "_row")
+    return publish(filled.select("key", "_row", "fp", "shingles").mapInArrow(partial(_similar_links, least=least), "src long, dst long"))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, seed: int = 42, crowd: int = CROWD) -> DataFrame:
+    """docs: doc_id, text. All columns and stays: of each group that links of that Jaccard similarity of word shingles
+    make, the row with the smallest doc_id. SimHash with the bit-sliced comparison filters the pairs of a bucket, the
+    shingles themselves decide. Documents without words stay."""
+    shared_dir(docs.sparkSession)
+    small_batches(docs.sparkSession)
+    docs = publish(docs.drop("stays", "_row").withColumn("_row", F.monotonically_increasing_id()))
+    sketches = publish(docs.select("_row", "text").mapInArrow(partial(_sketches, words=words, seed=seed), "_row long, fp long, minima array<long>, shingles binary"))
+    parts = publish(connected_components(similar_links(sketches, similarity, crowd)))
+    ids = docs.select("_row", "doc_id").join(parts.withColumnRenamed("node", "_row"), "_row")
+    first = ids.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("least"))
+    gone = publish(ids.join(first, "component").filter(F.col("_row") != F.col("least._row")).select("_row", F.lit(False).alias("stays")))
+    return docs.join(gone, "_row", "left").withColumn("stays", F.coalesce("stays", F.lit(True))).drop("_row")
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
