@@ -2,7 +2,8 @@
 
 Every start of a SPAN-byte string (a window) is dealt by the smallest hash of the GRAM-byte grams inside it. Windows
 of equal content share it, and neighbouring windows mostly do, so that a text becomes a few runs of windows a
-hundred bytes. Runs whose smallest hash occurs once in the corpus are done. Of the others equal runs are counted as
+hundred bytes. Runs whose smallest hash occurs once in the corpus, at one
+place, are done. Of the others equal runs are counted as
 one, which is fetched once; the runs of a hash meet in one task. There a block's suffixes are sorted in two stages:
 those smaller than their successors directly, the rest induced by scanning the buckets of first bytes from low to
 high. Adjacent suffixes with a common prefix of SPAN bytes, and runs that occur twice, are repeats.
@@ -49,20 +50,36 @@ def gram_hashes(data: np.ndarray, gram: int, level: int) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def window_keys(data: np.ndarray, span: int, level: int) -> np.ndarray:
-    """For each window the smallest of its grams' hashes; at the last level a hash of its own."""
-    if level == LEVELS:
-        return np.array([xxhash.xxh3_64_intdigest(data[i : i + span].tobytes()) for i in range(len(data) - span + 1)], np.uint64)
-    gram = min(GRAM, 1 << (span.bit_length() - 1) >> 2)
-    m, have, width = gram_hashes(data, gram, level), 1, span - gram + 1
+PLACE = np.uint64(2**21 - 1)
+
+
+def smallest(h: np.ndarray, width: int) -> np.ndarray:
+    have = 1
     while have < width:
         step = min(have, width - have)
-        m, have = np.minimum(m[:-step], m[step:]), have + step
-    return m
+        h, have = np.minimum(h[:-step], h[step:]), have + step
+    return h
+
+
+def window_keys(data: np.ndarray, span: int, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each window the smallest of its grams' hashes (at the last level a hash of its own), and the places of the
+    first and last gram that has it."""
+    n = len(data) - span + 1
+    at = np.arange(n, dtype=np.uint64)
+    if level == LEVELS:
+        return np.array([xxhash.xxh3_64_intdigest(data[i : i + span].tobytes()) for i in range(n)], np.uint64), at, at
+    gram = min(GRAM, 1 << (span.bit_length() - 1) >> 2)
+    h, width = gram_hashes(data, gram, level), span - gram + 1
+    place = np.arange(len(h), dtype=np.uint64) & PLACE  # in the low bits, so that of equal hashes one wins
+    first = smallest((h & ~PLACE) | place, width)
+    last = smallest((h & ~PLACE) | (PLACE - place), width)
+    first = at + (((first & PLACE) - at) & PLACE)
+    last = at + (((PLACE - (last & PLACE)) - at) & PLACE)
+    return h[first.astype(np.int64)], first, last
 
 
 def runs_of(texts: list[bytes], span: int, level: int = 0):
-    """Runs of windows with one key: text number, first and last start, key."""
+    """Runs of windows with one key: text number, first and last start, key, whether it may repeat itself."""
     at = 0
     while at < len(texts):
         chunk, size, first = [], 0, at
@@ -73,22 +90,25 @@ def runs_of(texts: list[bytes], span: int, level: int = 0):
             continue
         lengths = np.fromiter(map(len, chunk), np.int64, len(chunk))
         begin = np.r_[0, np.cumsum(lengths)[:-1]]
-        keys = window_keys(np.frombuffer(b"".join(chunk), np.uint8), span, level)
+        keys, left, right = window_keys(np.frombuffer(b"".join(chunk), np.uint8), span, level)
         windows = np.maximum(lengths - span + 1, 0)
         of = np.repeat(np.arange(len(chunk)), windows)
         start = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
-        keys = keys[begin[of] + start]
+        place = begin[of] + start
+        keys = keys[place]
         new = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (of[1:] != of[:-1])]) if len(of) else np.zeros(0, np.int64)
         last = np.r_[new[1:] - 1, len(of) - 1] if len(of) else new
-        yield of[new] + first, start[new], start[last], keys[new]
+        yield of[new] + first, start[new], start[last], keys[new], left[place[new]] != right[place[last]]
 
 
 def _runs(batches, span: int, digest: bool):
     for batch in batches:
         texts = [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
-        for of, lo, hi, keys in runs_of(texts, span):
+        for of, lo, hi, keys, own in runs_of(texts, span):
             arrays, names = [pa.array(keys.view(np.int64))], ["m"]
-            if digest:
+            if not digest:  # what may repeat itself counts twice
+                arrays = [pa.array(np.concatenate([keys, keys[own]]).view(np.int64))]
+            else:
                 rest = [xxhash.xxh3_64_intdigest(texts[i][a : b + span]) for i, a, b in zip(of.tolist(), lo.tolist(), hi.tolist(), strict=True)]
                 arrays += [pa.array(np.array(rest, np.uint64).view(np.int64)), batch.column("k").take(pa.array(of)), batch.column("h").take(pa.array(of)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))]
                 names += ["d", "k", "h", "lo", "hi"]
@@ -99,7 +119,7 @@ def _split(batches, span: int, level: int):
     """Segments of crowded keys, cut into runs by the next level's keys."""
     for batch in batches:
         cols = {c: batch.column(c).to_pylist() for c in ("key", "m", "d", "n", "off", "seg")}
-        for of, lo, hi, keys in runs_of(cols["seg"], span, level):
+        for of, lo, hi, keys, _ in runs_of(cols["seg"], span, level):
             of, lo, hi = of.tolist(), lo.tolist(), hi.tolist()
             key = mixed(keys + np.array([cols["key"][i] for i in of], np.int64).view(np.uint64)).view(np.int64)
             arrays = [pa.array(key), *(pa.array([cols[c][i] for i in of], pa.int64()) for c in ("m", "d", "n"))]
