@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mediaweave.sources.shared import shared_dir
+
 
 def _hook(edges: DataFrame, both: bool) -> DataFrame:
     """Link each node's neighbours to the smallest of them and itself. edges: high > low.
@@ -25,7 +27,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     """One row for each node that has an edge to another: node, component (the smallest node it reaches).
 
     Only edges are kept between rounds; each round ends in a checkpoint, so the plan stays short and a lost
-    executor costs one round. The spark.checkpoint.dir of the session must be set."""
+    executor costs one round."""
+    shared_dir(edges.sparkSession)
     state = edges.select(F.greatest(src, dst).alias("high"), F.least(src, dst).alias("low")).filter("high > low").distinct().checkpoint()
     was = None
     while True:
