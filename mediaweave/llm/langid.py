@@ -126,7 +126,7 @@ class Scorer:
         if len(self.known) > CACHED_WORDS:
             self.clear()
         new = [w for w in dict.fromkeys(w for ws in split for w in ws) if w not in self.known]
-        if new:
+        if new and self.langs:
             logs = []
             for at in range(0, len(new), 20_000):
                 lattice = Lattice(new[at : at + 20_000], self.pieces)

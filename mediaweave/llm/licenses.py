@@ -6,7 +6,7 @@ is aligned with the template by edit distance over words in a band around the di
 words that are matched in order is its coverage; the span is from its first matched word to the last.
 
 Defined results: a null text, like one without words, has no matches; of overlapping matches the one with more
-matched words stays, ties by the template's order; repeated rows get equal results; an empty table gives an empty
+matched words stays, then the shorter one, ties by the template's order; repeated rows get equal results; an empty table gives an empty
 result. Other columns pass through find_licenses(), but one that has the name of a result is replaced.
 """
 
@@ -91,20 +91,21 @@ def index() -> tuple[list[tuple[str, list[str]]], dict[int, list[tuple[int, int]
 
 
 def align(text: list[str], template: list[str], shift: int, band: int = BAND) -> tuple[int, int, int]:
-    """Longest common subsequence within a band of the diagonal: matched words, first and last matched word of the
-    text. shift: the place in the text of the template's first word on the diagonal."""
+    """Longest common subsequence within a band of the diagonal, of equals the one that starts nearest to it: matched
+    words, first and last matched word of the text. shift: the place in the text of the template's first word."""
+    better = lambda x: (x[0], -abs(x[1] - shift))
     best: dict[int, tuple[int, int, int]] = {}
     for i, word in enumerate(template):
         now: dict[int, tuple[int, int, int]] = {}
         left = (0, -1, -1)
         for j in range(max(0, i + shift - band), min(len(text), i + shift + band + 1)):
             above, before = best.get(j, (0, -1, -1)), best.get(j - 1, (0, -1, -1))
-            most = max(left, above, key=lambda x: (x[0], x[1] - x[2]))
+            most = max(left, above, key=better)
             if text[j] == word:
-                most = max(most, (before[0] + 1, before[1] if before[0] else j, j), key=lambda x: (x[0], x[1] - x[2]))
+                most = max(most, (before[0] + 1, before[1] if before[0] else j, j), key=better)
             now[j] = left = most
         best = now
-    return max(best.values(), default=(0, -1, -1), key=lambda x: (x[0], x[1] - x[2]))
+    return max(best.values(), default=(0, -1, -1), key=better)
 
 
 def matches(text: str, least: float = COVERAGE) -> list[tuple]:
@@ -116,15 +117,14 @@ def matches(text: str, least: float = COVERAGE) -> list[tuple]:
     for p in map(int, starts):
         for t, q in grams.get(xxhash.xxh3_64_intdigest(" ".join(words[p : p + K]).encode()), ()):
             name, template = templates[t]
-            at = p - q
-            if any((t, at + x) in seen for x in range(-BAND, BAND + 1)):
+            if (t, p - q) in seen:
                 continue
-            seen.add((t, at))
-            n, first, last = align(words, template, at)
+            seen.add((t, p - q))
+            n, first, last = align(words, template, p - q)
             if n >= least * len(template):
-                found.append((-n, t, first, last, name, n / len(template)))
+                found.append((-n, last - first, t, first, last, name, n / len(template)))
     out = []
-    for _, _, first, last, name, coverage in sorted(found):
+    for _, _, _, first, last, name, coverage in sorted(found):
         if all(last < x[2] or first > x[3] for x in out):
             out.append((name, coverage, first, last, spans[first][0], spans[last][1]))
     return sorted(out, key=lambda x: x[2])

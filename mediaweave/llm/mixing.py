@@ -79,16 +79,16 @@ def sample_cuts(hashed: DataFrame, sources: DataFrame, many: bool) -> DataFrame:
     return sources.join(cuts, F.col("_of").eqNullSafe(F.col("_key")), "left").drop("_key", "_rest").fillna(-1, ["_cut"])
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, max_epochs: int = 2, seed: str = "mix") -> DataFrame:
-    """docs: doc_id, text, source. Adds size, source_size, target, repeats and taken (repeats * size)."""
-    keep = [c for c in docs.columns if c not in ("size", "source_size", "target", "repeats", "taken")]
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, max_epochs: int = 2, seed: str = "mix", carry: bool = True) -> DataFrame:
+    """docs: doc_id, text, source. Adds size, source_size, target, repeats and taken (repeats * size) to the columns of
+    docs, or without carry to doc_id."""
+    keep = [c for c in docs.columns if c not in ("size", "source_size", "target", "repeats", "taken")] if carry else ["doc_id"]
     hashed = docs.select(*keep, F.col("source").alias("_source"), word_count(F.col("text")).alias("_size"), doc_hash(F.col("doc_id"), seed).alias("_u"))
-    narrow = hashed.select("_source", "_size", "_u")
-    if "text" not in keep or len(keep) == 3 and set(keep) == {"doc_id", "text", "source"}:
-        hashed = publish(hashed.drop("text", "source"))  # the text isn't asked for any more: count words once
-        keep, narrow = ["doc_id"], hashed.select("_source", "_size", "_u")
-    else:
-        narrow = publish(narrow)
+    if carry:
+        narrow = publish(hashed.select("_source", "_size", "_u"))
+    else:  # the words are counted once
+        hashed = publish(hashed)
+        narrow = hashed.select("_source", "_size", "_u")
     targets = source_targets(narrow.groupBy(F.col("_source").alias("source")).agg(F.sum("_size").alias("source_size")), weights, share, max_epochs)
     size, target = F.col("source_size"), F.col("target")
     whole = F.when(size == 0, 0).otherwise(F.floor(target / F.greatest(size, F.lit(1)))).cast("long")
@@ -101,7 +101,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: fl
 
 def op1_mix_sources(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
+    return mix_sources(docs, carry=False).select("doc_id", "size", "source_size", "target", "taken")
 
 
 OP1_SQL = r"""
