@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediaweave.functions.constants import SORTABLE
+from mediaweave.operators.ranking import global_rank
 
 
 def photo_filter(level: int | None = None, category: str | None = None, decision: str | None = None, cluster_id: int | None = None) -> Column:
@@ -37,19 +38,11 @@ def photo_page(photos: DataFrame, limit: int = 100, offset: int = 0, sort_by: st
 
 def table_position(photos: DataFrame, targets: DataFrame, sort_by: str = "exif_date", sort_dir: str = "ASC", page_size: int = 100, category: str | None = None) -> DataFrame:
     """targets: id. Where photos stand in the sorted, filtered list: id, row_index, page, found; (0, 0, false) if they
-    don't. Counting goes by value: rows of each sort value are counted, and the counts of smaller values are summed over
-    the distinct values only; the rest is the place among equals."""
-    from pyspark.sql import Window
-
+    don't. Ties go by id."""
     column, down = sort_key(sort_by, sort_dir)
     kept = photos.filter(photo_filter(category=category)).select("id", F.col(column).alias("v"))
-    order = F.col("v").desc_nulls_last() if down else F.col("v").asc_nulls_first()
-    counts = kept.groupBy("v").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)))
-    own = kept.join(targets.select("id"), "id", "left_semi").withColumnRenamed("id", "target")
-    same = own.join(kept, own["v"].eqNullSafe(kept["v"])).filter("id < target").groupBy("target").agg(F.count("*").alias("among"))
-    at = own.join(counts.withColumnRenamed("v", "w"), F.col("v").eqNullSafe(F.col("w"))).select("target", F.coalesce("before", F.lit(0)).alias("before"))
-    index = at.join(same, "target", "left").select(F.col("target").alias("id"), (F.col("before") + F.coalesce("among", F.lit(0))).alias("i"))
-    out = targets.select("id").join(index, "id", "left")
+    ranked = global_rank(kept, F.col("v").desc_nulls_last() if down else F.col("v").asc_nulls_first(), F.col("id").asc(), name="i").select("id", "i")
+    out = targets.select("id").join(ranked, "id", "left")
     return out.select("id", F.coalesce("i", F.lit(0)).alias("row_index"), F.coalesce(F.expr(f"i DIV {page_size}"), F.lit(0)).alias("page"), F.col("i").isNotNull().alias("found"))
 
 

@@ -11,15 +11,16 @@ from mediaweave.functions import scalars as S
 from mediaweave.functions.constants import GPS_RADIUS_M, MERGE_SIMILARITY, TIME_WINDOW_S
 from mediaweave.operators.components import connected_components
 from mediaweave.operators.pairs import incremental_match, similarity_edges, time_band_pairs
+from mediaweave.operators.ranking import rank_in_group
 from mediaweave.sources.shared import publish
 
 
 def exact_dup_groups(photos: DataFrame) -> DataFrame:
     """Rows whose content_hash occurs more than once: content_hash, id, group_size, place in the group by id.
-    Counts combine map-side; only members of groups are windowed."""
+    Counts combine map-side; places come from a sort by ranges, so that a group may be as large as it likes."""
     groups = photos.groupBy("content_hash").agg(F.count("*").alias("group_size")).filter("group_size > 1")
     members = photos.select("content_hash", "id").join(groups, "content_hash")
-    return members.withColumn("place", F.row_number().over(Window.partitionBy("content_hash").orderBy("id")))
+    return rank_in_group(members, "content_hash", F.col("id").asc())
 
 
 def dup_clusters_incremental(photos: DataFrame, new_ids: DataFrame) -> DataFrame:
