@@ -10,6 +10,7 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_published: list[str] = []
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -39,9 +40,20 @@ def publish(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.unset(CLEAN_UP) if was is None else spark.conf.set(CLEAN_UP, was)
+    _published.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_published(spark: SparkSession) -> int:
+    """Deletes all that publish() has written in this session; call it when the results that read it are written."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    n = len(_published)
+    while _published:
+        path = hadoop.Path(_published.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def ship(spark: SparkSession) -> None:
     """Gives Python workers this package, once a session, unless they find it as the driver does (PYTHONPATH or folder)."""
     package = Path(__file__).resolve().parents[1]

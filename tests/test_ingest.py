@@ -65,3 +65,12 @@ def test_batches_that_arrive_in_turn(spark, tmp_path):
 
 def test_all_queries_have_names():
     assert len(catalog.QUERIES) > 90 and set(catalog.ORACLES) <= set(catalog.QUERIES)
+
+
+def test_published_tables_can_go(spark):
+    from mediaweave.sources import shared
+
+    kept = shared.publish(spark.range(5))
+    assert kept.count() == 5 and shared.remove_published(spark) >= 1
+    with pytest.raises(Exception, match="(?i)not.*exist|not.*found"):
+        kept.count()
