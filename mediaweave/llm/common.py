@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from mediaweave.sources.shared import publish, shared_dir
+
+__all__ = ["lower_ascii", "publish", "shared_dir", "small_batches", "table", "with_results"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -18,31 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Only a local master may leave it unset; it then gets a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found is None:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="mediaweave-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def publish(df: DataFrame) -> DataFrame:
-    """Write a table to the shared folder and read it again: lineage is cut, an executor's loss costs nothing,
-    and the planner knows its real size. The shuffle files of the writing query go when it is done."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/mediaweave-{uuid.uuid4().hex}"
-    was = spark.conf.get(CLEAN_UP, None)
-    spark.conf.set(CLEAN_UP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.unset(CLEAN_UP) if was is None else spark.conf.set(CLEAN_UP, was)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Texts are long: bound what one Arrow batch holds, unless the session asks for less already."""
     if int(spark.conf.get(ARROW_ROWS)) > rows:

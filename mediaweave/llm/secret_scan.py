@@ -14,7 +14,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from functools import cache, partial
+import uuid
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,26 +36,32 @@ UUID = re.compile(r"[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}", re.IGNORECASE)
 #: Parts joined by signs, each a number, a word or a word and a number.
 IDENTIFIER = re.compile(r"[-_/=+]*(?:(?:[A-Z]?[a-z]+|[A-Z]+)*\d{0,8}[-_/=+]+)*(?:[A-Z]?[a-z]+|[A-Z]+)*\d{0,8}")
 CHARS_PER_TOKEN = 2.0
+# Fixed value: how the vocabulary's tokenizer splits a text before it merges.
+SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 RESULTS = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 
-@cache
-def encoder(path: str):
-    import tiktoken
+_encoders: dict[str, object] = {}
 
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    pattern = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
+def encoder(name: str, vocabulary):
+    """The encoder of a broadcast vocabulary file, built once a worker."""
+    if name not in _encoders:
+        import tiktoken
 
-def is_random(run: str, chars_per_token: float, vocabulary: str) -> bool:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.value.splitlines())}
+        _encoders.clear()
+        _encoders[name] = tiktoken.Encoding(name, pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+    return _encoders[name]
+
+
+def is_random(run: str, chars_per_token: float, tokens) -> bool:
     bare = run.strip("=-_/+")
     if len(bare) < 16 or not any(c.isdigit() for c in bare) or not any(c.isalpha() for c in bare):
         return False
     if DIGEST.fullmatch(bare) or UUID.fullmatch(bare) or IDENTIFIER.fullmatch(bare):
         return False
-    return len(bare) <= chars_per_token * len(encoder(vocabulary).encode_ordinary(bare))
+    return len(bare) <= chars_per_token * len(tokens.encode_ordinary(bare))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -68,13 +75,14 @@ def listed(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def _scan(batches, names: list[str], out: list[str], chars_per_token: float, vocabulary: str):
+def _scan(batches, names: list[str], out: list[str], chars_per_token: float, name: str, vocabulary):
+    tokens = encoder(name, vocabulary)
     for batch in batches:
         rows = []
         for text in batch.column("text").to_pylist():
             text = text or ""
             base = base_spans(text)
-            random = [(m.start(), 3, m.end()) for m in RUN.finditer(text) if is_random(m[0], chars_per_token, vocabulary)]
+            random = [(m.start(), 3, m.end()) for m in RUN.finditer(text) if is_random(m[0], chars_per_token, tokens)]
             n = [sum(k == kind for _, k, _ in base) for kind in range(3)]
             rows.append((*n, hashlib.sha256(listed(base).encode()).hexdigest(), listed(sorted(base + random))))
         cols = list(zip(*rows, strict=True)) or [[]] * 5
@@ -86,7 +94,9 @@ def scan_secrets(docs: DataFrame, chars_per_token: float = CHARS_PER_TOKEN, voca
     """docs: text. Adds n_assign, n_access, n_hex, base_sha256 (of the patterns' spans) and spans (all)."""
     small_batches(docs.sparkSession)
     names, schema = with_results(docs.schema, RESULTS)
-    return docs.mapInArrow(partial(_scan, names=names, out=schema.names, chars_per_token=chars_per_token, vocabulary=vocabulary), schema)
+    with open(vocabulary, "rb") as file:
+        shared = docs.sparkSession.sparkContext.broadcast(file.read())  # a file of fixed size
+    return docs.mapInArrow(partial(_scan, names=names, out=schema.names, chars_per_token=chars_per_token, name=uuid.uuid4().hex, vocabulary=shared), schema)
 
 
 def op5_secret_scan(spark, sf_dir: str) -> DataFrame:
