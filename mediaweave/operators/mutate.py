@@ -29,27 +29,46 @@ def promote_levels(photos: DataFrame, analysed: DataFrame, embedded: DataFrame,
 
 
 def apply_quality(photos: DataFrame, measured: DataFrame) -> DataFrame:
-    """measured: id, ok, perceptual_hash, quality_blur, quality_exposure. A new hash replaces the old; a row that failed
-    has no quality and still reaches level 1."""
-    new = measured.select("id", F.col("perceptual_hash").alias("new_hash"), F.when(F.col("ok"), F.col("quality_blur")).alias("new_blur"), F.when(F.col("ok"), F.col("quality_exposure")).alias("new_exposure"), F.lit(True).alias("named"))
+    """measured: id, ok, perceptual_hash, quality_blur, quality_exposure, and maybe exif_width and exif_height. A new hash
+    replaces the old; sizes only fill gaps; a row that failed has no quality and still reaches level 1."""
+    new = measured.select("id", *(F.col(c).alias(f"new_{c}") for c in measured.columns if c != "id"), F.lit(True).alias("named"))
     joined = photos.join(new, "id", "left")
     named = F.coalesce("named", F.lit(False))
-    out = {"perceptual_hash": F.coalesce("new_hash", "perceptual_hash"), "quality_blur": F.when(named, F.col("new_blur")).otherwise(F.col("quality_blur")), "quality_exposure": F.when(named, F.col("new_exposure")).otherwise(F.col("quality_exposure")), "processing_level": F.when(named, F.greatest("processing_level", F.lit(1))).otherwise(F.col("processing_level"))}
+    out = {"perceptual_hash": F.coalesce("new_perceptual_hash", "perceptual_hash"), "processing_level": F.when(named, F.greatest("processing_level", F.lit(1))).otherwise(F.col("processing_level"))}
+    for c in ("quality_blur", "quality_exposure"):
+        out[c] = F.when(named, F.when(F.col("new_ok"), F.col(f"new_{c}"))).otherwise(F.col(c))
+    for c in ("exif_width", "exif_height"):
+        if c in photos.columns and c in measured.columns:
+            out[c] = F.coalesce(c, f"new_{c}")
     return joined.select(*(out.get(c, F.col(c)).alias(c) for c in photos.columns))
 
 
-def remove_source(photos: DataFrame, source: Column) -> DataFrame:
-    """Photos of the sources that go, detached."""
+def remove_source(photos: DataFrame, source: Column, delete_photos: bool = False) -> DataFrame:
+    """Photos after some sources went: theirs are detached, or gone with them."""
+    if delete_photos:
+        return photos.filter(~F.coalesce(source, F.lit(False)))
     return photos.withColumn("source_id", F.when(source, F.lit(None)).otherwise(F.col("source_id")))
 
 
-def cascade_delete(gone: DataFrame, photos: DataFrame, vectors: DataFrame, faces: DataFrame, clusters: DataFrame) -> dict[str, DataFrame]:
-    """gone: id. The tables without these photos and what hangs from them; clusters forget a best photo that went."""
+def cascade_delete(gone: DataFrame, photos: DataFrame, vectors: DataFrame, faces: DataFrame, clusters: DataFrame, **more: DataFrame) -> dict[str, DataFrame]:
+    """gone: id. The tables without these photos and what hangs from them; clusters forget a best photo that went, and go
+    if they have no photos left. more: corrections and face_vectors lose their rows, operations forget the photo, persons
+    are counted anew."""
     by_photo = gone.select(F.col("id").alias("photo_id"))
     lost = clusters.join(gone.select(F.col("id").alias("best_photo_id"), F.lit(True).alias("lost")), "best_photo_id", "left")
     forgot = lost.withColumn("best_photo_id", F.when(F.col("lost").isNull(), F.col("best_photo_id"))).select(*clusters.columns)
-    left = photos.join(gone, "id", "left_anti")
-    return {"photos": left, "vectors": vectors.join(by_photo, "photo_id", "left_anti"), "faces": faces.join(by_photo, "photo_id", "left_anti"), "clusters": drop_orphan_clusters(forgot, left)}
+    left, left_faces = photos.join(gone, "id", "left_anti"), faces.join(by_photo, "photo_id", "left_anti")
+    out = {"photos": left, "vectors": vectors.join(by_photo, "photo_id", "left_anti"), "faces": left_faces, "clusters": drop_orphan_clusters(forgot, left)}
+    if "corrections" in more:
+        out["corrections"] = more["corrections"].join(by_photo, "photo_id", "left_anti")
+    if "face_vectors" in more:
+        out["face_vectors"] = more["face_vectors"].join(left_faces.select(F.col("id").alias("face_id")), "face_id", "left_semi")
+    if "operations" in more:
+        marked = more["operations"].join(by_photo.withColumn("lost", F.lit(True)), "photo_id", "left")
+        out["operations"] = marked.withColumn("photo_id", F.when(F.col("lost").isNull(), F.col("photo_id"))).select(*more["operations"].columns)
+    if "persons" in more:
+        out["persons"] = refresh_persons(more["persons"], left_faces)
+    return out
 
 
 def drop_orphan_clusters(clusters: DataFrame, photos: DataFrame) -> DataFrame:

@@ -45,3 +45,8 @@ def stage_rates(runs: DataFrame) -> DataFrame:
 def source_counts(sources: DataFrame, photos: DataFrame) -> DataFrame:
     n = photos.groupBy(F.col("source_id").alias("id")).agg(F.count("*").alias("n"))
     return sources.join(n, "id", "left").withColumn("photo_count", F.coalesce("n", F.lit(0))).drop("n")
+
+
+def append_runs(runs: DataFrame, path: str) -> None:
+    """Adds timings of stages (or operations) to the log at path."""
+    runs.write.mode("append").parquet(path)
