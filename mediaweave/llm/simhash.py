@@ -14,7 +14,7 @@ an empty table gives an empty result. Other columns aren't read.
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,18 +32,27 @@ FREE = 14
 TILE = 256
 
 
-def fingerprint(text: bytes, words: int, seed: int) -> int:
+def shingle_hashes(text: bytes, words: int, seed: int) -> np.ndarray:
+    """XXH64 of each word shingle in turn; a text of fewer words is one shingle, one without words has none."""
     parts = text.lower().split()  # of bytes: both know ASCII only
     if not parts:
-        return 0
+        return np.zeros(0, np.uint64)
     shingles = [b" ".join(parts)] if len(parts) < words else map(b" ".join, zip(*(parts[i:] for i in range(words)), strict=False))
-    hashes = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=seed), shingles), np.uint64)
+    return np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=seed), shingles), np.uint64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Each bit as most of the hashes have it, as a signed number; 0 without any."""
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 4096):
         ones += np.unpackbits(hashes[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
 
+def fingerprint(text: bytes, words: int, seed: int) -> int:
+    return majority(shingle_hashes(text, words, seed))
+
+
 def _fingerprints(batches, words: int, seed: int):
     for batch in batches:
         texts = batch.column("text").cast(pa.binary()).to_pylist()
@@ -195,56 +204,80 @@ def near_components(docs: DataFrame, words: int = 3, seed: int = 42, crowd: int
     return found.join(ids, "fp").select("doc_id", "fp", "component_id", (F.col("_row") == F.col("_first")).alias("stays"))
 
 
-#: For near_duplicates(): the smallest shingle hashes that a document is dealt by, and the SimHash filter's radius.
+#: For near_distinct(): the smallest shingle hashes that a document is dealt by, and the SimHash filter's radius.
 #: Two documents with a similarity of 0.8 share none of eight, or differ in more bits, once in 10 ** 5 pairs.
 MINIMA, WIDE = 8, 24
 
 
-def shingle_set(text: bytes, words: int, seed: int) -> np.ndarray:
-    parts = text.lower().split()
-    shingles = [b" ".join(parts)] if len(parts) < words else map(b" ".join, zip(*(parts[i:] for i in range(words)), strict=False))
-    return np.unique(np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=seed), shingles), np.uint64)) if parts else np.zeros(0, np.uint64)
+def _sketches(batches, words: int, seed: int):
+    for batch in batches:
+        prints, minima = [], []
+        for text in batch.column("text").cast(pa.binary()).to_pylist():
+            hashes = shingle_hashes(text or b"", words, seed)
+            prints.append(majority(hashes))
+            minima.append(np.unique(hashes)[:MINIMA].view(np.int64).tolist())
+        yield pa.RecordBatch.from_arrays([batch.column("_k"), batch.column("_h"), pa.array(prints, pa.int64()), pa.array(minima, pa.list_(pa.int64()))], names=["_k", "_h", "fp", "minima"])
 
 
-def _sketches(batches, words: int, seed: int):
+def _groups(batches, names: list[str]):
+    """Rows of each key in turn, of batches sorted by it: lists of tuples, the key first."""
+    held: list = []
     for batch in batches:
-        out: list[tuple] = []
-        for row, text in zip(batch.column("_row").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
-            found = shingle_set(text or b"", words, seed)
-            if len(found):
-                out.append((row, fingerprint(text, words, seed), found[:MINIMA].view(np.int64).tolist(), np.sort(found.astype(np.uint32)).tobytes()))
+        for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+            if held and row[0] != held[0][0]:
+                yield held
+                held = []
+            held.append(row)
+    if held:
+        yield held
+
+
+def _with_partner(batches):
+    """Of each bucket the documents whose fingerprint is near that of another."""
+    for bucket in _groups(batches, ["key", "_row", "fp"]):
+        prints = np.array([x[2] for x in bucket], np.int64).view(np.uint64)
+        planes, near = planes_of(prints), []
+        for at in range(0, len(prints), TILE):
+            bits = near_bits(prints[at : at + TILE], planes, WIDE)
+            near += [k + at for k, row in enumerate(np.bitwise_count(bits & _valid(len(prints))).sum(1)) if row > 1]
+        if near:
+            yield pa.RecordBatch.from_arrays([pa.array([bucket[k][0] for k in near], pa.int64()), pa.array([bucket[k][1] for k in near], pa.int64())], names=["key", "_row"])
+
+
+def _valid(n: int) -> np.ndarray:
+    return np.packbits(np.arange(-(-n // 64) * 64) < n, bitorder="little").view("<u8")
+
+
+def _shingle_sets(batches, words: int, seed: int):
+    """A row for each bucket of a document, with its shingles' hashes (32 bits of each) in order."""
+    for batch in batches:
+        out = []
+        for row, text, keys in zip(batch.column("_row").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("keys").to_pylist(), strict=True):
+            hashes = shingle_hashes(text or b"", words, seed)
+            shingles, print_ = np.unique(hashes).astype(np.uint32), majority(hashes)
+            shingles.sort()
+            out += [(key, row, print_, shingles.tobytes()) for key in keys]
         cols = list(zip(*out, strict=True)) or [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.list_(pa.int64())), pa.array(cols[3], pa.binary())], names=["_row", "fp", "minima", "shingles"])
+        kinds = [pa.int64()] * 3 + [pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["key", "_row", "fp", "shingles"])
 
 
 def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     if min(len(a), len(b)) < least * max(len(a), len(b)):
         return False
-    both = len(np.intersect1d(a, b, assume_unique=False))
+    at = np.searchsorted(a, b)
+    both = int((a[np.minimum(at, len(a) - 1)] == b).sum())
     return both >= least * (len(a) + len(b) - both)
 
 
 def _similar_links(batches, least: float):
-    """A bucket's documents, breadth first: each is compared once, with those not yet reached. Returns stars."""
-    held: list = []
-    for batch in _with_end(batches):
-        rows = list(zip(*(batch.column(c).to_pylist() for c in ("key", "_row", "fp", "shingles")), strict=True)) if batch else [(None, 0, 0, b"")]
-        out = []
-        for row in rows:
-            if held and row[0] != held[0][0]:
-                out += _stars(held, least)
-                held = []
-            held.append(row)
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["src", "dst"])
-
-
-def _with_end(batches):
-    yield from batches
-    yield None
+    for bucket in _groups(batches, ["key", "_row", "fp", "shingles"]):
+        if stars := _stars(bucket, least):
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in stars], pa.int64()), pa.array([x[1] for x in stars], pa.int64())], names=["src", "dst"])
 
 
 def _stars(bucket: list[tuple], least: float) -> list[tuple[int, int]]:
+    """A bucket's documents, breadth first: each is compared once, with those not yet reached. Returns stars."""
     rows, prints = [x[1] for x in bucket], np.array([x[2] for x in bucket], np.int64).view(np.uint64)
     sets = [np.frombuffer(x[3], np.uint32) for x in bucket]
     out, apart = [], np.arange(len(bucket))
@@ -260,8 +293,8 @@ def _stars(bucket: list[tuple], least: float) -> list[tuple[int, int]]:
     return out
 
 
-def similar_links(sketches: DataFrame, least: float, crowd: int) -> DataFrame:
-    """sketches: _row, fp, minima, shingles. Links whose closure joins the documents of that Jaccard similarity.
+def shared_keys(sketches: DataFrame, crowd: int) -> DataFrame:
+    """sketches: _row, minima. Rows and the keys of the buckets where they may meet similar ones: _row, key.
 
     Documents are dealt by each of their smallest shingle hashes; keys that only one has go. A key with over crowd
     documents, as of a common line, is dealt again by their other hashes. What is crowded still is a group of near
@@ -281,26 +314,29 @@ def similar_links(sketches: DataFrame, least: float, crowd: int) -> DataFrame:
         blocks, own = F.ceil(F.col("n") / crowd).cast("long"), F.pmod(F.xxhash64("_row"), F.ceil(F.col("n") / crowd).cast("long"))
         paired = dealt.select("_row", "key", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
         ready.append(paired.select("_row", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key")))
-    buckets = ready[0]
-    for more in ready[1:]:
-        buckets = buckets.unionAll(more)
-    filled = buckets.join(sketches.select("_row", "fp", "shingles"), "_row").repartition("key").sortWithinPartitions("key", "_row")
-    return publish(filled.select("key", "_row", "fp", "shingles").mapInArrow(partial(_similar_links, least=least), "src long, dst long"))
+    return reduce(DataFrame.unionAll, ready)
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, seed: int = 42, crowd: int = CROWD) -> DataFrame:
-    """docs: doc_id, text. All columns and stays: of each group that links of that Jaccard similarity of word shingles
-    make, the row with the smallest doc_id. SimHash with the bit-sliced comparison filters the pairs of a bucket, the
-    shingles themselves decide. Documents without words stay."""
+def near_distinct(docs: DataFrame, words: int = 5, similarity: float = 0.8, seed: int = 42, crowd: int = CROWD) -> DataFrame:
+    """docs: doc_id, text. Of each group that links of that Jaccard similarity of word shingles make, the row with the
+    smallest doc_id; all rows that link to nothing. SimHash with the bit-sliced comparison filters the pairs of a bucket,
+    the shingles themselves decide. Documents without words stay; rows that repeat doc_id and text stay or go together."""
     shared_dir(docs.sparkSession)
     small_batches(docs.sparkSession)
-    docs = publish(docs.drop("stays", "_row").withColumn("_row", F.monotonically_increasing_id()))
-    sketches = publish(docs.select("_row", "text").mapInArrow(partial(_sketches, words=words, seed=seed), "_row long, fp long, minima array<long>, shingles binary"))
-    parts = publish(connected_components(similar_links(sketches, similarity, crowd)))
-    ids = docs.select("_row", "doc_id").join(parts.withColumnRenamed("node", "_row"), "_row")
-    first = ids.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("least"))
-    gone = publish(ids.join(first, "component").filter(F.col("_row") != F.col("least._row")).select("_row", F.lit(False).alias("stays")))
-    return docs.join(gone, "_row", "left").withColumn("stays", F.coalesce("stays", F.lit(True))).drop("_row")
+    docs = docs.withColumns({"_k": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), "_h": F.xxhash64("text")})
+    found = docs.select("_k", "_h", "text").mapInArrow(partial(_sketches, words=words, seed=seed), "_k long, _h long, fp long, minima array<long>")
+    sketches = publish(found.withColumn("_row", F.monotonically_increasing_id()))
+    buckets = shared_keys(sketches, crowd).join(sketches.select("_row", "fp"), "_row").repartition("key").sortWithinPartitions("key", "_row")
+    wanted = publish(buckets.select("key", "_row", "fp").mapInArrow(_with_partner, "key long, _row long"))
+    by_doc = wanted.groupBy("_row").agg(F.collect_set("key").alias("keys")).join(sketches.select("_row", "_k", "_h"), "_row")
+    sets = docs.select("_k", "_h", "text").join(publish(by_doc).hint("merge"), ["_k", "_h"]).select("_row", "text", "keys")
+    sets = sets.mapInArrow(partial(_shingle_sets, words=words, seed=seed), "key long, _row long, fp long, shingles binary").repartition("key").sortWithinPartitions("key", "_row")
+    links = publish(sets.mapInArrow(partial(_similar_links, least=similarity), "src long, dst long"))
+    parts = publish(connected_components(links))
+    members = sketches.select("_row", "_k", "_h").join(parts.withColumnRenamed("node", "_row"), "_row")
+    least = members.groupBy("component").agg(F.min(F.struct("_k", "_h")).alias("least"))
+    gone = publish(members.join(least, "component").filter(F.struct("_k", "_h") != F.col("least")).select("_k", "_h").distinct())
+    return docs.join(gone.hint("merge"), ["_k", "_h"], "left_anti").drop("_k", "_h")
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
