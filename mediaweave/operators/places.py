@@ -9,7 +9,7 @@ from mediaweave.functions import scalars as S
 from mediaweave.operators.pairs import near_cells, own_cell
 from mediaweave.sources.shared import publish
 
-FIRST_CELL, WIDER, WHOLE = 0.02, 8, 45.0
+FIRST_CELL, WIDER, WHOLE = 0.02, 4, 45.0
 METRES_PER_DEGREE = 111_000
 
 
@@ -18,8 +18,8 @@ def nearest_place(points: DataFrame, places: DataFrame) -> DataFrame:
     id, place_id, metres. Points without both coordinates are left out.
 
     Distinct spots are looked up once. A round joins them with the places of the cells around; what is found within a
-    cell's height is the nearest, and the rest goes on with cells eight times as high. When cells get as large as the
-    globe, every place is near: the few spots far from all places meet all of them in one last round."""
+    cell's height is the nearest, and the rest goes on with cells four times as high. Only spots that are over 2,000 km
+    from every place meet all of them, in a last round that Spark cuts into tasks."""
     located = points.filter("lat IS NOT NULL AND lon IS NOT NULL").select("id", "lat", "lon")
     spots = publish(located.select("lat", "lon").distinct())
     places = publish(places.select("place_id", F.col("lat").alias("place_lat"), F.col("lon").alias("place_lon")))
@@ -29,7 +29,7 @@ def nearest_place(points: DataFrame, places: DataFrame) -> DataFrame:
     while True:
         last = cell > WHOLE
         if last:
-            pairs = spots.withColumn("all", F.lit(0)).join(places.withColumn("all", F.lit(0)), "all")
+            pairs = spots.crossJoin(places)
         else:
             pairs = near_cells(spots, "lat", "lon", cell).join(places.select("*", *own_cell(F.col("place_lat"), F.col("place_lon"), cell)), ["cell_row", "cell_column"])
         found = pairs.groupBy("lat", "lon").agg(best).select("lat", "lon", "best.*")
