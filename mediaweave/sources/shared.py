@@ -32,25 +32,34 @@ def scratch_path(spark: SparkSession) -> str:
 def publish(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it again: lineage is cut, an executor's loss costs nothing,
     and the planner knows its real size. The shuffle files of the writing query go when it is done."""
+    return publish_by(df)[0]
+
+
+def publish_by(df: DataFrame, *parts: str) -> tuple[DataFrame, str]:
+    """The same with a folder for each value of the parts; also the table's path, so that remove() can take a part."""
     spark = df.sparkSession
     path = scratch_path(spark)
     was = spark.conf.get(CLEAN_UP, None)
     spark.conf.set(CLEAN_UP, "true")
     try:
-        df.write.parquet(path)
+        df.write.partitionBy(*parts).parquet(path)
     finally:
         spark.conf.unset(CLEAN_UP) if was is None else spark.conf.set(CLEAN_UP, was)
     _published.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a file or folder, wherever it is."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def remove_published(spark: SparkSession) -> int:
     """Deletes all that publish() has written in this session; call it when the results that read it are written."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     n = len(_published)
     while _published:
-        path = hadoop.Path(_published.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        remove(spark, _published.pop())
     return n
 
 
