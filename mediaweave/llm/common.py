@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from mediaweave.sources.shared import publish, shared_dir
+from mediaweave.sources.shared import publish, publish_by, remove, shared_dir
 
-__all__ = ["lower_ascii", "publish", "shared_dir", "small_batches", "table", "with_results"]
+__all__ = ["lower_ascii", "publish", "publish_by", "remove", "shared_dir", "small_batches", "table", "with_results"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"

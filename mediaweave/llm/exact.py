@@ -16,7 +16,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediaweave.llm.common import lower_ascii, publish, table
+from mediaweave.llm.common import lower_ascii, publish, publish_by, remove, table
 
 #: Bytes of the first digit, and how many times wider each next one is.
 FIRST, WIDER = 32, 8
@@ -29,29 +29,39 @@ def exact_groups(docs: DataFrame, carry: bool = False) -> DataFrame:
     others = [c for c in docs.columns if carry and c not in {*results, "doc_id", "text"}]
     text = lower_ascii(F.col("text")).cast("binary")
     head = lower_ascii(F.substring("text", 1, FIRST)).cast("binary")  # so that counting the first digit lowers no more
-    order = F.coalesce(F.col("doc_id"), F.lit(-(2**63))).cast("decimal(19,0)") * F.lit(str(10**19)).cast("decimal(20,0)") + F.col("_row").cast("decimal(19,0)")
     found = docs.select("doc_id", *others, "text", F.sha2(text, 256).alias("text_sha256"), F.substring(head, 1, FIRST).alias("_digit"), F.lit(0).cast("long").alias("_group"))
-    found = found.withColumn("_row", F.monotonically_increasing_id()).withColumn("_order", order.cast("decimal(38,0)")).drop("_row")
-    done, at, width = [], 0, FIRST
+    done, spent, at, width = [], None, 0, FIRST
     while True:
-        groups = found.groupBy("_group", "_digit").agg(F.count("*").alias("_n"), F.max("doc_id").alias("_keep"), F.max("_order").alias("_top")).filter("_n > 1")
+        groups = found.groupBy("_group", "_digit").agg(F.count("*").alias("_n"), F.max("doc_id").alias("_keep")).filter("_n > 1")
         groups = publish(groups.withColumn("_next", F.monotonically_increasing_id()))
-        ended = F.col("_n").isNull() | (F.octet_length("_digit") < width)
-        kept = F.coalesce(F.col("_order") == F.col("_top"), F.lit(True))
+        single = F.col("_n").isNull()
+        ended = single | (F.octet_length("_digit") < width)
+        kept = single | F.col("doc_id").eqNullSafe(F.col("_keep"))
         joined = found.join(groups.hint("merge"), ["_group", "_digit"], "left").select(
-            "doc_id", *others, "text_sha256", "_order", F.col("_next").alias("_group"), ended.alias("_ended"),
+            "doc_id", *others, "text_sha256", F.col("_next").alias("_group"), ended.alias("_ended"), F.monotonically_increasing_id().alias("_row"),
             F.when(ended, F.coalesce("_keep", "doc_id")).alias("keep_id"), F.coalesce("_n", F.lit(1)).cast("long").alias("group_size"), kept.alias("kept"),
             F.when(~ended | (kept & F.lit(carry)), F.col("text")).alias("text"),
         )
-        joined = publish(joined)
-        done.append(joined.filter("_ended").select("doc_id", *others, *(["text"] * carry), *results))
-        state = joined.filter("NOT _ended").select("doc_id", *others, "text", "text_sha256", "_order", "_group")
+        joined, path = publish_by(joined, "_ended")
+        if spent:  # the texts that the round before left open have been read
+            remove(docs.sparkSession, spent)
+        spent = f"{path}/_ended=false"
+        done.append(one_kept(joined.filter("_ended")).select("doc_id", *others, *(["text"] * carry), *results))
+        state = joined.filter("NOT _ended").select("doc_id", *others, "text", "text_sha256", "_group")
         if state.isEmpty():
             return reduce(DataFrame.unionAll, done)
         at, width = at + width, width * WIDER
         found = state.withColumn("_digit", F.substring(text, at + 1, width))
 
 
+def one_kept(ended: DataFrame) -> DataFrame:
+    """Where rows repeat a group's largest doc_id, all but one of them are not kept."""
+    ties = publish(ended.filter("kept AND group_size > 1").groupBy("_group").agg(F.max("_row").alias("_top"), F.count("*").alias("_tops")).filter("_tops > 1"))
+    if ties.isEmpty():
+        return ended
+    return ended.join(ties, "_group", "left").withColumn("kept", F.col("kept") & F.coalesce(F.col("_row") == F.col("_top"), F.lit(True)))
+
+
 def op2_exact_dedup(spark, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
