@@ -276,20 +276,47 @@ def _similar_links(batches, least: float):
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in stars], pa.int64()), pa.array([x[1] for x in stars], pa.int64())], names=["src", "dst"])
 
 
+#: A bucket with more shingles than that compares its documents one by one instead of by postings.
+POSTINGS = 4_000_000
+
+
+class _Overlaps:
+    """How many shingles a document of a bucket shares with each other one, by postings."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.n, self.sizes = len(sets), np.fromiter(map(len, sets), np.int64, len(sets))
+        _, self.number = np.unique(np.concatenate(sets), return_inverse=True)
+        self.start = np.r_[0, np.cumsum(self.sizes)]
+        owner = np.repeat(np.arange(self.n), self.sizes)
+        order = np.argsort(self.number, kind="stable")
+        self.postings, self.at = owner[order], np.searchsorted(self.number[order], np.arange(self.number.max(initial=-1) + 2))
+
+    def similar(self, one: int, others: np.ndarray, least: float) -> np.ndarray:
+        mine = self.number[self.start[one] : self.start[one + 1]]
+        both = np.bincount(np.concatenate([self.postings[self.at[g] : self.at[g + 1]] for g in mine]), minlength=self.n)[others]
+        return others[both >= least * (self.sizes[one] + self.sizes[others] - both)]
+
+
 def _stars(bucket: list[tuple], least: float) -> list[tuple[int, int]]:
     """A bucket's documents, breadth first: each is compared once, with those not yet reached. Returns stars."""
     rows, prints = [x[1] for x in bucket], np.array([x[2] for x in bucket], np.int64).view(np.uint64)
     sets = [np.frombuffer(x[3], np.uint32) for x in bucket]
-    out, apart = [], np.arange(len(bucket))
-    while len(apart) > 1:
-        first, reached, apart = apart[0], [apart[0]], apart[1:]
-        while reached and len(apart):
+    overlaps = _Overlaps(sets) if sum(map(len, sets)) <= POSTINGS else None
+    out, planes, apart = [], planes_of(prints), np.ones(len(bucket), bool)
+    for first in range(len(bucket)):
+        if not apart[first]:
+            continue
+        apart[first], reached = False, [first]
+        while reached and apart.any():
             one = reached.pop()
-            near = np.flatnonzero(np.unpackbits(near_bits(prints[[one]], planes_of(prints[apart]), WIDE).view(np.uint8), bitorder="little")[: len(apart)])
-            linked = [k for k in near if similar(sets[one], sets[apart[k]], least)]
-            out += [(rows[apart[k]], rows[first]) for k in linked]
-            reached += [apart[k] for k in linked]
-            apart = np.delete(apart, linked)
+            near = np.unpackbits(near_bits(prints[[one]], planes, WIDE).view(np.uint8), bitorder="little")[: len(bucket)].astype(bool)
+            others = np.flatnonzero(near & apart)
+            if not len(others):
+                continue
+            linked = overlaps.similar(one, others, least) if overlaps else [k for k in others if similar(sets[one], sets[k], least)]
+            out += [(rows[k], rows[first]) for k in linked]
+            reached += list(linked)
+            apart[linked] = False
     return out
 
 

@@ -242,3 +242,11 @@ def test_queries_cover_their_table(spark, name):
     key = "page_id" if name == "op4_html_text" else "doc_id"
     n = spark.read.parquet(f"{SF_DIR}/{'pages' if key == 'page_id' else 'documents'}.parquet").count()
     assert got.count() == n or name == "op8_license_scan" and got.agg(F.count_distinct(key)).first()[0] <= n
+
+
+def test_postings_count_what_pairs_share():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 40, rng.integers(1, 30))).astype(np.uint32) for _ in range(30)]
+    overlaps, others = simhash._Overlaps(sets), np.arange(30)
+    for i in range(30):
+        assert list(overlaps.similar(i, others, 0.5)) == [k for k in others if simhash.similar(sets[i], sets[k], 0.5)]
