@@ -127,6 +127,50 @@ def _split(batches, span: int, level: int):
             yield pa.RecordBatch.from_arrays(arrays, names=["key", "m", "d", "n", "off", "seg"])
 
 
+def words_at(data: np.ndarray) -> np.ndarray:
+    """The eight bytes that start at each byte, as a number; zeros follow the last one."""
+    padded = np.r_[data, np.zeros(8, np.uint8)]
+    return np.ascontiguousarray(np.ndarray(len(data), "<u8", padded.tobytes(), strides=(1,)))
+
+
+#: For how many words in turn suffixes are sorted as numbers; what is equal then is sorted as strings.
+WORDS = 4
+
+
+def sort_directly(data: np.ndarray, ends: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Positions in the order of their suffixes, by at most SPAN bytes within their segments: eight bytes first, the next
+    eight among equals and so on."""
+    words = words_at(data).byteswap()
+    left = ends[at] - at
+    masks = ~np.uint64(0) << np.array([64 - 8 * k if k else 63 for k in range(9)], np.uint64)
+    masks[0] = 0
+    tied, group = np.arange(len(at)), np.zeros(len(at), np.int64)  # places of the order that are still open
+    for k in range(WORDS):
+        if not len(tied):
+            return at
+        here, rest = at[tied], left[tied] - 8 * k
+        keys = words[np.minimum(here + 8 * k, len(data) - 1)] & masks[np.clip(rest, 0, 8)]
+        order = np.lexsort((keys, group)) if k else np.argsort(keys, kind="stable")
+        at[tied], left[tied], keys, group = here[order], left[tied][order], keys[order], group[order]
+        same = (keys[1:] == keys[:-1]) & (group[1:] == group[:-1])
+        number = np.cumsum(np.r_[True, ~same]) if len(same) or len(tied) else group
+        open_ = np.r_[False, same] | np.r_[same, False]
+        tied, group = tied[open_], number[open_]
+    if len(tied):
+        here = at[tied]
+        rows = np.lib.stride_tricks.sliding_window_view(np.r_[data, np.zeros(SPAN, np.uint8)], SPAN)[here]
+        for i in np.flatnonzero(left[tied] < SPAN).tolist():
+            rows[i, left[tied[i]] :] = 0
+        at[tied] = here[np.argsort(np.ascontiguousarray(rows).view(f"S{SPAN}").ravel(), kind="stable")]
+    return at
+
+
+def next_place(marks: np.ndarray) -> np.ndarray:
+    """For each place the first marked one from it on; the last place counts as marked."""
+    at = np.where(marks, np.arange(len(marks)), len(marks) - 1)
+    return np.minimum.accumulate(at[::-1])[::-1]
+
+
 def suffix_order(data: np.ndarray, ends: np.ndarray, needed: np.ndarray) -> np.ndarray:
     """Needed positions of a text of segments (ends: where each one's segment ends) in the order of their suffixes,
     which are compared up to their segment's end, at most SPAN bytes directly."""
@@ -134,59 +178,52 @@ def suffix_order(data: np.ndarray, ends: np.ndarray, needed: np.ndarray) -> np.n
     after = np.r_[data[1:], 0].astype(np.int16)
     after[np.arange(n) + 1 == ends] = -1  # a segment's end is smaller than any byte
     step = np.sign(after - data.astype(np.int16))
-    turns = np.flatnonzero(step)
-    small = step[turns[np.searchsorted(turns, np.arange(n))]] > 0  # smaller than its successor
-    stops = np.flatnonzero(small | (np.arange(n) + 1 == ends))
+    at = np.arange(n)
+    small = step[next_place(step != 0)] > 0  # smaller than its successor
+    stops = next_place(small | (at + 1 == ends))
     needed = needed.copy()
     last = np.flatnonzero(needed & ~np.r_[needed[1:], False])
-    for a, b in zip(last.tolist(), stops[np.searchsorted(stops, last)].tolist(), strict=True):
+    for a, b in zip(last.tolist(), stops[last].tolist(), strict=True):
         needed[a : b + 1] = True  # what the last ones are induced from
-    direct = np.flatnonzero(needed & small)
-    padded = np.r_[data, np.zeros(SPAN, np.uint8)]
-    rows = np.lib.stride_tricks.sliding_window_view(padded, SPAN)[direct]
-    left = ends[direct] - direct
-    for i in np.flatnonzero(left < SPAN).tolist():
-        rows[i, left[i] :] = 0
-    direct = direct[np.argsort(np.ascontiguousarray(rows).view(f"S{SPAN}").ravel(), kind="stable")]
+    direct = sort_directly(data, ends, np.flatnonzero(needed & small))
     by_byte = np.searchsorted(data[direct], np.arange(257))
     induced = needed & ~small
     waiting: list[list[np.ndarray]] = [[] for _ in range(256)]
     order: list[np.ndarray] = []
 
-    def hand_on(found: np.ndarray, above: int) -> None:
-        before = found[found > 0] - 1
-        before = before[induced[before] & (ends[before] == ends[np.minimum(before + 1, n - 1)]) & (data[before] > above)]
-        before = before[np.argsort(data[before], kind="stable")]
-        for part in np.split(before, np.flatnonzero(np.diff(data[before])) + 1) if len(before) else []:
-            waiting[data[part[0]]].append(part)
+    def before(found: np.ndarray) -> np.ndarray:
+        """The induced suffixes that are one byte longer, in the same segment."""
+        found = found[found > 0] - 1
+        return found[induced[found] & (ends[found] == ends[found + 1])]
 
-    for last_byte in [np.flatnonzero(induced & (np.arange(n) + 1 == ends))]:  # induced by the empty suffixes
-        last_byte = last_byte[np.argsort(data[last_byte], kind="stable")]
-        for part in np.split(last_byte, np.flatnonzero(np.diff(data[last_byte])) + 1) if len(last_byte) else []:
+    def wait(found: np.ndarray) -> None:
+        """Hands suffixes on to the buckets of their first bytes, in their order."""
+        found = found[np.argsort(data[found], kind="stable")]
+        for part in np.split(found, np.flatnonzero(np.diff(data[found])) + 1) if len(found) else []:
             waiting[data[part[0]]].append(part)
+
+    wait(np.flatnonzero(induced & (at + 1 == ends)))  # induced by the empty suffixes
     for c in range(256):
         bucket, front = [], np.concatenate(waiting[c]) if waiting[c] else np.zeros(0, np.int64)
         while len(front):
             bucket.append(front)
-            front = front[front > 0] - 1
-            front = front[induced[front] & (data[front] == c) & (ends[front] == ends[np.minimum(front + 1, n - 1)])]
+            front = before(front)
+            front = front[data[front] == c]
         bucket.append(direct[by_byte[c] : by_byte[c + 1]])
         whole = np.concatenate(bucket)
         if len(whole):
             order.append(whole)
-            hand_on(whole, c)
+            longer = before(whole)
+            wait(longer[data[longer] > c])
     return np.concatenate(order) if order else np.zeros(0, np.int64)
 
 
 def common_prefixes(data: np.ndarray, order: np.ndarray, span: int) -> np.ndarray:
     """Whether each position of the order and the next have span bytes in common."""
-    padded = np.r_[data, np.zeros(8, np.uint8)]
-    words = np.lib.stride_tricks.as_strided(padded.view(), (len(data), 8), (1, 1))
+    words = words_at(data)
     same = np.arange(len(order) - 1)
-    for at in range(0, span, 8):
-        width = min(8, span - at)
-        a, b = words[order[same] + at, :width], words[order[same + 1] + at, :width]
-        same = same[(a == b).all(1)]
+    for at in [*range(0, span - 7, 8), span - 8]:
+        same = same[words[order[same] + at] == words[order[same + 1] + at]]
     out = np.zeros(max(len(order) - 1, 0), bool)
     out[same] = True
     return out
