@@ -148,7 +148,8 @@ def incremental_match(new: DataFrame, old: DataFrame, limits: dict[str, int] = H
     """For each new photo the most similar stored one of its group, ties by (exif_date, id): id, match_id, bits_apart,
     cluster_id. The winner counts only if it has a cluster; there is no second choice. old: also cluster_id.
 
-    Candidates come by bucket: place for photos with coordinates, time for dated ones, bands of the hash for the rest.
+    Candidates come by bucket: time and place, place, time, or bands of the hash. Where time doesn't count, stored photos
+    that are equal in all that does are one.
     A new photo whose date can't be read has no time gate; without coordinates it is found by bands of the hash."""
     cell = CELL_DEGREES * metres / GPS_RADIUS_M
     a, b = similarity_nodes(new), similarity_nodes(old.drop("cluster_id")).join(old.select("id", "cluster_id"), "id")
@@ -156,18 +157,28 @@ def incremental_match(new: DataFrame, old: DataFrame, limits: dict[str, int] = H
     b = b.select(*(F.col(c).alias(f"{c}_b") for c in ("id", "grp", "secs", "lat", "lon", "bits", "exif_date", "cluster_id")))
     apart = S.hamming(F.col("bits_a"), F.col("bits_b"))
     near_place = S.haversine(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b")) <= metres
-    near_time = F.col("secs_a").isNull() | (F.abs(F.col("secs_a") - F.col("secs_b")) <= window)
+    near_time = F.abs(F.col("secs_a") - F.col("secs_b")) <= window
     here = own_cell(F.col("lat_b"), F.col("lon_b"), cell)
     cols = ["id_a", "id_b", "exif_date_b", "cluster_id_b", apart.cast("int").alias("apart")]
-    found = []
-    placed = near_cells(a.filter("grp_a IN ('AB', 'GPS')"), "lat_a", "lon_a", cell).join(b.filter("grp_b IN ('AB', 'GPS')").select("*", *here), ["cell_row", "cell_column"])
-    limit = F.when(F.col("grp_a") == "AB", limits["AB"]).otherwise(limits["GPS"])
-    found.append(placed.filter((F.col("grp_a") == F.col("grp_b")) & near_place & (apart <= limit) & ((F.col("grp_a") == "GPS") | near_time)).select(*cols))
+    spot = ["bits_b", "lat_b", "lon_b"]
+
+    def heads(grp: str, *keys: str) -> DataFrame:
+        """Stored photos of a group; of those that are equal in the keys the one that wins ties."""
+        first = F.min(F.struct("exif_date_b", "id_b", "cluster_id_b")).alias("first")
+        return b.filter(F.col("grp_b") == grp).groupBy(*keys).agg(first).select(*keys, "first.*")
+
     bucket_a, bucket_b = near_buckets(time_buckets(F.col("secs_a"), window)).alias("bucket"), time_buckets(F.col("secs_b"), window).alias("bucket")
+    cells = ["cell_row", "cell_column"]
+    timed = near_cells(a.filter("grp_a = 'AB' AND secs_a IS NOT NULL").select("*", bucket_a), "lat_a", "lon_a", cell).join(b.filter("grp_b = 'AB'").select("*", bucket_b, *here), ["bucket", *cells])
+    found = [timed.filter(near_place & near_time & (apart <= limits["AB"])).select(*cols)]
+    for left, grp in ((a.filter("grp_a = 'AB' AND secs_a IS NULL"), "AB"), (a.filter("grp_a = 'GPS'"), "GPS")):
+        placed = near_cells(left, "lat_a", "lon_a", cell).join(heads(grp, *spot).select("*", *here), cells)
+        found.append(placed.filter(near_place & (apart <= limits[grp])).select(*cols))
     dated = a.filter("grp_a = 'DATE' AND secs_a IS NOT NULL").select("*", bucket_a).join(b.filter("grp_b = 'DATE'").select("*", bucket_b), "bucket")
     found.append(dated.filter(near_time & (apart <= limits["DATE"])).select(*cols))
-    for left, right, radius in ((a.filter("grp_a = 'NONE'"), b.filter("grp_b = 'NONE'"), limits["NONE"]), (a.filter("grp_a = 'DATE' AND secs_a IS NULL"), b.filter("grp_b = 'DATE'"), limits["DATE"])):
-        bands = [side.select("*", F.posexplode(hash_bands(F.col(bits), radius)).alias("band", "key")) for side, bits in ((left, "bits_a"), (right, "bits_b"))]
+    for left, grp in ((a.filter("grp_a = 'NONE'"), "NONE"), (a.filter("grp_a = 'DATE' AND secs_a IS NULL"), "DATE")):
+        radius = limits[grp]
+        bands = [side.select("*", F.posexplode(hash_bands(F.col(bits), radius)).alias("band", "key")) for side, bits in ((left, "bits_a"), (heads(grp, "bits_b"), "bits_b"))]
         found.append(bands[0].join(bands[1], ["band", "key"]).filter((apart <= radius) & (first_equal_band(F.col("bits_a"), F.col("bits_b"), radius) == F.col("band"))).select(*cols))
     pairs = reduce(DataFrame.unionByName, found)
     best = pairs.groupBy("id_a").agg(F.min(F.struct("apart", "exif_date_b", "id_b", "cluster_id_b")).alias("best"))
