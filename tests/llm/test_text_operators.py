@@ -4,6 +4,8 @@ import collections
 import hashlib
 import itertools
 import random
+import re
+import time
 
 import numpy as np
 import pytest
@@ -174,6 +176,17 @@ def test_secrets(spark):
     assert got[5].base_sha256 == hashlib.sha256(b"access:1:21").hexdigest() and got[1].base_sha256 == hashlib.sha256(b"").hexdigest()
 
 
+def test_identifiers_match_in_linear_time():
+    old = re.compile(r"[-_/=+]*(?:(?:[A-Z]?[a-z]+|[A-Z]+)*\d{0,8}[-_/=+]+)*(?:[A-Z]?[a-z]+|[A-Z]+)*\d{0,8}")
+    rng = random.Random(1)
+    short = ["".join(rng.choices("aB1-/", weights=[2, 2, 6, 1, 1], k=rng.randint(0, 14))) for _ in range(3000)]
+    assert [bool(old.fullmatch(x)) for x in short] == [bool(secret_scan.IDENTIFIER.fullmatch(x)) for x in short]
+    start = time.process_time()
+    for run in ["how-to-set-up-a-distributed-cluster-3f9a8b7c", "word-" * 20_000 + "3f9a8b7c", "a" * 100_000 + "1" * 9, "-" * 100_000 + "1" * 9]:
+        assert not secret_scan.IDENTIFIER.fullmatch(run)
+    assert time.process_time() - start < 1
+
+
 def test_licenses(spark):
     mit = licenses.TEMPLATES["MIT"][2]
     edited = mit.replace("free of charge", "without any charge at all").replace("substantial", "")
