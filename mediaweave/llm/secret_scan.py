@@ -1,8 +1,9 @@
 """5. Secret scans: patterns of assignments, access keys and hex strings, and a token-efficiency test.
 
 The test takes the runs of key-like characters that patterns can't name. A vocabulary learned on text needs few
-tokens for words and many for random strings, so that a run with few characters a token is random. Digests of known
-lengths, UUIDs, numbers, plain words and identifiers made of words are not taken for secrets by it.
+tokens for words and many for random strings, so that a run with few characters a token is random, and so is one that
+has such a stretch between signs or between words (a key behind a path); the whole run is listed. Digests of known
+lengths, UUIDs, numbers, and identifiers whose letters need few tokens are not taken for secrets by it.
 
 Defined results: a null text is empty and has no spans; repeated rows get equal results; an empty table gives an
 empty result. Other columns pass through scan_secrets(), but one that has the name of a result is replaced.
@@ -35,6 +36,8 @@ DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-
 UUID = re.compile(r"[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}", re.IGNORECASE)
 #: Parts joined by signs, each a number, a word or a word and a number.
 IDENTIFIER = re.compile(r"[-_/=+]*+(?:[A-Za-z]*+\d{0,8}+[-_/=+]++)*+[A-Za-z]*+\d{0,8}+")  # possessive: in linear time
+PART, LETTERS = re.compile(r"[A-Za-z0-9]+"), re.compile(r"[A-Za-z]+")
+LEAST_RUN, LEAST_WORD, LEAST_LETTERS = 16, 3, 8
 CHARS_PER_TOKEN = 2.0
 # Fixed value: how the vocabulary's tokenizer splits a text before it merges.
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -55,13 +58,52 @@ def encoder(name: str, vocabulary):
     return _encoders[name]
 
 
+def is_word(part: str, chars_per_token: float, tokens) -> bool:
+    """Letters that need few tokens, and a number perhaps."""
+    letters = part.rstrip("0123456789")
+    if len(letters) < LEAST_WORD or len(part) - len(letters) > 8 or not (letters.isascii() and letters.isalpha()):
+        return False
+    n = len(tokens.encode_ordinary(letters))
+    return n == 1 or len(letters) >= chars_per_token * n
+
+
+def is_identifier(text: str, chars_per_token: float, tokens) -> bool:
+    """Numbers and words by shape, whose letters together need few tokens; a few letters tell nothing."""
+    if not IDENTIFIER.fullmatch(text):
+        return False
+    words = [x for x in LETTERS.findall(text) if len(x) >= LEAST_WORD]
+    n = sum(map(len, words))
+    return n < LEAST_LETTERS or n >= chars_per_token * sum(len(tokens.encode_ordinary(x)) for x in words)
+
+
+def stretches(bare: str, chars_per_token: float, tokens):
+    """The run, each of its parts between signs, and what stands between parts that are words."""
+    yield bare
+    parts = [m.span() for m in PART.finditer(bare)]
+    if len(parts) == 1:
+        return
+    start = end = None
+    for a, b in [*parts, (len(bare), len(bare))]:
+        if b - a >= LEAST_RUN:
+            yield bare[a:b]
+        if a == b or is_word(bare[a:b], chars_per_token, tokens):
+            if start is not None and end - start >= LEAST_RUN:
+                yield bare[start:end]
+            start = None
+        else:
+            start, end = a if start is None else start, b
+
+
 def is_random(run: str, chars_per_token: float, tokens) -> bool:
     bare = run.strip("=-_/+")
-    if len(bare) < 16 or not any(c.isdigit() for c in bare) or not any(c.isalpha() for c in bare):
-        return False
-    if DIGEST.fullmatch(bare) or UUID.fullmatch(bare) or IDENTIFIER.fullmatch(bare):
+    if len(bare) < LEAST_RUN:
         return False
-    return len(bare) <= chars_per_token * len(tokens.encode_ordinary(bare))
+    for text in stretches(bare, chars_per_token, tokens):
+        if not any(c.isalpha() for c in text) or DIGEST.fullmatch(text) or UUID.fullmatch(text):
+            continue
+        if len(text) <= chars_per_token * len(tokens.encode_ordinary(text)) and not is_identifier(text, chars_per_token, tokens):
+            return True
+    return False
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:

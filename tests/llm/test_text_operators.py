@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import string
 import time
 
 import numpy as np
@@ -187,6 +188,21 @@ def test_identifiers_match_in_linear_time():
     assert time.process_time() - start < 1
 
 
+def test_random_keys_without_digits_and_behind_paths():
+    class File:
+        value = open(secret_scan.VOCABULARY, "rb").read()
+
+    tokens, rng = secret_scan.encoder("test", File), random.Random(6)
+    letters = string.ascii_letters
+    found = lambda before, kinds, n: sum(secret_scan.is_random(before + "".join(rng.choices(kinds, k=n)), 2.0, tokens) for _ in range(300)) / 300
+    for before in ("", "download/files/reports/quarterly/", "user_profile_settings-"):
+        for n in (16, 20, 24, 32):
+            assert found(before, letters, n) > 0.95 and found(before, letters + string.digits, n) > 0.95
+            assert found(before, letters + string.digits + "+/", n) > 0.85
+    for run in ["snake_case_identifier_name_12", "getUserNameFromTableById", "internationalization", "a_b_c_d_e_f_g_h_i", "src/main/java/com/example/util", "images/2024/05/IMG_20240506_070809", "usr/lib/x86_64-linux-gnu"]:
+        assert not secret_scan.is_random(run, 2.0, tokens)
+
+
 def test_licenses(spark):
     mit = licenses.TEMPLATES["MIT"][2]
     edited = mit.replace("free of charge", "without any charge at all").replace("substantial", "")
