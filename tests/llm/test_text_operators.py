@@ -215,6 +215,31 @@ def test_licenses(spark):
     assert [x[0] for x in got[6]] == ["CC-BY-4.0", "CC-BY-NC-4.0"] and set(got) == {3, 4, 5, 6}
 
 
+def test_licenses_and_their_siblings():
+    for name, texts in licenses.TEMPLATES.items():
+        for text in texts:
+            assert [(x[0], x[1]) for x in licenses.matches(f"Some words before. {text} More words.")] == [(name, 1.0)], text
+    gpl = licenses.TEMPLATES["GPL-3.0"][2]
+    assert "version 3" in gpl and "GNU General" in gpl
+    for change, want in [(("version 3", "version 2"), "GPL-2.0"), (("GNU General", "GNU Affero General"), "AGPL-3.0"), (("GNU General", "GNU Lesser General"), "LGPL-3.0"), (("version 3", "version 9"), None), (("version 3", "version"), None)]:
+        assert [x[0] for x in licenses.matches(gpl.replace(*change))] == ([want] if want else []), change
+    two, three = licenses.TEMPLATES["BSD-2-Clause"][1], licenses.TEMPLATES["BSD-3-Clause"][2]
+    numbered = lambda text: text.replace("Redistributions of", "1. Redistributions of").replace("Redistributions in", "2. Redistributions in").replace("the copyright holder nor", "Example Inc. nor")
+    assert [[x[0] for x in licenses.matches(numbered(x))] for x in (two, three)] == [["BSD-2-Clause"], ["BSD-3-Clause"]]
+    found = lambda text: [x[0] for x in licenses.matches(text)]
+    assert found("Licensed under CC BY-ND 4.0. x y z w Licensed under CC BY-NC-ND 4.0") == ["CC-BY-ND-4.0", "CC-BY-NC-ND-4.0"]
+    assert found("Text. All rights reserved.\n") == ["All rights reserved"] and found("all the rights that were reserved") == []
+
+
+def test_license_notices_of_a_table(spark):
+    """Each line of a given table that is a notice and nothing else is found."""
+    notices = {"This work is licensed under the GNU General Public License, version 3.": "GPL-3.0", "All rights reserved.": "All rights reserved", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0"}
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("text").collect()
+    want = collections.Counter(notices[line.strip()] for r in docs for line in (r.text or "").split("\n") if line.strip() in notices)
+    got = collections.Counter(r.license for r in queries.QUERIES["op8_license_scan"](spark, SF_DIR).collect())
+    assert want["All rights reserved"] and got == want
+
+
 def removed(docs, span):
     starts = collections.Counter(b[i : i + span] for _, t in docs for b in [(t or "").encode()] for i in range(len(b) - span + 1))
     out = {}
