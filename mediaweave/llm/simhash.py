@@ -213,9 +213,9 @@ def _sketches(batches, words: int, seed: int):
     for batch in batches:
         prints, minima = [], []
         for text in batch.column("text").cast(pa.binary()).to_pylist():
-            hashes = shingle_hashes(text or b"", words, seed)
+            hashes = np.unique(shingle_hashes(text or b"", words, seed))  # sets are compared: repeats must not weigh
             prints.append(majority(hashes))
-            minima.append(np.unique(hashes)[:MINIMA].view(np.int64).tolist())
+            minima.append(hashes[:MINIMA].view(np.int64).tolist())
         yield pa.RecordBatch.from_arrays([batch.column("_k"), batch.column("_h"), pa.array(prints, pa.int64()), pa.array(minima, pa.list_(pa.int64()))], names=["_k", "_h", "fp", "minima"])
 
 
@@ -253,8 +253,8 @@ def _shingle_sets(batches, words: int, seed: int):
     for batch in batches:
         out = []
         for row, text, keys in zip(batch.column("_row").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("keys").to_pylist(), strict=True):
-            hashes = shingle_hashes(text or b"", words, seed)
-            shingles, print_ = np.unique(hashes).astype(np.uint32), majority(hashes)
+            hashes = np.unique(shingle_hashes(text or b"", words, seed))
+            shingles, print_ = hashes.astype(np.uint32), majority(hashes)
             shingles.sort()
             out += [(key, row, print_, shingles.tobytes()) for key in keys]
         cols = list(zip(*out, strict=True)) or [[]] * 4

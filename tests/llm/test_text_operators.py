@@ -110,6 +110,16 @@ def test_near_distinct_is_that_of_all_pairs(spark, crowd):
     assert simhash.near_distinct(df.limit(0)).count() == 0
 
 
+def test_near_copies_that_repeat_a_passage(spark):
+    """One copy has a footer many times over: few other shingles, but most of all that there are."""
+    rng, docs = random.Random(4), []
+    for i in range(0, 60, 2):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(200)]
+        footer = [f"f{rng.randrange(10**9)}" for _ in range(10)]
+        docs += [(i, " ".join(words)), (i + 1, " ".join(words + footer * 60))]
+    assert sorted(r.doc_id for r in simhash.near_distinct(spark.createDataFrame(docs, TEXTS)).collect()) == list(range(0, 60, 2))
+
+
 def test_forward_sums_all_segmentations():
     pieces = {p: i for i, p in enumerate(["▁", "▁a", "a", "b", "ab", "▁ab", "ba", "▁aba"])}
     rng = np.random.default_rng(1)
