@@ -207,6 +207,17 @@ def near_components(docs: DataFrame, words: int = 3, seed: int = 42, crowd: int
 #: For near_distinct(): the smallest shingle hashes that a document is dealt by, and the SimHash filter's radius.
 #: Two documents with a similarity of 0.8 share none of eight, or differ in more bits, once in 10 ** 5 pairs.
 MINIMA, WIDE = 8, 24
+#: The smallest hashes in their own order deal all documents, those in the others what is crowded.
+ORDERS = ("minima", "second", "third")
+
+
+def in_orders(hashes: np.ndarray) -> list[np.ndarray]:
+    """The MINIMA smallest of sorted hashes, in their own order and in others (each maps hashes one to one)."""
+    out, odd = [hashes[:MINIMA]], np.uint64(0x9E3779B97F4A7C15)
+    while len(out) < len(ORDERS):
+        hashes = np.sort((hashes ^ (hashes >> np.uint64(32))) * odd)
+        out.append(hashes[:MINIMA])
+    return out
 
 
 def _sketches(batches, words: int, seed: int):
@@ -215,8 +226,9 @@ def _sketches(batches, words: int, seed: int):
         for text in batch.column("text").cast(pa.binary()).to_pylist():
             hashes = np.unique(shingle_hashes(text or b"", words, seed))  # sets are compared: repeats must not weigh
             prints.append(majority(hashes))
-            minima.append(hashes[:MINIMA].view(np.int64).tolist())
-        yield pa.RecordBatch.from_arrays([batch.column("_k"), batch.column("_h"), pa.array(prints, pa.int64()), pa.array(minima, pa.list_(pa.int64()))], names=["_k", "_h", "fp", "minima"])
+            minima.append([x.view(np.int64).tolist() for x in in_orders(hashes)])
+        lists = [pa.array([x[k] for x in minima], pa.list_(pa.int64())) for k in range(len(ORDERS))]
+        yield pa.RecordBatch.from_arrays([batch.column("_k"), batch.column("_h"), pa.array(prints, pa.int64()), *lists], names=["_k", "_h", "fp", *ORDERS])
 
 
 def _groups(batches, names: list[str]):
@@ -321,26 +333,26 @@ def _stars(bucket: list[tuple], least: float) -> list[tuple[int, int]]:
 
 
 def shared_keys(sketches: DataFrame, crowd: int) -> DataFrame:
-    """sketches: _row, minima. Rows and the keys of the buckets where they may meet similar ones: _row, key.
+    """sketches: _row and ORDERS. Rows and the keys of the buckets where they may meet similar ones: _row, key.
 
     Documents are dealt by each of their smallest shingle hashes; keys that only one has go. A key with over crowd
-    documents, as of a common line, is dealt again by their other hashes. What is crowded still is a group of near
+    documents, as of a common line, is dealt again by their smallest hashes in another order: each has one there,
+    so that none is lost, and similar ones share one as surely as before. What is crowded still is a group of near
     copies; it is cut into blocks, and each pair of blocks is a bucket."""
-    dealt = sketches.select("_row", F.explode("minima").alias("key"), "minima").withColumn("minima", F.array_remove("minima", F.col("key")))
-    ready = []
-    for depth in range(3):
+    dealt, ready = sketches.select("_row", F.explode(ORDERS[0]).alias("key")), []
+    for order in (*ORDERS[1:], None):
         counts = publish(dealt.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
         dealt = dealt.join(counts, "key")
         ready.append(dealt.filter(F.col("n") <= crowd).select("_row", "key"))
         dealt = dealt.filter(F.col("n") > crowd)
-        if depth == 2 or counts.filter(F.col("n") > crowd).isEmpty():
-            break
-        dealt = dealt.select("_row", F.explode("minima").alias("more"), "minima", "key")
-        dealt = publish(dealt.select("_row", F.xxhash64("key", "more").alias("key"), F.array_remove("minima", F.col("more")).alias("minima")).dropDuplicates(["_row", "key"]))
-    if depth == 2:
-        blocks, own = F.ceil(F.col("n") / crowd).cast("long"), F.pmod(F.xxhash64("_row"), F.ceil(F.col("n") / crowd).cast("long"))
-        paired = dealt.select("_row", "key", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
-        ready.append(paired.select("_row", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key")))
+        if counts.filter(F.col("n") > crowd).isEmpty():
+            return reduce(DataFrame.unionAll, ready)
+        if order:
+            again = dealt.select("_row", "key").join(sketches.select("_row", order), "_row").select("_row", "key", F.explode(order).alias("more"))
+            dealt = publish(again.select("_row", F.xxhash64("key", "more").alias("key")))
+    blocks, own = F.ceil(F.col("n") / crowd).cast("long"), F.pmod(F.xxhash64("_row"), F.ceil(F.col("n") / crowd).cast("long"))
+    paired = dealt.select("_row", "key", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
+    ready.append(paired.select("_row", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key")))
     return reduce(DataFrame.unionAll, ready)
 
 
@@ -351,7 +363,7 @@ def near_distinct(docs: DataFrame, words: int = 5, similarity: float = 0.8, seed
     shared_dir(docs.sparkSession)
     small_batches(docs.sparkSession)
     docs = docs.withColumns({"_k": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), "_h": F.xxhash64("text")})
-    found = docs.select("_k", "_h", "text").mapInArrow(partial(_sketches, words=words, seed=seed), "_k long, _h long, fp long, minima array<long>")
+    found = docs.select("_k", "_h", "text").mapInArrow(partial(_sketches, words=words, seed=seed), "_k long, _h long, fp long, " + ", ".join(f"{x} array<long>" for x in ORDERS))
     sketches = publish(found.withColumn("_row", F.monotonically_increasing_id()))
     buckets = shared_keys(sketches, crowd).join(sketches.select("_row", "fp"), "_row").repartition("key").sortWithinPartitions("key", "_row")
     wanted = publish(buckets.select("key", "_row", "fp").mapInArrow(_with_partner, "key long, _row long"))

@@ -120,6 +120,13 @@ def test_near_copies_that_repeat_a_passage(spark):
     assert sorted(r.doc_id for r in simhash.near_distinct(spark.createDataFrame(docs, TEXTS)).collect()) == list(range(0, 60, 2))
 
 
+def test_crowded_texts_of_one_and_two_shingles(spark):
+    one = [" ".join(["word"] * k) for k in range(6, 13)]
+    two = [" ".join((["x", "y"] * 9)[:k]) for k in range(6, 13)]
+    docs = list(enumerate([*one, *two, *("four words  and" + " " * k + " no more" for k in range(5))]))
+    assert sorted(r.doc_id for r in simhash.near_distinct(spark.createDataFrame(docs, TEXTS), crowd=3).collect()) == [0, 7, 14]
+
+
 def test_forward_sums_all_segmentations():
     pieces = {p: i for i, p in enumerate(["▁", "▁a", "a", "b", "ab", "▁ab", "ba", "▁aba"])}
     rng = np.random.default_rng(1)
