@@ -8,7 +8,7 @@ from pyspark.sql.types import StructType
 
 from mediaweave.sources.shared import publish, publish_by, remove, shared_dir
 
-__all__ = ["lower_ascii", "publish", "publish_by", "remove", "shared_dir", "small_batches", "table", "with_results"]
+__all__ = ["join_by_size", "lower_ascii", "packed", "publish", "publish_by", "remove", "shared_dir", "small_batches", "table", "unpacked", "with_results"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -35,3 +35,41 @@ def with_results(schema: StructType, results: str) -> tuple[list[str], StructTyp
     own = StructType.fromDDL(results)
     passing = [f for f in schema.fields if f.name not in own.names]
     return [f.name for f in passing], StructType(passing + own.fields)
+
+
+#: Rows of one key that join_by_size() leaves in one task, and how many keys at most may have more.
+MOST_ROWS, MOST_KEYS = 1000, 20_000
+
+
+def join_by_size(left: DataFrame, right: DataFrame, keys: list[str], size: str, how: str = "left", most: int = MOST_ROWS) -> DataFrame:
+    """Joins a table to another (written) one that has one row a key, in which `size` tells how many rows of the left table
+    have the key. Such a key's rows are dealt to as many tasks as hold `most` rows each, with a copy of the right
+    row in each; `most` rises with the table, so that no more than MOST_KEYS keys are dealt and so broadcast."""
+    total = right.agg(F.sum(size)).first()[0] or 0
+    most = max(most, -(-total // MOST_KEYS))
+    large = right.filter(F.col(size) > most).select(F.xxhash64(*keys).alias("_key"), F.ceil(F.col(size) / most).cast("int").alias("_parts"))
+    large = publish(large.groupBy("_key").agg(F.max("_parts").alias("_parts")))
+    if large.isEmpty():
+        return left.join(right.hint("merge"), keys, how)
+
+    def dealt(df: DataFrame, part) -> DataFrame:
+        found = df.withColumn("_key", F.xxhash64(*keys)).join(F.broadcast(large), "_key", "left")
+        return found.withColumn("_part", part(F.coalesce("_parts", F.lit(1)))).drop("_key", "_parts")
+
+    left = dealt(left, lambda parts: F.pmod(F.monotonically_increasing_id(), parts.cast("long")).cast("int"))
+    right = dealt(right, lambda parts: F.explode(F.sequence(F.lit(0), parts - 1)))
+    return left.join(right.hint("merge"), [*keys, "_part"], how).drop("_part")
+
+
+REST = "_rest"
+
+
+def packed(docs: DataFrame, *names: str) -> DataFrame:
+    """The named columns, and all others in one struct, so that none of their names can clash with an operator's."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in names]
+    return docs.select(*names, *([F.struct(*others).alias(REST)] if others else []))
+
+
+def unpacked(columns: list[str], *names: str) -> list[Column]:
+    """The columns of a table that packed() took, in their order."""
+    return [F.col(c) if c in names else F.col(f"{REST}.`{c}`").alias(c) for c in columns]

@@ -2,23 +2,25 @@
 
 Every start of a SPAN-byte string (a window) is dealt by the smallest hash of the GRAM-byte grams inside it. Windows
 of equal content share it, and neighbouring windows mostly do, so that a text becomes a few runs of windows a
-hundred bytes. Runs whose smallest hash occurs once in the corpus, at one
-place, are done. Of the others equal runs are counted as
-one, which is fetched once; the runs of a hash meet in one task. There a block's suffixes are sorted in two stages:
-those smaller than their successors directly, the rest induced by scanning the buckets of first bytes from low to
-high. Adjacent suffixes with a common prefix of SPAN bytes, and runs that occur twice, are repeats.
+hundred bytes. Runs whose smallest hash occurs once in the corpus, at one place, are done. Of the others equal runs
+(by that hash and a 128-bit digest of their bytes) are counted as one, which is fetched once; the runs of a hash meet
+in one task. There a block's suffixes are sorted in two stages: those smaller than their successors directly, the rest
+induced by scanning the buckets of first bytes from low to high. Adjacent suffixes with a common prefix of SPAN bytes,
+and runs that occur twice, are repeats.
 
-A hash with over CROWD different runs (a common line in many contexts) is dealt again by a second hash, and by the
-window's own hash in the end. The hashes decide only what meets; the order of the suffixes decides what is equal.
+A hash with over CROWD different runs or BYTES of them (a common line in many contexts) is dealt again by a second
+hash. Parts that are equal byte for byte are then counted with map-side combining and only one of them goes on. The
+last deal is by windows, where that count leaves nothing to sort: no key is ever one task's work.
 
 Defined results: a null text is empty; a text of under SPAN bytes keeps all of them; repeated rows are repeats of
-each other; a null doc_id is a value like any other; an empty table gives an empty result. Other columns aren't read.
+each other; a null doc_id is a value like any other; an empty table gives an empty result. A long text is cut into
+runs of at most LONGEST windows; it has to fit a row. Other columns aren't read, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +28,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediaweave.llm.common import publish, small_batches, table
+from mediaweave.llm.common import join_by_size, publish, small_batches, table
 
 SPAN, GRAM = 200, 16
-CROWD, LEVELS = 20_000, 4
+CROWD, BYTES, LEVELS = 1000, 1_000_000, 4
+LONGEST = 2000
 BLOCK = 2_000_000
 
 
@@ -67,7 +70,8 @@ def window_keys(data: np.ndarray, span: int, level: int) -> tuple[np.ndarray, np
     n = len(data) - span + 1
     at = np.arange(n, dtype=np.uint64)
     if level == LEVELS:
-        return np.array([xxhash.xxh3_64_intdigest(data[i : i + span].tobytes()) for i in range(n)], np.uint64), at, at
+        whole = data.tobytes()
+        return np.fromiter((xxhash.xxh3_64_intdigest(whole[i : i + span]) for i in range(n)), np.uint64, n), at, at
     gram = min(GRAM, 1 << (span.bit_length() - 1) >> 2)
     h, width = gram_hashes(data, gram, level), span - gram + 1
     place = np.arange(len(h), dtype=np.uint64) & PLACE  # in the low bits, so that of equal hashes one wins
@@ -97,6 +101,9 @@ def runs_of(texts: list[bytes], span: int, level: int = 0):
         place = begin[of] + start
         keys = keys[place]
         new = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (of[1:] != of[:-1])]) if len(of) else np.zeros(0, np.int64)
+        longest = 1 if level == LEVELS else LONGEST
+        if len(new) and (sizes := np.diff(np.r_[new, len(of)])).max() > longest:
+            new = np.flatnonzero((np.arange(len(of)) - np.repeat(new, sizes)) % longest == 0)
         last = np.r_[new[1:] - 1, len(of) - 1] if len(of) else new
         yield of[new] + first, start[new], start[last], keys[new], left[place[new]] != right[place[last]]
 
@@ -109,8 +116,8 @@ def _runs(batches, span: int, digest: bool):
             if not digest:  # what may repeat itself counts twice
                 arrays = [pa.array(np.concatenate([keys, keys[own]]).view(np.int64))]
             else:
-                rest = [xxhash.xxh3_64_intdigest(texts[i][a : b + span]) for i, a, b in zip(of.tolist(), lo.tolist(), hi.tolist(), strict=True)]
-                arrays += [pa.array(np.array(rest, np.uint64).view(np.int64)), batch.column("k").take(pa.array(of)), batch.column("h").take(pa.array(of)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))]
+                rest = [xxhash.xxh3_128_digest(texts[i][a : b + span]) for i, a, b in zip(of.tolist(), lo.tolist(), hi.tolist(), strict=True)]
+                arrays += [pa.array(rest, pa.binary()), batch.column("k").take(pa.array(of)), batch.column("h").take(pa.array(of)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))]
                 names += ["d", "k", "h", "lo", "hi"]
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
@@ -122,9 +129,20 @@ def _split(batches, span: int, level: int):
         for of, lo, hi, keys, _ in runs_of(cols["seg"], span, level):
             of, lo, hi = of.tolist(), lo.tolist(), hi.tolist()
             key = mixed(keys + np.array([cols["key"][i] for i in of], np.int64).view(np.uint64)).view(np.int64)
-            arrays = [pa.array(key), *(pa.array([cols[c][i] for i in of], pa.int64()) for c in ("m", "d", "n"))]
-            arrays += [pa.array([cols["off"][i] + a for i, a in zip(of, lo, strict=True)], pa.int32()), pa.array([cols["seg"][i][a : b + span] for i, a, b in zip(of, lo, hi, strict=True)], pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["key", "m", "d", "n", "off", "seg"])
+            for at in range(0, len(of), 10_000):
+                some = list(zip(of[at : at + 10_000], lo[at : at + 10_000], hi[at : at + 10_000], strict=True))
+                arrays = [pa.array(key[at : at + 10_000]), *(pa.array([cols[c][i] for i, _, _ in some], t) for c, t in (("m", pa.int64()), ("d", pa.binary()), ("n", pa.int64())))]
+                arrays += [pa.array([cols["off"][i] + a for i, a, _ in some], pa.int32()), pa.array([cols["seg"][i][a : b + span] for i, a, b in some], pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["key", "m", "d", "n", "off", "seg"])
+
+
+def counted(parts: DataFrame, span: int) -> tuple[DataFrame, DataFrame]:
+    """Of parts that are equal byte for byte (under one key) all are repeats, and one goes on with the count of all."""
+    same = publish(parts.groupBy("key", "seg").agg(F.count("*").alias("rows"), F.sum("n").alias("n"), F.min(F.struct("m", "d", "off")).alias("one")))
+    often = same.filter("n > 1").select("key", "seg", "rows")
+    repeats = join_by_size(parts.select("key", "seg", "m", "d", "off"), often, ["key", "seg"], "rows", "inner")
+    repeats = repeats.select("m", "d", F.col("off").alias("first"), (F.col("off") + F.octet_length("seg") - span).alias("last"))
+    return publish(repeats), same.select("key", "one.m", "one.d", "n", "one.off", "seg")
 
 
 def words_at(data: np.ndarray) -> np.ndarray:
@@ -271,7 +289,7 @@ def _blocks(rows: dict[str, list], span: int):
             edges = np.flatnonzero(np.diff(np.r_[False, found, False]))
             for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
                 m.append(rows["m"][i]), d.append(rows["d"][i]), first.append(rows["off"][i] + a), last.append(rows["off"][i] + b - 1)
-        yield pa.RecordBatch.from_arrays([pa.array(m, pa.int64()), pa.array(d, pa.int64()), pa.array(first, pa.int32()), pa.array(last, pa.int32())], names=["m", "d", "first", "last"])
+        yield pa.RecordBatch.from_arrays([pa.array(m, pa.int64()), pa.array(d, pa.binary()), pa.array(first, pa.int32()), pa.array(last, pa.int32())], names=["m", "d", "first", "last"])
         at = to
 
 
@@ -305,29 +323,36 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, crowd: int = CROWD, digest
     kind = docs.schema["doc_id"].dataType.simpleString()
     # rows with one doc_id and one text are equal in all that matters here, so the two name a text
     docs = docs.select("doc_id", F.coalesce("doc_id", F.lit(-(2**63))).cast("long").alias("k"), F.xxhash64("text").alias("h"), "text")
-    often = publish(docs.mapInArrow(partial(_runs, span=span, digest=False), "m long").groupBy("m").count().filter("count > 1").select("m"))
-    runs = docs.mapInArrow(partial(_runs, span=span, digest=True), "m long, d long, k long, h long, lo int, hi int")
-    runs = publish(runs.join(often.hint("merge"), "m", "left_semi"))
-    one = runs.groupBy("m", "d").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("k", "h", "lo", "hi")))
+    sizes = publish(docs.groupBy("k", "h").count())
+    texts = docs.select("k", "h", "text")
+    if not sizes.filter("count > 1").isEmpty():
+        texts = texts.dropDuplicates(["k", "h"])
+    often = publish(docs.mapInArrow(partial(_runs, span=span, digest=False), "m long").groupBy("m").count().filter("count > 1"))
+    runs = docs.mapInArrow(partial(_runs, span=span, digest=True), "m long, d binary, k long, h long, lo int, hi int")
+    runs = publish(join_by_size(runs, often, ["m"], "count", "inner").drop("count"))
+    one = runs.groupBy("m", "d").agg(F.count("*").alias("n"), F.min(F.struct("k", "h", "lo", "hi")).alias("at")).select("m", "d", "n", "at.*")
     part = F.substring(F.col("text").cast("binary"), F.col("lo") + 1, F.col("hi") - F.col("lo") + span)
-    segments = one.join(docs.select("k", "h", "text").hint("merge"), ["k", "h"]).select(F.col("m").alias("key"), "m", "d", "n", F.lit(0).alias("off"), part.alias("seg"))
+    segments = one.join(texts.hint("merge"), ["k", "h"]).select(F.col("m").alias("key"), "m", "d", "n", F.lit(0).alias("off"), part.alias("seg"))
     segments, found = publish(segments), []
-    shape = "key long, m long, d long, n long, off int, seg binary"
-    for level in range(1, LEVELS + 2):
-        crowded = publish(segments.groupBy("key").count().filter(F.col("count") > crowd).select("key")) if level <= LEVELS else None
-        last = crowded is None or crowded.isEmpty()
+    shape = "key long, m long, d binary, n long, off int, seg binary"
+    for level in range(1, LEVELS + 1):
+        large = (F.count("*") > crowd) | (F.sum(F.octet_length("seg")) > BYTES)
+        crowded = publish(segments.groupBy("key").agg(F.count("*").alias("n_parts"), large.alias("large")).filter("large").select("key", "n_parts"))
+        last = crowded.isEmpty()
         ready = segments if last else segments.join(crowded, "key", "left_anti")
         sorted_ = ready.repartition("key").sortWithinPartitions("key")
-        found.append(publish(sorted_.mapInArrow(partial(_repeats, span=span), "m long, d long, first int, last int")))
+        found.append(publish(sorted_.mapInArrow(partial(_repeats, span=span), "m long, d binary, first int, last int")))
         if last:
             break
-        segments = publish(segments.join(crowded, "key", "left_semi").select(*(x.split()[0] for x in shape.split(", "))).mapInArrow(partial(_split, span=span, level=level), shape))
-    repeats = found[0]
-    for more in found[1:]:
-        repeats = repeats.unionAll(more)
-    spans = runs.join(repeats, ["m", "d"]).select("k", "h", F.struct((F.col("lo") + F.col("first")).alias("s"), (F.col("lo") + F.col("last") + span).alias("e")).alias("span"))
-    by_doc = publish(spans.groupBy("k", "h").agg(F.collect_set("span").alias("spans")))
-    cut = docs.join(by_doc.hint("merge"), ["k", "h"], "left").select("doc_id", "text", "spans")
+        again = join_by_size(segments, crowded, ["key"], "n_parts", "inner").select(*(x.split()[0] for x in shape.split(", ")))
+        repeats, segments = counted(publish(again.mapInArrow(partial(_split, span=span, level=level), shape)), span)
+        found.append(repeats)
+    repeats = reduce(DataFrame.unionAll, found).groupBy("m", "d").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    repeats = publish(repeats.join(runs.groupBy("m", "d").agg(F.count("*").alias("n")), ["m", "d"]))
+    spans = join_by_size(runs, repeats, ["m", "d"], "n", "inner").select("k", "h", "lo", F.explode("spans").alias("span"))
+    spans = spans.select("k", "h", F.struct((F.col("lo") + F.col("span.first")).alias("s"), (F.col("lo") + F.col("span.last") + span).alias("e")).alias("span"))
+    by_doc = publish(spans.groupBy("k", "h").agg(F.collect_set("span").alias("spans")).join(sizes, ["k", "h"]))
+    cut = join_by_size(docs, by_doc, ["k", "h"], "count").select("doc_id", "text", "spans")
     return cut.mapInArrow(partial(_cut, digest_only=digest_only), RESULTS.format(kind))
 
 

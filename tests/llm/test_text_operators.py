@@ -280,6 +280,18 @@ def test_suffix_removes_what_all_windows_show(spark, span, crowd):
     assert got == removed(docs, span)
 
 
+@pytest.mark.parametrize("n", [3, 300])
+def test_suffix_of_a_line_in_many_contexts(spark, n):
+    """A line of a window's length in as many contexts as there are documents, a long uniform text, repeated rows."""
+    rng = random.Random(n)
+    prose = lambda k: "".join(rng.choices("abcdefgh ", k=k))
+    line = prose(230)
+    docs = [(i, prose(40) + line + prose(40)) for i in range(n)] + [(n, "z" * 5000), (n + 1, "y" + "z" * 2400 + "x")]
+    docs += [(n + 2, prose(300))] * 2
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.remove_repeats(spark.createDataFrame(docs, TEXTS), crowd=2).collect()}
+    assert got == {**removed(docs[:-1], 200), n + 2: (300, 300, 1, hashlib.sha256(b"").hexdigest())}
+
+
 def test_suffix_of_repeated_rows_and_nothing(spark):
     df = spark.createDataFrame([(1, "x" * 10 + "abc" * 100), (1, "x" * 10 + "abc" * 100), (None, "y" * 199)], TEXTS)
     assert sorted((r.doc_id or 0, r.n_removed) for r in suffix.remove_repeats(df).collect()) == [(0, 0), (1, 310), (1, 310)]
