@@ -41,7 +41,7 @@ def with_results(schema: StructType, results: str) -> tuple[list[str], StructTyp
 MOST_ROWS, MOST_KEYS = 1000, 20_000
 
 
-def join_by_size(left: DataFrame, right: DataFrame, keys: list[str], size: str, how: str = "left", most: int = MOST_ROWS) -> DataFrame:
+def join_by_size(left: DataFrame, right: DataFrame, keys: list[str], size: str, how: str = "left", most: int = MOST_ROWS, hint: str | None = "merge") -> DataFrame:
     """Joins a table to another (written) one that has one row a key, in which `size` tells how many rows of the left table
     have the key. Such a key's rows are dealt to as many tasks as hold `most` rows each, with a copy of the right
     row in each; `most` rises with the table, so that no more than MOST_KEYS keys are dealt and so broadcast."""
@@ -49,8 +49,9 @@ def join_by_size(left: DataFrame, right: DataFrame, keys: list[str], size: str,
     most = max(most, -(-total // MOST_KEYS))
     large = right.filter(F.col(size) > most).select(F.xxhash64(*keys).alias("_key"), F.ceil(F.col(size) / most).cast("int").alias("_parts"))
     large = publish(large.groupBy("_key").agg(F.max("_parts").alias("_parts")))
+    hinted = lambda df: df.hint(hint) if hint else df  # noqa: E731 without one the planner broadcasts what is under its threshold
     if large.isEmpty():
-        return left.join(right.hint("merge"), keys, how)
+        return left.join(hinted(right), keys, how)
 
     def dealt(df: DataFrame, part) -> DataFrame:
         found = df.withColumn("_key", F.xxhash64(*keys)).join(F.broadcast(large), "_key", "left")
@@ -58,7 +59,7 @@ def join_by_size(left: DataFrame, right: DataFrame, keys: list[str], size: str,
 
     left = dealt(left, lambda parts: F.pmod(F.monotonically_increasing_id(), parts.cast("long")).cast("int"))
     right = dealt(right, lambda parts: F.explode(F.sequence(F.lit(0), parts - 1)))
-    return left.join(right.hint("merge"), [*keys, "_part"], how).drop("_part")
+    return left.join(hinted(right), [*keys, "_part"], how).drop("_part")
 
 
 REST = "_rest"

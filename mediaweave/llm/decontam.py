@@ -1,173 +1,148 @@
 """7. Benchmark decontamination by winnowing.
 
-Benchmark words get numbers. Of each item, the smallest K-gram hash in every window of WINDOW - K + 1 grams is kept
-with its place; a document's words are numbered, hashed and winnowed alike, so that every span of WINDOW words that
-both hold has a kept hash on both sides. Fingerprints are joined in the task and hits are extended word by word in
-both directions, which makes the result exact. Items of fewer words are one window of their own length.
+Every window of WINDOW words has a fingerprint: the smallest hash of its K-grams, so that neighbouring windows mostly
+share one, and equal windows always do. The benchmark's windows are kept once each, with their fingerprints. A
+document's windows are fingerprinted alike; those whose fingerprint the benchmark has are joined with its windows on
+fingerprint and words, which makes the result exact, and a hit extends as long as its windows go on matching. An item
+of fewer words is one window of its own length with its own hash.
 
-The benchmark is the query set: it goes to the tasks in blocks of at most BLOCK_WORDS words, one broadcast each,
-however large it is; a task holds one block's index at a time.
+Both sides are Spark tables of any size. What is sent to all tasks has a fixed size: a bitmap of 2 ** BITS bits
+of the benchmark's fingerprints (a full one only lets more windows into the join). A window that very many documents
+hold is dealt to many tasks.
 
 Defined results: a null text has no words; an item or document without words matches nothing; items with equal
-words are all counted; repeated rows get equal results; empty tables give an empty result or no contamination.
-Other columns pass through contamination(), but one that has the name of a result is replaced.
+words are all counted, an item_id that repeats once; repeated rows get equal results; empty tables give an empty
+result or no contamination; a text of any length is read whole and has to fit a row. Other columns pass through
+contamination(), whatever their names, but one that has the name of a result is replaced.
 """
 
 from __future__ import annotations
 
-import hashlib
-import uuid
-from collections import defaultdict
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from mediaweave.llm.common import small_batches, table, with_results
+from mediaweave.llm.common import join_by_size, packed, publish, small_batches, table, unpacked
 
 WINDOW, K = 10, 5
-BLOCK_WORDS = 2_000_000
+#: The bitmap has 2 ** BITS bits.
+BITS = 25
+#: Word hashes that a task remembers.
+REMEMBERED = 500_000
 #: Lower-cases A-Z and makes a space of what is no part of a word, in UTF-8.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-RESULTS = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-NONE = np.uint64(2**64 - 1)
+#: Words in a text that still has its A-Z.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+RESULTS = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def words_of(text: bytes | None) -> list[bytes]:
     return text.translate(WORD_BYTES).split() if text else []
 
 
-def gram_hashes(ids: np.ndarray, k: int) -> np.ndarray:
-    """A hash of each k-gram of word numbers; NONE where a word isn't known (number -1)."""
-    n = len(ids) - k + 1
+class Numbers(dict):
+    """Hashes of words, remembered."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > REMEMBERED:
+            self.clear()
+        self[word] = number = xxhash.xxh3_64_intdigest(word)
+        return number
+
+
+def gram_hashes(numbers: np.ndarray, k: int) -> np.ndarray:
+    n = len(numbers) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     h, odd = np.zeros(n, np.uint64), np.uint64(0x9E3779B97F4A7C15)
-    known = np.ones(n, bool)
     for i in range(k):
-        part = ids[i : i + n]
-        known &= part >= 0
-        h = (h ^ part.astype(np.uint64)) * odd
+        h = (h ^ numbers[i : i + n]) * odd
         h ^= h >> np.uint64(29)
-    return np.where(known, np.minimum(h, NONE - np.uint64(1)), NONE)
-
-
-def winnow(ids: np.ndarray) -> np.ndarray:
-    """Places of the K-grams that are the smallest (the last of equals) of some window."""
-    h = gram_hashes(ids, K)
-    w = WINDOW - K + 1
-    if len(h) < w:
-        return np.zeros(0, np.int64)
-    view = np.lib.stride_tricks.sliding_window_view(h, w)
-    at = w - 1 - view[:, ::-1].argmin(1) + np.arange(len(view))
-    at = at[np.r_[True, at[1:] != at[:-1]]]
-    return at[h[at] != NONE]
-
-
-class Index:
-    """Of one block of items."""
-
-    def __init__(self, items: list[tuple[str, bytes]]) -> None:
-        classes: dict[tuple, list[str]] = {}
-        for item_id, text in items:
-            classes.setdefault(tuple(words_of(text)), []).append(item_id)
-        classes.pop((), None)
-        self.numbers: dict[bytes, int] = {}
-        self.ids, self.items = [], list(classes.values())
-        grams: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        self.short: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-        for i, words in enumerate(classes):
-            ids = np.fromiter((self.numbers.setdefault(w, len(self.numbers)) for w in words), np.int64, len(words))
-            self.ids.append(ids)
-            if len(ids) < WINDOW:
-                self.short[len(ids)][int(gram_hashes(ids, len(ids))[0])].append(i)
-            else:
-                h = gram_hashes(ids, K)
-                for at in winnow(ids):
-                    grams[int(h[at])].append((i, int(at)))
-        self.grams = dict(grams)
-        self.keys = np.sort(np.fromiter(grams, np.uint64, len(grams)))
-        self.short_keys = {n: np.sort(np.fromiter(x, np.uint64, len(x))) for n, x in self.short.items()}
-
-    def find(self, words: list[bytes], hit: np.ndarray) -> list[str]:
-        """Marks the hit words of a document; the item ids found."""
-        ids = np.fromiter(map(partial(self.numbers.get), words, [-1] * len(words)), np.int64, len(words))
-        found: set[int] = set()
-        if len(self.keys) and len(ids) >= WINDOW:
-            h, at = gram_hashes(ids, K), winnow(ids)
-            done: dict[tuple[int, int], int] = {}
-            for p in at[_among(h[at], self.keys)]:
-                for i, q in self.grams[int(h[p])]:
-                    if done.get((i, p - q), -1) > p:
-                        continue
-                    item = self.ids[i]
-                    left, right = _same(ids[:p][::-1], item[:q][::-1]), _same(ids[p:], item[q:])
-                    done[i, p - q] = p + right
-                    if left + right >= WINDOW:
-                        hit[p - left : p + right] = True
-                        found.add(i)
-        for n, keys in self.short_keys.items():
-            h = gram_hashes(ids, n)
-            for p in np.flatnonzero(_among(h, keys)):
-                for i in self.short[n][int(h[p])]:
-                    if (ids[p : p + n] == self.ids[i]).all():
-                        hit[p : p + n] = True
-                        found.add(i)
-        return [x for i in found for x in self.items[i]]
-
-
-def _among(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    return keys[np.minimum(np.searchsorted(keys, values), len(keys) - 1)] == values if len(keys) else np.zeros(len(values), bool)
-
-
-def _same(a: np.ndarray, b: np.ndarray) -> int:
-    n = min(len(a), len(b))
-    differ = np.flatnonzero((a[:n] != b[:n]) | (a[:n] < 0))
-    return int(differ[0]) if len(differ) else n
-
-
-_held: dict[str, Index] = {}
-
-
-def _index(name: str, block) -> Index:
-    if name not in _held:
-        _held.clear()
-        _held[name] = Index(block.value)
-    return _held[name]
-
-
-def _scan(batches, blocks: list[tuple], names: list[str], out: list[str]):
+    return h
+
+
+def fingerprints(numbers: np.ndarray) -> np.ndarray:
+    """The smallest K-gram hash of each window."""
+    if len(numbers) < WINDOW:
+        return np.zeros(0, np.uint64)
+    h, have = gram_hashes(numbers, K), 1
+    while have < WINDOW - K + 1:
+        step = min(have, WINDOW - K + 1 - have)
+        h, have = np.minimum(h[:-step], h[step:]), have + step
+    return h
+
+
+def _windows(batches, carried: list[str], lengths: tuple[int, ...] | None, bitmap):
+    """Windows with their fingerprints: h, at (number of the first word), n, words. Without lengths, of items: all
+    windows, or the one of a short item. With lengths, of documents: windows of WINDOW and of these lengths, where the
+    bitmap has the fingerprint."""
+    known = Numbers()
+    bits = np.frombuffer(bitmap.value, np.uint64) if bitmap else None
     for batch in batches:
-        docs = [words_of(x) for x in batch.column("text").cast(pa.binary()).to_pylist()]
-        hits, items = [np.zeros(len(d), bool) for d in docs], [[] for _ in docs]
-        for block in blocks:
-            index = _index(*block)
-            for d, hit, got in zip(docs, hits, items, strict=True):
-                got += index.find(d, hit)
-        n = [int(h.sum()) for h in hits]
-        digests = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]
-        arrays = [pa.array(list(map(len, docs)), pa.int64()), pa.array(n, pa.int64()), pa.array(list(map(len, items)), pa.int64()), pa.array(digests, pa.string()), pa.array([x > 0 for x in n], pa.bool_())]
-        yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + arrays, names=out)
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """docs: text; benchmark: item_id, text. Adds n_words, n_hit, n_items, items_sha256, contaminated."""
+        of, hashes, places, sizes, texts = [], [], [], [], []
+        for i, text in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
+            words = words_of(text)
+            numbers = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+            wanted = (WINDOW, *lengths) if lengths is not None else (min(WINDOW, len(words)),) if words else ()
+            for n in wanted:
+                h = fingerprints(numbers) if n == WINDOW else gram_hashes(numbers, n)
+                at = np.arange(len(h)) if bits is None else np.flatnonzero(bits[(h >> np.uint64(6)) & np.uint64(len(bits) - 1)] >> (h & np.uint64(63)) & np.uint64(1))
+                for p, x in zip(at.tolist(), h[at].view(np.int64).tolist(), strict=True):
+                    of.append(i), hashes.append(x), places.append(p), sizes.append(n), texts.append(b" ".join(words[p : p + n]))
+        arrays = [pa.array(x, pa.int64()) for x in (hashes, places, sizes)] + [pa.array(texts, pa.binary())]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(of, pa.int64())) for c in carried), *arrays], names=[*carried, "h", "at", "n", "words"])
+
+
+SHAPE = "h long, at long, n long, words binary"
+
+
+def fingerprint_bitmap(windows: DataFrame, bits: int) -> bytes:
+    """A bit for each fingerprint; the driver gets at most 2 ** (bits - 6) rows."""
+    word = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(2 ** (bits - 6) - 1))
+    rows = windows.groupBy(word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 AS INT))")).alias("bits")).toPandas()
+    out = np.zeros(2 ** (bits - 6), np.uint64)
+    out[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
+    return out.tobytes()
+
+
+def covered(spans):
+    """How many places sorted spans cover."""
+    zero = F.lit(0).cast("long")
+
+    def add(so_far, x):
+        new = F.greatest(F.lit(0), x["end"] - F.greatest(x["at"], so_far["upto"]))
+        return F.struct((so_far["n"] + new).alias("n"), F.greatest(so_far["upto"], x["end"]).alias("upto"))
+
+    return F.aggregate(spans, F.struct(zero.alias("n"), zero.alias("upto")), add)["n"]
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, bits: int = BITS) -> DataFrame:
+    """docs: doc_id, text; benchmark: item_id, text. Adds n_words, n_hit, n_items, items_sha256, contaminated."""
     spark = docs.sparkSession
     small_batches(spark)
-    blocks: list[tuple] = []
-    block: list[tuple[str, bytes]] = []
-    size = 0
-    for row in [*benchmark.selectExpr("cast(item_id AS string) AS item_id", "text").filter("text IS NOT NULL").toLocalIterator(), None]:
-        words = len(words_of(row.text.encode())) if row else 0
-        if block and (row is None or size + words > block_words):
-            blocks.append((uuid.uuid4().hex, spark.sparkContext.broadcast(block)))
-            block, size = [], 0
-        if words:
-            block.append((row.item_id or "", row.text.encode()))
-            size += words
-    names, schema = with_results(docs.schema, RESULTS)
-    return docs.mapInArrow(partial(_scan, blocks=blocks, names=names, out=schema.names), schema)
+    columns = [c for c in docs.columns if c not in RESULTS]
+    # rows with one doc_id and one text are equal in all that matters here, so the two name a document
+    docs = packed(docs, "doc_id", "text").withColumns({"_k": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_h": F.xxhash64("text")})
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
+    items = items.mapInArrow(partial(_windows, carried=["item_id"], lengths=None, bitmap=None), f"item_id string, {SHAPE}")
+    items = publish(items.groupBy("h", "n", "words").agg(F.collect_set("item_id").alias("items")))
+    short = tuple(sorted(r["n"] for r in items.filter(F.col("n") < WINDOW).select("n").distinct().collect()))  # WINDOW - 1 at most
+    bitmap = spark.sparkContext.broadcast(fingerprint_bitmap(items.select("h"), bits))
+    found = docs.select("_k", "_h", "text").mapInArrow(partial(_windows, carried=["_k", "_h"], lengths=short, bitmap=bitmap), f"_k string, _h long, {SHAPE}")
+    found = publish(found.groupBy("_k", "_h", "at", "n", "h", "words").agg(F.count("*").alias("copies")))
+    wanted = publish(items.drop("n").join(found.groupBy("h", "words").agg(F.count("*").alias("rows")), ["h", "words"]))
+    hits = join_by_size(found, wanted, ["h", "words"], "rows", "inner").select("_k", "_h", "copies", F.struct("at", (F.col("at") + F.col("n")).alias("end")).alias("span"), "items")
+    ids = F.array_sort(F.array_distinct(F.flatten(F.collect_set("items"))))
+    by_doc = hits.groupBy("_k", "_h").agg(F.max("copies").alias("copies"), covered(F.array_sort(F.collect_set("span"))).alias("n_hit"), ids.alias("ids"))
+    by_doc = publish(by_doc.select("_k", "_h", "copies", "n_hit", F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("items_sha256")))
+    docs = docs.withColumn("n_words", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
+    none = F.lit(0).cast("long")
+    results = ["n_words", F.coalesce("n_hit", none).alias("n_hit"), F.coalesce("n_items", none).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated")]
+    return join_by_size(docs, by_doc, ["_k", "_h"], "copies", hint=None).select(*unpacked(columns, "doc_id", "text"), *results)
 
 
 def op7_decontamination(spark, sf_dir: str) -> DataFrame:

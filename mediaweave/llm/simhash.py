@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediaweave.llm.common import publish, shared_dir, small_batches, table, with_results
+from mediaweave.llm.common import join_by_size, packed, publish, shared_dir, small_batches, table, unpacked, with_results
 from mediaweave.operators.components import connected_components
 
 BITS, RADIUS = 64, 2
@@ -196,12 +196,12 @@ def near_components(docs: DataFrame, words: int = 3, seed: int = 42, crowd: int
     shared_dir(docs.sparkSession)
     found = publish(with_fingerprints(docs, words, seed))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
-    prints = publish(found.groupBy("fp").agg(first.alias("least")))
+    prints = publish(found.groupBy("fp").agg(first.alias("least"), F.count("*").alias("rows")))
     parts = connected_components(fingerprint_links(prints.select("fp"), crowd))
-    named = prints.join(parts, prints.fp == parts.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    named = prints.join(parts, prints.fp == parts.node, "left").select("fp", "least", "rows", F.coalesce("component", "fp").alias("component"))
     least = named.groupBy("component").agg(F.min("least").alias("least"))
-    ids = publish(named.select("fp", "component").join(least, "component").select("fp", F.col("least.doc_id").alias("component_id"), F.col("least._row").alias("_first")))
-    return found.join(ids, "fp").select("doc_id", "fp", "component_id", (F.col("_row") == F.col("_first")).alias("stays"))
+    ids = publish(named.select("fp", "rows", "component").join(least, "component").select("fp", "rows", F.col("least.doc_id").alias("component_id"), F.col("least._row").alias("_first")))
+    return join_by_size(found, ids, ["fp"], "rows", "inner").select("doc_id", "fp", "component_id", (F.col("_row") == F.col("_first")).alias("stays"))
 
 
 #: For near_distinct(): the smallest shingle hashes that a document is dealt by, and the SimHash filter's radius.
@@ -209,6 +209,8 @@ def near_components(docs: DataFrame, words: int = 3, seed: int = 42, crowd: int
 MINIMA, WIDE = 8, 24
 #: The smallest hashes in their own order deal all documents, those in the others what is crowded.
 ORDERS = ("minima", "second", "third")
+#: A key that more documents have is crowded: CENTRES of them are compared with all others first.
+CROWDED, CENTRES = 1000, 4
 
 
 def in_orders(hashes: np.ndarray) -> list[np.ndarray]:
@@ -221,14 +223,17 @@ def in_orders(hashes: np.ndarray) -> list[np.ndarray]:
 
 
 def _sketches(batches, words: int, seed: int):
+    """Of each text the fingerprint, the smallest hashes in each order and the set of shingles (32 bits of each hash)."""
     for batch in batches:
-        prints, minima = [], []
+        prints, minima, sets = [], [], []
         for text in batch.column("text").cast(pa.binary()).to_pylist():
             hashes = np.unique(shingle_hashes(text or b"", words, seed))  # sets are compared: repeats must not weigh
             prints.append(majority(hashes))
             minima.append([x.view(np.int64).tolist() for x in in_orders(hashes)])
+            sets.append(np.unique(hashes.astype(np.uint32)).tobytes())
         lists = [pa.array([x[k] for x in minima], pa.list_(pa.int64())) for k in range(len(ORDERS))]
-        yield pa.RecordBatch.from_arrays([batch.column("_k"), batch.column("_h"), pa.array(prints, pa.int64()), *lists], names=["_k", "_h", "fp", *ORDERS])
+        arrays = [batch.column("_k"), batch.column("_h"), pa.array(prints, pa.int64()), *lists, pa.array(sets, pa.binary())]
+        yield pa.RecordBatch.from_arrays(arrays, names=["_k", "_h", "fp", *ORDERS, "shingles"])
 
 
 def _groups(batches, names: list[str]):
@@ -260,32 +265,33 @@ def _valid(n: int) -> np.ndarray:
     return np.packbits(np.arange(-(-n // 64) * 64) < n, bitorder="little").view("<u8")
 
 
-def _shingle_sets(batches, words: int, seed: int):
-    """A row for each bucket of a document, with its shingles' hashes (32 bits of each) in order."""
-    for batch in batches:
-        out = []
-        for row, text, keys in zip(batch.column("_row").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), batch.column("keys").to_pylist(), strict=True):
-            hashes = np.unique(shingle_hashes(text or b"", words, seed))
-            shingles, print_ = hashes.astype(np.uint32), majority(hashes)
-            shingles.sort()
-            out += [(key, row, print_, shingles.tobytes()) for key in keys]
-        cols = list(zip(*out, strict=True)) or [[]] * 4
-        kinds = [pa.int64()] * 3 + [pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["key", "_row", "fp", "shingles"])
-
-
 def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     if min(len(a), len(b)) < least * max(len(a), len(b)):
         return False
+    if not len(a):
+        return False  # texts without words link to nothing
     at = np.searchsorted(a, b)
     both = int((a[np.minimum(at, len(a) - 1)] == b).sum())
     return both >= least * (len(a) + len(b) - both)
 
 
+def _pairs(pairs: list[tuple[int, int]], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in pairs], pa.int64()) for k in range(2)], names=names)
+
+
 def _similar_links(batches, least: float):
     for bucket in _groups(batches, ["key", "_row", "fp", "shingles"]):
         if stars := _stars(bucket, least):
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in stars], pa.int64()), pa.array([x[1] for x in stars], pa.int64())], names=["src", "dst"])
+            yield _pairs(stars, ["src", "dst"])
+
+
+def _near_centres(batches, least: float):
+    """Rows with the centres of their key: to which of them each is similar."""
+    for batch in batches:
+        key, row, shingles, centres = (batch.column(c).to_pylist() for c in ("key", "_row", "shingles", "centres"))
+        held = [(i, c["row"]) for i, cs in enumerate(centres) for c in cs if similar(np.frombuffer(shingles[i], np.uint32), np.frombuffer(c["shingles"], np.uint32), least)]
+        arrays = [pa.array([x[i] for i, _ in held], pa.int64()) for x in (key, row)] + [pa.array([c for _, c in held], pa.int64())]
+        yield pa.RecordBatch.from_arrays(arrays, names=["key", "_row", "centre"])
 
 
 #: A bucket with more shingles than that compares its documents one by one instead of by postings.
@@ -332,50 +338,102 @@ def _stars(bucket: list[tuple], least: float) -> list[tuple[int, int]]:
     return out
 
 
-def shared_keys(sketches: DataFrame, crowd: int) -> DataFrame:
-    """sketches: _row and ORDERS. Rows and the keys of the buckets where they may meet similar ones: _row, key.
-
-    Documents are dealt by each of their smallest shingle hashes; keys that only one has go. A key with over crowd
-    documents, as of a common line, is dealt again by their smallest hashes in another order: each has one there,
-    so that none is lost, and similar ones share one as surely as before. What is crowded still is a group of near
-    copies; it is cut into blocks, and each pair of blocks is a bucket."""
-    dealt, ready = sketches.select("_row", F.explode(ORDERS[0]).alias("key")), []
+def star_split(dealt: DataFrame, counts: DataFrame, sets: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """dealt: _row, key, the rows of crowded keys; counts: key, n; sets: _row, shingles. Some rows of each key, its
+    centres, are compared with all others. Returns the links found (src, dst), and dealt with `loose`: whether the row
+    is out of the key's largest star. Rows of that star need no more comparison with each other: its links join them."""
+    picked = dealt.groupBy("key").agg(F.array_distinct(F.array(*(F.min_by("_row", F.xxhash64("_row", F.lit(i))) for i in range(CENTRES)))).alias("rows"))
+    picked = picked.select("key", F.explode("rows").alias("_row")).join(sets, "_row")
+    centres = picked.groupBy("key").agg(F.collect_list(F.struct(F.col("_row").alias("row"), "shingles")).alias("centres"))  # CENTRES at most
+    centres = publish(centres.join(counts, "key"))
+    compared = join_by_size(dealt.select("_row", "key").join(sets, "_row"), centres, ["key"], "n", "inner", CROWDED)
+    near = publish(compared.select("key", "_row", "shingles", "centres").mapInArrow(partial(_near_centres, least=least), "key long, _row long, centre long"))
+    best = near.groupBy("key", "centre").agg(F.count("*").alias("size")).groupBy("key").agg(F.max_by("centre", F.struct("size", "centre")).alias("centre"), F.max("size").alias("size"))
+    star = join_by_size(near, publish(best), ["key", "centre"], "size", "inner", CROWDED).select("key", "_row", F.lit(False).alias("loose"))
+    split = dealt.select("_row", "key").join(star, ["key", "_row"], "left").select("_row", "key", F.coalesce("loose", F.lit(True)).alias("loose"))
+    return near.select(F.col("_row").alias("src"), F.col("centre").alias("dst")).filter("src != dst"), publish(split)
+
+
+def with_loose(split: DataFrame) -> DataFrame:
+    """The rows of keys that have a loose row, with how many rows the key has of both kinds (n) and loose ones (o)."""
+    counts = split.groupBy("key").agg(F.count("*").alias("n"), F.count_if("loose").alias("o")).filter("o > 0 AND n > 1")
+    return join_by_size(split, publish(counts), ["key"], "n", "inner", CROWDED)
+
+
+def block_pairs(split: DataFrame, crowd: int) -> DataFrame:
+    """split: _row, key, loose, n, o. Rows of a key are cut into blocks of half a crowd; each pair of blocks is a bucket
+    of its own, but not pairs of blocks of the star."""
+    half = max(crowd // 2, 1)
+    own, star = F.ceil(F.col("o") / half).cast("long"), F.ceil((F.col("n") - F.col("o")) / half).cast("long")
+    mine = F.pmod(F.xxhash64("_row", F.lit("block")), F.when(F.col("loose"), own).otherwise(star))
+    cut = split.withColumns({"own": own, "star": star, "mine": mine})
+    loose, bound = cut.filter("loose"), cut.filter("NOT loose")
+    loose_loose = loose.select("_row", "key", "mine", F.explode(F.sequence(F.lit(0).cast("long"), F.col("own") - 1)).alias("other"))
+    keys = [loose_loose.select("_row", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"))]
+    loose_star = loose.filter("star > 0").select("_row", "key", "mine", F.explode(F.sequence(F.lit(0).cast("long"), F.col("star") - 1)).alias("other"))
+    keys.append(loose_star.select("_row", F.xxhash64("key", F.lit("star"), "mine", "other").alias("key")))
+    star_loose = bound.select("_row", "key", "mine", F.explode(F.sequence(F.lit(0).cast("long"), F.col("own") - 1)).alias("other"))
+    keys.append(star_loose.select("_row", F.xxhash64("key", F.lit("star"), "other", "mine").alias("key")))
+    return reduce(DataFrame.unionAll, keys)
+
+
+def shared_keys(sketches: DataFrame, crowd: int, least: float) -> tuple[DataFrame, list[DataFrame]]:
+    """sketches: _row, ORDERS, shingles. Rows and the keys of the buckets where they may meet similar ones (_row, key),
+    and links that are already found.
+
+    Documents are dealt by each of their smallest shingle hashes; keys that only one has go. The rows of a key with over
+    crowd documents, as of a common line or of a large group of copies, are compared with some of its rows first: the
+    rows of the largest star that this makes are linked. A key that has rows besides is dealt again by the smallest hashes
+    in another order: each row has one there, so that none is lost, and similar ones share one as surely as before.
+    What is crowded still is cut into blocks: each pair of blocks is a bucket, but those of the star among themselves."""
+    sets = sketches.select("_row", "shingles")
+    dealt, ready, links = sketches.select("_row", F.explode(ORDERS[0]).alias("key"), F.lit(True).alias("loose")), [], []
     for order in (*ORDERS[1:], None):
-        counts = publish(dealt.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"))
-        dealt = dealt.join(counts, "key")
-        ready.append(dealt.filter(F.col("n") <= crowd).select("_row", "key"))
-        dealt = dealt.filter(F.col("n") > crowd)
-        if counts.filter(F.col("n") > crowd).isEmpty():
-            return reduce(DataFrame.unionAll, ready)
-        if order:
-            again = dealt.select("_row", "key").join(sketches.select("_row", order), "_row").select("_row", "key", F.explode(order).alias("more"))
-            dealt = publish(again.select("_row", F.xxhash64("key", "more").alias("key")))
-    blocks, own = F.ceil(F.col("n") / crowd).cast("long"), F.pmod(F.xxhash64("_row"), F.ceil(F.col("n") / crowd).cast("long"))
-    paired = dealt.select("_row", "key", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
-    ready.append(paired.select("_row", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key")))
-    return reduce(DataFrame.unionAll, ready)
-
-
-def near_distinct(docs: DataFrame, words: int = 5, similarity: float = 0.8, seed: int = 42, crowd: int = CROWD) -> DataFrame:
+        counts = publish(dealt.groupBy("key").agg(F.count("*").alias("n"), F.count_if("loose").alias("o")).filter("n > 1 AND o > 0"))
+        met = publish(join_by_size(dealt, counts, ["key"], "n", "inner").select("_row", "key", "n"))
+        ready.append(met.filter(F.col("n") <= crowd).select("_row", "key"))
+        large = counts.filter(F.col("n") > crowd).select("key", "n")
+        if large.isEmpty():
+            return reduce(DataFrame.unionAll, ready), links
+        found, split = star_split(met.filter(F.col("n") > crowd), large, sets, least)
+        links.append(found)
+        rest = publish(with_loose(split))
+        if order and not rest.isEmpty():
+            again = rest.select("_row", "key", "loose").join(sketches.select("_row", order), "_row").select("_row", "key", "loose", F.explode(order).alias("more"))
+            dealt = publish(again.select("_row", F.xxhash64("key", "more").alias("key"), "loose"))
+        elif rest.isEmpty():
+            return reduce(DataFrame.unionAll, ready), links
+    ready.append(block_pairs(rest, crowd))
+    return reduce(DataFrame.unionAll, ready), links
+
+
+def near_links(sketches: DataFrame, similarity: float, crowd: int = CROWDED) -> DataFrame:
+    """sketches: _row, fp, ORDERS, shingles. Links (src, dst) of rows whose closure joins what that similarity joins."""
+    keys, links = shared_keys(sketches, crowd, similarity)
+    buckets = keys.join(sketches.select("_row", "fp"), "_row").repartition("key").sortWithinPartitions("key", "_row")
+    wanted = publish(buckets.select("key", "_row", "fp").mapInArrow(_with_partner, "key long, _row long"))
+    sets = wanted.join(sketches.select("_row", "fp", "shingles"), "_row").repartition("key").sortWithinPartitions("key", "_row")
+    links.append(publish(sets.select("key", "_row", "fp", "shingles").mapInArrow(partial(_similar_links, least=similarity), "src long, dst long")))
+    return reduce(DataFrame.unionAll, links)
+
+
+def near_distinct(docs: DataFrame, words: int = 5, similarity: float = 0.8, seed: int = 42, crowd: int = CROWDED) -> DataFrame:
     """docs: doc_id, text. Of each group that links of that Jaccard similarity of word shingles make, the row with the
     smallest doc_id; all rows that link to nothing. SimHash with the bit-sliced comparison filters the pairs of a bucket,
-    the shingles themselves decide. Documents without words stay; rows that repeat doc_id and text stay or go together."""
+    the shingles themselves decide. Documents without words stay; rows that repeat doc_id and text stay or go together.
+    Other columns are carried, whatever their names."""
     shared_dir(docs.sparkSession)
     small_batches(docs.sparkSession)
-    docs = docs.withColumns({"_k": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), "_h": F.xxhash64("text")})
-    found = docs.select("_k", "_h", "text").mapInArrow(partial(_sketches, words=words, seed=seed), "_k long, _h long, fp long, " + ", ".join(f"{x} array<long>" for x in ORDERS))
+    columns = docs.columns
+    docs = packed(docs, "doc_id", "text").withColumns({"_k": F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1)), "_h": F.xxhash64("text")})
+    shape = "_k long, _h long, fp long, " + ", ".join(f"{x} array<long>" for x in ORDERS) + ", shingles binary"
+    found = docs.select("_k", "_h", "text").mapInArrow(partial(_sketches, words=words, seed=seed), shape)
     sketches = publish(found.withColumn("_row", F.monotonically_increasing_id()))
-    buckets = shared_keys(sketches, crowd).join(sketches.select("_row", "fp"), "_row").repartition("key").sortWithinPartitions("key", "_row")
-    wanted = publish(buckets.select("key", "_row", "fp").mapInArrow(_with_partner, "key long, _row long"))
-    by_doc = wanted.groupBy("_row").agg(F.collect_set("key").alias("keys")).join(sketches.select("_row", "_k", "_h"), "_row")
-    sets = docs.select("_k", "_h", "text").join(publish(by_doc).hint("merge"), ["_k", "_h"]).select("_row", "text", "keys")
-    sets = sets.mapInArrow(partial(_shingle_sets, words=words, seed=seed), "key long, _row long, fp long, shingles binary").repartition("key").sortWithinPartitions("key", "_row")
-    links = publish(sets.mapInArrow(partial(_similar_links, least=similarity), "src long, dst long"))
-    parts = publish(connected_components(links))
+    parts = publish(connected_components(near_links(sketches, similarity, crowd)))
     members = sketches.select("_row", "_k", "_h").join(parts.withColumnRenamed("node", "_row"), "_row")
-    least = members.groupBy("component").agg(F.min(F.struct("_k", "_h")).alias("least"))
-    gone = publish(members.join(least, "component").filter(F.struct("_k", "_h") != F.col("least")).select("_k", "_h").distinct())
-    return docs.join(gone.hint("merge"), ["_k", "_h"], "left_anti").drop("_k", "_h")
+    least = members.groupBy("component").agg(F.min(F.struct("_k", "_h")).alias("least"), F.count("*").alias("size"))
+    gone = publish(join_by_size(members, publish(least), ["component"], "size", "inner").filter(F.struct("_k", "_h") != F.col("least")).groupBy("_k", "_h").count())
+    return join_by_size(docs, gone, ["_k", "_h"], "count", "left_anti").select(*unpacked(columns, "doc_id", "text"))
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
