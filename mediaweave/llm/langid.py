@@ -2,12 +2,15 @@
 
 A language has a probability for each piece of a fixed public vocabulary. A word's probability is the sum over all
 its segmentations into pieces, by the forward algorithm; a text's is the product over its words (runs of letters,
-lower-cased), whole texts always. Training is expectation-maximisation on word counts of a sample of the labelled
-documents, bounded by sample documents a language and top word types a language; both are parameters.
-
-Defined results: a text that is null or has no letters is "und" with score 0; without labelled documents all are
-"und"; a null doc_id or lang is never learned from; repeated rows get equal results; an empty table gives an empty
-result. Other columns pass through identify(), but one that has the name of a result is replaced.
+lower-cased). Words and texts of any length are taken whole: a long word's sums are kept as logarithms. Training is
+expectation-maximisation on the word counts of a bounded sample of labelled documents, all word types of it; how many
+documents of a language it has is a parameter.
+
+Defined results: a text that is null or has no letters is "und" with score 0; of languages that are equally likely
+the first in the order of their names is taken; without labelled documents all are "und"; a null doc_id or lang is
+never learned from; repeated rows get equal results; an empty table gives an empty result; more than LANGUAGES
+labels are an error, as the model would not fit a task. Other columns pass through identify(), whatever their names,
+but one that has the name of a result is replaced.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediaweave.llm.common import small_batches, table, with_results
@@ -26,86 +29,129 @@ from mediaweave.llm.common import small_batches, table, with_results
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 LETTERS = re.compile(r"[^\W\d_]+")
 START = "▁"
-LONGEST_PIECE = 12
-#: Of a word over that long, each such stretch counts as a word.
-LONGEST_WORD = 40
+LANGUAGES = 500
+#: Of a word up to that long the sums can't vanish; those of longer ones are kept as logarithms.
+SHORT_WORD = 36
+#: Words are summed together as long as their longest times their number is no more than that.
+CELLS = 400_000
 CACHED_WORDS = 400_000
 EM_ROUNDS = 3
 FLOOR = 1e-7
 
 
 def words_of(text: str | None) -> list[str]:
-    found = LETTERS.findall(text.lower()) if text else []
-    if any(len(w) > LONGEST_WORD for w in found):
-        found = [w[i : i + LONGEST_WORD] for w in found for i in range(0, len(w), LONGEST_WORD)]
-    return found
+    return LETTERS.findall(text.lower()) if text else []
+
+
+class Pieces(dict):
+    """Numbers of the pieces, and all beginnings of pieces: beyond what is none, no piece goes on."""
 
+    def __init__(self, pieces: dict[str, int]) -> None:
+        super().__init__(pieces)
+        self.beginnings = frozenset(p[:n] for p in pieces for n in range(1, len(p) + 1))
 
-def read_pieces(path: str) -> dict[str, int]:
+    def __reduce__(self):
+        return Pieces, (dict(self),)
+
+
+def read_pieces(path: str) -> Pieces:
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     plain = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not model.is_control(i) and not model.is_unknown(i) and not model.is_byte(i)]
-    kept = dict.fromkeys(p for p in plain if len(p) <= LONGEST_PIECE and LETTERS.fullmatch(p.removeprefix(START) or "a"))
-    return {p: i for i, p in enumerate(kept)}
+    kept = dict.fromkeys(p for p in plain if LETTERS.fullmatch(p.removeprefix(START) or "a"))
+    return Pieces({p: i for i, p in enumerate(kept)})
 
 
 class Lattice:
     """All segmentations of words. An arc is a word, a start, an end and a piece; the last piece is any other letter."""
 
-    def __init__(self, words: list[str], pieces: dict[str, int]) -> None:
+    def __init__(self, words: list[str], pieces: Pieces) -> None:
         word, start, end, piece = [], [], [], []
-        other = len(pieces)
+        other, number, beginnings = len(pieces), pieces.get, pieces.beginnings
         for i, text in enumerate(words):
             text = START + text
             n = len(text)
             for s in range(n):
-                for e in range(s + 1, min(n, s + LONGEST_PIECE) + 1):
-                    p = pieces.get(text[s:e], other if e == s + 1 else -1)
-                    if p >= 0:
+                e, p = s + 1, number(text[s], other)
+                while True:
+                    if p is not None:
                         word.append(i), start.append(s), end.append(e), piece.append(p)
+                    e += 1
+                    if e > n or (part := text[s:e]) not in beginnings:
+                        break
+                    p = number(part)
         self.n, self.sizes = len(words), np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
         self.width = int(self.sizes.max(initial=0)) + 1
-        arcs = np.array([word, start, end, piece], np.int64).reshape(4, -1)
-        self.by_end = self._by(arcs, 2)
-        self.by_start = self._by(arcs, 1)
+        self.arcs = np.array([word, start, end, piece], np.int64).reshape(4, -1)
+        self.by_end, self.by_start = self._by(2), self._by(1)
 
-    def _by(self, arcs: np.ndarray, k: int) -> list[np.ndarray]:
-        order = np.argsort(arcs[k], kind="stable")
-        cuts = np.searchsorted(arcs[k][order], np.arange(self.width + 1))
-        return [arcs[:, order[a:b]] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    def _by(self, k: int) -> list[np.ndarray]:
+        order = np.argsort(self.arcs[k], kind="stable")
+        cuts = np.searchsorted(self.arcs[k][order], np.arange(self.width + 1))
+        return [self.arcs[:, order[a:b]] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
     def forward(self, p: np.ndarray) -> np.ndarray:
-        alpha = np.zeros((self.width, self.n))
-        alpha[0] = 1
+        """Logarithms of the sums over all segmentations up to each place."""
+        if self.width <= SHORT_WORD + 2:
+            alpha = np.zeros((self.width, self.n))
+            alpha[0] = 1
+            for e in range(1, self.width):
+                w, s, _, k = self.by_end[e]
+                alpha[e] = np.bincount(w, alpha[s, w] * p[k], self.n)
+            with np.errstate(divide="ignore"):
+                return np.log(alpha)
+        logs = np.zeros((self.width, self.n))
         for e in range(1, self.width):
             w, s, _, k = self.by_end[e]
-            alpha[e] = np.bincount(w, alpha[s, w] * p[k], self.n)
-        return alpha
+            with np.errstate(divide="ignore"):  # relative to the place before, from which one letter leads here
+                logs[e] = logs[e - 1] + np.log(np.bincount(w, np.exp(logs[s, w] - logs[e - 1, w]) * p[k], self.n))
+            logs[e, e > self.sizes] = 0  # past the word's end
+        return logs
+
+    def backward(self, p: np.ndarray) -> np.ndarray:
+        logs = np.full((self.width, self.n), -np.inf)
+        logs[self.sizes, np.arange(self.n)] = 0
+        for s in range(self.width - 2, -1, -1):
+            w, _, e, k = self.by_start[s]
+            here = np.unique(w)
+            base = logs[s + 1]
+            logs[s, here] = (base + np.log(np.maximum(np.bincount(w, np.exp(logs[e, w] - base[w]) * p[k], self.n), 1e-300)))[here]
+        return logs
 
     def log_sums(self, p: np.ndarray) -> np.ndarray:
-        return np.log(np.maximum(self.forward(p)[self.sizes, np.arange(self.n)], 1e-300))
+        return self.forward(p)[self.sizes, np.arange(self.n)]
 
     def expected(self, p: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """How often each piece is used, over all segmentations of words that occur so often."""
-        alpha, beta, used = self.forward(p), np.zeros((self.width, self.n)), np.zeros(len(p))
-        beta[self.sizes, np.arange(self.n)] = 1
-        for s in range(self.width - 1, -1, -1):
-            w, _, e, k = self.by_start[s]
-            beta[s] += np.bincount(w, p[k] * beta[e, w], self.n)
-        total = np.maximum(alpha[self.sizes, np.arange(self.n)], 1e-300)
-        for s in range(self.width):
-            w, _, e, k = self.by_start[s]
-            used += np.bincount(k, alpha[s, w] * p[k] * beta[e, w] / total[w] * counts[w], len(p))
-        return used
+        alpha, beta = self.forward(p), self.backward(p)
+        w, s, e, k = self.arcs
+        share = np.exp(alpha[s, w] + beta[e, w] - alpha[self.sizes, np.arange(self.n)][w]) * p[k]
+        return np.bincount(k, share * counts[w], len(p))
+
+
+def batches_of(words: list[str]):
+    """Numbers of words that are summed together: those of similar length, as many as CELLS allows."""
+    order, at = sorted(range(len(words)), key=lambda i: len(words[i])), 0
+    while at < len(order):
+        to = at + 1
+        while to < len(order) and (to - at + 1) * len(words[order[to]]) <= CELLS and (len(words[order[to]]) <= SHORT_WORD) == (len(words[order[at]]) <= SHORT_WORD):
+            to += 1
+        yield order[at:to]
+        at = to
+
+
+def lattices(words: list[str], pieces: Pieces):
+    for some in batches_of(words):
+        yield np.array(some), Lattice([words[i] for i in some], pieces)
 
 
-def learn(counts: dict[str, tuple[list[str], np.ndarray]], pieces: dict[str, int]) -> dict[str, np.ndarray]:
+def learn(counts: dict[str, tuple[list[str], np.ndarray]], pieces: Pieces) -> dict[str, np.ndarray]:
     model = {}
     for lang, (words, n) in sorted(counts.items()):
-        lattice, p = Lattice(words, pieces), np.full(len(pieces) + 1, 1 / (len(pieces) + 1))
+        parts, p = list(lattices(words, pieces)), np.full(len(pieces) + 1, 1 / (len(pieces) + 1))
         for _ in range(EM_ROUNDS):
-            used = lattice.expected(p, n)
+            used = sum(lattice.expected(p, n[some]) for some, lattice in parts)
             p = used / max(used.sum(), 1e-9) + FLOOR
             p /= p.sum()
         model[lang] = p
@@ -113,7 +159,7 @@ def learn(counts: dict[str, tuple[list[str], np.ndarray]], pieces: dict[str, int
 
 
 class Scorer:
-    def __init__(self, model: dict[str, np.ndarray], pieces: dict[str, int]) -> None:
+    def __init__(self, model: dict[str, np.ndarray], pieces: Pieces) -> None:
         self.langs, self.model, self.pieces = list(model), list(model.values()), pieces
         self.clear()
 
@@ -127,12 +173,11 @@ class Scorer:
             self.clear()
         new = [w for w in dict.fromkeys(w for ws in split for w in ws) if w not in self.known]
         if new and self.langs:
-            logs = []
-            for at in range(0, len(new), 20_000):
-                lattice = Lattice(new[at : at + 20_000], self.pieces)
-                logs.append(np.stack([lattice.log_sums(p) for p in self.model], axis=1))
+            logs = np.zeros((len(new), len(self.langs)))
+            for some, lattice in lattices(new, self.pieces):
+                logs[some] = np.stack([lattice.log_sums(p) for p in self.model], axis=1)
             self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
-            self.logs = np.vstack([self.logs, *logs])
+            self.logs = np.vstack([self.logs, logs])
         best, score = [], []
         for ws in split:
             if not ws or not self.langs:
@@ -157,22 +202,22 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def train(labelled: DataFrame, sample: int = 1500, types: int = 25_000, vocabulary: str = VOCABULARY) -> tuple[dict[str, np.ndarray], dict[str, int]]:
-    """labelled: doc_id, text, lang. About `sample` documents a language, drawn by a hash of doc_id over all of them,
-    and the `types` most frequent words of each language in these; the driver gets no more than those counts."""
+def train(labelled: DataFrame, sample: int = 1500, vocabulary: str = VOCABULARY) -> tuple[dict[str, np.ndarray], Pieces]:
+    """labelled: doc_id, text, lang. About `sample` documents a language, drawn by a hash of doc_id over all of them;
+    the driver gets the word counts of these."""
     small_batches(labelled.sparkSession)
     pieces = read_pieces(vocabulary)
     labelled = labelled.filter("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
-    part = F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, sample / n)))) if sizes else F.lit(None)
+    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().limit(LANGUAGES + 1).collect()}
+    if len(sizes) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
     if not sizes:
         return {}, pieces
+    part = F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, sample / n))))
     drawn = labelled.filter(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_000)) < part[F.col("lang")] * 1_000_000)
     words = drawn.select("lang", "text").mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    top = words.withColumn("rank", rank).filter(F.col("rank") <= types).toPandas()
-    counts = {k: (list(x["word"]), x["n"].to_numpy(float)) for k, x in top.sort_values(["lang", "rank"]).groupby("lang")}
-    return learn(counts, pieces), pieces
+    found = words.toPandas().sort_values(["lang", "word"])
+    return learn({k: (list(x["word"]), x["n"].to_numpy(float)) for k, x in found.groupby("lang")}, pieces), pieces
 
 
 _scorers: dict[str, Scorer] = {}
@@ -187,7 +232,7 @@ def _identify(batches, model, key: str, names: list[str]):
         yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "score"])
 
 
-def identify(docs: DataFrame, model: dict[str, np.ndarray], pieces: dict[str, int]) -> DataFrame:
+def identify(docs: DataFrame, model: dict[str, np.ndarray], pieces: Pieces) -> DataFrame:
     """docs: text. Adds lang_pred and score (the language's posterior probability under equal priors)."""
     spark = docs.sparkSession
     small_batches(spark)

@@ -1,12 +1,14 @@
 from __future__ import annotations
 
 import collections
+import functools
 import hashlib
 import itertools
 import random
 import re
 import string
 import time
+import zlib
 
 import numpy as np
 import pytest
@@ -127,20 +129,74 @@ def test_crowded_texts_of_one_and_two_shingles(spark):
     assert sorted(r.doc_id for r in simhash.near_distinct(spark.createDataFrame(docs, TEXTS), crowd=3).collect()) == [0, 7, 14]
 
 
-def test_forward_sums_all_segmentations():
-    pieces = {p: i for i, p in enumerate(["▁", "▁a", "a", "b", "ab", "▁ab", "ba", "▁aba"])}
+PIECES = langid.Pieces({p: i for i, p in enumerate(["▁", "▁a", "a", "b", "ab", "▁ab", "ba", "▁aba"])})
+
+
+def segmentations(text, pieces):
+    if not text:
+        yield []
+    for n in range(1, len(text) + 1):
+        if text[:n] in pieces or n == 1:
+            yield from ([pieces.get(text[:n], len(pieces)), *rest] for rest in segmentations(text[n:], pieces))
+
+
+@pytest.mark.parametrize("short", [36, 0])
+def test_forward_sums_all_segmentations(monkeypatch, short):
+    monkeypatch.setattr(langid, "SHORT_WORD", short)
     rng = np.random.default_rng(1)
-    p = rng.random(len(pieces) + 1)
+    p, words = rng.random(len(PIECES) + 1), ["a", "abab", "aba", "zb", "bbabaaab"]
+    ways = [[(np.prod(p[x]), np.bincount(x, minlength=len(p))) for x in map(list, segmentations("▁" + w, PIECES))] for w in words]
+    lattice = langid.Lattice(words, PIECES)
+    assert np.allclose(lattice.log_sums(p), [np.log(sum(q for q, _ in x)) for x in ways])
+    n = np.arange(1.0, 6)
+    want = sum(c * sum(q * use for q, use in x) / sum(q for q, _ in x) for c, x in zip(n, ways, strict=True))
+    assert np.allclose(lattice.expected(p, n), want)
 
-    def total(text):
-        if not text:
-            return 1.0
-        return sum(p[pieces.get(text[:n], len(pieces))] * total(text[n:]) for n in range(1, len(text) + 1) if text[:n] in pieces or n == 1)
 
-    words = ["a", "abab", "aba", "zb", "bbabaaab"]
-    assert np.allclose(langid.Lattice(words, pieces).log_sums(p), [np.log(total("▁" + w)) for w in words])
-    used = langid.Lattice(words, pieces).expected(p, np.ones(len(words)))
-    assert used.min() >= 0 and len(words) <= used.sum() <= sum(map(len, words)) + len(words)
+def test_long_words_do_not_vanish():
+    p = np.full(len(PIECES) + 1, 1e-7)
+    got = langid.Lattice(["a", "ab" * 3000], PIECES).log_sums(p)
+    assert np.isfinite(got).all() and abs(got[1] - langid.Lattice(["ab" * 1500], PIECES).log_sums(p)[0] * 2) < 50
+
+
+def test_language_query_against_brute_force(spark, tmp_path):
+    """Training and scoring by enumeration of all segmentations, on short words."""
+    rng = random.Random(3)
+    vocabulary = {"de": ["der", "und", "hund", "katze"], "en": ["the", "and", "dog", "cat"], "fr": ["le", "et", "chien", "chat"]}
+    docs = [(i, " ".join(rng.choices(vocabulary[lang], k=rng.randint(1, 6))), lang) for i, lang in enumerate(rng.choices(list(vocabulary), k=40))]
+    docs += [(100, "Der DOG", None), (None, "the cat", "en"), (101, None, "de"), (102, "12 !", "fr"), (103, "the dog", "en"), (103, "the dog", "en")]
+    spark.createDataFrame(docs, TEXTS + ", lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.QUERIES["op6_language_id"](spark, str(tmp_path)).collect()
+    pieces = langid.read_pieces(langid.VOCABULARY)
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 3 == 1
+    ways = functools.cache(lambda w: [np.array(x) for x in segmentations("▁" + w, pieces)])
+    model = {}
+    for lang in vocabulary:
+        counts = collections.Counter(w for i, t, x in docs if x == lang and t and i is not None and not held(i) for w in langid.words_of(t))
+        p = np.full(len(pieces) + 1, 1 / (len(pieces) + 1))
+        for _ in range(langid.EM_ROUNDS):
+            used = np.zeros(len(p))
+            for w, n in counts.items():
+                each = [np.prod(p[x]) for x in ways(w)]
+                for q, x in zip(each, ways(w), strict=True):
+                    np.add.at(used, x, n * q / sum(each))
+            p = used / used.sum() + langid.FLOOR
+            p /= p.sum()
+        model[lang] = p
+    assert len(got) == len(docs)
+    for r, t in [(r, t) for r in got for i, t, _ in [next(d for d in docs if d[0] == r.doc_id)]]:
+        words = langid.words_of(t)
+        if not words:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        logs = {lang: sum(np.log(sum(np.prod(p[x]) for x in ways(w))) for w in words) for lang, p in model.items()}
+        best = max(sorted(logs), key=logs.get)
+        assert r.lang_pred == best and r.held_out == held(r.doc_id) and abs(r.score - 1 / sum(np.exp(x - logs[best]) for x in logs.values())) < 1e-9
+
+
+def test_equal_languages_go_by_name():
+    model = {lang: np.full(len(PIECES) + 1, 0.1) for lang in ("b", "a")}
+    assert langid.Scorer(dict(sorted(model.items())), PIECES)(["ab a"]) == (["a"], [0.5])
 
 
 def test_language_of_held_out_documents(spark):
