@@ -11,8 +11,9 @@ conversation is its pieces one after the other; mask_start and mask_end bound wh
 needs a whole conversation in memory: digests() streams pieces sorted by conversation and place.
 
 Defined results: null roles and texts are empty; a null conv_id is a conversation of its own; rows with the same
-place are ordered by role, text and row; repeated rows are turns of their own; a conversation without messages has no
-row; an empty log gives an empty result; other columns aren't read.
+place are ordered by role, text (both as they were, not escaped) and row; repeated rows are turns of their own; a
+message's log is folded in one task, with one join of strings, and its text has to fit a row; a conversation without
+messages has no row; an empty log gives an empty result; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -38,6 +39,13 @@ def escape(text: Column, escapes=ESCAPES) -> Column:
     return text
 
 
+def plain(text: Column, escapes=ESCAPES) -> Column:
+    """unescape() of a column."""
+    for was, coded in reversed(escapes):
+        text = F.replace(text, F.lit(coded), F.lit(was))
+    return text
+
+
 def unescape(text: str, escapes=ESCAPES) -> str:
     for plain, coded in reversed(escapes):
         text = text.replace(coded, plain)
@@ -49,9 +57,12 @@ def fold(events: DataFrame) -> DataFrame:
     of_text = F.col("kind").isin("message", "delta", "edit")
     ordered = F.array_sort(F.collect_list(F.struct("seq", "step", "kind", F.coalesce("role", F.lit("")).alias("role"), F.when(of_text, F.coalesce("text", F.lit(""))).otherwise("").alias("text"))))
     folded = events.groupBy("conv_id", "message_id").agg(ordered.alias("log"))
-    text = F.aggregate("log", F.lit(""), lambda so_far, e: F.when(e["kind"] == "delta", F.concat(so_far, e["text"])).otherwise(e["text"]))
-    role = F.aggregate("log", F.lit(""), lambda so_far, e: F.when(e["kind"] == "message", e["role"]).otherwise(so_far))
-    return folded.select("conv_id", F.col("log")[0]["seq"].alias("seq"), "message_id", role.alias("role"), text.alias("text"))
+    # the text is what the last event that sets it says, and all deltas after it, joined once
+    anew = F.array_position(F.reverse(F.transform("log", lambda e: e["kind"] != "delta")), F.lit(True))
+    since = F.when(anew == 0, F.col("log")).otherwise(F.slice("log", -F.greatest(anew, F.lit(1)).cast("int"), F.greatest(anew, F.lit(1)).cast("int")))
+    folded = folded.select("conv_id", "message_id", F.col("log")[0]["seq"].alias("seq"), F.array_join(F.transform(since, lambda e: e["text"]), "").alias("text"), F.filter("log", lambda e: e["kind"] == "message").alias("heads"))
+    role = F.coalesce(F.try_element_at("heads", F.lit(-1))["role"], F.lit(""))
+    return folded.select("conv_id", "seq", "message_id", role.alias("role"), "text")
 
 
 def render(messages: DataFrame, learned: str = LEARNED) -> DataFrame:
@@ -109,8 +120,10 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 def digests(pieces: DataFrame) -> DataFrame:
     """Reads rendered pieces back: one row a conversation (see DIGESTS)."""
     small_batches(pieces.sparkSession)
-    order = ["conv_id", "seq", "role_", "text_", "message_id"]
-    sorted_ = pieces.withColumns({"role_": F.substring_index("piece", AFTER_ROLE, 1), "text_": F.col("piece")}).repartition("conv_id").sortWithinPartitions(*order)
+    head = F.substring_index("piece", AFTER_ROLE, 1)
+    role, body = F.substring("piece", F.lit(len(HEAD) + 1), F.char_length(head) - len(HEAD)), F.substring("piece", F.char_length(head) + len(AFTER_ROLE) + 1, F.char_length("piece") - F.char_length(head) - len(AFTER_ROLE) - len(END))
+    places = {"role_": plain(role, ROLE_ESCAPES), "text_": plain(body)}  # made after the shuffle
+    sorted_ = pieces.repartition("conv_id").withColumns(places).sortWithinPartitions("conv_id", "seq", "role_", "text_", "message_id")
     return sorted_.select("conv_id", "piece", "mask_start", "mask_end").mapInArrow(_digest, DIGESTS)
 
 

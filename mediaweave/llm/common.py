@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from mediaweave.sources.shared import publish, publish_by, remove, shared_dir
 
-__all__ = ["join_by_size", "lower_ascii", "packed", "publish", "publish_by", "remove", "shared_dir", "small_batches", "table", "unpacked", "with_results"]
+__all__ = ["join_by_size", "lower_ascii", "map_rows", "packed", "publish", "publish_by", "remove", "shared_dir", "small_batches", "table", "unpacked"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -30,13 +32,6 @@ def lower_ascii(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, UPPER.lower()))
 
 
-def with_results(schema: StructType, results: str) -> tuple[list[str], StructType]:
-    """The columns of a table that pass through an operator, and its output schema: a column with a result's name goes."""
-    own = StructType.fromDDL(results)
-    passing = [f for f in schema.fields if f.name not in own.names]
-    return [f.name for f in passing], StructType(passing + own.fields)
-
-
 #: Rows of one key that join_by_size() leaves in one task, and how many keys at most may have more.
 MOST_ROWS, MOST_KEYS = 1000, 20_000
 
@@ -66,7 +61,8 @@ REST = "_rest"
 
 
 def packed(docs: DataFrame, *names: str) -> DataFrame:
-    """The named columns, and all others in one struct, so that none of their names can clash with an operator's."""
+    """The named columns, and all others in one struct, so that none of their names can clash with an operator's. What is
+    packed can be packed again."""
     others = [F.col(f"`{c}`") for c in docs.columns if c not in names]
     return docs.select(*names, *([F.struct(*others).alias(REST)] if others else []))
 
@@ -74,3 +70,16 @@ def packed(docs: DataFrame, *names: str) -> DataFrame:
 def unpacked(columns: list[str], *names: str) -> list[Column]:
     """The columns of a table that packed() took, in their order."""
     return [F.col(c) if c in names else F.col(f"{REST}.`{c}`").alias(c) for c in columns]
+
+
+def map_rows(docs: DataFrame, name: str, function, results: str) -> DataFrame:
+    """Columns that a function makes from column `name`, beside those of docs; a column that has the name of a result is
+    replaced. function(batches, names, out): the columns to pass on, and all in the order in which they are returned."""
+    small_batches(docs.sparkSession)
+    own = StructType.fromDDL(results)
+    columns = [c for c in docs.columns if c not in own.names]
+    docs = packed(docs, name)
+    passing = [f for f in docs.schema.fields if f.name not in own.names]
+    schema = StructType(passing + own.fields)
+    found = docs.mapInArrow(partial(function, names=[f.name for f in passing], out=schema.names), schema)
+    return found.select(*unpacked(columns, name), *own.names)

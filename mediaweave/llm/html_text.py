@@ -15,12 +15,11 @@ from __future__ import annotations
 
 import html
 import re
-from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from mediaweave.llm.common import small_batches, table, with_results
+from mediaweave.llm.common import map_rows, table
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -268,9 +267,7 @@ def _render(batches, names: list[str], out: list[str]):
 
 def extract_text(pages: DataFrame) -> DataFrame:
     """pages: html. Adds text, n_blocks, n_tables, n_items."""
-    small_batches(pages.sparkSession)
-    names, schema = with_results(pages.schema, RESULTS)
-    return pages.mapInArrow(partial(_render, names=names, out=schema.names), schema)
+    return map_rows(pages, "html", _render, RESULTS)
 
 
 def op4_html_text(spark, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mediaweave.llm.common import small_batches, table, with_results
+from mediaweave.llm.common import map_rows, small_batches, table
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -223,22 +223,20 @@ def train(labelled: DataFrame, sample: int = 1500, vocabulary: str = VOCABULARY)
 _scorers: dict[str, Scorer] = {}
 
 
-def _identify(batches, model, key: str, names: list[str]):
+def _identify(batches, names: list[str], out: list[str], model, key: str):
     if key not in _scorers:
         _scorers.clear()
         _scorers[key] = Scorer(*model.value)
     for batch in batches:
         lang, score = _scorers[key](batch.column("text").to_pylist())
-        yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "score"])
+        yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=out)
 
 
 def identify(docs: DataFrame, model: dict[str, np.ndarray], pieces: Pieces) -> DataFrame:
     """docs: text. Adds lang_pred and score (the language's posterior probability under equal priors)."""
     spark = docs.sparkSession
-    small_batches(spark)
-    names, schema = with_results(docs.schema, "lang_pred string, score double")
     shared = spark.sparkContext.broadcast((model, pieces))  # one number a piece of the fixed vocabulary and language
-    return docs.mapInArrow(partial(_identify, model=shared, key=uuid.uuid4().hex, names=names), schema)
+    return map_rows(docs, "text", partial(_identify, model=shared, key=uuid.uuid4().hex), "lang_pred string, score double")
 
 
 def op6_language_id(spark, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediaweave.llm.common import small_batches, table, with_results
+from mediaweave.llm.common import map_rows, table
 
 def _gnu(kind: str, version: str) -> tuple[str, ...]:
     """The notices of a license of the GNU family: kind is what stands before General."""
@@ -190,9 +190,7 @@ def _find(batches, names: list[str], out: list[str], least: float):
 def find_licenses(docs: DataFrame, least: float = COVERAGE) -> DataFrame:
     """docs: text. One row a match: the columns of docs, license, coverage, first_word and last_word (numbers of words),
     start and end (code points, end exclusive)."""
-    small_batches(docs.sparkSession)
-    names, schema = with_results(docs.schema, RESULTS)
-    return docs.mapInArrow(partial(_find, names=names, out=schema.names, least=least), schema)
+    return map_rows(docs, "text", partial(_find, least=least), RESULTS)
 
 
 def op8_license_scan(spark, sf_dir: str) -> DataFrame:

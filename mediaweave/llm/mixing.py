@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mediaweave.llm.common import publish, table
+from mediaweave.llm.common import packed, publish, table, unpacked
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: More sources than that are joined by a shuffle instead of a broadcast.
@@ -82,7 +82,10 @@ def sample_cuts(hashed: DataFrame, sources: DataFrame, many: bool) -> DataFrame:
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, max_epochs: int = 2, seed: str = "mix", carry: bool = True) -> DataFrame:
     """docs: doc_id, text, source. Adds size, source_size, target, repeats and taken (repeats * size) to the columns of
     docs, or without carry to doc_id."""
-    keep = [c for c in docs.columns if c not in ("size", "source_size", "target", "repeats", "taken")] if carry else ["doc_id"]
+    results = ("size", "source_size", "target", "repeats", "taken")
+    columns = [c for c in docs.columns if c not in results] if carry else ["doc_id"]
+    docs = packed(docs, "doc_id", "text", "source") if carry else docs.select("doc_id", "text", "source")
+    keep = ["doc_id", *(c for c in docs.columns if c != "doc_id" and carry)]
     hashed = docs.select(*keep, F.col("source").alias("_source"), word_count(F.col("text")).alias("_size"), doc_hash(F.col("doc_id"), seed).alias("_u"))
     if carry:
         narrow = publish(hashed.select("_source", "_size", "_u"))
@@ -96,7 +99,7 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: fl
     many = sources.count() > BROADCAST_SOURCES
     sources = publish(sample_cuts(narrow, sources, many))
     repeats = F.col("_whole") + F.when(F.col("_u") <= F.col("_cut"), 1).otherwise(0)
-    return join_sources(hashed, sources, many).select(*keep, F.col("_size").alias("size"), "source_size", "target", repeats.alias("repeats"), (repeats * F.col("_size")).alias("taken"))
+    return join_sources(hashed, sources, many).select(*unpacked(columns, "doc_id", "text", "source"), F.col("_size").alias("size"), "source_size", "target", repeats.alias("repeats"), (repeats * F.col("_size")).alias("taken"))
 
 
 def op1_mix_sources(spark, sf_dir: str) -> DataFrame:

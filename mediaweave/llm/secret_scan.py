@@ -21,7 +21,7 @@ from functools import partial
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from mediaweave.llm.common import small_batches, table, with_results
+from mediaweave.llm.common import map_rows, table
 
 # The patterns and their least lengths, in the order in which spans that start together are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -134,11 +134,9 @@ def _scan(batches, names: list[str], out: list[str], chars_per_token: float, nam
 
 def scan_secrets(docs: DataFrame, chars_per_token: float = CHARS_PER_TOKEN, vocabulary: str = VOCABULARY) -> DataFrame:
     """docs: text. Adds n_assign, n_access, n_hex, base_sha256 (of the patterns' spans) and spans (all)."""
-    small_batches(docs.sparkSession)
-    names, schema = with_results(docs.schema, RESULTS)
     with open(vocabulary, "rb") as file:
         shared = docs.sparkSession.sparkContext.broadcast(file.read())  # a file of fixed size
-    return docs.mapInArrow(partial(_scan, names=names, out=schema.names, chars_per_token=chars_per_token, name=uuid.uuid4().hex, vocabulary=shared), schema)
+    return map_rows(docs, "text", partial(_scan, chars_per_token=chars_per_token, name=uuid.uuid4().hex, vocabulary=shared), RESULTS)
 
 
 def op5_secret_scan(spark, sf_dir: str) -> DataFrame:

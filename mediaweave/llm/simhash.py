@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediaweave.llm.common import join_by_size, packed, publish, shared_dir, small_batches, table, unpacked, with_results
+from mediaweave.llm.common import join_by_size, packed, publish, shared_dir, small_batches, table, unpacked
 from mediaweave.operators.components import connected_components
 
 BITS, RADIUS = 64, 2
@@ -64,8 +64,8 @@ def with_fingerprints(docs: DataFrame, words: int = 3, seed: int = 42) -> DataFr
     """doc_id, _row (a number of its own) and fp (the fingerprint's bits as a signed long)."""
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("_row"))
-    _, schema = with_results(docs.drop("text").schema, "fp long")
-    return docs.mapInArrow(partial(_fingerprints, words=words, seed=seed), schema)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.mapInArrow(partial(_fingerprints, words=words, seed=seed), f"doc_id {kind}, _row long, fp long")
 
 
 def planes_of(prints: np.ndarray) -> np.ndarray:
