@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediaweave.llm.common import publish, table
+from mediaweave.llm.common import packed, publish, table, unpacked
 from mediaweave.llm.decontam import contamination
 from mediaweave.llm.exact import exact_groups
 from mediaweave.llm.langid import VOCABULARY, held_out, identify, train
@@ -19,23 +19,24 @@ SURE = 0.5
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language go: no letters, or no language that is likelier than all others together."""
     labelled = docs.select("doc_id", "text", "lang").filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    known = identify(docs, *train(labelled, vocabulary=VOCABULARY))
-    return known.filter((F.col("lang_pred") != "und") & (F.col("score") > SURE)).select(docs.columns)
+    known = identify(packed(docs, "doc_id", "text"), *train(labelled, vocabulary=VOCABULARY))
+    return known.filter((F.col("lang_pred") != "und") & (F.col("score") > SURE)).select(*unpacked(docs.columns, "doc_id", "text"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the one with the largest doc_id stays."""
-    return exact_groups(docs, carry=True).filter("kept").select(docs.columns)
+    return exact_groups(packed(docs, "doc_id", "text"), carry=True).filter("kept").select(*unpacked(docs.columns, "doc_id", "text"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity 0.8) the document with the smallest doc_id stays."""
-    return near_distinct(docs).select(docs.columns)
+    return near_distinct(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of a benchmark item go."""
-    return contamination(docs, table(spark, sf_dir, "benchmark")).filter("NOT contaminated").select(docs.columns)
+    found = contamination(packed(docs, "doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.filter("NOT contaminated").select(*unpacked(docs.columns, "doc_id", "text"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
