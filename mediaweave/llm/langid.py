@@ -33,7 +33,7 @@ LANGUAGES = 500
 #: Of a word up to that long the sums can't vanish; those of longer ones are kept as logarithms.
 SHORT_WORD = 36
 #: Words are summed together as long as their longest times their number is no more than that.
-CELLS = 400_000
+CELLS = 200_000
 CACHED_WORDS = 400_000
 EM_ROUNDS = 3
 FLOOR = 1e-7
@@ -44,15 +44,41 @@ def words_of(text: str | None) -> list[str]:
 
 
 class Pieces(dict):
-    """Numbers of the pieces, and all beginnings of pieces: beyond what is none, no piece goes on."""
+    """Numbers of the pieces, and a trie of them: its steps are keys (state, letter) in order, and the states they reach."""
 
     def __init__(self, pieces: dict[str, int]) -> None:
         super().__init__(pieces)
-        self.beginnings = frozenset(p[:n] for p in pieces for n in range(1, len(p) + 1))
+        steps: dict[tuple[int, str], int] = {}
+        number = [-1]  # of the piece that ends in a state
+        for piece, n in pieces.items():
+            state = 0
+            for letter in piece:
+                if (state, letter) not in steps:
+                    steps[state, letter] = len(number)
+                    number.append(-1)
+                state = steps[state, letter]
+            number[state] = n
+        keys = np.array([state << 21 | ord(letter) for state, letter in steps], np.int64)
+        order = np.argsort(keys)
+        self.keys, self.reached, self.number = keys[order], np.fromiter(steps.values(), np.int64, len(steps))[order], np.array(number)
 
     def __reduce__(self):
         return Pieces, (dict(self),)
 
+    def arcs(self, letters: np.ndarray, at: np.ndarray):
+        """For each length in turn: at which places (numbers in `at`) a piece or any one letter starts, and its number."""
+        state, which = np.zeros(len(at), np.int64), np.arange(len(at))
+        length = 1
+        while len(which):
+            wanted = state << 21 | letters[at[which] + length - 1]
+            step = np.minimum(np.searchsorted(self.keys, wanted), max(len(self.keys) - 1, 0))
+            known = self.keys[step] == wanted if len(self.keys) else np.zeros(len(which), bool)
+            state = self.reached[step[known]]
+            found = np.full(len(which), len(self) if length == 1 else -1)
+            found[known] = np.where(self.number[state] >= 0, self.number[state], found[known])
+            yield length, which[found >= 0], found[found >= 0]
+            which, length = which[known], length + 1
+
 
 def read_pieces(path: str) -> Pieces:
     import sentencepiece
@@ -67,43 +93,34 @@ class Lattice:
     """All segmentations of words. An arc is a word, a start, an end and a piece; the last piece is any other letter."""
 
     def __init__(self, words: list[str], pieces: Pieces) -> None:
-        word, start, end, piece = [], [], [], []
-        other, number, beginnings = len(pieces), pieces.get, pieces.beginnings
-        for i, text in enumerate(words):
-            text = START + text
-            n = len(text)
-            for s in range(n):
-                e, p = s + 1, number(text[s], other)
-                while True:
-                    if p is not None:
-                        word.append(i), start.append(s), end.append(e), piece.append(p)
-                    e += 1
-                    if e > n or (part := text[s:e]) not in beginnings:
-                        break
-                    p = number(part)
         self.n, self.sizes = len(words), np.fromiter((len(w) + 1 for w in words), np.int64, len(words))
         self.width = int(self.sizes.max(initial=0)) + 1
-        self.arcs = np.array([word, start, end, piece], np.int64).reshape(4, -1)
-        self.by_end, self.by_start = self._by(2), self._by(1)
-
-    def _by(self, k: int) -> list[np.ndarray]:
-        order = np.argsort(self.arcs[k], kind="stable")
-        cuts = np.searchsorted(self.arcs[k][order], np.arange(self.width + 1))
-        return [self.arcs[:, order[a:b]] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        letters = np.frombuffer("".join(f"{START}{w}\0" for w in words).encode("utf-32-le"), "<u4").astype(np.int64)
+        of, begin = np.repeat(np.arange(self.n), self.sizes), np.cumsum(self.sizes + 1) - self.sizes - 1
+        place = np.arange(len(of)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
+        arcs = [np.stack([of[i], place[i], place[i] + length, piece]) for length, i, piece in pieces.arcs(letters, begin[of] + place)]
+        self.arcs = np.concatenate(arcs, axis=1).astype(np.int32) if arcs else np.zeros((4, 0), np.int32)
+
+    def by(self, k: int) -> list[np.ndarray]:
+        """The arcs by their start (1) or end (2)."""
+        sorted_ = self.arcs[:, np.argsort(self.arcs[k], kind="stable")]
+        cuts = np.searchsorted(sorted_[k], np.arange(self.width + 1))
+        return [sorted_[:, a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
     def forward(self, p: np.ndarray) -> np.ndarray:
         """Logarithms of the sums over all segmentations up to each place."""
+        by_end = self.by(2)
         if self.width <= SHORT_WORD + 2:
             alpha = np.zeros((self.width, self.n))
             alpha[0] = 1
             for e in range(1, self.width):
-                w, s, _, k = self.by_end[e]
+                w, s, _, k = by_end[e]
                 alpha[e] = np.bincount(w, alpha[s, w] * p[k], self.n)
             with np.errstate(divide="ignore"):
                 return np.log(alpha)
         logs = np.zeros((self.width, self.n))
         for e in range(1, self.width):
-            w, s, _, k = self.by_end[e]
+            w, s, _, k = by_end[e]
             with np.errstate(divide="ignore"):  # relative to the place before, from which one letter leads here
                 logs[e] = logs[e - 1] + np.log(np.bincount(w, np.exp(logs[s, w] - logs[e - 1, w]) * p[k], self.n))
             logs[e, e > self.sizes] = 0  # past the word's end
@@ -112,8 +129,9 @@ class Lattice:
     def backward(self, p: np.ndarray) -> np.ndarray:
         logs = np.full((self.width, self.n), -np.inf)
         logs[self.sizes, np.arange(self.n)] = 0
+        by_start = self.by(1)
         for s in range(self.width - 2, -1, -1):
-            w, _, e, k = self.by_start[s]
+            w, _, e, k = by_start[s]
             here = np.unique(w)
             base = logs[s + 1]
             logs[s, here] = (base + np.log(np.maximum(np.bincount(w, np.exp(logs[e, w] - base[w]) * p[k], self.n), 1e-300)))[here]
@@ -131,7 +149,7 @@ class Lattice:
 
 
 def batches_of(words: list[str]):
-    """Numbers of words that are summed together: those of similar length, as many as CELLS allows."""
+    """Numbers of words that are summed together: those of similar length, as many as CELLS allow."""
     order, at = sorted(range(len(words)), key=lambda i: len(words[i])), 0
     while at < len(order):
         to = at + 1
