@@ -20,6 +20,7 @@ import uuid
 from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -164,16 +165,19 @@ def lattices(words: list[str], pieces: Pieces):
         yield np.array(some), Lattice([words[i] for i in some], pieces)
 
 
-def learn(counts: dict[str, tuple[list[str], np.ndarray]], pieces: Pieces) -> dict[str, np.ndarray]:
-    model = {}
-    for lang, (words, n) in sorted(counts.items()):
-        parts, p = list(lattices(words, pieces)), np.full(len(pieces) + 1, 1 / (len(pieces) + 1))
-        for _ in range(EM_ROUNDS):
-            used = sum(lattice.expected(p, n[some]) for some, lattice in parts)
-            p = used / max(used.sum(), 1e-9) + FLOOR
-            p /= p.sum()
-        model[lang] = p
-    return model
+def learn(words: list[str], counts: np.ndarray, pieces: Pieces) -> np.ndarray:
+    """The probability of each piece, and of any other letter, in words that occur so often."""
+    parts, p = list(lattices(words, pieces)), np.full(len(pieces) + 1, 1 / (len(pieces) + 1))
+    for _ in range(EM_ROUNDS):
+        used = sum(lattice.expected(p, counts[some]) for some, lattice in parts)
+        p = used / max(used.sum(), 1e-9) + FLOOR
+        p /= p.sum()
+    return p
+
+
+def _learn(words, pieces: Pieces):
+    words = words.sort_values("word")
+    return pd.DataFrame({"lang": words["lang"].iloc[:1].values, "model": [learn(list(words["word"]), words["n"].to_numpy(float), pieces).tobytes()]})
 
 
 class Scorer:
@@ -222,7 +226,7 @@ def held_out(doc_id: Column) -> Column:
 
 def train(labelled: DataFrame, sample: int = 1500, vocabulary: str = VOCABULARY) -> tuple[dict[str, np.ndarray], Pieces]:
     """labelled: doc_id, text, lang. About `sample` documents a language, drawn by a hash of doc_id over all of them;
-    the driver gets the word counts of these."""
+    a task learns from a language's word counts in these, and the driver gets one number a piece and language."""
     small_batches(labelled.sparkSession)
     pieces = read_pieces(vocabulary)
     labelled = labelled.filter("lang IS NOT NULL AND text IS NOT NULL")
@@ -234,8 +238,12 @@ def train(labelled: DataFrame, sample: int = 1500, vocabulary: str = VOCABULARY)
     part = F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, sample / n))))
     drawn = labelled.filter(F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_000)) < part[F.col("lang")] * 1_000_000)
     words = drawn.select("lang", "text").mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    found = words.toPandas().sort_values(["lang", "word"])
-    return learn({k: (list(x["word"]), x["n"].to_numpy(float)) for k, x in found.groupby("lang")}, pieces), pieces
+
+    def learned(words):
+        return _learn(words, pieces)
+
+    models = words.groupBy("lang").applyInPandas(learned, "lang string, model binary").collect()
+    return {r["lang"]: np.frombuffer(r["model"], float) for r in sorted(models)}, pieces
 
 
 _scorers: dict[str, Scorer] = {}
