@@ -1,20 +1,30 @@
 """4. HTML extraction by layout-aware rendering.
 
 A page's tags build a tree, with the end tags that HTML lets authors leave out and the elements that cannot stand in
-a paragraph. Rendering walks the tree: hidden elements give nothing, blocks stand on lines of their own with the
-space that their kind has, list items get bullets or numbers by depth, preformatted text keeps its white space, and
-table cells are padded to columns.
+a paragraph. A walk over the tree lays it out: what is not displayed gives nothing, blocks stand on lines of their own
+with the space that their kind has, list items get bullets or numbers by depth, preformatted text keeps its white
+space, and table cells stand in columns, spanned ones as well.
+
+Not displayed is what browsers don't display: scripts, styles, templates, closed dialogs, elements with the attribute
+hidden, and those whose style attribute or a style sheet's rule for a tag, a class or an id (outside of @-rules) says
+so; invisible text is left out likewise, but a visible element in it is not.
+
+Both passes go forward once and hold an explicit stack, so that time and output grow with the page and no depth is a
+limit. Layout that could blow a page up is bounded, and no text is lost by it: indents stop at INDENTS characters,
+cells over WIDEST characters don't widen their column, no line is padded beyond PADDED characters, a table inside NESTED
+others is laid out in lines, and a cell spans at most ROWS rows and COLUMNS columns.
 
 Defined results: null or empty html gives empty text and zero counts; broken markup never fails, unknown tags are
-inline; repeated rows get equal results; an empty table gives an empty result. Other columns pass through
-extract_text(), but one that has the name of a result is replaced. The tree has at most DEPTH open elements; what is
-nested deeper hangs from the last of them, and no text is lost.
+inline, a tag without its end is text, and quotes mean nothing from a value on that has no end; repeated rows get
+equal results; an empty table gives an empty result. Other columns pass through extract_text(), whatever their names,
+but one that has the name of a result is replaced.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,32 +33,45 @@ from mediaweave.llm.common import map_rows, table
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("head script style template noscript title datalist iframe object svg math canvas audio video select textarea".split())
-RAW = frozenset("script style textarea title iframe noscript".split())
+HIDDEN = frozenset("head script style template noscript title datalist iframe noembed noframes canvas audio video rp".split())
+IN_HEAD = frozenset("base link meta title style script noscript template".split())
+IN_PICTURES = frozenset("title desc defs metadata style script".split())
+RAW = frozenset("script style textarea title iframe noscript noembed noframes xmp".split())
 BLOCKS = frozenset("address article aside blockquote body dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul caption center".split())
 SPACED = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 hr ol p pre table ul".split())
-#: A start tag closes open elements of these names, up to the first of the bounds.
+INDENTED = frozenset("dd blockquote ul ol".split())
+SECTIONS = frozenset("thead tbody tfoot".split())
+CELLS = frozenset("td th".split())
+TABLE_PARTS = frozenset("table tr td th tbody thead tfoot".split())
+#: A start tag closes open elements of these names that stand inside of the bounds.
+ROW_PARTS = ("tr", "td", "th", "caption")
 IMPLIED = {
-    "li": (("li",), ("ul", "ol", "menu")),
-    "dt": (("dt", "dd"), ("dl",)),
-    "dd": (("dt", "dd"), ("dl",)),
-    "tr": (("tr", "td", "th", "caption"), ("table",)),
+    "li": (("li",), ("ul", "ol", "menu", "table", "td", "th", "blockquote", "section", "article")),
+    "dt": (("dt", "dd"), ("dl", "table", "td", "th")),
+    "dd": (("dt", "dd"), ("dl", "table", "td", "th")),
+    "tr": (ROW_PARTS, ("table",)),
     "td": (("td", "th"), ("tr", "table")),
     "th": (("td", "th"), ("tr", "table")),
-    "thead": (("thead", "tbody", "tfoot", "tr", "td", "th", "caption"), ("table",)),
-    "tbody": (("thead", "tbody", "tfoot", "tr", "td", "th", "caption"), ("table",)),
-    "tfoot": (("thead", "tbody", "tfoot", "tr", "td", "th", "caption"), ("table",)),
+    "thead": (("thead", "tbody", "tfoot", *ROW_PARTS), ("table",)),
+    "tbody": (("thead", "tbody", "tfoot", *ROW_PARTS), ("table",)),
+    "tfoot": (("thead", "tbody", "tfoot", *ROW_PARTS), ("table",)),
     "option": (("option",), ("select",)),
-    "body": (("head",), ("html",)),
+    "optgroup": (("option", "optgroup"), ("select",)),
 }
 ENDS_P = BLOCKS - {"html", "body", "td", "th", "tr", "tbody", "thead", "tfoot", "caption", "legend", "summary"}
-SCOPES = frozenset("table td th caption html body button".split())
-INDENT, DEPTH = "  ", 400
+SCOPES = ("table", "td", "th", "caption", "button")
+INDENT, INDENTS, WIDEST, PADDED, NESTED, ROWS, COLUMNS = "  ", 80, 40, 160, 6, 200, 1000
+BETWEEN = " | "
 RESULTS = "text string, n_blocks long, n_tables long, n_items long"
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-NOT_SHOWN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*(?:display\s*:\s*none|visibility\s*:\s*hidden)""", re.I)
-NUMBER = re.compile(r"""\b(?:start|value)\s*=\s*["']?(-?\d{1,9})""", re.I)
+# possessive, so that no tag is read twice
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
+LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"?|'([^']*+)'?|([^\s"'>]++)))?+""")
+STYLED = re.compile(r"hidden|style|class|id\b|open|span|start|value", re.I)
+RULE = re.compile(r"(display|visibility)\s*+:\s*+([a-z-]++)", re.I)
+COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+SELECTOR = re.compile(r"(?:([a-z][a-z0-9]*+)|\.([\w-]++)|#([\w-]++))", re.I)
 WHITE = re.compile(r"[ \t\r\n\f]+")
 
 
@@ -58,67 +81,134 @@ class Node:
     def __init__(self, name: str, attributes: str = "") -> None:
         self.name, self.attributes, self.children = name, attributes, []
 
+    def values(self) -> dict[str, str]:
+        """Attributes by name; the first of a name counts."""
+        found: dict[str, str] = {}
+        if STYLED.search(self.attributes):
+            for m in ATTRIBUTE.finditer(self.attributes):
+                found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+        return found
+
+
+class Builder:
+    """The tree, with the open elements on a stack and the places of each name on it."""
+
+    def __init__(self) -> None:
+        self.root = Node("html")
+        self.open = [self.root]
+        self.places: dict[str, list[int]] = {}
+
+    def last(self, names) -> int:
+        return max((x[-1] for n in names if (x := self.places.get(n))), default=0)
 
-def tree(source: str) -> Node:
-    root = Node("html")
-    open_ = [root]
+    def cut(self, at: int) -> None:
+        while len(self.open) > at:
+            self.places[self.open.pop().name].pop()
 
-    def text(part: str) -> None:
+    def close(self, names, bounds) -> None:
+        """Closes the outermost open element of the names that is inside of the last bound."""
+        bound = self.last(bounds)
+        inside = [x[i] for n in names if (x := self.places.get(n)) and (i := bisect_right(x, bound)) < len(x)]
+        if inside:
+            self.cut(min(inside))
+
+    def text(self, part: str) -> None:
         if part:
-            open_[-1].children.append(html.unescape(part))
-
-    def close(names, bounds) -> None:
-        for i in range(len(open_) - 1, 0, -1):
-            if open_[i].name in names:
-                # close outward as long as there is one of the names before a bound
-                del open_[i:]
-                return close(names, bounds)
-            if open_[i].name in bounds:
-                return None
-        return None
-
-    at = 0
-    while m := TOKEN.search(source, at):
-        text(source[at : m.start()])
-        at = m.end()
-        if m[1]:
-            name = m[1].lower()
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i].name == name:
-                    del open_[i:]
-                    break
-                if open_[i].name in ("table", "td", "th") and name not in ("table", "tr", "td", "th", "tbody", "thead", "tfoot"):
-                    break
-            continue
-        if not m[2]:
-            continue
-        name, attributes = m[2].lower(), m[3]
-        if name == "html":
-            continue
+            if len(self.open) == 2 and self.open[1].name == "head" and not part.isspace():
+                self.cut(1)
+            self.open[-1].children.append(part)
+
+    def end(self, name: str) -> None:
+        found = self.places.get(name)
+        if not found:
+            if name == "br":
+                self.open[-1].children.append(Node("br"))
+        elif name in TABLE_PARTS or found[-1] > self.last(("table", "td", "th")):
+            self.cut(found[-1])
+
+    def start(self, name: str, attributes: str) -> Node:
         if name in IMPLIED:
-            close(*IMPLIED[name])
-        elif name in BLOCKS and any(x.name == "head" for x in open_[1:2]):
-            close(("head",), ())
-        if name in ENDS_P:
-            close(("p",), SCOPES)
+            self.close(*IMPLIED[name])
+        elif len(self.open) > 1 and self.open[1].name == "head" and name not in IN_HEAD:
+            self.cut(1)
+        if name in ENDS_P and self.places.get("p"):
+            self.close(("p",), SCOPES)
         node = Node(name, attributes)
-        open_[-1].children.append(node)
-        if name in RAW:
-            end = re.compile(rf"</{name}\b[^>]*>", re.I).search(source, at)
-            node.children.append(source[at : end.start()] if end else source[at:])
-            at = end.end() if end else len(source)
-        elif name not in VOID and not attributes.endswith("/") and len(open_) < DEPTH:
-            open_.append(node)
-    text(source[at:])
-    return root
+        self.open[-1].children.append(node)
+        closed = attributes.endswith("/") and (self.places.get("svg") or self.places.get("math") or name in ("svg", "math"))
+        if name not in VOID and name not in RAW and not closed:
+            self.places.setdefault(name, []).append(len(self.open))
+            self.open.append(node)
+        return node
+
+
+def tree(source: str) -> tuple[Node, list[str]]:
+    """The tree of a page and its style sheets."""
+    to, at, n, last, sheets, strict = Builder(), 0, len(source), source.rfind(">"), [], TAG.match
+    while at < n:
+        lt = source.find("<", at)
+        if lt < 0 or lt > last and not source.startswith("<!--", lt):  # no tag ends any more
+            to.text(html.unescape(source[at:]))
+            break
+        then = source[lt + 1 : lt + 2]
+        if then.isascii() and then.isalpha() or then == "/" and source[lt + 2 : lt + 3].isascii() and source[lt + 2 : lt + 3].isalpha():
+            to.text(html.unescape(source[at:lt]))
+            m = strict(source, lt)
+            if m is None:
+                strict = LOOSE.match
+                m = strict(source, lt)
+            at, name = m.end(), m[2].lower()
+            if m[1]:
+                to.end(name)
+            elif name != "html" and not (name == "body" and to.places.get("body")):
+                node = to.start(name, m[3])
+                if name in RAW:
+                    end = re.compile(rf"</{name}(?=[\s/>])[^>]*+>?", re.I).search(source, at)
+                    raw, at = (source[at : end.start()], end.end()) if end else (source[at:], n)
+                    node.children.append(html.unescape(raw) if name == "textarea" else raw)
+                    if name == "style":
+                        sheets.append(raw)
+        elif then and then in "!?/":
+            to.text(html.unescape(source[at:lt]))
+            end = source.find("-->", lt + 2) if source.startswith("<!--", lt) else source.find(">", lt)
+            at = n if end < 0 else end + (3 if source.startswith("<!--", lt) else 1)
+        else:
+            to.text(html.unescape(source[at : lt + 1]))
+            at = lt + 1
+    return to.root, sheets
+
+
+def declared(style: str) -> dict[str, str]:
+    return {m[1].lower(): m[2].lower() for m in RULE.finditer(style)}
+
+
+def rules_of(sheets: list[str]) -> dict[str, dict[str, str]]:
+    """What style sheets say of a tag, a class or an id; later rules win, those inside of @-rules don't count."""
+    found: dict[str, dict[str, str]] = {}
+    for sheet in sheets:
+        depth, head = 0, ""
+        parts = re.split(r"([{}])", COMMENT.sub(" ", sheet))
+        for i in range(0, len(parts), 2):
+            mark = parts[i + 1] if i + 1 < len(parts) else ""
+            if mark == "{":
+                depth, head = depth + 1, parts[i].rsplit(";", 1)[-1] if depth == 0 else head
+            elif mark == "}":
+                said = declared(parts[i]) if depth == 1 and "@" not in head else {}
+                for selector in head.split(",") if said else ():
+                    if SELECTOR.fullmatch(selector.strip()):
+                        found.setdefault(selector.strip(), {}).update(said)
+                depth = max(depth - 1, 0)
+    return found
 
 
 class Lines:
-    """Text that is being laid out: words flow, blocks break lines, spaced blocks leave one empty line."""
+    """Text that is being laid out: words flow, blocks break lines, spaced blocks leave one empty line. Inner blocks are
+    levels, with what stands before their first line and before the others."""
 
     def __init__(self) -> None:
         self.done: list[str] = []
         self.line: list[str] = []
+        self.levels: list[list] = []  # mark, whether a line of it is done, what stands before the others
         self.gap = self.blank = False
 
     def word(self, part: str, pre: bool = False) -> None:
@@ -140,122 +230,249 @@ class Lines:
                 self.gap = False
         self.gap = self.gap or not words[-1]
 
+    def put(self, line: str) -> None:
+        if self.blank and self.done:
+            self.done.append("")
+        self.blank = False
+        new = len(self.levels)
+        while new and not self.levels[new - 1][1]:
+            new -= 1
+            self.levels[new][1] = True
+        before = self.levels[new - 1][2] if new else ""
+        self.done.append(f"{before}{''.join(x[0] for x in self.levels[new:])}{line}".rstrip())
+
     def break_(self, keep: bool = False) -> None:
         whole = "".join(self.line)
-        if whole.strip() or keep:
-            if self.blank and self.done:
-                self.done.append("")
-            self.done.append(whole.rstrip())
-            self.blank = False
+        if keep or whole.strip():
+            self.put(whole)
         self.line, self.gap = [], False
 
     def space(self) -> None:
         self.break_()
-        self.blank = True
+        if not self.levels or self.levels[-1][1]:  # none before a level's first line
+            self.blank = True
 
-    def add(self, lines: list[str], first: str = "", rest: str = "") -> None:
+    def enter(self, mark: str = "") -> None:
+        before = self.levels[-1][2] if self.levels else ""
+        self.levels.append([mark, False, before + " " * len(mark) if len(before) < INDENTS else before])
+
+    def leave(self, keep: bool = False) -> None:
         self.break_()
-        for i, x in enumerate(lines):
-            if self.blank and self.done:
-                self.done.append("")
+        if keep and not self.levels[-1][1]:
+            self.put("")
+        if self.levels.pop()[1]:
             self.blank = False
-            self.done.append((f"{rest if i else first}{x}").rstrip())
 
 
-class Page:
+def number(text: str | None, least: int, most: int, default: int) -> int:
+    m = re.match(r"\s*(-?\d{1,9})", text or "")
+    return min(max(int(m[1]), least), most) if m else default
+
+
+class Grid:
+    """A table's cells by row and column."""
+
     def __init__(self) -> None:
-        self.blocks = self.tables = self.items = 0
-
-    def lay(self, node: Node, out: Lines, pre: bool = False) -> None:
-        number = int(found[1]) if node.name == "ol" and (found := NUMBER.search(node.attributes)) else 1
-        for child in node.children:
-            if isinstance(child, str):
-                out.word(child, pre)
-                continue
-            name = child.name
-            if name in HIDDEN or NOT_SHOWN.search(child.attributes):
-                continue
-            if name == "br":
-                out.break_(keep=True)
-            elif name == "table":
-                self.tables += 1
-                out.space()
-                out.add(self.grid(child))
-                out.space()
-            elif name == "li":
-                self.items += 1
-                inner = Lines()
-                self.lay(child, inner, pre)
-                inner.break_()
-                mark = "- "
-                if node.name == "ol":
-                    number = int(found[1]) if (found := NUMBER.search(child.attributes)) else number
-                    mark, number = f"{number}. ", number + 1
-                out.add(inner.done or [""], mark, " " * len(mark))
-            elif name in ("ul", "ol", "dd", "blockquote") and name in BLOCKS:
-                self.blocks += 1
-                inner = Lines()
-                self.lay(child, inner, pre)
-                inner.break_()
-                nested = node.name == "li"
-                out.break_() if nested or name == "dd" else out.space()
-                indent = INDENT if name in ("dd", "blockquote") else ""
-                out.add(inner.done, indent, indent)
-                out.break_() if nested or name == "dd" else out.space()
-            elif name in BLOCKS:
-                self.blocks += 1
-                out.space() if name in SPACED else out.break_()
-                self.lay(child, out, pre or name == "pre")
-                out.space() if name in SPACED else out.break_()
-            else:
-                self.lay(child, out, pre)
+        self.titles: list[str] = []
+        self.rows: list[list[tuple[int, int, list[str]]]] = []  # first column, columns, lines
+        self.spanned: list[tuple[int, int, int]] = []  # columns that cells above still use: first, end, last row
+        self.below: list[tuple[int, int, int]] = []  # those that this row's cells use further down
+
+    def cell(self, lines: list[str], values: dict[str, str]) -> None:
+        if not self.rows:
+            self.rows.append([])
+        row, at = self.rows[-1], 0
+        if row:
+            at = row[-1][0] + row[-1][1]
+        else:
+            self.spanned = sorted(x for x in self.spanned if x[2] >= len(self.rows))
+        width = number(values.get("colspan"), 1, COLUMNS, 1)
+        for first, end, _ in self.spanned[max(bisect_left(self.spanned, (at, 0, 0)) - 1, 0) :]:
+            if first > at:
+                break
+            at = max(at, end)
+        row.append((at, width, lines))
+        if (rows := number(values.get("rowspan"), 1, ROWS, 1)) > 1:
+            self.below.append((at, at + width, len(self.rows) + rows - 1))
+
+    def row(self) -> None:
+        self.rows.append([])
+        self.spanned += self.below
+        self.below = []
+
+    def lines(self) -> list[str]:
+        starts = sorted({c for row in self.rows for c, _, _ in row})
+        widths = [0] * len(starts)
+        for row in self.rows:
+            for c, n, lines in row:
+                if n == 1:
+                    widths[bisect_left(starts, c)] = max(widths[bisect_left(starts, c)], max((len(x) for x in lines if len(x) <= WIDEST), default=0))
+        begin = [0]
+        for w in widths:
+            begin.append(min(begin[-1] + w + len(BETWEEN), PADDED))
+        out = list(self.titles)
+        for row in self.rows:
+            below: dict[int, list[tuple[int, str]]] = {}
+            line, columns = [], 0
+            size = 0
+            for c, n, lines in row:
+                k = bisect_left(starts, c)
+                while columns < k and size < begin[k]:  # columns that cells above span
+                    line.append(" " * max(begin[columns + 1] - len(BETWEEN) - size, 0) + BETWEEN)
+                    size, columns = size + len(line[-1]), columns + 1
+                columns = bisect_left(starts, c + n)
+                first = lines[0] if lines else ""
+                line.append((first.ljust(begin[columns] - len(BETWEEN) - size) if begin[columns] < PADDED else first) + BETWEEN)
+                size += len(line[-1])
+                for i, x in enumerate(lines[1:], 1):
+                    below.setdefault(i, []).append((begin[k], x))
+            if row:
+                out.append("".join(line)[: -len(BETWEEN)].rstrip())
+            for i in sorted(below):
+                text = ""
+                for at, x in below[i]:
+                    text = text.ljust(at) + x if len(text) <= at else f"{text} {x}"
+                out.append(text)
+        return out
+
+
+class Frame:
+    __slots__ = ("node", "children", "pre", "shown", "number", "grid", "lines", "leave")
+
+    def __init__(self, node, pre, shown, grid, lines, leave=None) -> None:
+        self.node, self.children, self.pre, self.shown, self.grid, self.lines, self.leave = node, iter(node.children), pre, shown, grid, lines, leave
+        self.number = 1
 
-    def grid(self, node: Node) -> list[str]:
-        rows: list[list[list[str]]] = []
-        titles: list[str] = []
 
-        def cell(of: Node) -> list[str]:
+class Page:
+    def __init__(self, source: str) -> None:
+        self.blocks = self.tables = self.items = self.nested = 0
+        self.pictures = 0
+        root, sheets = tree(source)
+        self.rules = rules_of(sheets)
+        self.out = Lines()
+        self.todo = [Frame(root, False, True, None, self.out)]
+        while self.todo:
+            frame = self.todo[-1]
+            for child in frame.children:
+                if not isinstance(child, str):
+                    if self.enter(child, frame):
+                        break
+                elif frame.grid is not None:
+                    if frame.shown and (words := WHITE.sub(" ", child).strip()):
+                        frame.grid.titles.append(words)
+                elif frame.shown:
+                    frame.lines.word(child, frame.pre)
+            else:
+                self.todo.pop()
+                if frame.leave:
+                    frame.leave()
+        self.out.break_()
+
+    def said(self, node: Node, values: dict[str, str]) -> dict[str, str]:
+        """What styles say of display and visibility: by tag, class, id and attribute, the last counts most."""
+        found = dict(self.rules.get(node.name, ())) if self.rules else {}
+        if self.rules and values:
+            for x in values.get("class", "").split():
+                found.update(self.rules.get(f".{x}", ()))
+            found.update(self.rules.get(f"#{values.get('id')}", ()))
+        if "style" in values:
+            found.update(declared(values["style"]))
+        return found
+
+    def enter(self, node: Node, above: Frame) -> bool:
+        """Starts a child; whether its own children come next."""
+        name, values = node.name, node.values() if node.attributes else {}
+        if name in HIDDEN or self.pictures and name in IN_PICTURES or "hidden" in values or name == "dialog" and "open" not in values:
+            return False
+        said = self.said(node, values) if self.rules or values else {}
+        if said.get("display") == "none":
+            return False
+        shown = said["visibility"] not in ("hidden", "collapse") if said.get("visibility", "inherit") != "inherit" else above.shown
+        lines, grid, pre = above.lines, above.grid, above.pre
+        go = lambda leave=None, **other: self.todo.append(Frame(node, pre, shown, other.get("grid"), other.get("lines", lines), leave)) or True
+        if grid is not None:
+            if name == "tr":
+                grid.row()
+                return go(grid=grid)
+            if name in SECTIONS:
+                return go(grid=grid)
+            if name == "colgroup":
+                return False
             inner = Lines()
-            self.lay(of, inner)
-            inner.break_()
-            return inner.done
-
-        def walk(of: Node) -> None:
-            for child in of.children:
-                if isinstance(child, str):
-                    if child.strip():
-                        titles.extend(x for x in [WHITE.sub(" ", child).strip()] if x)
-                elif child.name in HIDDEN or NOT_SHOWN.search(child.attributes):
-                    continue
-                elif child.name == "caption":
-                    titles.extend(cell(child))
-                elif child.name == "tr":
-                    rows.append([])
-                    walk(child)
-                elif child.name in ("td", "th"):
-                    if not rows:
-                        rows.append([])
-                    rows[-1].append(cell(child))
-                elif child.name in ("thead", "tbody", "tfoot", "colgroup"):
-                    walk(child)
-                else:
-                    titles.extend(cell(child))
-
-        walk(node)
-        widths = [max((len(x) for r in rows if len(r) > k for x in r[k]), default=0) for k in range(max(map(len, rows), default=0))]
-        lines = list(titles)
-        for row in rows:
-            for i in range(max((len(c) for c in row), default=0)):
-                lines.append(" | ".join((c[i] if i < len(c) else "").ljust(widths[k]) for k, c in enumerate(row)).rstrip())
-        return lines
+
+            def done() -> None:
+                inner.break_()
+                grid.cell(inner.done, values) if name in CELLS else grid.titles.extend(inner.done)
+
+            if name in CELLS or name == "caption":
+                return go(done, lines=inner)
+            self.todo.append(Frame(Node("", ""), pre, shown, None, inner, done))  # what has no place in a table stands before it
+            self.todo[-1].children = iter([node])
+            return True
+        if name == "br":
+            if shown:
+                lines.break_(keep=True)
+            return False
+        if name == "table":
+            self.tables += 1
+            lines.space()
+            if self.nested < NESTED:
+                made, self.nested = Grid(), self.nested + 1
+
+                def laid() -> None:
+                    self.nested -= 1
+                    lines.enter()
+                    for x in made.lines():
+                        lines.put(x)
+                    lines.leave()
+                    lines.space()
+
+                return go(laid, grid=made)
+            return go(lines.space)
+        if name == "li":
+            self.items += 1
+            lines.break_()
+            mark = "- "
+            if above.node.name == "ol":
+                above.number = number(values.get("value"), -(10**9), 10**9, above.number)
+                mark, above.number = f"{above.number}. ", above.number + 1
+            lines.enter(mark)
+            return go(lambda: lines.leave(keep=shown))
+        if name in INDENTED:
+            self.blocks += 1
+            tight = above.node.name == "li" or name == "dd"
+            lines.break_() if tight else lines.space()
+            lines.enter(INDENT if name in ("dd", "blockquote") else "")
+            go(lambda: (lines.leave(), None if tight else lines.space()))
+            self.todo[-1].number = number(values.get("start"), -(10**9), 10**9, 1)
+            return True
+        if name in BLOCKS:
+            self.blocks += 1
+            apart = lines.space if name in SPACED else lines.break_
+            if name in CELLS and lines.line:  # of a table that is laid out in lines
+                lines.word(BETWEEN)
+                apart = lambda: None
+            elif name in CELLS:
+                apart = lambda: None
+            apart()
+            pre = pre or name == "pre"
+            return go(apart)
+        if name in ("option", "optgroup"):
+            lines.gap = True
+        if name in ("svg", "math"):
+            self.pictures += 1
+
+            def left() -> None:
+                self.pictures -= 1
+
+            return go(left)
+        return go()
 
 
 def render(source: str | None) -> tuple[str, int, int, int]:
-    page, out = Page(), Lines()
-    if source:
-        page.lay(tree(source), out)
-        out.break_()
-    return "\n".join(out.done).strip("\n"), page.blocks, page.tables, page.items
+    page = Page(source or "")
+    return "\n".join(page.out.done).strip("\n"), page.blocks, page.tables, page.items
 
 
 def _render(batches, names: list[str], out: list[str]):
