@@ -40,13 +40,13 @@ def join_by_size(left: DataFrame, right: DataFrame, keys: list[str], size: str,
     """Joins a table to another (written) one that has one row a key, in which `size` tells how many rows of the left table
     have the key. Such a key's rows are dealt to as many tasks as hold `most` rows each, with a copy of the right
     row in each; `most` rises with the table, so that no more than MOST_KEYS keys are dealt and so broadcast."""
-    total = right.agg(F.sum(size)).first()[0] or 0
-    most = max(most, -(-total // MOST_KEYS))
-    large = right.filter(F.col(size) > most).select(F.xxhash64(*keys).alias("_key"), F.ceil(F.col(size) / most).cast("int").alias("_parts"))
-    large = publish(large.groupBy("_key").agg(F.max("_parts").alias("_parts")))
+    row = right.agg(F.sum(size), F.max(size)).first()
+    most = max(most, -(-(row[0] or 0) // MOST_KEYS))
     hinted = lambda df: df.hint(hint) if hint else df  # noqa: E731 without one the planner broadcasts what is under its threshold
-    if large.isEmpty():
+    if (row[1] or 0) <= most:
         return left.join(hinted(right), keys, how)
+    large = right.filter(F.col(size) > most).groupBy(F.xxhash64(*keys).alias("_key")).agg(F.ceil(F.max(size) / most).cast("int").alias("_parts")).collect()
+    large = left.sparkSession.createDataFrame([tuple(x) for x in large], "_key long, _parts int")
 
     def dealt(df: DataFrame, part) -> DataFrame:
         found = df.withColumn("_key", F.xxhash64(*keys)).join(F.broadcast(large), "_key", "left")

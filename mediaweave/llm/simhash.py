@@ -207,10 +207,10 @@ def near_components(docs: DataFrame, words: int = 3, seed: int = 42, crowd: int
 #: For near_distinct(): the smallest shingle hashes that a document is dealt by, and the SimHash filter's radius.
 #: Two documents with a similarity of 0.8 share none of eight, or differ in more bits, once in 10 ** 5 pairs.
 MINIMA, WIDE = 8, 24
-#: The smallest hashes in their own order deal all documents, those in the others what is crowded.
-ORDERS = ("minima", "second", "third")
+#: The smallest hashes in their own order deal all documents, those in another order what is crowded.
+ORDERS = ("minima", "second")
 #: A key that more documents have is crowded: CENTRES of them are compared with all others first.
-CROWDED, CENTRES = 1000, 4
+CROWDED, CENTRES = 4096, 4
 
 
 def in_orders(hashes: np.ndarray) -> list[np.ndarray]:
@@ -288,14 +288,16 @@ def _similar_links(batches, least: float):
 def _near_centres(batches, least: float):
     """Rows with the centres of their key: to which of them each is similar."""
     for batch in batches:
-        key, row, shingles, centres = (batch.column(c).to_pylist() for c in ("key", "_row", "shingles", "centres"))
+        key, n, row, shingles, centres = (batch.column(c).to_pylist() for c in ("key", "n", "_row", "shingles", "centres"))
         held = [(i, c["row"]) for i, cs in enumerate(centres) for c in cs if similar(np.frombuffer(shingles[i], np.uint32), np.frombuffer(c["shingles"], np.uint32), least)]
-        arrays = [pa.array([x[i] for i, _ in held], pa.int64()) for x in (key, row)] + [pa.array([c for _, c in held], pa.int64())]
-        yield pa.RecordBatch.from_arrays(arrays, names=["key", "_row", "centre"])
+        arrays = [pa.array([x[i] for i, _ in held], pa.int64()) for x in (key, n, row)] + [pa.array([c for _, c in held], pa.int64())]
+        yield pa.RecordBatch.from_arrays(arrays, names=["key", "n", "_row", "centre"])
 
 
 #: A bucket with more shingles than that compares its documents one by one instead of by postings.
 POSTINGS = 4_000_000
+#: So few documents are compared one by one in any case.
+FEW = 64
 
 
 class _Overlaps:
@@ -327,54 +329,56 @@ def _stars(bucket: list[tuple], least: float) -> list[tuple[int, int]]:
         apart[first], reached = False, [first]
         while reached and apart.any():
             one = reached.pop()
-            near = np.unpackbits(near_bits(prints[[one]], planes, WIDE).view(np.uint8), bitorder="little")[: len(bucket)].astype(bool)
-            others = np.flatnonzero(near & apart)
+            others = np.flatnonzero(apart)
+            if len(others) > FEW:
+                near = np.unpackbits(near_bits(prints[[one]], planes, WIDE).view(np.uint8), bitorder="little")[: len(bucket)].astype(bool)
+                others = others[near[others]]
+            else:
+                others = others[np.bitwise_count(prints[others] ^ prints[one]) <= WIDE]
             if not len(others):
                 continue
-            linked = overlaps.similar(one, others, least) if overlaps else [k for k in others if similar(sets[one], sets[k], least)]
+            linked = overlaps.similar(one, others, least) if overlaps and len(others) > FEW else [k for k in others if similar(sets[one], sets[k], least)]
             out += [(rows[k], rows[first]) for k in linked]
             reached += list(linked)
             apart[linked] = False
     return out
 
 
-def star_split(dealt: DataFrame, counts: DataFrame, sets: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
-    """dealt: _row, key, the rows of crowded keys; counts: key, n; sets: _row, shingles. Some rows of each key, its
-    centres, are compared with all others. Returns the links found (src, dst), and dealt with `loose`: whether the row
-    is out of the key's largest star. Rows of that star need no more comparison with each other: its links join them."""
-    picked = dealt.groupBy("key").agg(F.array_distinct(F.array(*(F.min_by("_row", F.xxhash64("_row", F.lit(i))) for i in range(CENTRES)))).alias("rows"))
-    picked = picked.select("key", F.explode("rows").alias("_row")).join(sets, "_row")
-    centres = picked.groupBy("key").agg(F.collect_list(F.struct(F.col("_row").alias("row"), "shingles")).alias("centres"))  # CENTRES at most
-    centres = publish(centres.join(counts, "key"))
-    compared = join_by_size(dealt.select("_row", "key").join(sets, "_row"), centres, ["key"], "n", "inner", CROWDED)
-    near = publish(compared.select("key", "_row", "shingles", "centres").mapInArrow(partial(_near_centres, least=least), "key long, _row long, centre long"))
-    best = near.groupBy("key", "centre").agg(F.count("*").alias("size")).groupBy("key").agg(F.max_by("centre", F.struct("size", "centre")).alias("centre"), F.max("size").alias("size"))
-    star = join_by_size(near, publish(best), ["key", "centre"], "size", "inner", CROWDED).select("key", "_row", F.lit(False).alias("loose"))
-    split = dealt.select("_row", "key").join(star, ["key", "_row"], "left").select("_row", "key", F.coalesce("loose", F.lit(True)).alias("loose"))
-    return near.select(F.col("_row").alias("src"), F.col("centre").alias("dst")).filter("src != dst"), publish(split)
-
-
-def with_loose(split: DataFrame) -> DataFrame:
-    """The rows of keys that have a loose row, with how many rows the key has of both kinds (n) and loose ones (o)."""
-    counts = split.groupBy("key").agg(F.count("*").alias("n"), F.count_if("loose").alias("o")).filter("o > 0 AND n > 1")
-    return join_by_size(split, publish(counts), ["key"], "n", "inner", CROWDED)
-
-
-def block_pairs(split: DataFrame, crowd: int) -> DataFrame:
-    """split: _row, key, loose, n, o. Rows of a key are cut into blocks of half a crowd; each pair of blocks is a bucket
-    of its own, but not pairs of blocks of the star."""
+def without_stars(met: DataFrame, sets: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    """met: _row, key, n, the rows of crowded keys; sets: _row, shingles. Some rows of each key, its centres, are compared
+    with all others. Returns the links found (src, dst), and the rows of the keys that not all belong to one star, with
+    `loose`: whether the row is out of its key's largest star. That star's links join its rows already."""
+    picked = met.groupBy("key").agg(F.first("n").alias("n"), F.array_distinct(F.array(*(F.min_by("_row", F.xxhash64("_row", F.lit(i))) for i in range(CENTRES)))).alias("rows"))
+    picked = picked.select("key", "n", F.explode("rows").alias("_row")).join(sets, "_row")
+    centres = publish(picked.groupBy("key").agg(F.first("n").alias("n"), F.collect_list(F.struct(F.col("_row").alias("row"), "shingles")).alias("centres")))  # CENTRES at most
+    compared = join_by_size(met.select("_row", "key").join(sets, "_row"), centres, ["key"], "n", "inner").select("key", "n", "_row", "shingles", "centres")
+    near = publish(compared.mapInArrow(partial(_near_centres, least=least), "key long, n long, _row long, centre long"))
+    best = near.groupBy("key", "n", "centre").agg(F.count("*").alias("size")).groupBy("key", "n").agg(F.max_by("centre", F.struct("size", "centre")).alias("centre"), F.max("size").alias("size"))
+    mixed = publish(best.filter("size < n"))
+    links = near.select(F.col("_row").alias("src"), F.col("centre").alias("dst")).filter("src != dst")
+    star = join_by_size(near.drop("n"), mixed.drop("n"), ["key", "centre"], "size", "inner").select("key", "_row", F.lit(False).alias("loose"))
+    rest = join_by_size(met.select("_row", "key"), mixed.select("key", "n"), ["key"], "n", "inner").select("_row", "key")
+    return links, publish(rest.join(star, ["key", "_row"], "left").select("_row", "key", F.coalesce("loose", F.lit(True)).alias("loose")))
+
+
+def block_pairs(met: DataFrame, crowd: int) -> DataFrame:
+    """met: _row, key, loose, n, o (how many rows of the key are loose). A key's rows are cut into blocks of half a crowd;
+    each pair of blocks is a bucket of its own, but not pairs of blocks of the star."""
     half = max(crowd // 2, 1)
     own, star = F.ceil(F.col("o") / half).cast("long"), F.ceil((F.col("n") - F.col("o")) / half).cast("long")
     mine = F.pmod(F.xxhash64("_row", F.lit("block")), F.when(F.col("loose"), own).otherwise(star))
-    cut = split.withColumns({"own": own, "star": star, "mine": mine})
-    loose, bound = cut.filter("loose"), cut.filter("NOT loose")
-    loose_loose = loose.select("_row", "key", "mine", F.explode(F.sequence(F.lit(0).cast("long"), F.col("own") - 1)).alias("other"))
-    keys = [loose_loose.select("_row", F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key"))]
-    loose_star = loose.filter("star > 0").select("_row", "key", "mine", F.explode(F.sequence(F.lit(0).cast("long"), F.col("star") - 1)).alias("other"))
-    keys.append(loose_star.select("_row", F.xxhash64("key", F.lit("star"), "mine", "other").alias("key")))
-    star_loose = bound.select("_row", "key", "mine", F.explode(F.sequence(F.lit(0).cast("long"), F.col("own") - 1)).alias("other"))
-    keys.append(star_loose.select("_row", F.xxhash64("key", F.lit("star"), "other", "mine").alias("key")))
-    return reduce(DataFrame.unionAll, keys)
+    cut = met.select("_row", "key", "loose", own.alias("own"), star.alias("star"), mine.alias("mine"))
+    others = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    with_loose = cut.select("*", F.explode(others(F.col("own"))).alias("other"))
+    own_key = F.when(F.col("loose"), F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))).otherwise(F.xxhash64("key", F.lit("star"), "other", "mine"))
+    with_star = cut.filter("loose AND star > 0").select("*", F.explode(others(F.col("star"))).alias("other"))
+    return with_loose.select("_row", own_key.alias("key")).unionAll(with_star.select("_row", F.xxhash64("key", F.lit("star"), "mine", "other").alias("key")))
+
+
+def meeting(dealt: DataFrame) -> DataFrame:
+    """dealt: _row, key, loose. The rows of keys that have a loose row and another, with n (rows of the key) and o (loose ones)."""
+    counts = publish(dealt.groupBy("key").agg(F.count("*").alias("n"), F.count_if("loose").alias("o")).filter("n > 1 AND o > 0"))
+    return publish(join_by_size(dealt, counts, ["key"], "n", "inner").select("_row", "key", "loose", "n", "o"))
 
 
 def shared_keys(sketches: DataFrame, crowd: int, least: float) -> tuple[DataFrame, list[DataFrame]]:
@@ -386,25 +390,16 @@ def shared_keys(sketches: DataFrame, crowd: int, least: float) -> tuple[DataFram
     rows of the largest star that this makes are linked. A key that has rows besides is dealt again by the smallest hashes
     in another order: each row has one there, so that none is lost, and similar ones share one as surely as before.
     What is crowded still is cut into blocks: each pair of blocks is a bucket, but those of the star among themselves."""
-    sets = sketches.select("_row", "shingles")
-    dealt, ready, links = sketches.select("_row", F.explode(ORDERS[0]).alias("key"), F.lit(True).alias("loose")), [], []
-    for order in (*ORDERS[1:], None):
-        counts = publish(dealt.groupBy("key").agg(F.count("*").alias("n"), F.count_if("loose").alias("o")).filter("n > 1 AND o > 0"))
-        met = publish(join_by_size(dealt, counts, ["key"], "n", "inner").select("_row", "key", "n"))
-        ready.append(met.filter(F.col("n") <= crowd).select("_row", "key"))
-        large = counts.filter(F.col("n") > crowd).select("key", "n")
-        if large.isEmpty():
-            return reduce(DataFrame.unionAll, ready), links
-        found, split = star_split(met.filter(F.col("n") > crowd), large, sets, least)
-        links.append(found)
-        rest = publish(with_loose(split))
-        if order and not rest.isEmpty():
-            again = rest.select("_row", "key", "loose").join(sketches.select("_row", order), "_row").select("_row", "key", "loose", F.explode(order).alias("more"))
-            dealt = publish(again.select("_row", F.xxhash64("key", "more").alias("key"), "loose"))
-        elif rest.isEmpty():
-            return reduce(DataFrame.unionAll, ready), links
-    ready.append(block_pairs(rest, crowd))
-    return reduce(DataFrame.unionAll, ready), links
+    small, large = F.col("n") <= crowd, F.col("n") > crowd
+    met = meeting(sketches.select("_row", F.explode(ORDERS[0]).alias("key"), F.lit(True).alias("loose")))
+    ready = [met.filter(small).select("_row", "key")]
+    if met.filter(large).isEmpty():
+        return ready[0], []
+    links, rest = without_stars(met.filter(large), sketches.select("_row", "shingles"), least)
+    again = rest.join(sketches.select("_row", ORDERS[1]), "_row").select("_row", "key", "loose", F.explode(ORDERS[1]).alias("more"))
+    met = meeting(publish(again.select("_row", F.xxhash64("key", "more").alias("key"), "loose")))
+    ready += [met.filter(small).select("_row", "key"), block_pairs(met.filter(large), crowd)]
+    return reduce(DataFrame.unionAll, ready), [links]
 
 
 def near_links(sketches: DataFrame, similarity: float, crowd: int = CROWDED) -> DataFrame:
