@@ -54,11 +54,13 @@ def cluster_photo_ids(photos: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def cluster_listing(clusters: DataFrame, photos: DataFrame, nonempty: bool = True) -> DataFrame:
-    """Clusters with their photos' count, whether one is an exact duplicate, and the best photo's name and measures."""
-    members = photos.groupBy("cluster_id").agg(F.count("*").alias("actual_count"), F.max("is_exact_duplicate").alias("has_exact_dup"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
+    """Clusters with their photos' count and ids (in order, by commas), whether one is an exact duplicate, and the best
+    photo's name and measures. Where the ids are not selected, Spark does not gather them."""
+    ids = F.array_join(F.array_sort(F.collect_list("id")), ",").alias("photo_ids")
+    members = photos.groupBy("cluster_id").agg(ids, F.count("*").alias("actual_count"), F.max("is_exact_duplicate").alias("has_exact_dup"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
     best = photos.select(F.col("id").alias("best_photo_id"), "original_filename", "quality_blur", "quality_exposure")
     joined = clusters.join(members.withColumnRenamed("cluster_id", "id"), "id", "inner" if nonempty else "left").join(best, "best_photo_id", "left")
-    return joined.select("id", "name", "type", F.coalesce("actual_count", F.lit(0)).alias("actual_count"), F.coalesce("has_exact_dup", F.lit(0)).alias("has_exact_dup"), "first_id", "last_id", "best_photo_id", "original_filename", "quality_blur", "quality_exposure", "avg_timestamp")
+    return joined.select("id", "name", "type", F.coalesce("actual_count", F.lit(0)).alias("actual_count"), F.coalesce("has_exact_dup", F.lit(0)).alias("has_exact_dup"), "first_id", "last_id", "photo_ids", "best_photo_id", "original_filename", "quality_blur", "quality_exposure", "avg_timestamp")
 
 
 def cluster_badges(listing: DataFrame) -> DataFrame:

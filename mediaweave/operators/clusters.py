@@ -127,11 +127,15 @@ def merge_candidates(photos: DataFrame, clusters: DataFrame, vectors: DataFrame,
 def embedding_pairs(candidates: DataFrame, least: float = MERGE_SIMILARITY, window: int = TIME_WINDOW_S, metres: float = GPS_RADIUS_M) -> DataFrame:
     """Pairs within the window whose vectors agree, and whose places do if both have one: a, b, similarity."""
     pairs = time_band_pairs(candidates, window)
-    cols = ["id", "lat", "lon", "embedding"]
-    for side in ("a", "b"):
-        pairs = pairs.join(candidates.select(F.col("id").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in cols[1:])), side)
+
+    def with_both(pairs: DataFrame, *columns: str) -> DataFrame:
+        for side in ("a", "b"):
+            pairs = pairs.join(candidates.select(F.col("id").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns)), side)
+        return pairs
+
     far = S.haversine(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b")) > metres
-    pairs = pairs.filter(~F.coalesce(far, F.lit(False))).withColumn("similarity", S.cosine(F.col("embedding_a"), F.col("embedding_b")))
+    pairs = with_both(pairs, "lat", "lon").filter(~F.coalesce(far, F.lit(False))).select("a", "b")  # places are told before vectors are fetched
+    pairs = with_both(pairs, "embedding").withColumn("similarity", S.cosine(F.col("embedding_a"), F.col("embedding_b")))
     return pairs.filter(F.col("similarity") >= least).select("a", "b", "similarity")
 
 

@@ -18,6 +18,12 @@ def apply_updates(df: DataFrame, updates: DataFrame, table: str, key: str = "id"
     return joined.select(*(F.when(F.col("named"), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) if c in cols else F.col(c) for c in df.columns))
 
 
+def undo_runs(rows: DataFrame, runs: DataFrame) -> DataFrame:
+    """rows: run_id; runs: run_id, failed. The rows without those that a failed run wrote before it failed; rows of no
+    run stay."""
+    return rows.join(runs.filter("failed").select("run_id").distinct(), "run_id", "left_anti")
+
+
 def promote_levels(photos: DataFrame, analysed: DataFrame, embedded: DataFrame, faced: DataFrame) -> DataFrame:
     """Levels after the stages whose ids are given: analysed reach 1, embedded ones of these 2, faced ones of these 3."""
     for ids, name in ((analysed, "a"), (embedded, "e"), (faced, "f")):

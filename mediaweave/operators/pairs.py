@@ -98,6 +98,20 @@ def hamming_pairs(points: DataFrame, radius: int) -> DataFrame:
     return found.filter(first_equal_band(F.col("bits_a"), F.col("bits_b"), radius) == F.col("band")).select("a", "b", S.hamming(F.col("bits_a"), F.col("bits_b")).cast("int").alias("bits_apart"))
 
 
+def class_heads(points: DataFrame, *columns: str) -> DataFrame:
+    """Rows that are equal in the columns as one: the columns, id (the smallest), n."""
+    return publish(points.groupBy(*columns).agg(F.min("id").alias("id"), F.count("*").alias("n")))
+
+
+def class_links(pairs: DataFrame, heads: DataFrame, distance: str, none: float) -> DataFrame:
+    """Pairs of heads, and each head of more than one row with itself, with the number of links that they stand for."""
+    for side in ("a", "b"):
+        pairs = pairs.join(heads.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}")), side)
+    pairs = pairs.select("a", "b", distance, (F.col("n_a") * F.col("n_b")).alias("links"))
+    inner = heads.filter("n > 1").select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(none).cast(pairs.schema[distance].dataType).alias(distance), F.expr("n * (n - 1) DIV 2").alias("links"))
+    return pairs.unionByName(inner)
+
+
 def similarity_nodes(photos: DataFrame) -> DataFrame:
     """id, exif_date, grp, secs, lat, lon, bits of the photos that have a hash, written once: every join reads them."""
     date, lat, lon = F.col("exif_date"), F.col("exif_gps_lat"), F.col("exif_gps_lon")

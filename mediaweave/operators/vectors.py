@@ -85,6 +85,13 @@ def category_hits(routed: DataFrame, photos: DataFrame, limit: int = SEARCH_LIMI
     return hits.withColumn("rank", rank).filter(F.col("rank") <= limit).select("query_id", F.col("id").alias("photo_id"), F.lit(1.0).alias("similarity"), "rank")
 
 
+def vector_hits(routed: DataFrame, query_vectors: DataFrame, vectors: DataFrame, limit: int = SEARCH_LIMIT) -> DataFrame:
+    """For each query on the vector route the photos nearest to its vector (query_vectors: query_id, embedding, as an
+    embedder gives them): query_id, photo_id, similarity, rank. A query without a vector has no hits."""
+    wanted = routed.filter("route = 'vector'").select("query_id").join(query_vectors, "query_id")
+    return vector_search(vectors, wanted, limit=limit)
+
+
 def mean_vectors(vectors: DataFrame, key: str, epsilon: float = 0.0, normalize: bool = True) -> DataFrame:
     """The mean of each key's (unit) vectors, over its length plus epsilon: key, centroid, n. Sums combine map-side."""
     v = vectors.filter(F.col("embedding").isNotNull()).select(key, F.posexplode(S.l2_normalize(F.col("embedding")) if normalize else F.col("embedding")).alias("pos", "x"))

@@ -81,8 +81,8 @@ def cluster_photo_ids(spark, d):
     return found.select("cluster_id", F.array_join("ids", ",").alias("ids"))
 
 
-LISTING = """, g AS (SELECT cluster_id, count(*) AS n, max(is_exact_duplicate) AS dup, min(id) AS first_id, max(id) AS last_id FROM photos WHERE cluster_id IS NOT NULL GROUP BY 1),
-l AS (SELECT c.id, c.name, c.type, coalesce(g.n, 0) AS actual_count, coalesce(g.dup, 0) AS has_exact_dup, g.first_id, g.last_id, c.best_photo_id, b.original_filename, b.quality_blur, b.quality_exposure, c.avg_timestamp
+LISTING = """, g AS (SELECT cluster_id, count(*) AS n, max(is_exact_duplicate) AS dup, min(id) AS first_id, max(id) AS last_id, string_agg(id::VARCHAR, ',' ORDER BY id) AS photo_ids FROM photos WHERE cluster_id IS NOT NULL GROUP BY 1),
+l AS (SELECT c.id, c.name, c.type, coalesce(g.n, 0) AS actual_count, coalesce(g.dup, 0) AS has_exact_dup, g.first_id, g.last_id, g.photo_ids, c.best_photo_id, b.original_filename, b.quality_blur, b.quality_exposure, c.avg_timestamp
   FROM clusters c {} JOIN g ON g.cluster_id = c.id LEFT JOIN photos b ON b.id = c.best_photo_id)"""
 
 

@@ -88,21 +88,24 @@ def time_band_pairs(spark, d):
     return P.time_band_pairs(points(spark, d))
 
 
-#: Distinct spots and distinct hashes: at full size the test tables repeat few of them very often.
-@query(with_views(V.PLACES, sql=f"SELECT a.place_id AS a, b.place_id AS b, round({metres('a', 'b')}, 4) AS metres FROM places a JOIN places b ON a.place_id < b.place_id AND {metres('a', 'b')} <= 2000"))
+@query(with_views(V.PHOTOS, NODES, sql=f"""
+, c AS (SELECT lat, lon, min(id) AS id, count(*) AS n FROM n WHERE lat IS NOT NULL GROUP BY lat, lon)
+SELECT a.id AS a, b.id AS b, round({metres('a', 'b')}, 4) AS metres, a.n * b.n AS links FROM c a JOIN c b ON a.id < b.id AND {metres('a', 'b')} <= 50
+UNION ALL SELECT id, id, 0, n * (n - 1) // 2 FROM c WHERE n > 1"""))
 def geo_radius_pairs(spark, d):
-    spots = V.places(spark, d).select(F.col("place_id").alias("id"), "lat", "lon")
-    return rounded(P.geo_radius_pairs(spots, 2000.0), "metres", digits=4)
+    """Photos at one spot are one class; pairs of classes, and each class with itself, tell how many links they stand for."""
+    heads = P.class_heads(points(spark, d).filter("lat IS NOT NULL"), "lat", "lon")
+    return rounded(P.class_links(P.geo_radius_pairs(heads), heads, "metres", 0.0), "metres", digits=4)
 
 
-ITEM_BITS = "cast(conv(substring(md5(cast(concat(c_custkey % 50, '-', c_custkey % 7) AS STRING)), 1, 16), 16, -10) AS BIGINT) ^ (c_custkey % 8)"
-
-
-@query("""WITH n AS (SELECT c_custkey::BIGINT AS id, xor(('0x' || substr(md5((c_custkey % 50) || '-' || (c_custkey % 7)), 1, 16))::UBIGINT, (c_custkey % 8)::UBIGINT) AS bits FROM customer)
-SELECT a.id AS a, b.id AS b, bit_count(xor(a.bits, b.bits))::INT AS bits_apart FROM n a JOIN n b ON a.id < b.id AND bit_count(xor(a.bits, b.bits)) <= 2 AND a.bits <> b.bits""")
+@query(with_views(V.PHOTOS, NODES, sql="""
+, c AS (SELECT bits, min(id) AS id, count(*) AS n FROM n WHERE bits IS NOT NULL GROUP BY bits)
+SELECT a.id AS a, b.id AS b, bit_count(xor(a.bits, b.bits))::INT AS bits_apart, a.n * b.n AS links FROM c a JOIN c b ON a.id < b.id AND bit_count(xor(a.bits, b.bits)) <= 6
+UNION ALL SELECT id, id, 0, n * (n - 1) // 2 FROM c WHERE n > 1"""))
 def hamming_pairs(spark, d):
-    hashes = V.table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("id"), F.expr(ITEM_BITS).alias("bits"))
-    return P.hamming_pairs(hashes, 2).filter("bits_apart > 0")
+    """Photos with one hash are one class, as in geo_radius_pairs."""
+    heads = P.class_heads(points(spark, d).filter("bits IS NOT NULL"), "bits")
+    return P.class_links(P.hamming_pairs(heads, 6), heads, "bits_apart", 0)
 
 
 MATCHES = f""", o AS (SELECT * FROM n WHERE id % 4 <> 0), m AS (

@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mediaweave.functions import scalars as S
+from mediaweave.functions.constants import PHOTO_EXTENSIONS
+from mediaweave.operators.mutate import undo_runs
+from mediaweave.operators.ranking import global_rank
 from mediaweave.plans import views as V
 from mediaweave.plans.queries_clusters import CLOSURE, NODES, PAIRS
 from mediaweave.plans.views import with_views
 from mediaweave.sources import ingest as I
-from mediaweave.sources.shared import scratch_path
+from mediaweave.sources.schemas import read_table
+from mediaweave.sources.shared import scratch_path, staged
 from mediaweave.streaming import ingest as stream
 
 QUERIES, ORACLES = {}, {}
@@ -25,10 +29,30 @@ def query(sql: str | None = None):
     return add
 
 
-@query()
+LISTED = "CASE WHEN id % 5 = 0 THEN upper(original_path) WHEN id % 7 = 0 THEN original_path || '.txt' ELSE original_path END"
+
+
+@query(with_views(V.PHOTOS, sql=f"SELECT id, path FROM (SELECT id, {LISTED} AS path FROM photos) WHERE regexp_matches(lower(path), '\\.({'|'.join(x[1:] for x in PHOTO_EXTENSIONS)})$')"))
 def file_listing(spark, d):
-    """The table files of the folder itself."""
-    return I.file_listing(spark, d, (".parquet",)).select(S.base_name(F.col("path")).alias("name"), "length")
+    """The photos' paths, some in upper case and some of other files: what a listing of their folders keeps. The same
+    filter lists folders (sources.ingest.file_listing)."""
+    return I.with_extension(V.photos(spark, d).select("id", F.expr(LISTED).alias("path")))
+
+
+@query(with_views(V.VECTORS, sql="SELECT photo_id, photo_id % 4 AS run_id FROM vectors WHERE photo_id % 4 <> 3"))
+def undo_run(spark, d):
+    """Embeddings of four runs, of which one failed half way."""
+    rows = V.vectors(spark, d).select("photo_id", F.expr("photo_id % 4").alias("run_id"))
+    return undo_runs(rows, rows.select("run_id", F.expr("run_id = 3").alias("failed")).distinct()).select("photo_id", "run_id")
+
+
+@query(with_views(V.PHOTOS, sql="SELECT id, exif_date, row_number() OVER (ORDER BY exif_date NULLS FIRST, id) - 1 AS place FROM photos"))
+def photos_in_order(spark, d):
+    """The whole table, written and read back by its stated schema, in order of (exif_date, id), with each row's place."""
+    path = scratch_path(spark)
+    staged(spark, path, lambda stage: V.photos(spark, d).write.parquet(stage))
+    photos = read_table(spark, path, "photos")
+    return global_rank(photos.select("id", "exif_date"), F.col("exif_date").asc_nulls_first(), F.col("id").asc(), name="place")
 
 
 @query("SELECT doc_id, sha256(text) AS content_hash FROM documents")

@@ -220,11 +220,12 @@ def update_persons(spark, d):
 
 
 @query(with_views(V.PHOTOS, V.PLACES, "a AS (SELECT id, exif_gps_lat + (id % 50) * 0.003::DOUBLE AS lat, exif_gps_lon + (id % 70) * 0.002::DOUBLE AS lon FROM photos WHERE exif_gps_lat IS NOT NULL)", sql=f"""
-SELECT id, round(m, 3) AS metres FROM (SELECT a.id, min({metres('a', 'places')}) AS m FROM a, places GROUP BY 1)"""))
+SELECT id, round(m, 3) AS metres, place_id, name, country, admin2 FROM (
+  SELECT a.id, places.*, {metres('a', 'places')} AS m, row_number() OVER (PARTITION BY a.id ORDER BY round({metres('a', 'places')}, 6), place_id) AS r FROM a, places) WHERE r = 1"""))
 def nearest_place(spark, d):
-    """Photos moved apart a little, so that there are many spots. Ties between places are equal metres."""
+    """Photos moved apart a little, so that there are many spots, with the place's name, country and region."""
     placed = V.photos(spark, d).select("id", F.expr("exif_gps_lat + (id % 50) * 0.003D").alias("lat"), F.expr("exif_gps_lon + (id % 70) * 0.002D").alias("lon"))
-    return find_places(placed, V.places(spark, d)).select("id", F.round("metres", 3).alias("metres"))
+    return find_places(placed, V.places(spark, d)).select("id", F.round("metres", 3).alias("metres"), "place_id", "name", "country", "admin2")
 
 
 TERM_LIST = ", ".join(f"('{k}', '{v}')" for k, v in TERMS.items())
@@ -251,18 +252,32 @@ def translate_terms(spark, d):
     return queries_of(spark, d).select("query_id", W.translate(F.col("query")).alias("english"))
 
 
-@query(with_views(ROUTED, V.PHOTOS, sql="""
-SELECT query_id, CASE WHEN trim(query) = '' THEN 'empty' WHEN length(trim(query)) > 256 THEN 'rejected' WHEN category IS NOT NULL THEN 'category' ELSE 'vector' END AS route,
-  CASE WHEN category IS NOT NULL THEN least(coalesce(c.n, 0), 200) END AS hits, CASE WHEN category IS NOT NULL THEN c.first_id END AS first_id
-FROM z LEFT JOIN (SELECT content_category, count(*) AS n, arg_min(id, (coalesce(exif_date, ''), id)) AS first_id FROM photos GROUP BY 1) c ON c.content_category = z.category"""))
+ROUTE = "CASE WHEN trim(query) = '' THEN 'empty' WHEN length(trim(query)) > 256 THEN 'rejected' WHEN category IS NOT NULL THEN 'category' ELSE 'vector' END"
+
+
+@query(with_views(ROUTED, V.PHOTOS, V.VECTORS, sql=f"""
+, rt AS (SELECT query_id, category, {ROUTE} AS route FROM z),
+vh AS (SELECT query_id, photo_id, s FROM (
+  SELECT rt.query_id, v.photo_id, {COS.format(a="q.embedding", b="v.embedding")} - 0.1 * v.is_technical AS s
+  FROM rt JOIN vectors q ON q.photo_id = rt.query_id % 500 AND rt.route = 'vector', vectors v) WHERE s >= 0.18),
+vt AS (SELECT query_id, least(count(*), 200) AS n, arg_max(photo_id, (s, -photo_id)) AS first_id FROM vh GROUP BY 1)
+SELECT rt.query_id, route, CASE route WHEN 'category' THEN least(coalesce(c.n, 0), 200) WHEN 'vector' THEN coalesce(vt.n, 0) END AS hits,
+  CASE route WHEN 'category' THEN c.first_id WHEN 'vector' THEN vt.first_id END AS first_id
+FROM rt LEFT JOIN (SELECT content_category, count(*) AS n, arg_min(id, (coalesce(exif_date, ''), id)) AS first_id FROM photos GROUP BY 1) c ON c.content_category = rt.category
+LEFT JOIN vt ON vt.query_id = rt.query_id"""))
 def search_routed(spark, d):
+    """Each query by its route: a class's page, or a search by vector. Stored vectors stand in for an embedder's."""
     routed = W.route_queries(queries_of(spark, d), list(CLASSES))
-    photos = V.photos(spark, d)
+    photos, vectors = V.photos(spark, d), V.vectors(spark, d)
     # a class's page is the same for every query that names it
     pages = W.category_hits(routed.filter("route = 'category'").select(F.xxhash64("category").alias("query_id"), "category", "route").distinct(), photos)
-    top = pages.groupBy(F.col("query_id").alias("page")).agg(F.count("*").alias("hits"), F.max(F.when(F.col("rank") == 1, F.col("photo_id"))).alias("first_id"))
-    joined = routed.withColumn("page", F.when(F.col("route") == "category", F.xxhash64("category"))).join(top, "page", "left")
-    return joined.select("query_id", "route", F.when(F.col("route") == "category", F.coalesce("hits", F.lit(0))).alias("hits"), "first_id")
+    top = lambda hits: hits.groupBy("query_id").agg(F.count("*").alias("hits"), F.max(F.when(F.col("rank") == 1, F.col("photo_id"))).alias("first_id"))
+    stand_ins = routed.select("query_id", F.expr("query_id % 500").alias("photo_id")).join(vectors.select("photo_id", "embedding"), "photo_id").drop("photo_id")
+    by_vector = routed.filter("route = 'vector'").select("query_id", "route").join(top(W.vector_hits(routed, stand_ins, vectors)), "query_id", "left")
+    by_class = routed.filter("route = 'category'").select("query_id", "route", F.xxhash64("category").alias("page")).join(top(pages).withColumnRenamed("query_id", "page"), "page", "left")
+    others = routed.filter("route NOT IN ('vector', 'category')").select("query_id", "route", F.lit(None).cast("long").alias("hits"), F.lit(None).cast("long").alias("first_id"))
+    found = by_vector.unionByName(by_class.drop("page")).withColumn("hits", F.coalesce("hits", F.lit(0).cast("long")))
+    return found.unionByName(others)
 
 
 def _model():

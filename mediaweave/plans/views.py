@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediaweave.functions.constants import CLASSES
+from mediaweave.sources.schemas import read_table
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet", name)
 
 
 def photos(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,12 +144,12 @@ RUNS = """runs AS (SELECT user_id AS run_id, event_type AS stage, value AS durat
 def places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Known places: a supplier's name at coordinates by its key, near the photos and elsewhere."""
     return table(spark, sf_dir, "supplier").select(
-        F.concat(F.lit("N"), "s_nationkey").alias("country"), F.col("s_name").alias("name"), F.expr("54.9D + (s_suppkey % 37) * 0.007D").alias("lat"), F.expr("36.9D + (s_suppkey % 41) * 0.006D").alias("lon"), F.col("s_suppkey").cast("long").alias("place_id"),
+        F.concat(F.lit("N"), "s_nationkey").alias("country"), F.col("s_name").alias("name"), F.concat(F.lit("R"), F.expr("s_suppkey % 11")).alias("admin2"), F.expr("54.9D + (s_suppkey % 37) * 0.007D").alias("lat"), F.expr("36.9D + (s_suppkey % 41) * 0.006D").alias("lon"), F.col("s_suppkey").cast("long").alias("place_id"),
     )
 
 
 PLACES = """places AS (
-  SELECT 'N' || s_nationkey AS country, s_name AS name, 54.9::DOUBLE + (s_suppkey % 37) * 0.007::DOUBLE AS lat, 36.9::DOUBLE + (s_suppkey % 41) * 0.006::DOUBLE AS lon, s_suppkey::BIGINT AS place_id FROM supplier)"""
+  SELECT 'N' || s_nationkey AS country, s_name AS name, 'R' || (s_suppkey % 11) AS admin2, 54.9::DOUBLE + (s_suppkey % 37) * 0.007::DOUBLE AS lat, 36.9::DOUBLE + (s_suppkey % 41) * 0.006::DOUBLE AS lon, s_suppkey::BIGINT AS place_id FROM supplier)"""
 
 SECONDS = "epoch(try_strptime(trim(exif_date), '%Y:%m:%d %H:%M:%S'))::BIGINT"
 

@@ -9,19 +9,22 @@ from mediaweave.functions import scalars as S
 from mediaweave.functions.constants import PHOTO_EXTENSIONS
 
 
+def with_extension(files: DataFrame, extensions: tuple[str, ...] = PHOTO_EXTENSIONS) -> DataFrame:
+    """files: path. Those with one of the extensions, in any case."""
+    return files.filter(F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1)).isin(list(extensions)))
+
+
 def file_listing(spark: SparkSession, path: str, extensions: tuple[str, ...] = PHOTO_EXTENSIONS) -> DataFrame:
     """Files of a folder and all below it with one of the extensions, in any case: path, length, modified. Their content
     isn't read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    kept = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1)).isin(list(extensions))
-    return files.filter(kept).select("path", "length", F.col("modificationTime").alias("modified"))
+    return with_extension(files, extensions).select("path", "length", F.col("modificationTime").alias("modified"))
 
 
 def hashed_files(spark: SparkSession, path: str, extensions: tuple[str, ...] = PHOTO_EXTENSIONS) -> DataFrame:
     """The same with content_hash, the SHA-256 of the content."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    kept = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1)).isin(list(extensions))
-    return files.filter(kept).select("path", "length", F.sha2("content", 256).alias("content_hash"))
+    return with_extension(files, extensions).select("path", "length", F.sha2("content", 256).alias("content_hash"))
 
 
 KEY = ["content_hash", "original_path"]

@@ -49,6 +49,20 @@ def publish_by(df: DataFrame, *parts: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def staged(spark: SparkSession, target: str, write) -> None:
+    """Lets write(path) fill a folder beside the target, which takes its name only when that ends well; after an error
+    nothing of the run is left. target must not exist."""
+    target_path, stage_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target), spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}-{uuid.uuid4().hex}")
+    files = target_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        write(stage_path.toString())
+        if files.exists(target_path) or not files.rename(stage_path, target_path):
+            raise FileExistsError(target)
+    except BaseException:
+        files.delete(stage_path, True)
+        raise
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a file or folder, wherever it is."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

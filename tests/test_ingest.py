@@ -9,6 +9,7 @@ from mediaweave.functions import scalars as S
 from mediaweave.operators import mutate as M
 from mediaweave.plans import catalog
 from mediaweave.sources import ingest as I
+from mediaweave.sources import schemas, shared
 from mediaweave.streaming import ingest as stream
 from tests.test_clusters import PHOTO, at, photo
 
@@ -74,3 +75,26 @@ def test_published_tables_can_go(spark):
     assert kept.count() == 5 and shared.remove_published(spark) >= 1
     with pytest.raises(Exception, match="(?i)not.*exist|not.*found"):
         kept.count()
+
+
+def test_a_failed_run_leaves_nothing(spark, tmp_path):
+    target = str(tmp_path / "vectors")
+
+    def fails(path):
+        spark.range(5).write.parquet(path)
+        raise RuntimeError("model")
+
+    with pytest.raises(RuntimeError):
+        shared.staged(spark, target, fails)
+    assert not list(tmp_path.iterdir())
+    shared.staged(spark, target, lambda path: spark.range(5).write.parquet(path))
+    assert spark.read.parquet(target).count() == 5
+    with pytest.raises(FileExistsError):
+        shared.staged(spark, target, lambda path: spark.range(6).write.parquet(path))
+    assert [x.name for x in tmp_path.iterdir()] == ["vectors"] and spark.read.parquet(target).count() == 5
+
+
+def test_photos_are_read_by_their_schema_in_order(spark, tmp_path):
+    spark.createDataFrame([(2, "2020"), (1, "2020"), (3, None)], "id long, exif_date string").write.parquet(str(tmp_path / "p"))
+    photos = schemas.read_photos(spark, str(tmp_path / "p"))
+    assert [r.id for r in photos.collect()] == [3, 1, 2] and photos.schema == schemas.schema_of("photos")
