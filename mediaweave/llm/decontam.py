@@ -36,7 +36,7 @@ REMEMBERED = 500_000
 #: Lower-cases A-Z and makes a space of what is no part of a word, in UTF-8.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 #: Words in a text that still has its A-Z.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+WORD = r"[a-zA-Z0-9\x{80}-\x{10FFFF}]+"
 RESULTS = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
