@@ -293,6 +293,22 @@ def _blocks(rows: dict[str, list], span: int):
         at = to
 
 
+def _merged(batches):
+    """A run's repeated windows as few spans: those that touch are one."""
+    for batch in batches:
+        out = []
+        for spans in batch.column("spans").to_pylist():
+            merged: list[dict[str, int]] = []
+            for x in sorted(spans, key=lambda x: (x["first"], x["last"])):
+                if merged and x["first"] <= merged[-1]["last"] + 1:
+                    merged[-1]["last"] = max(merged[-1]["last"], x["last"])
+                else:
+                    merged.append(x)
+            out.append(merged)
+        spans = pa.array(out, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())])))
+        yield pa.RecordBatch.from_arrays([batch.column("m"), batch.column("d"), batch.column("n"), spans], names=["m", "d", "n", "spans"])
+
+
 RESULTS = "doc_id {}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
@@ -334,6 +350,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, crowd: int = CROWD, digest
     part = F.substring(F.col("text").cast("binary"), F.col("lo") + 1, F.col("hi") - F.col("lo") + span)
     segments = one.join(texts.hint("merge"), ["k", "h"]).select(F.col("m").alias("key"), "m", "d", "n", F.lit(0).alias("off"), part.alias("seg"))
     segments, found = publish(segments), []
+    counts = segments.select("m", "d", "n")
     shape = "key long, m long, d binary, n long, off int, seg binary"
     for level in range(1, LEVELS + 1):
         large = (F.count("*") > crowd) | (F.sum(F.octet_length("seg")) > BYTES)
@@ -347,8 +364,8 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, crowd: int = CROWD, digest
         again = join_by_size(segments, crowded, ["key"], "n_parts", "inner").select(*(x.split()[0] for x in shape.split(", ")))
         repeats, segments = counted(publish(again.mapInArrow(partial(_split, span=span, level=level), shape)), span)
         found.append(repeats)
-    repeats = reduce(DataFrame.unionAll, found).groupBy("m", "d").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
-    repeats = publish(repeats.join(runs.groupBy("m", "d").agg(F.count("*").alias("n")), ["m", "d"]))
+    repeats = reduce(DataFrame.unionAll, found).groupBy("m", "d").agg(F.collect_set(F.struct("first", "last")).alias("spans")).join(counts, ["m", "d"])
+    repeats = publish(repeats.mapInArrow(_merged, "m long, d binary, n long, spans array<struct<first int, last int>>"))
     spans = join_by_size(runs, repeats, ["m", "d"], "n", "inner").select("k", "h", "lo", F.explode("spans").alias("span"))
     spans = spans.select("k", "h", F.struct((F.col("lo") + F.col("span.first")).alias("s"), (F.col("lo") + F.col("span.last") + span).alias("e")).alias("span"))
     by_doc = publish(spans.groupBy("k", "h").agg(F.collect_set("span").alias("spans")).join(sizes, ["k", "h"]))
