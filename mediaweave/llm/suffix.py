@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from mediaweave.llm.common import join_by_size, publish, small_batches, table
 
 SPAN, GRAM = 200, 16
-CROWD, BYTES, LEVELS = 1000, 1_000_000, 4
+CROWD, BYTES, LEVELS = 5000, 4_000_000, 4
 LONGEST = 2000
 BLOCK = 2_000_000
 
