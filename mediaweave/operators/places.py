@@ -63,14 +63,14 @@ def nearest_place(points: DataFrame, places: DataFrame) -> DataFrame:
     places = publish(places.select("place_id", F.col("lat").alias("place_lat"), F.col("lon").alias("place_lon")))
     cell, done = FIRST_CELL, []
     metres = S.haversine(F.col("lat"), F.col("lon"), F.col("place_lat"), F.col("place_lon"))
-    best = F.min(F.struct(F.round(metres, TIE_DIGITS).alias("metres"), F.col("place_id"))).alias("best")
+    best = F.min(F.struct(F.round(metres, TIE_DIGITS).alias("tie"), F.col("place_id"), metres.alias("metres"))).alias("best")
     while True:
         last = cell > WHOLE
         if last:
             pairs = far_pairs(spots, places)
         else:
             pairs = near_cells(spots, "lat", "lon", cell).join(places.select("*", *own_cell(F.col("place_lat"), F.col("place_lon"), cell)), ["cell_row", "cell_column"])
-        found = pairs.groupBy("lat", "lon").agg(best).select("lat", "lon", "best.*")
+        found = pairs.groupBy("lat", "lon").agg(best).select("lat", "lon", "best.place_id", "best.metres")
         found = publish(found if last else found.filter(F.col("metres") <= cell * METRES_PER_DEGREE))
         done.append(found)
         if last:
