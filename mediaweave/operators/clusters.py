@@ -53,9 +53,10 @@ def with_components(ids: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def ranked(photos: DataFrame, score: Column, ties: Column) -> DataFrame:
-    """photos: cluster_id, id and what the score needs. Adds score and rank_in_cluster."""
-    order = Window.partitionBy("cluster_id").orderBy(F.desc("score"), ties)
-    return photos.withColumn("score", score).withColumn("rank_in_cluster", F.row_number().over(order))
+    """photos: cluster_id, id and what the score needs. cluster_id, id, score, rank_in_cluster. Places come from a sort by
+    ranges, so that a cluster may hold any share of the photos; photos without a cluster get no rank."""
+    scored = photos.filter("cluster_id IS NOT NULL").select("cluster_id", "id", score.alias("score"))
+    return rank_in_group(scored, "cluster_id", F.desc("score"), ties, name="rank_in_cluster")
 
 
 def rank_l1(photos: DataFrame) -> DataFrame:
@@ -66,14 +67,26 @@ def rank_l2(photos: DataFrame) -> DataFrame:
     return ranked(photos, S.l2_score(F.col("quality_aesthetic"), F.col("quality_blur"), F.col("quality_exposure")), F.desc("id"))
 
 
+def upper_medians(df: DataFrame, group: str, value: str, head: int = 10) -> DataFrame:
+    """The upper median of each group's strings: group, value. Equal strings are counted first, map-side; the counts of
+    their first characters (of a date, its day) tell which of those hold the median, and only strings that begin so are
+    put in order. No task orders all rows of a group."""
+    counted = df.filter(F.col(group).isNotNull()).groupBy(group, value).agg(F.count("*").alias("n")).withColumn("head", F.substring(value, 1, head))
+    heads = counted.groupBy(group, "head").agg(F.sum("n").alias("n"))
+    before = F.sum("n").over(Window.partitionBy(group).orderBy("head")) - F.col("n")
+    heads = heads.select(group, "head", "n", before.alias("before"), F.floor(F.sum("n").over(Window.partitionBy(group)) / 2).alias("middle"))
+    heads = heads.filter("before <= middle AND middle < before + n").drop("n")
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy(group).orderBy(value))
+    placed = counted.join(heads, [group, "head"]).withColumn("upto", upto)
+    return placed.filter("middle < upto AND middle >= upto - n").select(group, value)
+
+
 def cluster_rollup(photos: DataFrame, keep_zero: bool = False) -> DataFrame:
     """photos: cluster_id, exif_date, exif_gps_lat, exif_gps_lon. Per cluster: photo_count, avg_timestamp (the upper
     median of the date strings), avg_gps_lat, avg_gps_lon. Coordinates of zero count as missing, or with keep_zero only
     means of zero do."""
     dated = photos.filter(F.coalesce("exif_date", F.lit("")) != "")
-    n = F.count("*").over(Window.partitionBy("cluster_id"))
-    at = F.row_number().over(Window.partitionBy("cluster_id").orderBy("exif_date"))
-    medians = dated.select("cluster_id", "exif_date", n.alias("n"), at.alias("at")).filter("at = n DIV 2 + 1").select("cluster_id", F.col("exif_date").alias("avg_timestamp"))
+    medians = upper_medians(dated, "cluster_id", "exif_date").withColumnRenamed("exif_date", "avg_timestamp")
 
     def mean(c: str) -> Column:
         return F.nullif(F.avg(c), F.lit(0.0)) if keep_zero else F.avg(F.nullif(F.col(c), F.lit(0.0)))
@@ -157,11 +170,17 @@ def apply_merges(photos: DataFrame, merges: DataFrame) -> tuple[DataFrame, DataF
     return moved, cluster_rollup(grown, keep_zero=True).withColumn("type", F.lit("content"))
 
 
-def bursts(photos: DataFrame, gap: int = TIME_WINDOW_S) -> DataFrame:
-    """Runs of a source's photos with at most gap seconds between neighbours: source_id, burst, photo_count, first, last."""
-    dated = photos.select("source_id", "id", S.seconds(S.parse_date(F.col("exif_date"))).alias("secs")).filter("secs IS NOT NULL")
-    order = Window.partitionBy("source_id").orderBy("secs", "id")
-    new = F.coalesce((F.col("secs") - F.lag("secs").over(order) > gap).cast("long"), F.lit(1))
-    numbered = dated.withColumn("new", new).withColumn("burst", F.sum("new").over(order))
-    return numbered.groupBy("source_id", "burst").agg(F.count("*").alias("photo_count"), F.min("secs").alias("first_s"), F.max("secs").alias("last_s"))
-
+def bursts(photos: DataFrame, gap: int = TIME_WINDOW_S, span: int = 86_400) -> DataFrame:
+    """Runs of a source's photos with at most gap seconds between neighbours: source_id, burst, photo_count, first_s,
+    last_s. Bursts are numbered within spans of a source's time, whose ends and counts, one row a span, join them across
+    spans: no task sees a whole source, and photos of one second are one row."""
+    taken = photos.select("source_id", S.seconds(S.parse_date(F.col("exif_date"))).alias("secs")).filter("secs IS NOT NULL")
+    moments = taken.groupBy("source_id", "secs").agg(F.count("*").alias("n")).withColumn("span", F.floor(F.col("secs") / span))
+    within, along = Window.partitionBy("source_id", "span").orderBy("secs"), Window.partitionBy("source_id").orderBy("span")
+    new = F.coalesce((F.col("secs") - F.lag("secs").over(within) > gap).cast("long"), F.lit(0))
+    parts = moments.withColumn("new", new).withColumn("nth", F.sum("new").over(within)).groupBy("source_id", "span", "nth").agg(F.sum("n").alias("n"), F.min("secs").alias("first_s"), F.max("secs").alias("last_s"))
+    spans = parts.groupBy("source_id", "span").agg(F.count("*").alias("k"), F.min("first_s").alias("start"), F.max("last_s").alias("end"))
+    goes_on = F.coalesce((F.col("start") - F.lag("end").over(along) <= gap).cast("long"), F.lit(0))
+    spans = spans.withColumn("fresh", F.col("k") - goes_on).select(F.col("source_id").alias("of"), F.col("span").alias("at"), (F.sum("fresh").over(along) - F.col("k") + 1).alias("first"))
+    numbered = parts.join(spans, F.col("source_id").eqNullSafe(F.col("of")) & (F.col("span") == F.col("at"))).withColumn("burst", F.col("first") + F.col("nth"))
+    return numbered.groupBy("source_id", "burst").agg(F.sum("n").alias("photo_count"), F.min("first_s").alias("first_s"), F.max("last_s").alias("last_s"))

@@ -160,3 +160,30 @@ def test_a_match_without_a_cluster_isn_t_replaced(spark):
     old = spark.createDataFrame([(*photo(1, at(0)), None), (*photo(2, at(0), hash_=f"{1:016x}"), 50)], PHOTO + ", cluster_id long")
     got = P.incremental_match(spark.createDataFrame([photo(9, at(1))], PHOTO), old).collect()
     assert [(r.match_id, r.cluster_id) for r in got] == [(1, None)]
+
+
+def test_bursts_are_those_of_a_walk(spark):
+    rng, start = random.Random(8), 1_700_000_000
+    rows = [(i, rng.choice([1, 1, 1, 2, None]), start + rng.randrange(40) * 6_000 + rng.randrange(400)) for i in range(600)]
+    rows += [(1000 + i, 3, start + 170 * i) for i in range(1200)] + [(3000 + i, 4, start) for i in range(5)]  # over spans without a gap; ties
+    df = spark.createDataFrame(rows, "id long, source_id long, secs long")
+    dated = df.withColumn("exif_date", F.date_format(F.timestamp_seconds("secs"), "yyyy:MM:dd HH:mm:ss")).unionByName(spark.createDataFrame([(9999, 5, None, None)], "id long, source_id long, secs long, exif_date string"))
+    want = []
+    for source in {r[1] for r in rows}:
+        runs = []
+        for secs in sorted(r[2] for r in rows if r[1] == source):
+            if not runs or secs - runs[-1][-1] > 180:
+                runs.append([])
+            runs[-1].append(secs)
+        want += [(source, n, len(run), run[0], run[-1]) for n, run in enumerate(runs, 1)]
+    key = lambda r: (r[0] or 0, r[1])
+    for span in (86_400, 1_000):
+        got = [(r.source_id, r.burst, r.photo_count, r.first_s, r.last_s) for r in C.bursts(dated.drop("secs"), span=span).collect()]
+        assert sorted(got, key=key) == sorted(want, key=key)
+
+
+def test_upper_medians(spark):
+    rng = random.Random(9)
+    rows = [(g, "".join(rng.choice("ab:") for _ in range(rng.choice([1, 10, 11, 12])))) for g in range(12) for _ in range(g * g + 1)] + [(99, "x")] * 4 + [(None, "y")]
+    got = {r.g: r.d for r in C.upper_medians(spark.createDataFrame(rows, "g long, d string"), "g", "d").collect()}
+    assert got == {g: sorted(d for h, d in rows if h == g)[sum(h == g for h, _ in rows) // 2] for g in {h for h, _ in rows} - {None}}
