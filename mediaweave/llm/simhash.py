@@ -118,43 +118,57 @@ def roots(prints: np.ndarray) -> np.ndarray:
     return root
 
 
-def _links(batches):
-    """Rows come sorted by bucket; small neighbouring buckets are compared as one and then held apart."""
+def _starts(keys: list[np.ndarray]) -> np.ndarray:
+    """Where the buckets of sorted rows start."""
+    return np.flatnonzero(np.r_[True, np.logical_or.reduce([x[1:] != x[:-1] for x in keys])]) if len(keys[0]) else np.zeros(0, np.int64)
+
+
+def _arrays(batches, names: list[str], keys: int):
+    """Columns of rows that come sorted by the first `keys` of them, cut only where a bucket ends."""
     left: list = []
     for batch in batches:
-        left.append((batch.column("path").to_numpy(), batch.column("key").to_numpy(), batch.column("fp").to_numpy()))
-        path, key, fp = map(np.concatenate, zip(*left, strict=True))
-        last = len(path) - 1
-        starts = np.flatnonzero(np.r_[True, (path[1:] != path[:-1]) | (key[1:] != key[:-1])])
-        cut = starts[-1] if last >= 0 else 0
-        yield from _buckets(path[:cut], key[:cut], fp[:cut])
-        left = [(path[cut:], key[cut:], fp[cut:])]
-    if left:
-        yield from _buckets(*left[0])
-
-
-def _buckets(path, key, fp):
-    if not len(fp):
-        return
-    starts = np.flatnonzero(np.r_[True, (path[1:] != path[:-1]) | (key[1:] != key[:-1])])
-    ends = np.r_[starts[1:], len(fp)]
-    src, dst = [], []
-    for s, e in zip(starts[large := ends - starts > 8], ends[large], strict=True):
-        prints = fp[s:e].astype(np.uint64)
-        root = roots(prints)
-        linked = np.flatnonzero(root != np.arange(e - s))
-        src.append(fp[s:e][linked]), dst.append(fp[s:e][root[linked]])
-    small = np.repeat(ends - starts <= 8, ends - starts)
+        left.append([batch.column(c).to_numpy() for c in names])
+        columns = [np.concatenate(x) for x in zip(*left, strict=True)]
+        starts = _starts(columns[:keys])
+        cut = starts[-1] if len(starts) else 0
+        if cut:
+            yield [x[:cut] for x in columns]
+        left = [[x[cut:] for x in columns]]
+    if left and len(left[0][0]):
+        yield left[0]
+
+
+#: Buckets of so few fingerprints are compared together.
+SMALL = 8
+
+
+def near_in_small(starts: np.ndarray, ends: np.ndarray, prints: np.ndarray, radius: int):
+    """The few pairs of small buckets, vertically as well: one word holds 64 of them. Yields the places of those that are near."""
+    small = np.repeat(ends - starts <= SMALL, ends - starts)
     bucket = np.repeat(np.arange(len(starts)), ends - starts)
-    for step in range(1, 8):  # the few pairs of small buckets, vertically as well: one word holds 64 of them
+    for step in range(1, SMALL):
         i = np.flatnonzero((bucket[step:] == bucket[:-step]) & small[step:])
         for at in range(0, len(i), 65536):
             k = i[at : at + 65536]
-            words = near_bits(np.zeros(1, np.uint64), planes_of((fp[k] ^ fp[k + step]).astype(np.uint64)))
+            words = near_bits(np.zeros(1, np.uint64), planes_of(prints[k] ^ prints[k + step]), radius)
             hit = k[np.unpackbits(words.view(np.uint8), bitorder="little")[: len(k)].astype(bool)]
-            src.append(fp[hit + step]), dst.append(fp[hit])
-    if src:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(src)), pa.array(np.concatenate(dst))], names=["src", "dst"])
+            yield hit, hit + step
+
+
+def _links(batches):
+    """Rows come sorted by bucket. Links of the fingerprints of each."""
+    for path, key, fp in _arrays(batches, ["path", "key", "fp"], 2):
+        starts, prints = _starts([path, key]), fp.view(np.uint64)
+        ends = np.r_[starts[1:], len(fp)]
+        src, dst = [], []
+        for s, e in zip(starts[large := ends - starts > SMALL], ends[large], strict=True):
+            root = roots(prints[s:e])
+            linked = np.flatnonzero(root != np.arange(e - s))
+            src.append(fp[s:e][linked]), dst.append(fp[s:e][root[linked]])
+        for one, other in near_in_small(starts, ends, prints, RADIUS):
+            src.append(fp[other]), dst.append(fp[one])
+        if src:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(src)), pa.array(np.concatenate(dst))], names=["src", "dst"])
 
 
 def bands(free: list[int], radius: int = RADIUS) -> list[list[int]]:
@@ -251,14 +265,17 @@ def _groups(batches, names: list[str]):
 
 def _with_partner(batches):
     """Of each bucket the documents whose fingerprint is near that of another."""
-    for bucket in _groups(batches, ["key", "_row", "fp"]):
-        prints = np.array([x[2] for x in bucket], np.int64).view(np.uint64)
-        planes, near = planes_of(prints), []
-        for at in range(0, len(prints), TILE):
-            bits = near_bits(prints[at : at + TILE], planes, WIDE)
-            near += [k + at for k, row in enumerate(np.bitwise_count(bits & _valid(len(prints))).sum(1)) if row > 1]
-        if near:
-            yield pa.RecordBatch.from_arrays([pa.array([bucket[k][0] for k in near], pa.int64()), pa.array([bucket[k][1] for k in near], pa.int64())], names=["key", "_row"])
+    for key, row, fp in _arrays(batches, ["key", "_row", "fp"], 1):
+        starts, prints, near = _starts([key]), fp.view(np.uint64), np.zeros(len(fp), bool)
+        ends = np.r_[starts[1:], len(fp)]
+        for s, e in zip(starts[large := ends - starts > SMALL], ends[large], strict=True):
+            planes = planes_of(prints[s:e])
+            for at in range(s, e, TILE):
+                bits = near_bits(prints[at : min(at + TILE, e)], planes, WIDE)
+                near[at : at + len(bits)] = np.bitwise_count(bits & _valid(e - s)).sum(1) > 1
+        for one, other in near_in_small(starts, ends, prints, WIDE):
+            near[one] = near[other] = True
+        yield pa.RecordBatch.from_arrays([pa.array(key[near]), pa.array(row[near])], names=["key", "_row"])
 
 
 def _valid(n: int) -> np.ndarray:
@@ -321,8 +338,10 @@ def _stars(bucket: list[tuple], least: float) -> list[tuple[int, int]]:
     """A bucket's documents, breadth first: each is compared once, with those not yet reached. Returns stars."""
     rows, prints = [x[1] for x in bucket], np.array([x[2] for x in bucket], np.int64).view(np.uint64)
     sets = [np.frombuffer(x[3], np.uint32) for x in bucket]
-    overlaps = _Overlaps(sets) if sum(map(len, sets)) <= POSTINGS else None
-    out, planes, apart = [], planes_of(prints), np.ones(len(bucket), bool)
+    many = len(bucket) > FEW
+    overlaps = _Overlaps(sets) if many and sum(map(len, sets)) <= POSTINGS else None
+    out, planes, apart = [], planes_of(prints) if many else None, np.ones(len(bucket), bool)
+    tiles: dict[int, np.ndarray] = {}  # of the rows that are asked for, all of a tile at once
     for first in range(len(bucket)):
         if not apart[first]:
             continue
@@ -331,7 +350,10 @@ def _stars(bucket: list[tuple], least: float) -> list[tuple[int, int]]:
             one = reached.pop()
             others = np.flatnonzero(apart)
             if len(others) > FEW:
-                near = np.unpackbits(near_bits(prints[[one]], planes, WIDE).view(np.uint8), bitorder="little")[: len(bucket)].astype(bool)
+                tile, at = divmod(one, TILE)
+                if tile not in tiles:
+                    tiles[tile] = near_bits(prints[tile * TILE : (tile + 1) * TILE], planes, WIDE)
+                near = np.unpackbits(tiles[tile][at].view(np.uint8), bitorder="little")[: len(bucket)].astype(bool)
                 others = others[near[others]]
             else:
                 others = others[np.bitwise_count(prints[others] ^ prints[one]) <= WIDE]
