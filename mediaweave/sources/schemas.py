@@ -26,6 +26,12 @@ GIVEN = {
     "conversations": "conv_id long, turn long, role string, text string",
     "labels": "doc_id long, quality int, toxic int",
     "documents": "doc_id long, text string, lang string, source string, n_chars long",
+    "benchmark": "item_id long, text string",
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
 }
 
 
@@ -34,8 +40,12 @@ def schema_of(name: str) -> StructType:
 
 
 def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """A table by its stated schema: a column that the files lack is null, others aren't read."""
-    return spark.read.schema(schema_of(name)).parquet(path)
+    """A table by its stated schema; columns besides aren't read, and one that the files lack is an error, not nulls."""
+    schema = schema_of(name)
+    lacking = set(schema.names) - set(spark.read.parquet(path).columns)
+    if lacking:
+        raise ValueError(f"{name} at {path} has no column {', '.join(sorted(lacking))}")
+    return spark.read.schema(schema).parquet(path)
 
 
 def read_photos(spark: SparkSession, path: str) -> DataFrame:
