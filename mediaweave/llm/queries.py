@@ -8,6 +8,7 @@ from mediaweave.llm.exact import OP2_SQL, op2_exact_dedup
 from mediaweave.llm.html_text import op4_html_text
 from mediaweave.llm.langid import op6_language_id
 from mediaweave.llm.licenses import op8_license_scan
+from mediaweave.llm.minhash import OP13_SQL, op13_minhash
 from mediaweave.llm.mixing import OP1_SQL, op1_mix_sources
 from mediaweave.llm.secret_scan import op5_secret_scan
 from mediaweave.llm.simhash import op3_simhash
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_chat": op10_chat,
+    "op13_minhash": op13_minhash,
 }
-ORACLES = {"op1_mix_sources": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op7_decontamination": OP7_SQL, "op10_chat": OP10_SQL}
+ORACLES = {"op1_mix_sources": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op7_decontamination": OP7_SQL, "op10_chat": OP10_SQL, "op13_minhash": OP13_SQL}
