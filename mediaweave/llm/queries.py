@@ -13,6 +13,7 @@ from mediaweave.llm.mixing import OP1_SQL, op1_mix_sources
 from mediaweave.llm.secret_scan import op5_secret_scan
 from mediaweave.llm.simhash import op3_simhash
 from mediaweave.llm.suffix import op9_suffix_dedup
+from mediaweave.llm.variants import OP11_SQL, op11_spelling
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_chat": op10_chat,
+    "op11_spelling": op11_spelling,
     "op13_minhash": op13_minhash,
 }
-ORACLES = {"op1_mix_sources": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op7_decontamination": OP7_SQL, "op10_chat": OP10_SQL, "op13_minhash": OP13_SQL}
+ORACLES = {"op1_mix_sources": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op7_decontamination": OP7_SQL, "op10_chat": OP10_SQL, "op11_spelling": OP11_SQL, "op13_minhash": OP13_SQL}

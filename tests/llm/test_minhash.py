@@ -59,9 +59,9 @@ def varied(seed: int) -> list[tuple]:
     return list(enumerate(out)) + [(None, "one two"), (None, "alone as it is"), (None, "alone as it is"), (3, out[3])]
 
 
-@pytest.mark.parametrize("crowd", [M.CROWD, 1])
+@pytest.mark.parametrize("crowd", [M.CROWD, 1500])
 def test_all_links_are_found_in_small_and_large_buckets(spark, crowd):
-    docs = varied(crowd % 7)  # 1 deals every bucket again and cuts it into blocks
+    docs = varied(crowd % 7)  # the small one deals buckets again and cuts them into blocks
     got = M.near_sets(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), crowd=crowd)
     assert got.columns == ["doc_id", "n_shingles", "component_id", "kept"]
     assert sorted(map(tuple, got.collect()), key=repr) == brute_force(docs)
