@@ -1,12 +1,11 @@
 """Vector search, classification, nearest neighbours and batch scoring.
 
-Vectors are compared block by block with numpy inside Spark's tasks; the query side of a search is broadcast in blocks
-of a bounded number of rows, and the neighbour graph compares blocks of bounded size pair by pair."""
+Search and neighbours go through cells (operators/cells.py); scores are computed with numpy inside Spark's tasks."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import partial, reduce
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -15,10 +14,7 @@ from pyspark.sql import functions as F
 
 from mediaweave.functions import scalars as S
 from mediaweave.functions.constants import FACE_NEIGHBOURS, FACE_SIMILARITY, QUERY_LENGTH, SEARCH_LIMIT, SEARCH_PENALTY, SEARCH_THRESHOLD, TERMS
-
-QUERY_BLOCK = 2048
-NEIGHBOUR_BLOCK = 4096
-
+from mediaweave.operators import cells
 
 def unit(rows: pd.Series) -> np.ndarray:
     m = np.array(rows.tolist(), dtype=np.float64)
@@ -26,41 +22,21 @@ def unit(rows: pd.Series) -> np.ndarray:
     return m / np.where(length == 0, 1, length)
 
 
-def _search(batches: Iterator[pd.DataFrame], queries, threshold: float, penalty: float, limit: int) -> Iterator[pd.DataFrame]:
-    ids, wanted = queries.value
-    for df in batches:
-        df = df[df["embedding"].notna()]
-        if not len(df):
-            continue
-        scores = wanted @ unit(df["embedding"]).T - penalty * (df["is_technical"].to_numpy() == 1)
-        for q, row in zip(ids, scores, strict=True):
-            hit = np.flatnonzero(row >= threshold)
-            if len(hit) > limit:
-                hit = hit[np.lexsort((df["photo_id"].to_numpy()[hit], -row[hit]))[:limit]]
-            if len(hit):
-                yield pd.DataFrame({"query_id": q, "photo_id": df["photo_id"].to_numpy()[hit], "similarity": row[hit]})
+def searchable(vectors: DataFrame) -> DataFrame:
+    """vectors: photo_id, embedding, is_technical. As an index takes them."""
+    return vectors.select(F.col("photo_id").alias("id"), "embedding", F.coalesce((F.col("is_technical") == 1).cast("int"), F.lit(0)).alias("penalised"))
+
+
+def search_index(index: cells.Index, queries: DataFrame, threshold: float = SEARCH_THRESHOLD, penalty: float = SEARCH_PENALTY, limit: int = SEARCH_LIMIT) -> DataFrame:
+    """queries: query_id, embedding. For each query the limit most similar photos at or above the threshold, technical ones
+    with a penalty: query_id, photo_id, similarity, rank."""
+    found = cells.search(index, queries.select(F.col("query_id").alias("id"), "embedding"), threshold, limit, penalty)
+    return found.select(F.col("id").alias("query_id"), F.col("neighbour").alias("photo_id"), F.round("similarity", 4).alias("similarity"), "rank")
 
 
 def vector_search(vectors: DataFrame, queries: DataFrame, threshold: float = SEARCH_THRESHOLD, penalty: float = SEARCH_PENALTY, limit: int = SEARCH_LIMIT) -> DataFrame:
-    """vectors: photo_id, embedding, is_technical; queries: query_id, embedding. For each query the limit most similar
-    photos at or above the threshold, technical ones with a penalty: query_id, photo_id, similarity, rank."""
-    spark, found, block = vectors.sparkSession, [], []
-    vectors = vectors.select("photo_id", "embedding", F.coalesce("is_technical", F.lit(0)).alias("is_technical"))
-
-    def scan() -> None:
-        shared = spark.sparkContext.broadcast(([r.query_id for r in block], unit(pd.Series([list(r.embedding) for r in block]))))
-        found.append(vectors.mapInPandas(partial(_search, queries=shared, threshold=threshold, penalty=penalty, limit=limit), "query_id long, photo_id long, similarity double"))
-
-    for row in queries.filter("embedding IS NOT NULL").select("query_id", "embedding").toLocalIterator():
-        block.append(row)
-        if len(block) == QUERY_BLOCK:
-            scan()
-            block = []
-    if block or not found:
-        scan() if block else found.append(spark.createDataFrame([], "query_id long, photo_id long, similarity double"))
-    hits = reduce(DataFrame.unionAll, found)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "photo_id"))
-    return hits.withColumn("rank", rank).filter(F.col("rank") <= limit).withColumn("similarity", F.round("similarity", 4))
+    """The same over vectors (photo_id, embedding, is_technical) that have no stored index: one is made for this run."""
+    return search_index(cells.cell_index(searchable(vectors)), queries, threshold, penalty, limit)
 
 
 def translate(query: Column) -> Column:
@@ -120,32 +96,10 @@ def classify(vectors: DataFrame, prototypes: DataFrame, technical: list[str]) ->
     return found.withColumn("is_technical", F.col("category").isin(technical).cast("int"))
 
 
-def _neighbours(df: pd.DataFrame, k: int, least: float) -> pd.DataFrame:
-    one, other = df["block"].min(), df["block"].max()
-    i, j = df[df["block"] == one], df[df["block"] == other]
-    out = []
-    for a, b in ((i, j), (j, i)) if one != other else ((i, i),):
-        scores = unit(a["embedding"]) @ unit(b["embedding"]).T if len(a) and len(b) else np.zeros((0, 0))
-        ids_a, ids_b = a["id"].to_numpy(), b["id"].to_numpy()
-        for n, row in enumerate(scores):
-            hit = np.flatnonzero((row > least) & (ids_b != ids_a[n]))
-            hit = hit[np.lexsort((ids_b[hit], -row[hit]))[:k]]
-            out.append(pd.DataFrame({"id": ids_a[n], "neighbour": ids_b[hit], "similarity": row[hit]}))
-    return pd.concat(out) if out else pd.DataFrame({"id": [], "neighbour": [], "similarity": []})
-
-
-def nearest_neighbours(vectors: DataFrame, k: int = FACE_NEIGHBOURS, least: float = FACE_SIMILARITY, block: int = NEIGHBOUR_BLOCK) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, k: int = FACE_NEIGHBOURS, least: float = FACE_SIMILARITY, block: int = cells.UNIT) -> DataFrame:
     """vectors: id, embedding. The k most similar others above least, exactly, ties by id: id, neighbour, similarity, rank.
-
-    Rows are dealt into blocks of bounded size; each pair of blocks is one task's matrix product, which returns k
-    neighbours a row at most. Work is quadratic, as the definition is; memory isn't."""
-    vectors = vectors.filter("embedding IS NOT NULL").select("id", "embedding")
-    blocks = max(1, -(-vectors.count() // block))
-    dealt = vectors.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    paired = dealt.select("id", "embedding", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
-    found = paired.groupBy("lo", "hi").applyInPandas(lambda df: _neighbours(df, k, least), "id long, neighbour long, similarity double")
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "neighbour"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+    Vectors that the triangle inequality keeps apart never meet; block is the most that meet in a task."""
+    return cells.neighbours(cells.cell_index(vectors.select("id", "embedding"), size=block), k, least, block)[0]
 
 
 def _score(batches: Iterator[pd.DataFrame], load: Callable, column: str, held: dict) -> Iterator[pd.DataFrame]:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from mediaweave.functions import scalars as S
 from mediaweave.functions.constants import CLASSES, TERMS
+from mediaweave.operators import cells
 from mediaweave.operators import faces as A
 from mediaweave.operators import mutate as M
 from mediaweave.operators import vectors as W
@@ -13,6 +14,7 @@ from mediaweave.operators.places import nearest_place as find_places
 from mediaweave.plans import views as V
 from mediaweave.plans.queries_clusters import metres
 from mediaweave.plans.views import with_views
+from mediaweave.sources.shared import scratch_path
 
 QUERIES, ORACLES = {}, {}
 
@@ -35,10 +37,11 @@ SELECT query_id, photo_id, round(s, 4) AS similarity, r AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, photo_id)::INT AS r FROM (
     SELECT q.photo_id AS query_id, v.photo_id, {COS.format(a="q.embedding", b="v.embedding")} - 0.1 * v.is_technical AS s FROM vectors q JOIN vectors v ON q.photo_id % 100 = 0) WHERE s >= 0.18) WHERE r <= 200"""))
 def vector_search(spark, d):
-    """Every hundredth vector against all of them."""
-    vectors = V.vectors(spark, d)
+    """Every hundredth vector against all of them, in an index that is stored and read again."""
+    vectors, path = V.vectors(spark, d), scratch_path(spark)
     queries = vectors.filter("photo_id % 100 = 0").select(F.col("photo_id").alias("query_id"), "embedding")
-    return W.vector_search(vectors, queries)
+    cells.write_index(W.searchable(vectors), path)
+    return W.search_index(cells.read_index(spark, path), queries)
 
 
 PROTOTYPES = """, u AS (SELECT label, list_transform(embedding, lambda x: x / sqrt(list_dot_product(embedding, embedding))) AS v FROM vectors),
@@ -84,10 +87,15 @@ firsts AS (SELECT person, arg_min(old.name, f.id) AS name, arg_min(old.hidden, f
 named AS (SELECT reps.*, coalesce(o.name, firsts.name) AS name, coalesce(o.hidden, firsts.hidden, false) AS hidden FROM reps LEFT JOIN old o ON o.id = reps.representative_face_id LEFT JOIN firsts USING (person))"""
 
 
-@query(with_views(V.FACES, V.PERSONS, recursive=True, sql=PERSONS + " SELECT person AS id, name, hidden, face_count, representative_face_id, 64 AS dims FROM named"))
+@query(with_views(V.FACES, V.PERSONS, recursive=True, sql=PERSONS + """,
+xs AS (SELECT person, i, avg(v[i]) AS x FROM (SELECT person, v, unnest(range(1, len(v) + 1)) AS i FROM (SELECT person, list_transform(embedding, lambda x: x / sqrt(list_dot_product(embedding, embedding))) AS v FROM f)) GROUP BY ALL),
+mean AS (SELECT person, list(x ORDER BY i) AS c FROM xs GROUP BY person),
+centre AS (SELECT person, list_transform(c, lambda x: x / (sqrt(list_dot_product(c, c)) + 1e-8)) AS c FROM mean)
+SELECT person AS id, name, hidden, face_count, representative_face_id, 64 AS dims, round(list_dot_product(c, range(1, len(c) + 1)::DOUBLE[]), 5) AS centroid_sum, round(c[1], 5) AS centroid_first FROM named JOIN centre USING (person)"""))
 def persons(spark, d):
     found = A.persons(V.faces(spark, d), V.persons(spark, d), 20, 0.35)
-    return found.select("id", "name", "hidden", "face_count", "representative_face_id", F.size("centroid").alias("dims"))
+    weighted = F.aggregate(F.transform("centroid", lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+    return found.select("id", "name", "hidden", "face_count", "representative_face_id", F.size("centroid").alias("dims"), F.round(weighted, 5).alias("centroid_sum"), F.round(F.col("centroid")[0], 5).alias("centroid_first"))
 
 
 def kept_persons(spark, d):
