@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from mediaweave.functions import scalars as S
 from mediaweave.functions.constants import PHOTO_EXTENSIONS
 from mediaweave.operators.mutate import undo_runs
+from mediaweave.operators.pairs import similarity_edges
 from mediaweave.operators.ranking import global_rank
 from mediaweave.plans import views as V
 from mediaweave.plans.queries_clusters import CLOSURE, NODES, PAIRS
@@ -128,19 +129,32 @@ def dms_to_decimal(spark, d):
     return V.table(spark, d, "events").select(F.col("event_id").alias("id"), F.round(value, 8).alias("degrees"))
 
 
-def arriving(spark, d, name):
-    schema = V.table(spark, d, name).schema
-    return spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{d}/{name}.parquet")
+def arriving(spark, rows, name="id", files=5):
+    """A table's rows in several files, of which a stream takes one a batch."""
+    folder = scratch_path(spark)
+    rows.repartition(files, name).write.parquet(folder)
+    return stream.arriving_files(spark, folder, rows.schema)
 
 
 @query(with_views(INCOMING, sql="SELECT content_hash, original_path, count(DISTINCT content_hash) AS n FROM i GROUP BY ALL"))
 def stream_ingest(spark, d):
-    """Documents as they arrive, each content and path once."""
-    stored = stream.stream_ingest(arriving(spark, d, "documents"), arriving_documents, scratch_path(spark))
+    """Documents as they arrive in five batches, each content and path once. The stream is stopped after the first files and
+    goes on from its checkpoint, with its state, when the others are there."""
+    documents, folder, path = V.table(spark, d, "documents"), scratch_path(spark), scratch_path(spark)
+    for files, part in ((2, "doc_id % 3 = 1"), (3, "doc_id % 3 <> 1")):
+        documents.filter(part).repartition(files, "doc_id").write.mode("append").parquet(folder)
+        stored = stream.stream_ingest(stream.arriving_files(spark, folder, documents.schema), arriving_documents, path)
     return stored.groupBy("content_hash", "original_path").agg(F.count("*").alias("n"))
 
 
 @query(with_views(V.PHOTOS, NODES, PAIRS, CLOSURE, recursive=True, sql="SELECT id, cluster_id FROM parts"))
 def stream_clusters(spark, d):
-    """Photos as they arrive. The test table is one file and so one batch; later batches match what is stored."""
-    return stream.stream_clusters(arriving(spark, d, "events"), V.photos_of, scratch_path(spark)).select("id", "cluster_id")
+    """Photos as they arrive, all in one batch; later batches match what is stored, so that clusters follow the order."""
+    return stream.stream_clusters(arriving(spark, V.table(spark, d, "events"), "event_id", 1), V.photos_of, scratch_path(spark)).select("id", "cluster_id")
+
+
+@query(with_views(V.PHOTOS, NODES, PAIRS, CLOSURE, recursive=True, sql="SELECT id AS node, cluster_id AS component FROM parts JOIN (SELECT cluster_id FROM parts GROUP BY 1 HAVING count(*) > 1) USING (cluster_id)"))
+def stream_components(spark, d):
+    """The links between similar photos as they arrive, in five batches of mixed order: the components of one run."""
+    links = similarity_edges(V.photos(spark, d)).select("a", "b")
+    return stream.stream_components(arriving(spark, links, "b"), scratch_path(spark))[0]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from mediaweave.functions import scalars as S
 from mediaweave.operators import clusters as C
 from mediaweave.operators import pairs as P
-from mediaweave.operators.components import connected_components
+from mediaweave.operators.components import connected_components, extend_components
 
 PHOTO = "id long, exif_date string, exif_gps_lat double, exif_gps_lon double, perceptual_hash string, original_filename string, quality_blur double, quality_exposure double"
 ZERO, FAR = "0" * 16, "f" * 16
@@ -187,3 +187,26 @@ def test_upper_medians(spark):
     rows = [(g, "".join(rng.choice("ab:") for _ in range(rng.choice([1, 10, 11, 12])))) for g in range(12) for _ in range(g * g + 1)] + [(99, "x")] * 4 + [(None, "y")]
     got = {r.g: r.d for r in C.upper_medians(spark.createDataFrame(rows, "g long, d string"), "g", "d").collect()}
     assert got == {g: sorted(d for h, d in rows if h == g)[sum(h == g for h, _ in rows) // 2] for g in {h for h, _ in rows} - {None}}
+
+
+def test_a_hub_is_dealt(spark):
+    """A star's middle, the largest or the smallest id, is met in parts; components are the same."""
+    for middle in (10**9, -1):
+        edges = spark.range(3000).select(F.col("id").alias("src"), F.lit(middle).cast("long").alias("dst"))
+        got = connected_components(edges, hub=100).groupBy("component").count().collect()
+        assert [tuple(r) for r in got] == [(min(0, middle), 3001)]
+
+
+def test_components_in_batches_of_any_order(spark):
+    rng = random.Random(11)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(230)] + [(1000 + i, 1001 + i) for i in range(40)]
+    rng.shuffle(edges)
+    whole = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    labels, log = spark.createDataFrame([], "node long, component long"), []
+    for at in range(0, len(edges), 54):
+        changed, merges = extend_components(labels, spark.createDataFrame(edges[at : at + 54], "src long, dst long"))
+        log += [tuple(r) for r in merges.collect()]
+        labels = spark.createDataFrame([*labels.collect(), *changed.collect()], "node long, component long")
+    got = {r.node: r.component for r in labels.groupBy("node").agg(F.min("component").alias("component")).collect()}
+    assert {n: c for n, c in got.items() if n in whole} == whole and all(now < was for was, now in log)
+    assert len({was for was, _ in log}) == len(log)  # a component merges once

@@ -98,3 +98,25 @@ def test_photos_are_read_by_their_schema_in_order(spark, tmp_path):
     spark.createDataFrame([(2, "2020"), (1, "2020"), (3, None)], "id long, exif_date string").write.parquet(str(tmp_path / "p"))
     photos = schemas.read_photos(spark, str(tmp_path / "p"))
     assert [r.id for r in photos.collect()] == [3, 1, 2] and photos.schema == schemas.schema_of("photos")
+
+
+def test_a_stream_goes_on_from_its_checkpoint(spark, tmp_path):
+    """Four files in two runs: keys of the first run are known in the second, and no file is read twice."""
+    shape, source, path = "id long, content_hash string, original_path string", tmp_path / "in", str(tmp_path / "out")
+    provider = spark.conf.get(stream.STORE, None)
+    for run, files in enumerate(([[(1, "a", "/1"), (2, "b", "/2")], [(3, "a", "/1")]], [[(4, "b", "/2"), (5, "c", None)], [(6, "c", None), (7, "d", "/7"), (8, "d", "/7")]])):
+        for i, rows in enumerate(files):
+            spark.createDataFrame(rows, shape).coalesce(1).write.parquet(str(source / f"{run}{i}"))
+        stored = stream.stream_ingest(stream.arriving_files(spark, str(source), schemas.StructType.fromDDL(shape)), lambda df: df, path)
+    assert sorted((r.content_hash, r.original_path) for r in stored.collect()) == [("a", "/1"), ("b", "/2"), ("c", None), ("d", "/7")]
+    assert len(list((tmp_path / "out" / "rows").glob("batch=*"))) == 4 and spark.conf.get(stream.STORE, None) == provider
+
+
+def test_links_that_arrive_in_batches(spark, tmp_path):
+    links = [[(1, 2), (8, 9)], [(5, 6), (6, 7)], [(2, 5), (3, 3)], [(9, 1), (20, 21)]]
+    for i, rows in enumerate(links):
+        spark.createDataFrame(rows, "a long, b long").coalesce(1).write.parquet(str(tmp_path / "in" / str(i)))
+    labels, merges = stream.stream_components(stream.arriving_files(spark, str(tmp_path / "in"), schemas.StructType.fromDDL("a long, b long")), str(tmp_path / "out"))
+    assert {r.node: r.component for r in labels.collect() if r.node != 3} == dict.fromkeys([1, 2, 5, 6, 7, 8, 9], 1) | {20: 20, 21: 20}
+    assert {(r.was, r.now) for r in merges.collect()} == {(5, 1), (8, 1)}
+    assert len({r.batch for r in merges.collect()}) == 2
