@@ -72,7 +72,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", h
 def extend_components(labels: DataFrame, edges: DataFrame, src: str = "src", dst: str = "dst") -> tuple[DataFrame, DataFrame]:
     """labels: node, component, all that earlier calls have returned (a node's last label is its smallest); edges: new ones,
     of nodes that are known or not. What the edges change: the labels of nodes that are new, or whose component has
-    merged (node, component), and the merges (was, now).
+    merged (node, component), and the merges of components that there were (was, now).
 
     The new edges are contracted to labels first, so that the stars' rounds follow the batch and not what is kept; kept
     labels are only scanned, for the batch's nodes and for the components that it merges."""
@@ -87,4 +87,5 @@ def extend_components(labels: DataFrame, edges: DataFrame, src: str = "src", dst
     new = known.filter("fresh").join(merges, F.col("label") == F.col("was"), "left").select("node", F.coalesce("now", "label").alias("component"))
     # a component that merges now has not merged before: all labels that name it are its nodes' last ones
     moved = labels.join(merges, F.col("component") == F.col("was")).select("node", F.col("now").alias("component"))
-    return new.unionByName(moved), merges
+    kept = merges.join(known.filter("fresh").select(F.col("node").alias("was")), "was", "left_anti")  # a new node was no component
+    return new.unionByName(moved), kept
