@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -49,6 +51,14 @@ def publish_by(df: DataFrame, *parts: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+@contextmanager
+def published_since() -> Iterator[list[str]]:
+    """A list that holds, after the block, the paths of the tables published within it."""
+    own, before = [], len(_published)
+    yield own
+    own += _published[before:]
+
+
 def staged(spark: SparkSession, target: str, write) -> None:
     """Lets write(path) fill a folder beside the target, which takes its name only when that ends well; after an error
     nothing of the run is left. target must not exist."""
