@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from mediaweave.functions import scalars as S
 from mediaweave.functions.constants import GPS_RADIUS_M, MERGE_SIMILARITY, TIME_WINDOW_S
 from mediaweave.operators.components import connected_components
-from mediaweave.operators.pairs import incremental_match, similarity_edges, time_band_pairs
+from mediaweave.operators.pairs import CELL_DEGREES, incremental_match, near_buckets, near_cells, own_cell, similarity_edges, time_band_pairs, time_buckets
 from mediaweave.operators.ranking import rank_in_group
 from mediaweave.sources.shared import publish
 
@@ -137,18 +137,33 @@ def merge_candidates(photos: DataFrame, clusters: DataFrame, vectors: DataFrame,
     return kept.join(vectors.select(F.col("photo_id").alias("id"), "embedding"), "id").select("id", "cluster_id", S.seconds(S.parse_date(F.col("exif_date"))).alias("secs"), F.col("exif_gps_lat").alias("lat"), F.col("exif_gps_lon").alias("lon"), "embedding")
 
 
-def embedding_pairs(candidates: DataFrame, least: float = MERGE_SIMILARITY, window: int = TIME_WINDOW_S, metres: float = GPS_RADIUS_M) -> DataFrame:
-    """Pairs within the window whose vectors agree, and whose places do if both have one: a, b, similarity."""
-    pairs = time_band_pairs(candidates, window)
+def near_in_time_and_place(points: DataFrame, window: int, metres: float) -> DataFrame:
+    """points: id, secs, lat, lon. Pairs (a, b) within the window, and within the metres if both have a place. Those that
+    have one meet by time and cell, so that a crowded time costs pairs only where it is a crowded place."""
+    points = points.filter("secs IS NOT NULL").select("id", "secs", "lat", "lon")
+    whole = F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    placed, bare = points.filter(whole), points.filter(~whole).select("id", "secs")
+    cell = CELL_DEGREES * metres / GPS_RADIUS_M
+    bucket, close = time_buckets(F.col("secs"), window), F.abs(F.col("secs_a") - F.col("secs_b")) <= window
+
+    def named(df: DataFrame, side: str, *more: Column) -> DataFrame:
+        return df.select(*(F.col(c).alias(f"{c}_{side}") for c in df.columns), *more)
+
+    left = near_cells(named(placed, "a", near_buckets(bucket).alias("bucket")), "lat_a", "lon_a", cell)
+    right = named(placed, "b", bucket.alias("bucket"), *own_cell(F.col("lat"), F.col("lon"), cell))
+    near = S.haversine(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b")) <= metres
+    both = left.join(right, ["bucket", "cell_row", "cell_column"]).filter((F.col("id_a") < F.col("id_b")) & close & near).select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
+    one = named(bare, "a", near_buckets(bucket).alias("bucket")).join(named(placed.select("id", "secs"), "b", bucket.alias("bucket")), "bucket").filter(close)
+    one = one.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
+    return both.unionAll(one).unionAll(time_band_pairs(bare, window).select("a", "b"))
 
-    def with_both(pairs: DataFrame, *columns: str) -> DataFrame:
-        for side in ("a", "b"):
-            pairs = pairs.join(candidates.select(F.col("id").alias(side), *(F.col(c).alias(f"{c}_{side}") for c in columns)), side)
-        return pairs
 
-    far = S.haversine(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b")) > metres
-    pairs = with_both(pairs, "lat", "lon").filter(~F.coalesce(far, F.lit(False))).select("a", "b")  # places are told before vectors are fetched
-    pairs = with_both(pairs, "embedding").withColumn("similarity", S.cosine(F.col("embedding_a"), F.col("embedding_b")))
+def embedding_pairs(candidates: DataFrame, least: float = MERGE_SIMILARITY, window: int = TIME_WINDOW_S, metres: float = GPS_RADIUS_M) -> DataFrame:
+    """Pairs within the window whose vectors agree, and whose places do if both have one: a, b, similarity."""
+    pairs = near_in_time_and_place(candidates, window, metres)  # times and places are told before vectors are fetched
+    for side in ("a", "b"):
+        pairs = pairs.join(candidates.select(F.col("id").alias(side), F.col("embedding").alias(f"embedding_{side}")), side)
+    pairs = pairs.withColumn("similarity", S.cosine(F.col("embedding_a"), F.col("embedding_b")))
     return pairs.filter(F.col("similarity") >= least).select("a", "b", "similarity")
 
 

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mediaweave.functions import scalars as S
 from mediaweave.functions.constants import GPS_RADIUS_M, HAMMING, TIME_WINDOW_S
 from mediaweave.sources.shared import publish
 
+#: Seconds of a span, within which runs are found.
+SPAN = 86_400
 CELL_DEGREES = 0.00045  # of latitude: a little over the radius of 50 m
 
 
@@ -30,6 +32,29 @@ def time_band_pairs(points: DataFrame, window: int = TIME_WINDOW_S) -> DataFrame
     return left.join(right, "bucket").filter((F.col("a") < F.col("b")) & (F.abs(F.col("secs_a") - F.col("secs_b")) <= window)).select("a", "b", F.abs(F.col("secs_a") - F.col("secs_b")).alias("gap"))
 
 
+def time_bands(points: DataFrame, window: int = TIME_WINDOW_S, span: int = SPAN) -> DataFrame:
+    """points: id, secs. time_band_pairs() as classes: one row a point with band_id, the smallest id that a chain of points
+    at most window seconds apart reaches, and n_links, how many others are at most so far from it itself.
+
+    Seconds are counted first, map-side. They are worked on by spans of time, each with the seconds next to it; of the
+    bands only what goes on from one span to the next is joined across spans, a row a span."""
+    points = points.filter("secs IS NOT NULL").select("id", "secs")
+    moments = publish(points.groupBy("secs").agg(F.count("*").alias("n"), F.min("id").alias("least")).withColumn("span", F.floor(F.col("secs") / span)))
+    beside = F.array_distinct(F.transform(F.array(F.col("secs") - window, F.col("secs"), F.col("secs") + window), lambda x: F.floor(x / span)))
+    halo = moments.withColumn("in", F.explode(beside))
+    count = F.sum("n").over(Window.partitionBy("in").orderBy("secs").rangeBetween(-window, window)) - 1
+    links = halo.withColumn("n_links", count).filter("`in` = span").select("secs", "n_links")
+    within, along = Window.partitionBy("span").orderBy("secs"), Window.orderBy("span")
+    new = F.coalesce((F.col("secs") - F.lag("secs").over(within) > window).cast("long"), F.lit(0))
+    cut = moments.withColumn("new", new).withColumn("nth", F.sum("new").over(within)).drop("new")
+    spans = cut.groupBy("span").agg(F.max("nth").alias("k"), F.min("secs").alias("start"), F.max("secs").alias("end"))
+    goes_on = F.coalesce((F.col("start") - F.lag("end").over(along) <= window).cast("long"), F.lit(0))
+    spans = spans.withColumn("fresh", F.col("k") + 1 - goes_on).select("span", (F.sum("fresh").over(along) - F.col("k")).alias("number"))
+    bands = publish(cut.join(spans, "span").select("secs", "least", (F.col("number") + F.col("nth")).alias("number")))
+    named = bands.groupBy("number").agg(F.min("least").alias("band_id"))
+    return points.join(bands.join(named, "number").join(links, "secs").select("secs", "band_id", "n_links"), "secs").select("id", "band_id", "n_links")
+
+
 def grid_row(lat: Column, cell: float) -> Column:
     return F.floor(lat / cell)
 
@@ -90,12 +115,55 @@ def first_equal_band(a: Column, b: Column, radius: int) -> Column:
     return F.coalesce(*(F.when(differ.bitwiseAND(F.lit(m)) == 0, F.lit(i)) for i, m in enumerate(band_masks(radius))), F.lit(-1))
 
 
-def hamming_pairs(points: DataFrame, radius: int) -> DataFrame:
-    """points: id, bits. Pairs of hashes that differ in at most radius bits, exactly."""
-    points = points.filter("bits IS NOT NULL").select("id", "bits", F.posexplode(hash_bands(F.col("bits"), radius)).alias("band", "key"))
-    left, right = points.select(F.col("id").alias("a"), F.col("bits").alias("bits_a"), "band", "key"), points.select(F.col("id").alias("b"), F.col("bits").alias("bits_b"), "band", "key")
-    found = left.join(right, ["band", "key"]).filter((F.col("a") < F.col("b")) & (S.hamming(F.col("bits_a"), F.col("bits_b")) <= radius))
-    return found.filter(first_equal_band(F.col("bits_a"), F.col("bits_b"), radius) == F.col("band")).select("a", "b", S.hamming(F.col("bits_a"), F.col("bits_b")).cast("int").alias("bits_apart"))
+def mask_of(bits: list[int]) -> int:
+    """The mask of some of the 64 bits, as a signed number."""
+    mask = sum(1 << b for b in bits)
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+#: A bucket of more hashes than that is dealt again by bands of the bits that its key leaves free, so many times at most.
+CROWD, LEVELS = 2000, 4
+#: Crowded keys that are copied to every task; there are no more of them than rows by CROWD.
+MOST_CROWDED = 100_000
+
+
+def hamming_pairs(points: DataFrame, radius: int, crowd: int = CROWD, levels: int = LEVELS) -> DataFrame:
+    """points: id, bits, hashes that are all different for the buckets to be worth it. Pairs of hashes that differ in at
+    most radius bits, exactly: a, b, bits_apart.
+
+    Two such hashes are equal in one of radius + 1 bands of bits. A band's bucket with over crowd hashes is dealt again:
+    there too, bands of the other bits have one in which the two are equal. A pair is taken in the first such band at
+    every level, and so once: `differ` holds the masks of the bands before, in which it must not be equal."""
+    state, parents, found = points.filter("bits IS NOT NULL").select("id", "bits", F.lit(0).alias("path")), {0: ([], [])}, []
+    for level in range(levels):
+        paths, deal = {}, F.lit(None)
+        for parent, (used, differ) in parents.items():
+            free = [b for b in range(64) if b not in used]
+            cuts = [round(i * len(free) / (radius + 1)) for i in range(radius + 2)]
+            bands = [free[lo:hi] for lo, hi in zip(cuts, cuts[1:], strict=False)]
+            own = []
+            for i, band in enumerate(bands):
+                path = parent * (radius + 2) + i + 1
+                paths[path] = (used + band, differ + [mask_of(x) for x in bands[:i]])
+                own.append(F.struct(F.lit(path).alias("path"), F.lit(mask_of(used + band)).alias("mask"), F.array(*map(F.lit, paths[path][1])).cast("array<long>").alias("differ")))
+            deal = F.when(F.col("path") == parent, F.array(*own)).otherwise(deal)
+        dealt = state.select("id", "bits", F.explode(deal).alias("to")).select("id", "bits", "to.path", F.col("bits").bitwiseAND(F.col("to.mask")).alias("key"), F.col("to.differ").alias("differ"))
+        more = level < levels - 1 and max(64 - len(used) for used, _ in paths.values()) > radius + 1
+        crowded = publish(dealt.groupBy("path", "key").count().filter(F.col("count") > crowd).select("path", "key")) if more else None
+        again = crowded is not None and not crowded.isEmpty()
+        if again and crowded.count() <= MOST_CROWDED:
+            crowded = F.broadcast(crowded)
+        ready = dealt.join(crowded, ["path", "key"], "left_anti") if again else dealt
+        left, right = ready.select(F.col("id").alias("a"), F.col("bits").alias("bits_a"), "path", "key", "differ"), ready.select(F.col("id").alias("b"), F.col("bits").alias("bits_b"), "path", "key")
+        apart = F.col("bits_a").bitwiseXOR(F.col("bits_b"))
+        first = F.forall("differ", lambda m: apart.bitwiseAND(m) != 0)
+        met = left.join(right, ["path", "key"]).filter((F.col("a") < F.col("b")) & (F.bit_count(apart) <= radius) & first)
+        found.append(met.select("a", "b", F.bit_count(apart).cast("int").alias("bits_apart")))
+        if not again:
+            break
+        state = publish(dealt.join(crowded, ["path", "key"], "left_semi").select("id", "bits", "path"))
+        parents = {path: paths[path] for (path,) in state.select("path").distinct().collect()}  # bounded by bands and levels
+    return reduce(DataFrame.unionAll, found)
 
 
 def class_heads(points: DataFrame, *columns: str) -> DataFrame:
@@ -119,43 +187,74 @@ def similarity_nodes(photos: DataFrame) -> DataFrame:
     return publish(nodes.filter("bits IS NOT NULL"))
 
 
+def time_runs(moments: DataFrame, keys: list[str], gap: int, span: int = SPAN) -> DataFrame:
+    """moments: id, secs and the keys, one row a second of a key. Adds run, the smallest id of the moments of the key's run
+    (each at most gap seconds after the one before), and its first and last second. Runs are cut at spans of time, which
+    bounds what a task sorts; two that go on into one another are as near as any."""
+    cut = moments.withColumn("span", F.floor(F.col("secs") / span))
+    along = Window.partitionBy(*keys, "span").orderBy("secs")
+    cut = cut.withColumn("new", F.coalesce((F.col("secs") - F.lag("secs").over(along) > gap).cast("long"), F.lit(0))).withColumn("nth", F.sum("new").over(along))
+    within = Window.partitionBy(*keys, "span", "nth")
+    return cut.withColumns({"run": F.min("id").over(within), "first": F.min("secs").over(within), "last": F.max("secs").over(within)}).drop("span", "new", "nth")
+
+
+def meeting_buckets(window: int) -> tuple[Column, Column]:
+    """Buckets of an interval (first, last), and those of intervals that may come within the window of it. Seconds of a run
+    are never far from each other, so that it has no more buckets than about two a moment."""
+    lo, hi = F.floor(F.col("first") / window), F.floor(F.col("last") / window)
+    return F.sequence(lo, hi), F.sequence(lo - 1, hi + 1)
+
+
 def similarity_edges(photos: DataFrame, limits: dict[str, int] = HAMMING, window: int = TIME_WINDOW_S, metres: float = GPS_RADIUS_M) -> DataFrame:
     """Links (a, b) whose closure is the closure of all similar pairs of a group.
 
-    Photos that are equal in all that counts are one node first, each linked to its smallest id, so that a spot where
-    the same hash comes again and again costs a row a photo and not a pair each."""
+    Photos that are equal in all that counts are one node first, each linked to its smallest id. Where time counts, the
+    seconds of one hash at one place that follow one another within the window are a run, linked to its smallest id as
+    well: another hash near it is near one of its photos exactly if it is near the run's time, so that runs are compared
+    and not their photos. A spot where some hashes come again and again costs a row a photo and not a pair each."""
     nodes = similarity_nodes(photos).filter("grp IN ('GPS', 'NONE') OR secs IS NOT NULL")
     same = ["grp", "bits", F.expr("CASE WHEN grp IN ('AB', 'DATE') THEN secs END").alias("secs"), F.expr("CASE WHEN grp IN ('AB', 'GPS') THEN lat END").alias("lat"), F.expr("CASE WHEN grp IN ('AB', 'GPS') THEN lon END").alias("lon")]
     keyed = nodes.select("id", *same)
     heads = publish(keyed.groupBy("grp", "bits", "secs", "lat", "lon").agg(F.min("id").alias("id")))
     keys = ["grp", "bits", "secs", "lat", "lon"]
     copies = keyed.alias("x").join(heads.withColumnRenamed("id", "head").alias("y"), reduce(lambda p, q: p & q, (F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}")) for k in keys))).filter("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b"))
+    timed = publish(time_runs(heads.filter("secs IS NOT NULL"), ["grp", "bits", "lat", "lon"], window))
+    inner = timed.filter("id <> run").select(F.col("run").alias("a"), F.col("id").alias("b"))
+    runs = publish(timed.filter("id = run").drop("secs", "run"))
     cell = CELL_DEGREES * metres / GPS_RADIUS_M
-    left = heads.select(*(F.col(c).alias(f"{c}_a") for c in ("id", "grp", "secs", "lat", "lon", "bits")))
-    right = heads.select(*(F.col(c).alias(f"{c}_b") for c in ("id", "grp", "secs", "lat", "lon", "bits")))
-    near_bits, near_time = S.hamming(F.col("bits_a"), F.col("bits_b")), F.abs(F.col("secs_a") - F.col("secs_b")) <= window
+    near_bits = S.hamming(F.col("bits_a"), F.col("bits_b"))
+    near_time = (F.col("first_b") - F.col("last_a") <= window) & (F.col("first_a") - F.col("last_b") <= window)
     near_place = S.haversine(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b")) <= metres
     ordered = F.col("id_a") < F.col("id_b")
-
-    def of(side: DataFrame, grp: str) -> DataFrame:
-        return side.filter(F.col(side.columns[1]) == grp)
-
-    bucket_a, bucket_b = near_buckets(time_buckets(F.col("secs_a"), window)).alias("bucket"), time_buckets(F.col("secs_b"), window).alias("bucket")
     here = own_cell(F.col("lat_b"), F.col("lon_b"), cell)
     cells = ["cell_row", "cell_column"]
-    both = near_cells(of(left, "AB").select("*", bucket_a), "lat_a", "lon_a", cell).join(of(right, "AB").select("*", bucket_b, *here), ["bucket", *cells]).filter(ordered & near_time & near_place & (near_bits <= limits["AB"]))
-    dated = of(left, "DATE").select("*", bucket_a).join(of(right, "DATE").select("*", bucket_b), "bucket").filter(ordered & near_time & (near_bits <= limits["DATE"]))
+    own, near = meeting_buckets(window)
+
+    def sides(df: DataFrame, grp: str) -> list[DataFrame]:
+        df = df.filter(F.col("grp") == grp).drop("grp")
+        return [df.select(*(F.col(c).alias(f"{c}_{side}") for c in df.columns)) for side in ("a", "b")]
+
+    def in_time(grp: str) -> tuple[DataFrame, DataFrame, Column]:
+        """Runs by bucket, and that a pair is in the first of its buckets."""
+        left, right = sides(runs.withColumns({"near": near, "own": own}), grp)
+        left = left.select("*", F.element_at("near_a", 1).alias("start_a"), F.explode("near_a").alias("bucket")).drop("near_a", "own_a")
+        right = right.select("*", F.element_at("own_b", 1).alias("start_b"), F.explode("own_b").alias("bucket")).drop("near_b", "own_b")
+        return left, right, F.col("bucket") == F.greatest("start_a", "start_b")
+
+    left, right, once_ = in_time("AB")
+    both = near_cells(left, "lat_a", "lon_a", cell).join(right.select("*", *here), ["bucket", *cells]).filter(ordered & once_ & near_time & near_place & (near_bits <= limits["AB"]))
+    left, right, once_ = in_time("DATE")
+    dated = left.join(right, "bucket").filter(ordered & once_ & near_time & (near_bits <= limits["DATE"]))
 
     def banded(side: DataFrame, bits: str, radius: int, *more: Column) -> DataFrame:
         return side.select("*", *more, F.posexplode(hash_bands(F.col(bits), radius)).alias("band", "key"))
 
-    def once(radius: int) -> Column:
-        return ordered & (near_bits <= radius) & (first_equal_band(F.col("bits_a"), F.col("bits_b"), radius) == F.col("band"))
-
-    placed = near_cells(banded(of(left, "GPS"), "bits_a", limits["GPS"]), "lat_a", "lon_a", cell).join(banded(of(right, "GPS"), "bits_b", limits["GPS"], *here), ["band", "key", *cells]).filter(once(limits["GPS"]) & near_place)
-    bare = banded(of(left, "NONE"), "bits_a", limits["NONE"]).join(banded(of(right, "NONE"), "bits_b", limits["NONE"]), ["band", "key"]).filter(once(limits["NONE"]))
-    pairs = [x.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")) for x in (both, dated, placed, bare)]
-    return reduce(DataFrame.unionByName, [copies, *pairs])
+    once = ordered & (near_bits <= limits["GPS"]) & (first_equal_band(F.col("bits_a"), F.col("bits_b"), limits["GPS"]) == F.col("band"))
+    left, right = sides(heads, "GPS")
+    placed = near_cells(banded(left, "bits_a", limits["GPS"]), "lat_a", "lon_a", cell).join(banded(right, "bits_b", limits["GPS"], *here), ["band", "key", *cells]).filter(once & near_place)
+    bare = hamming_pairs(heads.filter("grp = 'NONE'").select("id", "bits"), limits["NONE"])
+    pairs = [x.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")) for x in (both, dated, placed)]
+    return reduce(DataFrame.unionByName, [copies, inner, *pairs, bare.select("a", "b")])
 
 
 def incremental_match(new: DataFrame, old: DataFrame, limits: dict[str, int] = HAMMING, window: int = TIME_WINDOW_S, metres: float = GPS_RADIUS_M) -> DataFrame:

@@ -88,6 +88,14 @@ def time_band_pairs(spark, d):
     return P.time_band_pairs(points(spark, d))
 
 
+@query(with_views(V.PHOTOS, NODES, sql="""
+, b AS (SELECT id, secs, sum(fresh) OVER (ORDER BY secs, id) AS band FROM (SELECT id, secs, CASE WHEN secs - lag(secs) OVER (ORDER BY secs, id) <= 180 THEN 0 ELSE 1 END AS fresh FROM n WHERE secs IS NOT NULL))
+SELECT id, min(id) OVER (PARTITION BY band) AS band_id, (count(*) OVER (ORDER BY secs RANGE BETWEEN 180 PRECEDING AND 180 FOLLOWING) - 1)::BIGINT AS n_links FROM b"""))
+def time_bands(spark, d):
+    """The pairs of time_band_pairs as classes: a row a photo, with its number of links."""
+    return P.time_bands(points(spark, d))
+
+
 @query(with_views(V.PHOTOS, NODES, sql=f"""
 , c AS (SELECT lat, lon, min(id) AS id, count(*) AS n FROM n WHERE lat IS NOT NULL GROUP BY lat, lon)
 SELECT a.id AS a, b.id AS b, round({metres('a', 'b')}, 4) AS metres, a.n * b.n AS links FROM c a JOIN c b ON a.id < b.id AND {metres('a', 'b')} <= 50

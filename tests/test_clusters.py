@@ -210,3 +210,59 @@ def test_components_in_batches_of_any_order(spark):
     got = {r.node: r.component for r in labels.groupBy("node").agg(F.min("component").alias("component")).collect()}
     assert {n: c for n, c in got.items() if n in whole} == whole and all(now < was for was, now in log)
     assert len({was for was, _ in log}) == len(log)  # a component merges once
+
+
+@pytest.mark.parametrize(("radius", "crowd"), [(2, 2), (6, 3), (6, 2000), (4, 1)])
+def test_hamming_pairs_of_crowded_bands(spark, radius, crowd):
+    rng = random.Random(radius)
+    middles = [rng.getrandbits(64) for _ in range(6)] + [0, 2**64 - 1]
+    bits = {m ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(6))) for m in middles for _ in range(25)}
+    signed = [(i, b - (1 << 64) if b >> 63 else b) for i, b in enumerate(sorted(bits))]
+    got = sorted(map(tuple, P.hamming_pairs(spark.createDataFrame(signed, "id long, bits long"), radius, crowd, 3).collect()))
+    whole = sorted(bits)
+    assert got == [(i, j, n) for i in range(len(whole)) for j in range(i + 1, len(whole)) if (n := (whole[i] ^ whole[j]).bit_count()) <= radius]
+
+
+def dense(n: int, seed: int) -> list[tuple]:
+    """Photos of some minutes around midnight: few hashes, some near each other, two places, some without one or a date."""
+    rng, out = random.Random(seed), []
+    for i in range(n):
+        secs = rng.choice([rng.randrange(1500), rng.randrange(86400 - 900, 86400 + 900)])
+        day, rest = divmod(secs, 86400)
+        date = f"2024:05:0{1 + day} {rest // 3600:02}:{rest % 3600 // 60:02}:{rest % 60:02}" if rng.random() < 0.85 else None
+        place = (55.0 + rng.choice([0, 0.0003, 0.01]), 37.0) if rng.random() < 0.6 else (None, None)
+        out.append((i, date, *place, f"{rng.choice([0, 1, 0xFFFF, 0xFFFF0000, 0xFFFF0001]):016x}"))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_runs_have_the_closure_of_all_pairs(spark, seed):
+    rows = dense(160, seed)
+    df = spark.createDataFrame(rows, "id long, exif_date string, exif_gps_lat double, exif_gps_lon double, perceptual_hash string")
+    nodes = {r.id: r for r in P.similarity_nodes(df).collect()}
+    root = {i: i for i in nodes}
+    for a, b in itertools.combinations(sorted(nodes), 2):
+        x, y = nodes[a], nodes[b]
+        apart = (x.bits ^ y.bits).bit_count()
+        if x.grp != y.grp or apart > P.HAMMING[x.grp] or x.grp in ("AB", "DATE") and abs(x.secs - y.secs) > 180 or x.grp in ("AB", "GPS") and abs(x.lat - y.lat) > 0.00045:
+            continue
+        root = {i: root[a] if r == root[b] else r for i, r in root.items()} if root[a] < root[b] else {i: root[b] if r == root[a] else r for i, r in root.items()}
+    got = {r.id: r.cluster_id for r in C.with_components(df.select("id"), P.similarity_edges(df)).collect()}
+    assert {i: got[i] for i in nodes} == root
+
+
+def test_links_of_one_crowded_window_are_few(spark):
+    df = spark.range(4000).selectExpr("id", "concat('2024:05:01 12:0', id % 3, ':', lpad(id % 60, 2, '0')) AS exif_date", "55D AS exif_gps_lat", "37D AS exif_gps_lon", "lpad(id % 4, 16, '0') AS perceptual_hash")
+    assert P.similarity_edges(df).count() < 2 * 4000
+    assert {r.cluster_id for r in C.with_components(df.select("id"), P.similarity_edges(df)).select("cluster_id").distinct().collect()} == {0}
+
+
+def test_time_bands(spark):
+    rng = random.Random(2)
+    secs = sorted([rng.randrange(5000) for _ in range(60)] + [86400 * d + rng.randrange(-400, 400) for d in (1, 1, 1, 2, 2, 2, 2) for _ in range(8)] + [77777] * 50)
+    got = {r.id: (r.band_id, r.n_links) for r in P.time_bands(spark.createDataFrame(list(enumerate(secs)), "id long, secs long")).collect()}
+    first, want = 0, {}
+    for i, s in enumerate(secs):
+        first = i if i and s - secs[i - 1] > 180 else first
+        want[i] = (first, sum(abs(s - t) <= 180 for t in secs) - 1)
+    assert got == want
