@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediaweave.functions.constants import SORTABLE
-from mediaweave.operators.ranking import global_rank
+from mediaweave.operators.ranking import global_rank, rank_in_group
 
 
 def photo_filter(level: int | None = None, category: str | None = None, decision: str | None = None, cluster_id: int | None = None) -> Column:
@@ -46,11 +46,21 @@ def table_position(photos: DataFrame, targets: DataFrame, sort_by: str = "exif_d
     return out.select("id", F.coalesce("i", F.lit(0)).alias("row_index"), F.coalesce(F.expr(f"i DIV {page_size}"), F.lit(0)).alias("page"), F.col("i").isNotNull().alias("found"))
 
 
+def cluster_photo_chunks(photos: DataFrame, wanted: DataFrame, size: int = 10_000) -> DataFrame:
+    """wanted: cluster_id. Each with its photos' ids by (rank, id), at most size of them a row, however large the cluster:
+    cluster_id, chunk (from 0), ids; an unknown cluster has one empty list."""
+    members = photos.join(wanted, "cluster_id", "left_semi").select("cluster_id", "id", "rank_in_cluster")
+    placed = rank_in_group(members, "cluster_id", F.col("rank_in_cluster").asc_nulls_first(), F.col("id").asc())
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda x: x["id"])
+    lists = placed.groupBy("cluster_id", F.expr(f"cast((place - 1) DIV {size} AS INT)").alias("chunk")).agg(ids.alias("ids"))
+    return wanted.join(lists, "cluster_id", "left").select("cluster_id", F.coalesce("chunk", F.lit(0)).alias("chunk"), F.coalesce("ids", F.array().cast("array<bigint>")).alias("ids"))
+
+
 def cluster_photo_ids(photos: DataFrame, wanted: DataFrame) -> DataFrame:
-    """wanted: cluster_id. Each with its photos' ids by (rank, id); an unknown cluster has an empty list."""
-    ids = F.transform(F.array_sort(F.collect_list(F.struct(F.col("rank_in_cluster").isNotNull().alias("ranked"), "rank_in_cluster", "id"))), lambda x: x["id"])
-    lists = photos.join(wanted, "cluster_id", "left_semi").groupBy("cluster_id").agg(ids.alias("ids"))
-    return wanted.join(lists, "cluster_id", "left").select("cluster_id", F.coalesce("ids", F.array().cast("array<bigint>")).alias("ids"))
+    """The same in one row a cluster, for those whose photos fit one: cluster_id, ids."""
+    whole = F.array_sort(F.collect_list(F.struct("chunk", "ids")))
+    chunks = cluster_photo_chunks(photos, wanted).groupBy("cluster_id").agg(whole.alias("chunks"))
+    return chunks.select("cluster_id", F.flatten(F.transform("chunks", lambda x: x["ids"])).alias("ids"))
 
 
 def cluster_listing(clusters: DataFrame, photos: DataFrame, nonempty: bool = True) -> DataFrame:

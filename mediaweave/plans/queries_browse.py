@@ -81,6 +81,15 @@ def cluster_photo_ids(spark, d):
     return found.select("cluster_id", F.array_join("ids", ",").alias("ids"))
 
 
+@query(with_views(V.PHOTOS, V.CLUSTERS, sql="""SELECT cluster_id, chunk, coalesce(string_agg(id::VARCHAR, ',' ORDER BY place), '') AS ids FROM (
+  SELECT c.id AS cluster_id, p.id, row_number() OVER (PARTITION BY c.id ORDER BY p.rank_in_cluster NULLS FIRST, p.id) AS place, ((row_number() OVER (PARTITION BY c.id ORDER BY p.rank_in_cluster NULLS FIRST, p.id) - 1) // 50)::INT AS chunk
+  FROM clusters c LEFT JOIN photos p ON p.cluster_id = c.id) GROUP BY ALL"""))
+def cluster_photo_chunks(spark, d):
+    """The same lists, fifty photos a row."""
+    found = B.cluster_photo_chunks(V.photos(spark, d), V.clusters(spark, d).select(F.col("id").alias("cluster_id")), 50)
+    return found.select("cluster_id", "chunk", F.array_join("ids", ",").alias("ids"))
+
+
 LISTING = """, g AS (SELECT cluster_id, count(*) AS n, max(is_exact_duplicate) AS dup, min(id) AS first_id, max(id) AS last_id, string_agg(id::VARCHAR, ',' ORDER BY id) AS photo_ids FROM photos WHERE cluster_id IS NOT NULL GROUP BY 1),
 l AS (SELECT c.id, c.name, c.type, coalesce(g.n, 0) AS actual_count, coalesce(g.dup, 0) AS has_exact_dup, g.first_id, g.last_id, g.photo_ids, c.best_photo_id, b.original_filename, b.quality_blur, b.quality_exposure, c.avg_timestamp
   FROM clusters c {} JOIN g ON g.cluster_id = c.id LEFT JOIN photos b ON b.id = c.best_photo_id)"""

@@ -40,6 +40,20 @@ def file_listing(spark, d):
     return I.with_extension(V.photos(spark, d).select("id", F.expr(LISTED).alias("path")))
 
 
+WRITTEN = ("JPG", "png", "txt", "md5")
+
+
+@query(with_views(V.PHOTOS, sql="SELECT source_id % 20 AS folder, CASE id % 4 WHEN 0 THEN 'JPG' ELSE 'png' END AS extension, 1::BIGINT AS files FROM photos WHERE id % 4 < 2 GROUP BY ALL"))
+def folder_listing(spark, d):
+    """Folders in folders, written from the photos: a file for each source's folder and kind. The listing goes through all
+    of them and keeps files of photos, in whatever case their names end."""
+    root, photos = scratch_path(spark), V.photos(spark, d).select("id", F.expr("source_id % 20").alias("folder"), "original_path")
+    for kind, extension in enumerate(WRITTEN):
+        photos.filter(f"id % 4 = {kind}").drop("id").repartition("folder").write.partitionBy("folder").option("extension", extension).csv(f"{root}/deep/{extension.lower()}")
+    found = I.file_listing(spark, root).select(F.regexp_extract("path", r"folder=(\d+)/", 1).cast("long").alias("folder"), F.regexp_extract("path", r"\.(\w+)$", 1).alias("extension"))
+    return found.groupBy("folder", "extension").agg(F.count("*").alias("files"))
+
+
 @query(with_views(V.VECTORS, sql="SELECT photo_id, photo_id % 4 AS run_id FROM vectors WHERE photo_id % 4 <> 3"))
 def undo_run(spark, d):
     """Embeddings of four runs, of which one failed half way."""

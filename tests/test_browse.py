@@ -73,3 +73,12 @@ def test_runs_are_appended(spark, tmp_path):
     T.append_runs(runs, str(tmp_path / "log"))
     T.append_runs(runs, str(tmp_path / "log"))
     assert sorted(str(r.rate) for r in T.stage_rates(spark.read.parquet(str(tmp_path / "log"))).collect()) == ["5.0", "5.0", "None", "None"]
+
+
+def test_a_cluster_of_all_photos_is_never_one_row(spark):
+    photos = spark.range(1000).select(F.col("id"), F.lit(7).cast("long").alias("cluster_id"), (F.col("id") % 3).cast("int").alias("rank_in_cluster"))
+    wanted = spark.createDataFrame([(7,), (8,)], "cluster_id long")
+    got = B.cluster_photo_chunks(photos, wanted, 64).orderBy("cluster_id", "chunk").collect()
+    assert max(len(r.ids) for r in got) == 64 and (got[-1].cluster_id, got[-1].chunk, got[-1].ids) == (8, 0, [])
+    whole = [i for r in got for i in r.ids]
+    assert whole == sorted(range(1000), key=lambda i: (i % 3, i)) == {r.cluster_id: r.ids for r in B.cluster_photo_ids(photos, wanted).collect()}[7]
