@@ -10,7 +10,7 @@ from pyspark.sql.types import StructType
 
 from mediaweave.sources.shared import publish, publish_by, remove, shared_dir
 
-__all__ = ["join_by_size", "lower_ascii", "map_rows", "packed", "publish", "publish_by", "remove", "shared_dir", "small_batches", "table", "unpacked"]
+__all__ = ["copied_if_small", "join_by_size", "lower_ascii", "map_rows", "packed", "publish", "publish_by", "remove", "shared_dir", "small_batches", "table", "unpacked"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -57,6 +57,16 @@ def join_by_size(left: DataFrame, right: DataFrame, keys: list[str], size: str,
     return left.join(hinted(right), [*keys, "_part"], how).drop("_part")
 
 
+#: Bytes that a table may have to be copied to every task.
+SMALL_TABLE = 32 << 20
+
+
+def copied_if_small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """A (written) table with the hint to broadcast it, if its rows of so many bytes are few enough; else as it is, for the
+    planner to shuffle."""
+    return F.broadcast(df) if df.count() * row_bytes <= SMALL_TABLE else df
+
+
 REST = "_rest"
 
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mediaweave.llm.common import join_by_size, packed, publish, shared_dir, small_batches, table, unpacked
+from mediaweave.llm.common import copied_if_small, join_by_size, packed, publish, shared_dir, small_batches, table, unpacked
 from mediaweave.operators.components import connected_components
 
 BITS, RADIUS = 64, 2
@@ -429,7 +429,7 @@ def near_links(sketches: DataFrame, similarity: float, crowd: int = CROWDED) ->
     keys, links = shared_keys(sketches, crowd, similarity)
     buckets = keys.join(sketches.select("_row", "fp"), "_row").repartition("key").sortWithinPartitions("key", "_row")
     wanted = publish(buckets.select("key", "_row", "fp").mapInArrow(_with_partner, "key long, _row long"))
-    sets = wanted.join(sketches.select("_row", "fp", "shingles"), "_row").repartition("key").sortWithinPartitions("key", "_row")
+    sets = copied_if_small(wanted, 64).join(sketches.select("_row", "fp", "shingles"), "_row").repartition("key").sortWithinPartitions("key", "_row")
     links.append(publish(sets.select("key", "_row", "fp", "shingles").mapInArrow(partial(_similar_links, least=similarity), "src long, dst long")))
     return reduce(DataFrame.unionAll, links)
 
@@ -450,7 +450,9 @@ def near_distinct(docs: DataFrame, words: int = 5, similarity: float = 0.8, seed
     members = sketches.select("_row", "_k", "_h").join(parts.withColumnRenamed("node", "_row"), "_row")
     least = members.groupBy("component").agg(F.min(F.struct("_k", "_h")).alias("least"), F.count("*").alias("size"))
     gone = publish(join_by_size(members, publish(least), ["component"], "size", "inner").filter(F.struct("_k", "_h") != F.col("least")).groupBy("_k", "_h").count())
-    return join_by_size(docs, gone, ["_k", "_h"], "count", "left_anti").select(*unpacked(columns, "doc_id", "text"))
+    small = copied_if_small(gone, 64)
+    left = docs.join(small, ["_k", "_h"], "left_anti") if small is not gone else join_by_size(docs, gone, ["_k", "_h"], "count", "left_anti")
+    return left.select(*unpacked(columns, "doc_id", "text"))
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:

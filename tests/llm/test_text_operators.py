@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from mediaweave.llm import html_text, langid, licenses, queries, secret_scan, simhash, suffix
+from mediaweave.llm.common import publish
 from mediaweave.llm.decontam import words_of
 from tests.test_oracles import SF_DIR
 
@@ -478,8 +479,13 @@ def test_pipeline_against_brute_force(spark):
     left = [i for i in left if root[i] == i]
     windows = {tuple(w[i : i + 10]) for r in spark.read.parquet(f"{SF_DIR}/benchmark.parquet").collect() for w in [words_of(r.text.encode())] for i in range(len(w) - 9)}
     left = {i for i in left if not any(tuple(w[k : k + 10]) in windows for w in [words_of(docs[i].text.encode())] for k in range(len(w) - 9))}
-    got = corpus_pipeline.run(spark, SF_DIR).collect()
+    table = spark.read.parquet(f"{SF_DIR}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        table = publish(stage(spark, table, SF_DIR))
+    assert sorted(r.doc_id for r in table.select("doc_id").collect()) == sorted(left)
+    got = corpus_pipeline.mix(spark, table, SF_DIR).collect()
     assert {r.doc_id for r in got} <= left and len({r.doc_id for r in got}) == len(got)
+    assert sorted((r.doc_id, r.taken) for r in corpus_pipeline.run(spark, SF_DIR).collect()) == sorted((r.doc_id, r.taken) for r in got)
     total = sum(len(docs[i].text.split()) for i in left)
     assert abs(sum(r.taken for r in got) - 1.5 * total) < 0.05 * total
     for source in {r.source for r in got}:
