@@ -39,15 +39,16 @@ def schema_of(name: str) -> StructType:
     return StructType.fromDDL((LIBRARY | GIVEN)[name])
 
 
-def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """A table by its stated schema; columns besides aren't read, and one that the files lack is an error, not nulls."""
+def read_table(spark: SparkSession, path: str, name: str, partial: bool = False) -> DataFrame:
+    """A table by its stated schema; columns besides aren't read, and one that the files lack is an error, or nulls if the
+    table may be partial."""
     schema = schema_of(name)
-    lacking = set(schema.names) - set(spark.read.parquet(path).columns)
+    lacking = set() if partial else set(schema.names) - set(spark.read.parquet(path).columns)
     if lacking:
         raise ValueError(f"{name} at {path} has no column {', '.join(sorted(lacking))}")
     return spark.read.schema(schema).parquet(path)
 
 
 def read_photos(spark: SparkSession, path: str) -> DataFrame:
-    """All photos in order of (exif_date, id), those without a date first."""
-    return read_table(spark, path, "photos").orderBy(F.col("exif_date").asc_nulls_first(), "id")
+    """All photos in order of (exif_date, id), those without a date first. Columns that the table was written without are null."""
+    return read_table(spark, path, "photos", partial=True).orderBy(F.col("exif_date").asc_nulls_first(), "id")
