@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 from mediaweave.functions import scalars as S
 from mediaweave.operators import browse as B
 from mediaweave.operators import mutate as M
+from mediaweave.operators import pages as P
 from mediaweave.operators import stats as T
 from mediaweave.plans import views as V
 from mediaweave.plans.views import with_views
+from mediaweave.sources import buckets
 from mediaweave.sources.ingest import sync_check as check_paths
+from mediaweave.sources.shared import scratch_path
 
 QUERIES, ORACLES = {}, {}
 
@@ -39,6 +42,13 @@ def photo_page(spark, d):
     return B.photo_page(V.photos(spark, d), limit=100, offset=150, level=1).select("id", "exif_date", "quality_blur")
 
 
+@query(on_photos("SELECT id, exif_date, quality_blur FROM photos WHERE processing_level >= 1 ORDER BY quality_blur DESC NULLS LAST, id LIMIT 200 OFFSET 500"))
+def stored_page(spark, d):
+    """A deep page from a stored order, which reads the ranges that hold it."""
+    rows = V.photos(spark, d).filter(B.photo_filter(level=1)).select("id", "exif_date", "quality_blur")
+    return P.page(P.write_order(rows, scratch_path(spark), "quality_blur", "desc"), limit=200, offset=500)
+
+
 @query(on_photos("SELECT count(*) AS total FROM photos WHERE processing_level >= 1 AND user_decision IS NULL"))
 def photo_count(spark, d):
     return V.photos(spark, d).filter(B.photo_filter(level=1, decision="none", category="")).agg(F.count("*").alias("total"))
@@ -133,6 +143,16 @@ def table_position(spark, d):
     return B.table_position(photos, photos.filter("id % 10 = 0").select("id"), "quality_blur", "desc", category="food")
 
 
+@query(on_photos("""
+SELECT id, coalesce(r - 1, 0) AS row_index, coalesce((r - 1) // 100, 0) AS page, r IS NOT NULL AS found FROM (SELECT id FROM photos WHERE id % 10 = 0)
+LEFT JOIN (SELECT id, row_number() OVER (ORDER BY exif_date NULLS FIRST, id) AS r FROM photos WHERE processing_level >= 1) USING (id)"""))
+def stored_positions(spark, d):
+    """Positions in a stored order, found by buckets of ids."""
+    photos = V.photos(spark, d)
+    order = P.write_order(photos.filter(B.photo_filter(level=1)).select("id", "exif_date"), scratch_path(spark))
+    return P.positions(order, photos.filter("id % 10 = 0").select("id"))
+
+
 @query(with_views(V.PHOTOS, V.CLUSTERS, V.SOURCES, sql="""
 SELECT count(*) AS total_photos, count(*) FILTER (processing_level = 0) AS level_0, count(*) FILTER (processing_level = 1) AS level_1, count(*) FILTER (processing_level = 2) AS level_2, count(*) FILTER (processing_level = 3) AS level_3,
   count(user_decision) AS marked, count(*) FILTER (is_technical = 1) AS technical, count(*) FILTER (sync_status = 'disconnected') AS disconnected, (SELECT count(*) FROM clusters) AS total_clusters, (SELECT count(*) FROM sources) AS total_sources FROM photos"""))
@@ -231,6 +251,23 @@ def apply_quality(spark, d):
     return M.apply_quality(photos, measured).select("id", "perceptual_hash", F.round("quality_blur", 6).alias("quality_blur"), "processing_level")
 
 
+@query(with_views(V.PHOTOS, "l AS (SELECT doc_id AS id, CASE WHEN toxic = 1 THEN 'delete' WHEN quality = 1 THEN 'keep' END AS decision FROM labels)", sql="""
+SELECT p.id, CASE WHEN l.id IS NOT NULL THEN l.decision ELSE p.user_decision END AS user_decision, CASE WHEN p.id % 8 = 0 THEN NULL WHEN p.id % 4 = 0 THEN 1.5 ELSE round(p.quality_blur, 6) END AS quality_blur,
+  CASE WHEN p.id % 4 = 0 THEN greatest(processing_level, 1) ELSE processing_level END AS processing_level FROM photos p LEFT JOIN l USING (id) WHERE p.id % 7 <> 0"""))
+def stored_changes(spark, d):
+    """Photos in buckets: decisions from labels, measured qualities and deleted photos, each a change of the buckets that it
+    names and a version of its own."""
+    path, photos = scratch_path(spark), V.photos(spark, d)
+    buckets.create(photos, path, "id", 8)
+    made = V.table(spark, d, "labels").select(F.col("doc_id").alias("id"), F.when(F.col("toxic") == 1, "delete").when(F.col("quality") == 1, "keep").alias("user_decision"))
+    measured = photos.filter("id % 4 = 0").select("id", F.expr("id % 8 <> 0").alias("ok"), F.lit(None).cast("string").alias("perceptual_hash"), F.lit(1.5).alias("quality_blur"), F.lit(100.0).alias("quality_exposure"))
+    buckets.change(spark, path, made, lambda rows, new: M.apply_updates(rows, new, "photos"))
+    buckets.change(spark, path, measured, M.apply_quality)
+    buckets.change(spark, path, photos.filter("id % 7 = 0").select("id"), lambda rows, keys: buckets.delete_keys(rows, keys, "id"))
+    buckets.remove_old(spark, path)
+    return buckets.read(spark, path).select("id", "user_decision", F.round("quality_blur", 6).alias("quality_blur"), "processing_level")
+
+
 @query(on_photos("SELECT id, CASE WHEN source_id % 10 = 3 THEN NULL ELSE source_id END AS source_id FROM photos"))
 def remove_source(spark, d):
     return M.remove_source(V.photos(spark, d), F.expr("source_id % 10 = 3")).select("id", "source_id")

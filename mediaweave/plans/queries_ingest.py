@@ -12,6 +12,7 @@ from mediaweave.operators.ranking import global_rank
 from mediaweave.plans import views as V
 from mediaweave.plans.queries_clusters import CLOSURE, NODES, PAIRS
 from mediaweave.plans.views import with_views
+from mediaweave.sources import buckets
 from mediaweave.sources import ingest as I
 from mediaweave.sources.schemas import read_table
 from mediaweave.sources.shared import scratch_path, staged
@@ -109,7 +110,10 @@ def paths_in_sources(spark, d):
     return I.within_sources(pages, hosts).select("page_id", "url", "accepted")
 
 
-@query(with_views(V.VECTORS, sql="SELECT photo_id, round(CASE WHEN photo_id % 3 = 0 AND photo_id IN (SELECT event_id FROM events) THEN 2 ELSE 1 END * embedding[1], 6) AS first FROM vectors WHERE photo_id % 2 = 0 OR photo_id % 3 = 0 AND photo_id IN (SELECT event_id FROM events)"))
+UPSERTED = with_views(V.VECTORS, sql="SELECT photo_id, round(CASE WHEN photo_id % 3 = 0 AND photo_id IN (SELECT event_id FROM events) THEN 2 ELSE 1 END * embedding[1], 6) AS first FROM vectors WHERE photo_id % 2 = 0 OR photo_id % 3 = 0 AND photo_id IN (SELECT event_id FROM events)")
+
+
+@query(UPSERTED)
 def upsert_embeddings(spark, d):
     """Even vectors are stored; each third comes again, doubled."""
     vectors = V.vectors(spark, d).select("photo_id", F.expr("transform(embedding, x -> cast(x AS DOUBLE))").alias("embedding"))
@@ -118,6 +122,17 @@ def upsert_embeddings(spark, d):
     return I.upsert_vectors(vectors.filter("photo_id % 2 = 0"), new, known).select("photo_id", F.round(F.col("embedding")[0], 6).alias("first"))
 
 
+@query(UPSERTED)
+def stored_embeddings(spark, d):
+    """The same in buckets of a stored table, of which the upsert writes those that new rows name."""
+    path, vectors = scratch_path(spark), V.vectors(spark, d).select("photo_id", F.expr("transform(embedding, x -> cast(x AS DOUBLE))").alias("embedding"))
+    buckets.create(vectors.filter("photo_id % 2 = 0"), path, "photo_id", 8)
+    new = vectors.filter("photo_id % 3 = 0").withColumn("embedding", F.transform("embedding", lambda x: 2 * x))
+    known = V.table(spark, d, "events").select(F.col("event_id").alias("id"))
+    buckets.change(spark, path, new, lambda rows, new: I.upsert_vectors(rows, new, known))
+    return buckets.read(spark, path).select("photo_id", F.round(F.col("embedding")[0], 6).alias("first"))
+
+
 @query("""SELECT event_id AS id, CASE WHEN event_id % 7 <> 0 THEN strftime(ts, '%Y:%m:%d %H:%M:%S') WHEN event_id % 14 <> 0 THEN '2020:01:02 03:04:05' END AS exif_date, CASE WHEN user_id % 3 = 0 THEN NULL WHEN user_id % 3 = 1 THEN 'Model ' || user_id ELSE event_type || ' Model ' || user_id END AS exif_camera,
   CASE WHEN event_id % 5 <> 0 THEN (event_id % 8)::INT END AS exif_orientation, CASE WHEN event_id % 4 <> 0 THEN 4000 END AS exif_width, NULL::INT AS exif_height FROM events""")
 def normalize_tags(spark, d):

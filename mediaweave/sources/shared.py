@@ -60,9 +60,10 @@ def published_since() -> Iterator[list[str]]:
 
 
 def staged(spark: SparkSession, target: str, write) -> None:
-    """Lets write(path) fill a folder beside the target, which takes its name only when that ends well; after an error
+    """Lets write(path) fill a hidden folder beside the target, which takes its name only when that ends well; after an error
     nothing of the run is left. target must not exist."""
-    target_path, stage_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(target), spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{target}-{uuid.uuid4().hex}")
+    parent, _, name = target.rstrip("/").rpartition("/")
+    target_path, stage_path = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x) for x in (target, f"{parent}/.{name}-{uuid.uuid4().hex}"))
     files = target_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     try:
         write(stage_path.toString())
