@@ -1,14 +1,18 @@
 """7. Benchmark decontamination by winnowing.
 
-Every window of WINDOW words has a fingerprint: the smallest hash of its K-grams, so that neighbouring windows mostly
-share one, and equal windows always do. The benchmark's windows are kept once each, with their fingerprints. A
-document's windows are fingerprinted alike; those whose fingerprint the benchmark has are joined with its windows on
-fingerprint and words, which makes the result exact, and a hit extends as long as its windows go on matching. An item
-of fewer words is one window of its own length with its own hash.
+Of the K-grams of each window of WINDOW words the one with the smallest hash (the first of equal ones) is kept, which
+leaves about two in seven; equal windows keep the same gram. Both sides keep such grams with the words around them that
+windows with the gram can reach. They meet by the gram's hash, and a meeting extends over the words to both sides as
+long as they agree: WINDOW words or more are a hit. So every shared span of WINDOW words is found, and hits are exact.
 
-Both sides are Spark tables of any size. What is sent to all tasks has a fixed size: a bitmap of 2 ** BITS bits
-of the benchmark's fingerprints (a full one only lets more windows into the join). A window that very many documents
-hold is dealt to many tasks.
+A gram that more than CROWDED contexts of the benchmark have (a common instruction) would meet too many of them: there the
+contexts' windows meet by all their words instead. An item of fewer words is one window of its own length, met by all
+its words too.
+
+Both sides are Spark tables of any size. A bitmap of the benchmark's hashes goes to all tasks, so that only a document's
+grams that may meet are shuffled; it has 16 bits a hash and 2 ** BITS at most (a full one only lets more into the join).
+A gram or window that very many documents hold is dealt to many tasks. Items are looked up once for each different set of
+contexts and windows that documents hit, not for each document or hit.
 
 Defined results: a null text has no words; an item or document without words matches nothing; items with equal
 words are all counted, an item_id that repeats once; repeated rows get equal results; empty tables give an empty
@@ -29,8 +33,10 @@ from pyspark.sql import functions as F
 from mediaweave.llm.common import join_by_size, packed, publish, small_batches, table, unpacked
 
 WINDOW, K = 10, 5
-#: The bitmap has 2 ** BITS bits.
-BITS = 25
+#: The bitmap has 2 ** BITS bits at most.
+BITS = 28
+#: Contexts of the benchmark that a gram may have to be met one by one.
+CROWDED = 16
 #: Word hashes that a task remembers.
 REMEMBERED = 500_000
 #: Lower-cases A-Z and makes a space of what is no part of a word, in UTF-8.
@@ -65,43 +71,71 @@ def gram_hashes(numbers: np.ndarray, k: int) -> np.ndarray:
     return h
 
 
-def fingerprints(numbers: np.ndarray) -> np.ndarray:
-    """The smallest K-gram hash of each window."""
-    if len(numbers) < WINDOW:
-        return np.zeros(0, np.uint64)
-    h, have = gram_hashes(numbers, K), 1
-    while have < WINDOW - K + 1:
-        step = min(have, WINDOW - K + 1 - have)
-        h, have = np.minimum(h[:-step], h[step:]), have + step
-    return h
+def winnowed(hashes: np.ndarray, grams: int) -> np.ndarray:
+    """The places that hold the first smallest of any `grams` hashes in a row."""
+    if len(hashes) < grams:
+        return np.zeros(0, np.int64)
+    best = np.lib.stride_tricks.sliding_window_view(hashes, grams).argmin(axis=1) + np.arange(len(hashes) - grams + 1)
+    return best[np.flatnonzero(np.diff(best, prepend=-1))]  # a later window's is never before an earlier one's
 
 
-def _windows(batches, carried: list[str], lengths: tuple[int, ...] | None, bitmap):
-    """Windows with their fingerprints: h, at (number of the first word), n, words. Without lengths, of items: all
-    windows, or the one of a short item. With lengths, of documents: windows of WINDOW and of these lengths, where the
-    bitmap has the fingerprint."""
-    known = Numbers()
+def _fingerprints(batches, carried: list[str], lengths: tuple[int, ...] | None, bitmap):
+    """Winnowed grams with their hash h, and the words of all windows that can have them: at (number of the first word),
+    lead (words before the gram), n (WINDOW), words. And short windows of n words: without lengths, the one of an item
+    that is short; with lengths, a document's windows of these. Where there is a bitmap, only what it has."""
+    known, reach = Numbers(), WINDOW - K
     bits = np.frombuffer(bitmap.value, np.uint64) if bitmap else None
     for batch in batches:
-        of, hashes, places, sizes, texts = [], [], [], [], []
+        of, hashes, places, leads, sizes, texts = [], [], [], [], [], []
         for i, text in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
             words = words_of(text)
             numbers = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-            wanted = (WINDOW, *lengths) if lengths is not None else (min(WINDOW, len(words)),) if words else ()
-            for n in wanted:
-                h = fingerprints(numbers) if n == WINDOW else gram_hashes(numbers, n)
-                at = np.arange(len(h)) if bits is None else np.flatnonzero(bits[(h >> np.uint64(6)) & np.uint64(len(bits) - 1)] >> (h & np.uint64(63)) & np.uint64(1))
+            short = lengths if lengths is not None else (len(words),) if 0 < len(words) < WINDOW else ()
+            for n in (WINDOW, *short):
+                h = gram_hashes(numbers, K if n == WINDOW else n)
+                at = winnowed(h, reach + 1) if n == WINDOW else np.arange(len(h))
+                if bits is not None:
+                    x = h[at]
+                    at = at[np.flatnonzero(bits[(x >> np.uint64(6)) & np.uint64(len(bits) - 1)] >> (x & np.uint64(63)) & np.uint64(1))]
                 for p, x in zip(at.tolist(), h[at].view(np.int64).tolist(), strict=True):
-                    of.append(i), hashes.append(x), places.append(p), sizes.append(n), texts.append(b" ".join(words[p : p + n]))
-        arrays = [pa.array(x, pa.int64()) for x in (hashes, places, sizes)] + [pa.array(texts, pa.binary())]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(of, pa.int64())) for c in carried), *arrays], names=[*carried, "h", "at", "n", "words"])
+                    start, end = (max(0, p - reach), p + WINDOW) if n == WINDOW else (p, p + n)
+                    of.append(i), hashes.append(x), places.append(start), leads.append(p - start), sizes.append(n), texts.append(b" ".join(words[start:end]))
+        arrays = [pa.array(x, pa.int64()) for x in (hashes, places, leads, sizes)] + [pa.array(texts, pa.binary()).cast(pa.string())]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(of, pa.int64())) for c in carried), *arrays], names=[*carried, *NAMES])
+
+
+NAMES = ("h", "at", "lead", "n", "words")
+SHAPE = "h long, at long, lead long, n long, words string"
+
 
+def whole_windows(rows: DataFrame) -> DataFrame:
+    """Fingerprints' contexts as the windows in them: at, n and words are each window's. Short windows stay."""
+    words = F.split("words", " ")
+    starts = F.when(F.col("n") < WINDOW, F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), (F.size(words) - WINDOW).cast("long")))
+    rows = rows.withColumn("_start", F.explode(starts)).withColumn("words", F.array_join(F.slice(words, F.col("_start").cast("int") + 1, F.col("n").cast("int")), " "))
+    return rows.withColumn("at", F.col("at") + F.col("_start")).drop("_start", "lead")
 
-SHAPE = "h long, at long, n long, words binary"
 
+def agreeing(one, other):
+    """How many words two arrays have in common from their start."""
+    differs = F.array_position(F.zip_with(one, other, lambda x, y: x.eqNullSafe(y)), F.lit(False))
+    return F.when(differs > 0, differs - 1).otherwise(F.size(one))
 
-def fingerprint_bitmap(windows: DataFrame, bits: int) -> bytes:
-    """A bit for each fingerprint; the driver gets at most 2 ** (bits - 6) rows."""
+
+def extended(met: DataFrame) -> DataFrame:
+    """met: a document's at, lead and words, an item's item_lead and item_words. Adds from and to, the words around the gram
+    that agree, of those meetings in which the gram itself and WINDOW words agree."""
+    sides = [(F.split(words, " "), F.col(lead).cast("int")) for words, lead in (("words", "lead"), ("item_words", "item_lead"))]
+    before = agreeing(*(F.reverse(F.slice(w, 1, lead)) for w, lead in sides))
+    after = agreeing(*(F.slice(w, lead + 1, WINDOW) for w, lead in sides))
+    met = met.withColumns({"_before": before, "_after": after}).filter((F.col("_after") >= K) & (F.col("_before") + F.col("_after") >= WINDOW))
+    gram = F.col("at") + F.col("lead")
+    return met.withColumns({"from": gram - F.col("_before"), "to": gram + F.col("_after")}).drop("_before", "_after")
+
+
+def fingerprint_bitmap(windows: DataFrame, most: int) -> bytes:
+    """Bits for hashes, 16 a hash and 2 ** most at most; the driver gets at most 2 ** (most - 6) rows."""
+    bits = min(most, max(16, (16 * windows.count()).bit_length()))
     word = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(2 ** (bits - 6) - 1))
     rows = windows.groupBy(word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 AS INT))")).alias("bits")).toPandas()
     out = np.zeros(2 ** (bits - 6), np.uint64)
@@ -120,6 +154,19 @@ def covered(spans):
     return F.aggregate(spans, F.struct(zero.alias("n"), zero.alias("upto")), add)["n"]
 
 
+def item_lists(by_doc: DataFrame, members: DataFrame, targets: DataFrame) -> DataFrame:
+    """by_doc: targets, what a document hits. Each different list of targets once, with n_items and items_sha256 of the items
+    that have one of them, and rows, how many documents have the list. The digest needs a list's items in one row."""
+    sets = publish(by_doc.groupBy("targets").agg(F.count("*").alias("rows")).withColumn("of", F.monotonically_increasing_id()))
+    named = publish(sets.select("of", F.explode("targets").alias("target")))
+    uses = publish(targets.join(named.groupBy("target").agg(F.count("*").alias("uses")), "target"))
+    ids = publish(members.join(uses, ["h", "lead", "words"]).select("item_id", "target", "uses"))
+    lists = join_by_size(named, ids, ["target"], "uses", "inner").select("of", "item_id").distinct()
+    lists = lists.groupBy("of").agg(F.array_sort(F.collect_list("item_id")).alias("ids"))
+    digests = lists.select("of", F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("items_sha256"))
+    return sets.join(digests, "of").drop("of")
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, bits: int = BITS) -> DataFrame:
     """docs: doc_id, text; benchmark: item_id, text. Adds n_words, n_hit, n_items, items_sha256, contaminated."""
     spark = docs.sparkSession
@@ -128,17 +175,36 @@ def contamination(docs: DataFrame, benchmark: DataFrame, bits: int = BITS) -> Da
     # rows with one doc_id and one text are equal in all that matters here, so the two name a document
     docs = packed(docs, "doc_id", "text").withColumns({"_k": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_h": F.xxhash64("text")})
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
-    items = items.mapInArrow(partial(_windows, carried=["item_id"], lengths=None, bitmap=None), f"item_id string, {SHAPE}")
-    items = publish(items.groupBy("h", "n", "words").agg(F.collect_set("item_id").alias("items")))
+    items = items.mapInArrow(partial(_fingerprints, carried=["item_id"], lengths=None, bitmap=None), f"item_id string, {SHAPE}").drop("at")
+    items = publish(items.distinct())
+    crowded = items.filter(F.col("n") == WINDOW).select("h", "lead", "words").distinct().groupBy("h").agg(F.count("*").alias("contexts")).filter(F.col("contexts") > CROWDED)
+    items = publish(items.join(crowded, "h", "left").withColumn("crowded", F.col("contexts").isNotNull() & (F.col("n") == WINDOW)).drop("contexts"))
+    by_words = (F.col("n") < WINDOW) | F.col("crowded")
+    windows = whole_windows(items.filter(by_words).withColumn("at", F.lit(0).cast("long"))).select("item_id", "h", F.lit(-1).cast("long").alias("lead"), "words")
+    # what documents may meet: a gram with a context, or (lead -1) a hash with a whole window
+    members = publish(items.filter(~by_words).select("item_id", "h", "lead", "words").unionAll(windows).distinct())
+    targets = publish(members.select("h", "lead", "words").distinct().withColumn("target", F.monotonically_increasing_id()))
     short = tuple(sorted(r["n"] for r in items.filter(F.col("n") < WINDOW).select("n").distinct().collect()))  # WINDOW - 1 at most
-    bitmap = spark.sparkContext.broadcast(fingerprint_bitmap(items.select("h"), bits))
-    found = docs.select("_k", "_h", "text").mapInArrow(partial(_windows, carried=["_k", "_h"], lengths=short, bitmap=bitmap), f"_k string, _h long, {SHAPE}")
-    found = publish(found.groupBy("_k", "_h", "at", "n", "h", "words").agg(F.count("*").alias("copies")))
-    wanted = publish(items.drop("n").join(found.groupBy("h", "words").agg(F.count("*").alias("rows")), ["h", "words"]))
-    hits = join_by_size(found, wanted, ["h", "words"], "rows", "inner").select("_k", "_h", "copies", F.struct("at", (F.col("at") + F.col("n")).alias("end")).alias("span"), "items")
-    ids = F.array_sort(F.array_distinct(F.flatten(F.collect_set("items"))))
-    by_doc = hits.groupBy("_k", "_h").agg(F.max("copies").alias("copies"), covered(F.array_sort(F.collect_set("span"))).alias("n_hit"), ids.alias("ids"))
-    by_doc = publish(by_doc.select("_k", "_h", "copies", "n_hit", F.size("ids").cast("long").alias("n_items"), F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("items_sha256")))
+    bitmap = spark.sparkContext.broadcast(fingerprint_bitmap(targets.select("h").distinct(), bits))
+    found = docs.select("_k", "_h", "text").mapInArrow(partial(_fingerprints, carried=["_k", "_h"], lengths=short, bitmap=bitmap), f"_k string, _h long, {SHAPE}")
+    found = publish(found.groupBy("_k", "_h", *NAMES).agg(F.count("*").alias("copies")))
+    grams, wholes = targets.filter("lead >= 0"), targets.filter("lead < 0").drop("lead")
+    # a row a gram: its contexts, CROWDED at most, and how many fingerprints of documents have it
+    asked = found.filter(F.col("n") == WINDOW).groupBy("h").agg(F.count("*").alias("rows"))
+    contexts = grams.groupBy("h").agg(F.collect_list(F.struct("target", F.col("lead").alias("item_lead"), F.col("words").alias("item_words"))).alias("contexts"))
+    met = join_by_size(found.filter(F.col("n") == WINDOW), publish(contexts.join(asked, "h")), ["h"], "rows", "inner")
+    hits = extended(met.select("_k", "_h", "copies", "at", "lead", "words", F.inline("contexts"))).select("_k", "_h", "copies", "from", "to", "target")
+    # short windows, and all windows of the contexts of crowded grams, meet by their words
+    hashes = publish(wholes.groupBy("h").agg(F.count("*").alias("wholes")).join(found.groupBy("h").agg(F.count("*").alias("rows")), "h"))
+    open_ = whole_windows(join_by_size(found, hashes.drop("wholes"), ["h"], "rows", "inner")).select("_k", "_h", "copies", "h", "words", "at", "n")
+    open_ = publish(open_)
+    wanted = publish(wholes.join(open_.groupBy("h", "words").agg(F.count("*").alias("rows")), ["h", "words"]))
+    whole = join_by_size(open_, wanted, ["h", "words"], "rows", "inner").select("_k", "_h", "copies", F.col("at").alias("from"), (F.col("at") + F.col("n")).alias("to"), "target")
+    spans = F.array_sort(F.collect_set(F.struct(F.col("from").alias("at"), F.col("to").alias("end"))))
+    by_doc = hits.unionAll(whole).groupBy("_k", "_h").agg(F.max("copies").alias("copies"), covered(spans).alias("n_hit"), F.array_sort(F.collect_set("target")).alias("targets"))
+    by_doc = publish(by_doc)
+    by_doc = join_by_size(by_doc, publish(item_lists(by_doc, members, targets)), ["targets"], "rows", "inner", hint=None)
+    by_doc = publish(by_doc.select("_k", "_h", "copies", "n_hit", "n_items", "items_sha256"))
     docs = docs.withColumn("n_words", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long"))
     none = F.lit(0).cast("long")
     results = ["n_words", F.coalesce("n_hit", none).alias("n_hit"), F.coalesce("n_items", none).alias("n_items"), F.coalesce("items_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated")]

@@ -4,6 +4,7 @@ import os
 import random
 
 import duckdb
+import numpy as np
 import pytest
 
 from mediaweave.llm import chat, decontam, exact, mixing, queries
@@ -103,6 +104,32 @@ def test_contamination_is_that_of_all_windows(spark, bits):
     assert len(got) == len(docs)
 
 
+def test_items_that_share_instructions(spark):
+    """Grams of more contexts than are met one by one, instructions of windows' length, and spans of every length around it."""
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    long, short = [word() for _ in range(14)], [word() for _ in range(7)]
+    items = [(f"l{i}", " ".join([*long, *(word() for _ in range(12))])) for i in range(60)] + [(f"s{i}", " ".join([word() for _ in range(8)] + short + [word() for _ in range(8)])) for i in range(60)]
+    docs = []
+    for i in range(150):
+        item = items[rng.randrange(len(items))][1].split()
+        a, n = rng.randrange(len(item)), rng.randrange(6, 24)
+        docs.append((i, " ".join([*(word() for _ in range(rng.randrange(12))), *item[a : a + n], *(word() for _ in range(rng.randrange(12))), *rng.choice([long, short, []])])))
+    got = decontam.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")).collect()
+    assert len(got) == len(docs) and len({r.n_items for r in got}) > 3
+    for r in got:
+        assert (r.n_words, r.n_hit, r.n_items) == brute_contamination(docs[r.doc_id][1], items)
+
+
+def test_winnowing_keeps_a_gram_of_every_window_and_thins_the_rest():
+    hashes = np.random.default_rng(1).integers(0, 2**63, 20_000).astype(np.uint64)
+    hashes[500:900] = 7
+    kept = decontam.winnowed(hashes, 6)
+    assert all(any(at <= p < at + 6 for p in kept[np.searchsorted(kept, at) :][:1]) for at in range(len(hashes) - 5))
+    assert len(kept) < 0.32 * len(hashes) and (np.diff(kept) > 0).all()
+    assert decontam.winnowed(hashes[:5], 6).tolist() == []
+
+
 def test_contamination_of_and_by_nothing(spark):
     docs, items = spark.createDataFrame([(1, "a b")], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert [(r.n_items, r.contaminated) for r in decontam.contamination(docs, items).collect()] == [(0, False)]
