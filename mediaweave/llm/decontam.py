@@ -10,7 +10,7 @@ contexts' windows meet by all their words instead. An item of fewer words is one
 its words too.
 
 Both sides are Spark tables of any size. A bitmap of the benchmark's hashes goes to all tasks, so that only a document's
-grams that may meet are shuffled; it has 16 bits a hash and 2 ** BITS at most (a full one only lets more into the join).
+grams that may meet are shuffled; it has 128 bits a hash and 2 ** BITS at most (a full one only lets more into the join).
 A gram or window that very many documents hold is dealt to many tasks. Items are looked up once for each different set of
 contexts and windows that documents hit, not for each document or hit.
 
@@ -134,8 +134,8 @@ def extended(met: DataFrame) -> DataFrame:
 
 
 def fingerprint_bitmap(windows: DataFrame, most: int) -> bytes:
-    """Bits for hashes, 16 a hash and 2 ** most at most; the driver gets at most 2 ** (most - 6) rows."""
-    bits = min(most, max(16, (16 * windows.count()).bit_length()))
+    """Bits for hashes, 128 a hash and 2 ** most at most; the driver gets at most 2 ** (most - 6) rows."""
+    bits = min(most, max(16, (128 * windows.count()).bit_length()))
     word = F.shiftrightunsigned("h", 6).bitwiseAND(F.lit(2 ** (bits - 6) - 1))
     rows = windows.groupBy(word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 AS INT))")).alias("bits")).toPandas()
     out = np.zeros(2 ** (bits - 6), np.uint64)
