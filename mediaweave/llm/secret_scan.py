@@ -3,7 +3,8 @@
 The test takes the runs of key-like characters that patterns can't name. A vocabulary learned on text needs few
 tokens for words and many for random strings, so that a run with few characters a token is random, and so is one that
 has such a stretch between signs or between words (a key behind a path); the whole run is listed. Digests of known
-lengths, UUIDs, numbers, and identifiers whose letters need few tokens are not taken for secrets by it.
+lengths, and with their name before them also those in base64 (of which a run is what stands before or behind), UUIDs,
+numbers, and identifiers whose letters need few tokens, with a time perhaps, are not taken for secrets by it.
 
 Defined results: a null text is empty and has no spans; repeated rows get equal results; an empty table gives an
 empty result. Other columns pass through scan_secrets(), but one that has the name of a result is replaced.
@@ -33,6 +34,13 @@ LEAST_VALUE = 6
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 RUN = re.compile(r"[A-Za-z0-9+/=_-]{16,}")
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})", re.IGNORECASE)
+#: A digest behind its name, in hexadecimal or base64 of its length.
+NAMED_DIGEST = re.compile(
+    r"(?<![A-Za-z0-9])(?:" + "|".join(rf"{name}[-:=](?:[0-9a-f]{{{bits // 4}}}|[A-Za-z0-9+/_-]{{{-(-bits // 6)}}})" for name, bits in (("md5", 128), ("sha-?1", 160), ("sha-?224", 224), ("sha-?256", 256), ("sha-?384", 384), ("sha-?512", 512))) + r")(?:==?)?(?![A-Za-z0-9+/_=-])",
+    re.IGNORECASE,
+)
+#: Date and time without signs.
+STAMP = re.compile(r"(?<![A-Za-z0-9])(?:19|20)\d{6}T\d{4}(?:\d\d(?:\d{3}|\d{6})?)?Z?(?![A-Za-z0-9])")
 UUID = re.compile(r"[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}", re.IGNORECASE)
 #: Parts joined by signs, each a number, a word or a word and a number.
 IDENTIFIER = re.compile(r"[-_/=+]*+(?:[A-Za-z]*+\d{0,8}+[-_/=+]++)*+[A-Za-z]*+\d{0,8}+")  # possessive: in linear time
@@ -68,7 +76,8 @@ def is_word(part: str, chars_per_token: float, tokens) -> bool:
 
 
 def is_identifier(text: str, chars_per_token: float, tokens) -> bool:
-    """Numbers and words by shape, whose letters together need few tokens; a few letters tell nothing."""
+    """Numbers, times and words by shape, whose letters together need few tokens; a few letters tell nothing."""
+    text = STAMP.sub("0", text)
     if not IDENTIFIER.fullmatch(text):
         return False
     words = [x for x in LETTERS.findall(text) if len(x) >= LEAST_WORD]
@@ -113,6 +122,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found + [(m.start(), 2, m.end()) for m in HEX.finditer(text)])
 
 
+def random_spans(text: str, chars_per_token: float, tokens) -> list[tuple[int, int, int]]:
+    text = NAMED_DIGEST.sub(lambda m: " " * len(m[0]), text)
+    return [(m.start(), 3, m.end()) for m in RUN.finditer(text) if is_random(m[0], chars_per_token, tokens)]
+
+
 def listed(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
@@ -124,9 +138,8 @@ def _scan(batches, names: list[str], out: list[str], chars_per_token: float, nam
         for text in batch.column("text").to_pylist():
             text = text or ""
             base = base_spans(text)
-            random = [(m.start(), 3, m.end()) for m in RUN.finditer(text) if is_random(m[0], chars_per_token, tokens)]
             n = [sum(k == kind for _, k, _ in base) for kind in range(3)]
-            rows.append((*n, hashlib.sha256(listed(base).encode()).hexdigest(), listed(sorted(base + random))))
+            rows.append((*n, hashlib.sha256(listed(base).encode()).hexdigest(), listed(sorted(base + random_spans(text, chars_per_token, tokens)))))
         cols = list(zip(*rows, strict=True)) or [[]] * 5
         arrays = [pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 3 + [pa.string()] * 2, strict=True)]
         yield pa.RecordBatch.from_arrays([*map(batch.column, names), *arrays], names=out)
