@@ -6,8 +6,10 @@ with the space that their kind has, list items get bullets or numbers by depth,
 space, and table cells stand in columns, spanned ones as well.
 
 Not displayed is what browsers don't display: scripts, styles, templates, closed dialogs, elements with the attribute
-hidden, and those whose style attribute or a style sheet's rule for a tag, a class or an id (outside of @-rules) says
-so; invisible text is left out likewise, but a visible element in it is not.
+hidden, and those whose style attribute or a style sheet says so; invisible text is left out likewise, but a visible
+element in it is not. Of a style sheet count the rules for a tag, classes and ids of one element (`div.a.b#c`), by
+`!important`, specificity and order, at the top or in `@media screen` or `all` without a condition; those that
+look at other elements or states, and other @-rules, don't.
 
 Both passes go forward once and hold an explicit stack, so that time and output grow with the page and no depth is a
 limit. Layout that could blow a page up is bounded, and no text is lost by it: indents stop at INDENTS characters,
@@ -69,9 +71,10 @@ TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>
 LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"?|'([^']*+)'?|([^\s"'>]++)))?+""")
 STYLED = re.compile(r"hidden|style|class|id\b|open|span|start|value", re.I)
-RULE = re.compile(r"(display|visibility)\s*+:\s*+([a-z-]++)", re.I)
+RULE = re.compile(r"(?<![\w-])(display|visibility)\s*+:\s*+([a-z-]++)(\s*+!\s*+important\b)?+", re.I)
 COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
-SELECTOR = re.compile(r"(?:([a-z][a-z0-9]*+)|\.([\w-]++)|#([\w-]++))", re.I)
+SELECTOR = re.compile(r"(\*|[a-z][a-z0-9]*+)?+((?:[.#][\w-]++)*+)", re.I)
+SCREEN = re.compile(r"@media\s++(?:[^,]*+,)*?\s*+(?:only\s++)?+(?:screen|all)\s*+(?:,.*+)?+", re.I | re.S)
 WHITE = re.compile(r"[ \t\r\n\f]+")
 
 
@@ -178,29 +181,64 @@ def tree(source: str) -> tuple[Node, list[str]]:
     return to.root, sheets
 
 
-def declared(style: str) -> dict[str, str]:
-    return {m[1].lower(): m[2].lower() for m in RULE.finditer(style)}
-
-
-def rules_of(sheets: list[str]) -> dict[str, dict[str, str]]:
-    """What style sheets say of a tag, a class or an id; later rules win, those inside of @-rules don't count."""
-    found: dict[str, dict[str, str]] = {}
-    for sheet in sheets:
-        depth, head = 0, ""
-        parts = re.split(r"([{}])", COMMENT.sub(" ", sheet))
-        for i in range(0, len(parts), 2):
-            mark = parts[i + 1] if i + 1 < len(parts) else ""
-            if mark == "{":
-                depth, head = depth + 1, parts[i].rsplit(";", 1)[-1] if depth == 0 else head
-            elif mark == "}":
-                said = declared(parts[i]) if depth == 1 and "@" not in head else {}
-                for selector in head.split(",") if said else ():
-                    if SELECTOR.fullmatch(selector.strip()):
-                        found.setdefault(selector.strip(), {}).update(said)
-                depth = max(depth - 1, 0)
+def declared(style: str) -> dict[str, tuple[bool, str]]:
+    """What declarations say of display and visibility, and whether it is important; the last counts, of important ones if
+    there are any."""
+    found: dict[str, tuple[bool, str]] = {}
+    for m in RULE.finditer(style):
+        name, important = m[1].lower(), bool(m[3])
+        if important or not found.get(name, (False,))[0]:
+            found[name] = important, m[2].lower()
     return found
 
 
+class Rules:
+    """Style sheets' rules, each kept under that of its tag, classes and ids that the fewest others are kept under."""
+
+    def __init__(self, sheets: list[str]) -> None:
+        self.kept: dict[str, list] = {}
+        self.known: dict[tuple, dict] = {}
+        self.n = 0
+        for sheet in sheets:
+            heads: list[str] = []
+            parts = re.split(r"([{}])", COMMENT.sub(" ", sheet) + "}}")  # what is open ends with the sheet
+            for i in range(0, len(parts) - 1, 2):
+                if parts[i + 1] == "{":
+                    heads.append(parts[i].rsplit(";", 1)[-1].strip())
+                elif heads:
+                    head = heads.pop()
+                    if not head.startswith("@") and len(heads) < 2 and all(map(SCREEN.fullmatch, heads)) and (said := declared(parts[i])):
+                        self.add(head, said)
+
+    def __len__(self) -> int:
+        return self.n
+
+    def add(self, selectors: str, said: dict) -> None:
+        for m in filter(None, map(SELECTOR.fullmatch, map(str.strip, selectors.split(",")))):
+            tag, marks = (m[1] or "").lower().strip("*"), re.findall(r"[.#][\w-]+", m[2])
+            if not m[0]:
+                continue
+            self.n += 1
+            ids = sum(x[0] == "#" for x in marks)
+            needs = frozenset([*([tag] if tag else []), *marks])
+            key = min(sorted(needs), key=lambda x: len(self.kept.get(x, ())), default="*")
+            self.kept.setdefault(key, []).append((needs, (ids, len(marks) - ids, bool(tag), self.n), said))
+
+    def of(self, name: str, classes: str, id_: str | None) -> dict[str, tuple]:
+        """By property: (important, specificity and order), and the value."""
+        asked = (name, classes, id_)
+        if asked not in self.known:
+            has = {name, *("." + x for x in classes.split()), *(["#" + id_] if id_ else [])}
+            found: dict[str, tuple] = {}
+            for key in ("*", *has):
+                for needs, weight, said in self.kept.get(key, ()):
+                    if needs <= has:
+                        for what, (important, value) in said.items():
+                            found[what] = max(found.get(what, ((False, ()), "")), ((important, weight), value))
+            self.known[asked] = found
+        return self.known[asked]
+
+
 class Lines:
     """Text that is being laid out: words flow, blocks break lines, spaced blocks leave one empty line. Inner blocks are
     levels, with what stands before their first line and before the others."""
@@ -349,7 +387,7 @@ class Page:
         self.blocks = self.tables = self.items = self.nested = 0
         self.pictures = 0
         root, sheets = tree(source)
-        self.rules = rules_of(sheets)
+        self.rules = Rules(sheets)
         self.out = Lines()
         self.todo = [Frame(root, False, True, None, self.out)]
         while self.todo:
@@ -370,15 +408,13 @@ class Page:
         self.out.break_()
 
     def said(self, node: Node, values: dict[str, str]) -> dict[str, str]:
-        """What styles say of display and visibility: by tag, class, id and attribute, the last counts most."""
-        found = dict(self.rules.get(node.name, ())) if self.rules else {}
-        if self.rules and values:
-            for x in values.get("class", "").split():
-                found.update(self.rules.get(f".{x}", ()))
-            found.update(self.rules.get(f"#{values.get('id')}", ()))
-        if "style" in values:
-            found.update(declared(values["style"]))
-        return found
+        """What styles say of display and visibility: a style attribute before all rules but important ones."""
+        found = self.rules.of(node.name, values.get("class", ""), values.get("id")) if self.rules else {}
+        said = {what: value for what, (_, value) in found.items()}
+        for what, (important, value) in declared(values.get("style", "")).items():
+            if important or not found.get(what, ((False,),))[0][0]:
+                said[what] = value
+        return said
 
     def enter(self, node: Node, above: Frame) -> bool:
         """Starts a child; whether its own children come next."""
