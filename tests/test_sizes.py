@@ -17,3 +17,8 @@ def library(spark):
 
 def test_no_exploded_side_of_similarity_edges_is_copied(spark):
     assert "BroadcastExchange" not in plan(P.similarity_edges(library(spark)))
+
+
+def test_no_exploded_side_of_incremental_match_is_copied(spark):
+    photos = library(spark).selectExpr("*", "id AS cluster_id")
+    assert "BroadcastExchange" not in plan(P.incremental_match(photos.filter("id % 4 = 0"), photos.filter("id % 4 <> 0")))
