@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+import random
+
+from mediaweave.operators import clusters as C
 from mediaweave.operators import pairs as P
 from tests.test_clusters import HERE, PHOTO, at, photo
 
@@ -22,3 +27,17 @@ def test_no_exploded_side_of_similarity_edges_is_copied(spark):
 def test_no_exploded_side_of_incremental_match_is_copied(spark):
     photos = library(spark).selectExpr("*", "id AS cluster_id")
     assert "BroadcastExchange" not in plan(P.incremental_match(photos.filter("id % 4 = 0"), photos.filter("id % 4 <> 0")))
+
+
+def test_embedding_pairs_meet_in_parts_of_blocks_and_fetch_no_vectors(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.randrange(2000), *rng.choice([(55.0, 37.0), (55.0002, 37.0), (56.0, 37.0), (None, None), (55.0, None)]), [rng.gauss(0, 1) for _ in range(4)]) for i in range(80)]
+    found = C.embedding_pairs(spark.createDataFrame(rows, "id long, secs long, lat double, lon double, embedding array<double>"), 0.3, 180, 50, size=2)
+    assert "CoGroups" in plan(found) and "embedding_a" not in plan(found)
+
+    def agree(x, y):
+        both = None not in (x[2], x[3], y[2], y[3])
+        cosine = sum(p * q for p, q in zip(x[4], y[4], strict=True)) / math.hypot(*x[4]) / math.hypot(*y[4])
+        return abs(x[1] - y[1]) <= 180 and cosine >= 0.3 and (not both or abs(x[2] - y[2]) < 0.0003)
+
+    assert sorted((r.a, r.b) for r in found.collect()) == sorted((x[0], y[0]) for x, y in itertools.combinations(rows, 2) if agree(x, y))
