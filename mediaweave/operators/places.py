@@ -54,13 +54,13 @@ def nearest_place(points: DataFrame, places: DataFrame) -> DataFrame:
     nearest place by great circle, ties (to a micrometre) to the smaller place_id: id, place_id, metres and the place's
     other columns. Points without both coordinates are left out.
 
-    Distinct spots are looked up once. A round joins them with the places of the cells around; what is found within a
+    Distinct spots are looked up once, and of places at one spot only the smallest place_id, which wins their tie. A round joins them with the places of the cells around; what is found within a
     cell's height is the nearest, and the rest goes on with cells four times as high. Spots that are over 2,000 km from
     every place meet those of the coarse cells that can hold the nearest."""
     located = points.filter("lat IS NOT NULL AND lon IS NOT NULL").select("id", "lat", "lon")
     spots = publish(located.select("lat", "lon").distinct())
     told = places.drop("lat", "lon")
-    places = publish(places.select("place_id", F.col("lat").alias("place_lat"), F.col("lon").alias("place_lon")))
+    places = publish(places.groupBy(F.col("lat").alias("place_lat"), F.col("lon").alias("place_lon")).agg(F.min("place_id").alias("place_id")))
     cell, done = FIRST_CELL, []
     metres = S.haversine(F.col("lat"), F.col("lon"), F.col("place_lat"), F.col("place_lon"))
     best = F.min(F.struct(F.round(metres, TIE_DIGITS).alias("tie"), F.col("place_id"), metres.alias("metres"))).alias("best")

@@ -8,6 +8,8 @@ import random
 
 from mediaweave.operators import clusters as C
 from mediaweave.operators import pairs as P
+from mediaweave.operators.places import nearest_place
+from mediaweave.sources.shared import published_since
 from tests.test_clusters import HERE, PHOTO, at, photo
 
 
@@ -41,3 +43,11 @@ def test_embedding_pairs_meet_in_parts_of_blocks_and_fetch_no_vectors(spark):
         return abs(x[1] - y[1]) <= 180 and cosine >= 0.3 and (not both or abs(x[2] - y[2]) < 0.0003)
 
     assert sorted((r.a, r.b) for r in found.collect()) == sorted((x[0], y[0]) for x, y in itertools.combinations(rows, 2) if agree(x, y))
+
+
+def test_of_places_at_one_spot_only_one_meets_points(spark):
+    places = spark.createDataFrame([(i, 55.0, 37.0, f"p{i}") for i in range(9, 0, -1)], "place_id long, lat double, lon double, name string")
+    with published_since() as paths:
+        found = nearest_place(spark.createDataFrame([(1, 55.001, 37.001)], "id long, lat double, lon double"), places).collect()
+    assert [(r.place_id, r.name) for r in found] == [(1, "p1")]
+    assert [t.count() for t in map(spark.read.parquet, paths) if "place_lat" in t.columns] == [1]
