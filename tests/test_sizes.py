@@ -6,11 +6,16 @@ import itertools
 import math
 import random
 
+import duckdb
+
 from mediaweave.operators import clusters as C
 from mediaweave.operators import pairs as P
 from mediaweave.operators.places import nearest_place
+from mediaweave.plans import queries_vectors
+from mediaweave.sources.schemas import read_table
 from mediaweave.sources.shared import published_since
 from tests.test_clusters import HERE, PHOTO, at, photo
+from tests.test_oracles import rows
 
 
 def plan(df) -> str:
@@ -51,3 +56,17 @@ def test_of_places_at_one_spot_only_one_meets_points(spark):
         found = nearest_place(spark.createDataFrame([(1, 55.001, 37.001)], "id long, lat double, lon double"), places).collect()
     assert [(r.place_id, r.name) for r in found] == [(1, "p1")]
     assert [t.count() for t in map(spark.read.parquet, paths) if "place_lat" in t.columns] == [1]
+
+
+def test_search_routed_looks_a_vector_up_once(spark, tmp_path):
+    for name in ("embeddings", "events", "conversations"):
+        given = read_table(spark, f"/root/testdata/sf0.001/{name}.parquet", name)
+        (given.unionAll(given.filter("turn < 2")) if name == "conversations" else given).write.parquet(str(tmp_path / f"{name}.parquet"))
+    with published_since() as paths:
+        found = queries_vectors.search_routed(spark, str(tmp_path)).toPandas()
+    asked = [t for t in map(spark.read.parquet, paths) if t.columns == ["id", "embedding"]]
+    assert [t.count() for t in asked] == [found[found.route == "vector"].query_id.mod(500).nunique()]
+    con = duckdb.connect()
+    for name in ("embeddings", "events", "conversations"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    assert rows(found) == rows(con.sql(queries_vectors.ORACLES["search_routed"]).df())
