@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from mediaweave.operators import cells as C
 from mediaweave.operators import vectors as W
+from mediaweave.sources.shared import published_since
 
 
 def clustered(n: int, centres: int, dims: int = 24, spread: float = 0.12, seed: int = 0) -> np.ndarray:
@@ -103,3 +104,13 @@ def test_nothing_to_find(spark):
     known = spark.createDataFrame([(1, [1.0, 0.0, 0.0], None), (2, None, 1)], "photo_id long, embedding array<double>, is_technical int")
     assert W.vector_search(known, queries.limit(0)).collect() == []
     assert [(r.query_id, r.photo_id) for r in W.vector_search(known, queries).orderBy("query_id").collect()] == [(0, 1), (1, 1)]
+
+
+def test_neighbours_carry_a_vector_once_a_block_and_not_once_a_unit(spark):
+    m = np.random.default_rng(4).normal(size=(400, 16))  # noise: nothing is ruled out
+    index = C.cell_index(table_of(spark, m), 20, 10)
+    with published_since() as paths:
+        found, visits = C.neighbours(index, 4, 0.1, 10)
+    assert {(r.id, r.neighbour, r["rank"]) for r in found.collect()} == all_pairs(m, 4, 0.1)
+    written = [t for t in map(spark.read.parquet, paths) if {"block", "unit", "slice"} <= set(t.columns)]
+    assert visits.count() > 10_000 and [t.count() < 1000 for t in written] == [True]
