@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediaweave.functions.constants import UPDATABLE
+from mediaweave.sources.shared import dealt
 
 
 def apply_updates(df: DataFrame, updates: DataFrame, table: str, key: str = "id") -> DataFrame:
@@ -77,8 +78,17 @@ def cascade_delete(gone: DataFrame, photos: DataFrame, vectors: DataFrame, faces
     return out
 
 
+def named_clusters(photos: DataFrame) -> DataFrame:
+    """The ids of clusters that have photos, once each and never copied: no task holds a row a photo."""
+    return dealt(photos.select(F.col("cluster_id").alias("id")).filter("id IS NOT NULL").distinct())
+
+
 def drop_orphan_clusters(clusters: DataFrame, photos: DataFrame) -> DataFrame:
-    return clusters.join(photos.select(F.col("cluster_id").alias("id")).filter("id IS NOT NULL"), "id", "left_semi")
+    return clusters.join(named_clusters(photos), "id", "left_semi")
+
+
+def orphan_clusters(clusters: DataFrame, photos: DataFrame) -> DataFrame:
+    return clusters.join(named_clusters(photos), "id", "left_anti")
 
 
 def refresh_persons(persons: DataFrame, faces: DataFrame) -> DataFrame:

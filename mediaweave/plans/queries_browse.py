@@ -131,8 +131,7 @@ def cluster_count(spark, d):
 
 @query(with_views(V.PHOTOS, V.CLUSTERS, sql="SELECT id, name FROM clusters c WHERE NOT EXISTS (SELECT 1 FROM photos p WHERE p.cluster_id = c.id)"))
 def orphan_clusters(spark, d):
-    clusters = V.clusters(spark, d)
-    return clusters.join(M.drop_orphan_clusters(clusters, V.photos(spark, d)).select("id"), "id", "left_anti").select("id", "name")
+    return M.orphan_clusters(V.clusters(spark, d), V.photos(spark, d)).select("id", "name")
 
 
 @query(on_photos("""

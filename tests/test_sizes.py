@@ -9,6 +9,7 @@ import random
 import duckdb
 
 from mediaweave.operators import clusters as C
+from mediaweave.operators import mutate as M
 from mediaweave.operators import pairs as P
 from mediaweave.operators.places import nearest_place
 from mediaweave.plans import queries_vectors
@@ -70,3 +71,10 @@ def test_search_routed_looks_a_vector_up_once(spark, tmp_path):
     for name in ("embeddings", "events", "conversations"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
     assert rows(found) == rows(con.sql(queries_vectors.ORACLES["search_routed"]).df())
+
+
+def test_photos_are_not_copied_to_find_orphan_clusters(spark):
+    photos, clusters = spark.createDataFrame([(1, 5), (2, 5), (3, None)], "id long, cluster_id long"), spark.createDataFrame([(5,), (6,), (None,)], "id long")
+    kept, gone = M.drop_orphan_clusters(clusters, photos), M.orphan_clusters(clusters, photos)
+    assert "BroadcastExchange" not in plan(kept) + plan(gone) and "HashAggregate" in plan(kept)
+    assert [r.id for r in kept.collect()] == [5] and sorted(str(r.id) for r in gone.collect()) == ["6", "None"]
