@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mediaweave.functions import scalars as S
 from mediaweave.operators import mutate as M
-from mediaweave.plans import catalog
+from mediaweave.plans import catalog, queries_ingest
 from mediaweave.sources import ingest as I
 from mediaweave.sources import schemas, shared
 from mediaweave.streaming import ingest as stream
@@ -120,3 +120,18 @@ def test_links_that_arrive_in_batches(spark, tmp_path):
     assert {r.node: r.component for r in labels.collect() if r.node != 3} == dict.fromkeys([1, 2, 5, 6, 7, 8, 9], 1) | {20: 20, 21: 20}
     assert {(r.was, r.now) for r in merges.collect()} == {(5, 1), (8, 1)}
     assert len({r.batch for r in merges.collect()}) == 2
+
+
+def test_files_of_a_batch_follow_the_size_of_the_table(spark, tmp_path, monkeypatch):
+    paths = iter([str(tmp_path / "arriving"), str(tmp_path / "stream")])
+    monkeypatch.setattr(queries_ingest, "scratch_path", lambda spark: next(paths))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "60000b")
+    spark.conf.set("spark.sql.files.openCostInBytes", "60000b")
+    try:
+        parts = queries_ingest.V.table(spark, "/root/testdata/sf0.001", "documents").rdd.getNumPartitions()
+        found = queries_ingest.stream_ingest(spark, "/root/testdata/sf0.001").count()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert parts > 1 and len(list((tmp_path / "arriving").glob("*.parquet"))) > 5
+    assert len(list((tmp_path / "stream" / "rows").glob("batch=*"))) <= 5 and found
