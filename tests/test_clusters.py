@@ -182,6 +182,16 @@ def test_bursts_are_those_of_a_walk(spark):
         assert sorted(got, key=key) == sorted(want, key=key)
 
 
+def test_a_date_is_parsed_once(spark):
+    dates = [("2024:01:02 03:04:05", 1704164645), (" 2024:1:2 3:4:5\t", 1704164645), ("1969:12:31 23:59:59", -1), *((x, None) for x in ("2024-01-02 03:04:05", "\t2024:01:02 03:04:05", "2024:02:30 00:00:00", "a\n2024:01:02 03:04:05", "", None))]
+    df = spark.createDataFrame([(i, 1, raw) for i, (raw, _) in enumerate(dates)], "id long, source_id long, exif_date string")
+    secs = df.select("id", S.seconds(S.parse_date(F.col("exif_date"))).alias("secs"))
+    assert [r.secs for r in secs.orderBy("id").collect()] == [want for _, want in dates]
+    named = lambda found: found._jdf.queryExecution().optimizedPlan().toString().count("exif_date#")
+    assert named(secs) <= 2  # where it comes in, and where it is parsed
+    assert named(C.bursts(df)) == 0  # two sides of a join read what is written, instead of parsing all dates twice
+
+
 def test_upper_medians(spark):
     rng = random.Random(9)
     rows = [(g, "".join(rng.choice("ab:") for _ in range(rng.choice([1, 10, 11, 12])))) for g in range(12) for _ in range(g * g + 1)] + [(99, "x")] * 4 + [(None, "y")]
