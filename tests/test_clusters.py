@@ -276,3 +276,19 @@ def test_time_bands(spark):
         first = i if i and s - secs[i - 1] > 180 else first
         want[i] = (first, sum(abs(s - t) <= 180 for t in secs) - 1)
     assert got == want
+
+
+def test_time_band_pairs_of_crowded_times(spark):
+    rng = random.Random(9)
+    secs = [None, -1, 0, 1, 179, 180, 181, *(rng.randrange(-900, 900) for _ in range(150)), *[4_000] * 120, *[4_180] * 40]
+    rows = list(enumerate(secs)) + [(3, 50), (3, 50)]  # ids that repeat don't meet themselves
+    df = spark.createDataFrame(rows, "id long, secs long")
+    for window in (180, 7, 1):
+        want = sorted((a, b, abs(x - y)) for (a, x), (b, y) in itertools.permutations(rows, 2) if a < b and x is not None and y is not None and abs(x - y) <= window)
+        for block in (16, 4096):
+            found = P.time_band_pairs(df, window, block=block, compared=2_000)
+            assert sorted((r.a, r.b, r.gap) for r in found.collect()) == want
+    crowd = spark.createDataFrame([(i, 0) for i in range(400)], "id long, secs long")
+    shares = P.time_band_pairs(crowd, block=50, compared=1_000).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in shares) == 400 * 399 // 2
+    assert max(r["count"] for r in shares) < 400 * 399 // 8  # one second's pairs come from many tasks
