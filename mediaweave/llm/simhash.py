@@ -369,11 +369,12 @@ def _stars(bucket: list[tuple], least: float) -> list[tuple[int, int]]:
 def without_stars(met: DataFrame, sets: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
     """met: _row, key, n, the rows of crowded keys; sets: _row, shingles. Some rows of each key, its centres, are compared
     with all others. Returns the links found (src, dst), and the rows of the keys that not all belong to one star, with
-    `loose`: whether the row is out of its key's largest star. That star's links join its rows already."""
+    `loose`: whether the row is out of its key's largest star. That star's links join its rows already.
+    Rows that are few are copied to the sets: all of these, which are large, would be shuffled for the few that are wanted."""
     picked = met.groupBy("key").agg(F.first("n").alias("n"), F.array_distinct(F.array(*(F.min_by("_row", F.xxhash64("_row", F.lit(i))) for i in range(CENTRES)))).alias("rows"))
-    picked = picked.select("key", "n", F.explode("rows").alias("_row")).join(sets, "_row")
+    picked = copied_if_small(publish(picked.select("key", "n", F.explode("rows").alias("_row"))), 64).join(sets, "_row")
     centres = publish(picked.groupBy("key").agg(F.first("n").alias("n"), F.collect_list(F.struct(F.col("_row").alias("row"), "shingles")).alias("centres")))  # CENTRES at most
-    compared = join_by_size(met.select("_row", "key").join(sets, "_row"), centres, ["key"], "n", "inner").select("key", "n", "_row", "shingles", "centres")
+    compared = join_by_size(copied_if_small(met.select("_row", "key"), 64).join(sets, "_row"), centres, ["key"], "n", "inner").select("key", "n", "_row", "shingles", "centres")
     near = publish(compared.mapInArrow(partial(_near_centres, least=least), "key long, n long, _row long, centre long"))
     best = near.groupBy("key", "n", "centre").agg(F.count("*").alias("size")).groupBy("key", "n").agg(F.max_by("centre", F.struct("size", "centre")).alias("centre"), F.max("size").alias("size"))
     mixed = publish(best.filter("size < n"))
@@ -418,7 +419,7 @@ def shared_keys(sketches: DataFrame, crowd: int, least: float) -> tuple[DataFram
     if met.filter(large).isEmpty():
         return ready[0], []
     links, rest = without_stars(met.filter(large), sketches.select("_row", "shingles"), least)
-    again = rest.join(sketches.select("_row", ORDERS[1]), "_row").select("_row", "key", "loose", F.explode(ORDERS[1]).alias("more"))
+    again = copied_if_small(rest, 64).join(sketches.select("_row", ORDERS[1]), "_row").select("_row", "key", "loose", F.explode(ORDERS[1]).alias("more"))
     met = meeting(publish(again.select("_row", F.xxhash64("key", "more").alias("key"), "loose")))
     ready += [met.filter(small).select("_row", "key"), block_pairs(met.filter(large), crowd)]
     return reduce(DataFrame.unionAll, ready), [links]

@@ -141,6 +141,18 @@ def segmentations(text, pieces):
             yield from ([pieces.get(text[:n], len(pieces)), *rest] for rest in segmentations(text[n:], pieces))
 
 
+def test_few_crowded_rows_do_not_shuffle_all_sets(spark, monkeypatch):
+    sets = spark.createDataFrame([(i, bytearray(np.arange(40 + i % 3, dtype=np.uint32).tobytes())) for i in range(60)], "_row long, shingles binary")
+    met = simhash.publish(spark.createDataFrame([(i, 7, 20) for i in range(20)], "_row long, key long, n long"))
+    plans, publish = [], simhash.publish
+    monkeypatch.setattr(simhash, "publish", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or publish(df))
+    links, _ = simhash.without_stars(met, simhash.publish(sets), 0.8)
+    assert links.count()
+    reading = [plan for plan in plans if "Join Inner" in plan and "shingles" in plan]
+    assert reading and all("strategy=broadcast" in plan for plan in reading)
+
+
+
 @pytest.mark.parametrize("short", [36, 0])
 def test_forward_sums_all_segmentations(monkeypatch, short):
     monkeypatch.setattr(langid, "SHORT_WORD", short)
