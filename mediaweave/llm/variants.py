@@ -7,7 +7,8 @@ at most ceil((distance + 1) / first) - 1 of the differences, and each group into
 many are equal. Each such choice of a group's parts is a signature. Words of one length are told apart by their first
 or last letter besides: one replaced letter leaves one of them. Words of lengths that differ by one meet by signatures
 of distance one. Equal signatures are an equi-join; the edit distance verifies what it gives. A signature is joined by
-a hash of its parts, which can only add pairs that verification drops.
+a hash of its parts, which can only add pairs that verification drops. All joins are shuffled: a word has 30 signatures,
+and the planner would copy them by the size of the compressed words.
 
 A word's form is its near word that occurs most often, if that is RATIO times as often as itself; forms are followed to
 the last by doubling: as counts grow by the ratio at each step, five rounds are more than a chain can need.
@@ -25,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediaweave.llm.common import lower_ascii, publish, table
+from mediaweave.sources.shared import dealt
 
 #: What separates words: all but basic and Latin-1 letters.
 BETWEEN = r"[^A-Za-zÀ-ÿ]+"
@@ -96,11 +98,11 @@ def near_pairs(words: DataFrame) -> DataFrame:
     ends = [F.concat(size, F.lit(side), F.substring("word", at, 1)) for side, at in (("^", 1), ("$", -1))]
     same = signatures(words, *DEALT[2], 2, *ends)
     counts = same.groupBy("sig").count().filter("count > 1").drop("count")
-    same = publish(same.join(counts, "sig"))
-    pairs = same.withColumnRenamed("word", "a").join(same.withColumnRenamed("word", "b"), "sig").filter("a < b")
+    same = publish(same.join(dealt(counts), "sig"))
+    pairs = same.withColumnRenamed("word", "a").join(dealt(same.withColumnRenamed("word", "b")), "sig").filter("a < b")
     shorter = signatures(words, *DEALT[1], 1, (F.char_length("word") + 1).cast("string"))
     longer = signatures(words, *DEALT[1], 1, size)
-    pairs = pairs.select("a", "b").unionAll(shorter.withColumnRenamed("word", "a").join(longer.withColumnRenamed("word", "b"), "sig").select("a", "b"))
+    pairs = pairs.select("a", "b").unionAll(shorter.withColumnRenamed("word", "a").join(dealt(longer.withColumnRenamed("word", "b")), "sig").select("a", "b"))
     return pairs.filter(one_edit(F.col("a"), F.col("b"))).distinct()
 
 
@@ -108,7 +110,8 @@ def near_words(words: DataFrame) -> DataFrame:
     """words: word, n. Each pair of near words in both directions: word, other, other_n."""
     pairs = near_pairs(words.select("word"))
     both = F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("other")), F.struct(F.col("b").alias("word"), F.col("a").alias("other")))
-    return pairs.select(F.explode(both).alias("x")).select("x.*").join(words.select(F.col("word").alias("other"), F.col("n").alias("other_n")), "other").select("word", "other", "other_n")
+    counts = words.select(F.col("word").alias("other"), F.col("n").alias("other_n"))
+    return pairs.select(F.explode(both).alias("x")).select("x.*").join(dealt(counts), "other").select("word", "other", "other_n")
 
 
 def roots(forms: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -117,7 +120,7 @@ def roots(forms: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     for _ in range(rounds):
         state = publish(state)
         step = state.select(F.col("word").alias("root"), F.col("root").alias("after"))
-        state = state.join(step, "root", "left").select("word", F.coalesce("after", "root").alias("root"))
+        state = state.join(dealt(step), "root", "left").select("word", F.coalesce("after", "root").alias("root"))
     return state
 
 
@@ -126,10 +129,10 @@ def variants(words: DataFrame, ratio: int = RATIO) -> DataFrame:
     words = publish(words.select("word", "n"))
     best = F.min(F.struct((-F.col("other_n")).alias("minus"), F.col("other").alias("form")))
     found = near_words(words).groupBy("word").agg(F.count("*").alias("n_near"), best.alias("best"))
-    told = words.join(found, "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(-F.col("best.minus") >= ratio * F.col("n"), F.col("best")).alias("best"))
+    told = words.join(dealt(found), "word", "left").select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(-F.col("best.minus") >= ratio * F.col("n"), F.col("best")).alias("best"))
     told = publish(told.select("word", "n", "n_near", F.col("best.form").alias("form"), (-F.col("best.minus")).alias("form_n")))
     last = roots(told.filter("form IS NOT NULL").select("word", "form"))
-    return told.join(last, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return told.join(dealt(last), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def op11_spelling(spark, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ from mediaweave.llm import variants as V
 from mediaweave.llm.queries import ORACLES
 from tests.test_oracles import SF_DIR, rows
 from tests.test_oracles import duck as duck  # a fixture
+from tests.test_sizes import plan
 
 
 def edits(word: str, letters: str) -> set[str]:
@@ -57,6 +58,14 @@ def test_against_all_pairs(spark):
     assert got == want and sum(x[4] for x in want) > 300 and max(len({x[1], x[2]}) for x in want) == 2
 
 
+def test_no_signatures_are_copied(spark, monkeypatch):
+    plans, publish = [], V.publish
+    monkeypatch.setattr(V, "publish", lambda df: plans.append(plan(df)) or publish(df))
+    found = V.variants(spark.createDataFrame([("banana", 5), ("bananas", 70), ("bananat", 400)], "word string, n long"))
+    assert sorted((r.word, r.root) for r in found.collect()) == [("banana", "bananat"), ("bananas", "bananat"), ("bananat", "bananat")]
+    assert len(plans) > 3 and "Join" in "".join(plans) and "Broadcast" not in "".join(plans) + plan(found)
+
+
 @pytest.mark.parametrize(("first", "second"), [(1, 4), (1, 6), (2, 3), (3, 2)])
 def test_any_dealing_of_the_dimensions_finds_all(spark, first, second):
     words = ["banana", "bananb", "banane", "anaban", "abcabc", "abcab", "abcabcd", "zbcabc", "bbcabc"]
