@@ -10,6 +10,7 @@ from mediaweave.functions import scalars as S
 from mediaweave.operators import clusters as C
 from mediaweave.operators import pairs as P
 from mediaweave.operators.components import connected_components, extend_components
+from mediaweave.sources.shared import published_since
 
 PHOTO = "id long, exif_date string, exif_gps_lat double, exif_gps_lon double, perceptual_hash string, original_filename string, quality_blur double, quality_exposure double"
 ZERO, FAR = "0" * 16, "f" * 16
@@ -292,3 +293,13 @@ def test_time_band_pairs_of_crowded_times(spark):
     shares = P.time_band_pairs(crowd, block=50, compared=1_000).groupBy(F.spark_partition_id()).count().collect()
     assert sum(r["count"] for r in shares) == 400 * 399 // 2
     assert max(r["count"] for r in shares) < 400 * 399 // 8  # one second's pairs come from many tasks
+
+
+def test_time_band_pairs_compares_chunks_of_a_second(spark):
+    rows = [(i if i % 50 else None, 1_000 * (i % 4)) for i in range(1_200)] + [(7, 0), (7, 100), (8, 100)]
+    with published_since() as paths:
+        found = P.time_band_pairs(spark.createDataFrame(rows, "id long, secs long"))
+        got = sorted(map(tuple, found.collect()))
+    assert got == sorted((a, b, abs(x - y)) for (a, x), (b, y) in itertools.permutations(rows, 2) if a and b and a < b and abs(x - y) <= 180)
+    sizes = [sorted(len(r.ids) for r in t.collect()) for t in map(spark.read.parquet, paths) if "ids" in t.columns]
+    assert len(sizes) == 1 and sum(sizes[0]) == sum(bool(i) for i, _ in rows) and sizes[0][-1] == P.CHUNK and len(sizes[0]) < 30
